@@ -12,3 +12,149 @@ SELECT o_custkey, o_year, CAST(total AS DOUBLE) AS total, n_orders,
          AS total_diff
 FROM p
 """
+
+ORACLE["normalize_names"] = """
+SELECT c_custkey AS C_CUSTKEY, c_name AS C_NAME, c_nationkey AS C_NATIONKEY,
+       c_acctbal AS C_ACCTBAL, c_mktsegment AS C_MKTSEGMENT FROM customer
+"""
+
+ORACLE["leading_int"] = r"""
+SELECT o_orderkey, TRY_CAST(regexp_extract(o_orderpriority, '^(\d+)', 1) AS DOUBLE) AS priority_num,
+       TRY_CAST(o_orderstatus AS DOUBLE) AS status_num
+FROM orders
+"""
+
+ORACLE["concat_panels"] = """
+SELECT c_custkey AS key, c_name AS name, c_nationkey AS nationkey, c_acctbal AS acctbal, c_mktsegment AS segment
+FROM customer
+UNION ALL
+SELECT s_suppkey, s_name, s_nationkey, s_acctbal, NULL FROM supplier
+"""
+
+ORACLE["dedup_rows"] = "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem"
+
+ORACLE["wide_to_long"] = r"""
+WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS ANO FROM orders),
+c AS (SELECT DISTINCT o_custkey FROM orders),
+a AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS ANO,
+             SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS t, COUNT(*) AS n, MIN(o_orderpriority) AS pr
+      FROM orders GROUP BY 1, 2)
+SELECT c.o_custkey, y.ANO, CAST(a.t AS DOUBLE) AS TOTAL, CAST(COALESCE(a.n, 0) AS DOUBLE) AS CNT,
+       TRY_CAST(regexp_extract(a.pr, '^(\d+)', 1) AS DOUBLE) AS FASE
+FROM c CROSS JOIN y LEFT JOIN a ON a.o_custkey = c.o_custkey AND a.ANO = y.ANO
+WHERE y.ANO < (SELECT max(ANO) FROM y)
+"""
+
+_LI_GAPS = """
+WITH s AS (
+  SELECT l_orderkey, l_linenumber,
+    CASE WHEN l_quantity > 40 THEN NULL ELSE l_quantity END AS qty,
+    CASE WHEN l_discount < 0.03 THEN NULL ELSE l_discount END AS disc,
+    CASE WHEN l_tax > 0.05 THEN NULL ELSE l_tax END AS tax,
+    CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS flag,
+    CASE WHEN l_linestatus = 'O' THEN NULL ELSE l_linestatus END AS status,
+    CASE WHEN l_shipdate >= TIMESTAMP '2000-01-01' THEN NULL ELSE l_shipdate END AS shipdate
+  FROM lineitem)
+"""
+
+ORACLE["sparse_rows"] = _LI_GAPS + """
+SELECT * FROM s
+WHERE 2 * ((l_orderkey IS NOT NULL)::INT + (l_linenumber IS NOT NULL)::INT + (qty IS NOT NULL)::INT
+         + (disc IS NOT NULL)::INT + (tax IS NOT NULL)::INT + (flag IS NOT NULL)::INT
+         + (status IS NOT NULL)::INT + (shipdate IS NOT NULL)::INT) > 8
+"""
+
+ORACLE["null_profile"] = _LI_GAPS + """
+SELECT count(*) - count(l_orderkey) AS n_null_l_orderkey, count(*) - count(l_linenumber) AS n_null_l_linenumber,
+       count(*) - count(qty) AS n_null_qty, count(*) - count(disc) AS n_null_disc,
+       count(*) - count(tax) AS n_null_tax, count(*) - count(flag) AS n_null_flag,
+       count(*) - count(status) AS n_null_status, count(*) - count(shipdate) AS n_null_shipdate
+FROM s
+"""
+
+ORACLE["group_median_impute"] = """
+WITH p AS (
+  SELECT p_partkey,
+         CASE WHEN p_size <= 3 THEN NULL ELSE p_brand END AS brand,
+         CASE WHEN p_brand = 'Brand#7' OR p_size BETWEEN 40 AND 45 THEN NULL ELSE p_retailprice END AS price,
+         CASE WHEN p_type = 'SMALL' THEN NULL ELSE CAST(p_size AS DOUBLE) END AS size
+  FROM part),
+g AS (SELECT brand, median(price) AS gp, median(size) AS gs FROM p WHERE brand IS NOT NULL GROUP BY brand),
+s1 AS (SELECT p.p_partkey, p.brand, COALESCE(p.price, g.gp) AS price, COALESCE(p.size, g.gs) AS size
+       FROM p LEFT JOIN g ON p.brand = g.brand),
+a AS (SELECT median(price) AS ap, median(size) AS asz FROM s1)
+SELECT p_partkey, brand, ROUND(COALESCE(price, a.ap), 6) AS price, ROUND(COALESCE(size, a.asz), 6) AS size
+FROM s1 CROSS JOIN a
+"""
+
+ORACLE["mode_impute"] = """
+WITH c AS (
+  SELECT c_custkey,
+         CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS seg,
+         CASE WHEN c_acctbal > 9000 THEN NULL ELSE c_nationkey END AS nation
+  FROM customer),
+ms AS (SELECT seg FROM c WHERE seg IS NOT NULL GROUP BY seg ORDER BY count(*) DESC, seg ASC LIMIT 1),
+mn AS (SELECT nation FROM c WHERE nation IS NOT NULL GROUP BY nation ORDER BY count(*) DESC, nation ASC LIMIT 1)
+SELECT c_custkey, COALESCE(seg, (SELECT seg FROM ms)) AS seg, COALESCE(nation, (SELECT nation FROM mn)) AS nation
+FROM c
+"""
+
+_RULE = "(CASE WHEN inde < 5 OR ian < 5 THEN 1 ELSE 0 END)"
+
+ORACLE["label_derive"] = f"""
+WITH p AS (
+  SELECT p_partkey,
+         CASE WHEN p_brand = 'Brand#3' THEN NULL ELSE p_size / 5.0 END AS inde,
+         CASE WHEN p_type = 'SMALL' THEN NULL ELSE p_retailprice / 200.0 END AS ian
+  FROM part)
+SELECT p_partkey, {_RULE} AS label FROM p
+"""
+
+ORACLE["label_text"] = f"""
+WITH o AS (
+  SELECT o_orderkey,
+         CASE o_orderstatus WHEN 'F' THEN 'Sim' WHEN 'O' THEN 'NÃO' ELSE '?' END AS label,
+         o_totalprice / 50000.0 AS inde,
+         CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) * 2.0 AS ian
+  FROM orders)
+SELECT o_orderkey,
+       COALESCE(CASE lower(label) WHEN 'sim' THEN 1 WHEN 'yes' THEN 1 WHEN 'não' THEN 0 WHEN 'nao' THEN 0
+                                  WHEN 'no' THEN 0 END, {_RULE}) AS label
+FROM o
+"""
+
+ORACLE["label_signed"] = f"""
+WITH c AS (
+  SELECT c_custkey,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS y,
+         c_nationkey / 2.5 AS inde, c_acctbal / 1000.0 + 5.0 AS ian
+  FROM customer),
+b AS (SELECT COALESCE(bool_and(y IN (0, 1)), TRUE) AS is_bin FROM c WHERE y IS NOT NULL)
+SELECT c_custkey,
+       CASE WHEN b.is_bin THEN COALESCE(CAST(y AS INTEGER), {_RULE})
+            ELSE COALESCE(CASE WHEN y < 0 THEN 1 WHEN y IS NOT NULL THEN 0 END, {_RULE}) END AS label
+FROM c CROSS JOIN b
+"""
+
+ORACLE["label_binary"] = f"""
+WITH l AS (
+  SELECT doc_id, CASE WHEN toxic = 1 THEN NULL ELSE quality END AS y,
+         quality * 4.0 + toxic AS inde, toxic * 6.0 AS ian
+  FROM labels),
+b AS (SELECT COALESCE(bool_and(y IN (0, 1)), TRUE) AS is_bin FROM l WHERE y IS NOT NULL)
+SELECT doc_id,
+       CASE WHEN b.is_bin THEN COALESCE(CAST(y AS INTEGER), {_RULE})
+            ELSE COALESCE(CASE WHEN y < 0 THEN 1 WHEN y IS NOT NULL THEN 0 END, {_RULE}) END AS label
+FROM l CROSS JOIN b
+"""
+
+ORACLE["label_distribution"] = "SELECT quality, count(*) AS n FROM labels GROUP BY quality"
+
+ORACLE["class_weights"] = """
+WITH d AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality)
+SELECT quality, n,
+       ROUND((SELECT sum(n) FROM d) / ((SELECT count(*) FROM d) * n), 6) AS weight,
+       ROUND((SELECT sum(n) FILTER (WHERE quality = 0) FROM d)
+             / greatest((SELECT coalesce(sum(n) FILTER (WHERE quality = 1), 0) FROM d), 1), 6) AS imbalance_ratio
+FROM d
+"""

@@ -30,3 +30,198 @@ def q_lag_diff(spark: SparkSession, sf: str) -> DataFrame:
     out = add_lag_diff(panel, "total", "o_custkey", "o_year", "total_diff")
     return out.select("o_custkey", "o_year", F.col("total").cast("double").alias("total"),
                       "n_orders", F.col("total_diff").cast("double").alias("total_diff"))
+
+
+# ---------------------------------------------------------------- schema / reshape
+from panelrisk.operators.panel import (  # noqa: E402
+    WideLayout, concat_panels, normalize_column_names, remove_duplicates, wide_to_long)
+from panelrisk.functions.columns import leading_int, lenient_double  # noqa: E402
+
+
+@query("normalize_names")
+def q_normalize_names(spark, sf):
+    """Messy headers (spaces, case, padding) -> trimmed upper snake names."""
+    c = read(spark, sf, "customer")
+    messy = c.select(*[F.col(n).alias(f"  {n.replace('_', ' ')} ") for n in c.columns])
+    return normalize_column_names(messy)
+
+
+@query("leading_int")
+def q_leading_int(spark, sf):
+    """P6 + P5: leading integer of the priority text; lenient numeric of the status."""
+    o = read(spark, sf, "orders")
+    return o.select("o_orderkey", leading_int("o_orderpriority").alias("priority_num"),
+                    lenient_double("o_orderstatus").alias("status_num"))
+
+
+@query("concat_panels")
+def q_concat_panels(spark, sf):
+    """R2: customers and suppliers stacked by name; supplier has no segment."""
+    c = read(spark, sf, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"),
+        F.col("c_nationkey").alias("nationkey"), F.col("c_acctbal").alias("acctbal"),
+        F.col("c_mktsegment").alias("segment"))
+    s = read(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"),
+        F.col("s_nationkey").alias("nationkey"), F.col("s_acctbal").alias("acctbal"))
+    return concat_panels([c, s])
+
+
+@query("dedup_rows")
+def q_dedup_rows(spark, sf):
+    """Whole-row distinct over a narrow lineitem projection."""
+    li = read(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+    return remove_duplicates(li)
+
+
+def orders_wide(orders):
+    """Customer x year orders pivoted wide: TOTAL_y, CNT_y, PRIO_GRADE_y.
+
+    The last year gets no TOTAL column, so the reshape must skip it (anchor rule).
+    Years are a distinct-value list (bounded: calendar years), read once at plan time.
+    """
+    o = orders.withColumn("_y", F.year("o_orderdate"))
+    years = sorted(r[0] for r in o.select("_y").distinct().collect())
+    aggs = []
+    for y in years:
+        hit = F.col("_y") == y
+        if y != years[-1]:
+            aggs.append(F.sum(F.when(hit, F.col("o_totalprice").cast("decimal(18,2)"))).alias(f"TOTAL_{y}"))
+        aggs.append(F.count(F.when(hit, 1)).alias(f"CNT_{y}"))
+        aggs.append(F.min(F.when(hit, F.col("o_orderpriority"))).alias(f"PRIO_GRADE_{y}"))
+    return o.groupBy("o_custkey").agg(*aggs)
+
+
+ORDERS_LAYOUT = WideLayout(indicators=("TOTAL", "CNT"), anchor="TOTAL", entity="o_custkey",
+                           period="ANO", group="FASE",
+                           group_sources=(("GRADE", "value"), ("PRIO_GRADE", "leading_int")),
+                           optional=())
+
+
+@query("wide_to_long")
+def q_wide_to_long(spark, sf):
+    """R1 + P3/P4: wide customer-year table back to long, one scan, anchor-less year skipped."""
+    return wide_to_long(orders_wide(read(spark, sf, "orders")), ORDERS_LAYOUT)
+
+
+# ---------------------------------------------------------------- missing data
+from panelrisk.operators.clean import (  # noqa: E402
+    drop_sparse_rows, impute_group_median, impute_mode, null_profile)
+
+
+def lineitem_with_gaps(spark, sf):
+    """Lineitem projection with value-driven missing cells (every row kept)."""
+    li = read(spark, sf, "lineitem")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_quantity") > 40, None).otherwise(F.col("l_quantity")).alias("qty"),
+        F.when(F.col("l_discount") < 0.03, None).otherwise(F.col("l_discount")).alias("disc"),
+        F.when(F.col("l_tax") > 0.05, None).otherwise(F.col("l_tax")).alias("tax"),
+        F.when(F.col("l_returnflag") == "N", None).otherwise(F.col("l_returnflag")).alias("flag"),
+        F.when(F.col("l_linestatus") == "O", None).otherwise(F.col("l_linestatus")).alias("status"),
+        F.when(F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz"), None)
+        .otherwise(F.col("l_shipdate")).alias("shipdate"))
+
+
+@query("sparse_rows")
+def q_sparse_rows(spark, sf):
+    """M1: keep rows with more than half of their 8 cells present."""
+    return drop_sparse_rows(lineitem_with_gaps(spark, sf))
+
+
+@query("null_profile")
+def q_null_profile(spark, sf):
+    """M6: missing cells per column."""
+    return null_profile(lineitem_with_gaps(spark, sf))
+
+
+def part_with_gaps(spark, sf):
+    p = read(spark, sf, "part")
+    return p.select(
+        "p_partkey",
+        F.when(F.col("p_size") <= 3, None).otherwise(F.col("p_brand")).alias("brand"),
+        F.when((F.col("p_brand") == "Brand#7") | F.col("p_size").between(40, 45), None)
+        .otherwise(F.col("p_retailprice")).alias("price"),
+        F.when(F.col("p_type") == "SMALL", None).otherwise(F.col("p_size").cast("double")).alias("size"))
+
+
+@query("group_median_impute")
+def q_group_median_impute(spark, sf):
+    """M2 + M3: null -> brand median; all-null brand / null brand -> global median after M2."""
+    out = impute_group_median(part_with_gaps(spark, sf), ["price", "size"], "brand")
+    return out.select("p_partkey", "brand", F.round("price", 6).alias("price"), F.round("size", 6).alias("size"))
+
+
+@query("mode_impute")
+def q_mode_impute(spark, sf):
+    """M5: null segment / nation -> most frequent value, ties to the smallest."""
+    c = read(spark, sf, "customer").select(
+        "c_custkey",
+        F.when(F.col("c_acctbal") < 0, None).otherwise(F.col("c_mktsegment")).alias("seg"),
+        F.when(F.col("c_acctbal") > 9000, None).otherwise(F.col("c_nationkey")).alias("nation"))
+    return impute_mode(c, ["seg", "nation"])
+
+
+# ---------------------------------------------------------------- labels
+from panelrisk.operators.label import class_weights, encode_label, label_distribution  # noqa: E402
+from panelrisk.spec import EDUCATION_TEXT_LABELS  # noqa: E402
+
+RULE = (("inde", 5.0), ("ian", 5.0))
+
+
+@query("label_derive")
+def q_label_derive(spark, sf):
+    """L1: no label column -> (inde < 5) OR (ian < 5); null comparisons count false."""
+    p = read(spark, sf, "part").select(
+        "p_partkey",
+        F.when(F.col("p_brand") == "Brand#3", None).otherwise(F.col("p_size") / 5.0).alias("inde"),
+        F.when(F.col("p_type") == "SMALL", None).otherwise(F.col("p_retailprice") / 200.0).alias("ian"))
+    return encode_label(p, "label", RULE, EDUCATION_TEXT_LABELS).select("p_partkey", "label")
+
+
+@query("label_text")
+def q_label_text(spark, sf):
+    """L2: text label mapped case-insensitively; unknown text -> derived by the rule."""
+    o = read(spark, sf, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderstatus") == "F", "Sim").when(F.col("o_orderstatus") == "O", "NÃO")
+        .otherwise("?").alias("label"),
+        (F.col("o_totalprice") / 50000.0).alias("inde"),
+        (F.substring("o_orderpriority", 1, 1).cast("double") * 2.0).alias("ian"))
+    return encode_label(o, "label", RULE, EDUCATION_TEXT_LABELS).select("o_orderkey", "label")
+
+
+@query("label_signed")
+def q_label_signed(spark, sf):
+    """L3 + L5: non-binary numeric label -> sign rule; null -> derived."""
+    c = read(spark, sf, "customer").select(
+        "c_custkey",
+        F.when(F.col("c_mktsegment") == "BUILDING", None).otherwise(F.col("c_acctbal")).alias("label"),
+        (F.col("c_nationkey") / 2.5).alias("inde"),
+        (F.col("c_acctbal") / 1000.0 + 5.0).alias("ian"))
+    return encode_label(c, "label", RULE, EDUCATION_TEXT_LABELS).select("c_custkey", "label")
+
+
+@query("label_binary")
+def q_label_binary(spark, sf):
+    """L3 + L4: binary label with gaps -> kept, gaps derived."""
+    lb = read(spark, sf, "labels").select(
+        "doc_id",
+        F.when(F.col("toxic") == 1, None).otherwise(F.col("quality")).alias("label"),
+        (F.col("quality") * 4.0 + F.col("toxic")).alias("inde"),
+        (F.col("toxic") * 6.0).alias("ian"))
+    return encode_label(lb, "label", RULE, EDUCATION_TEXT_LABELS).select("doc_id", "label")
+
+
+@query("label_distribution")
+def q_label_distribution(spark, sf):
+    """Class counts."""
+    return label_distribution(read(spark, sf, "labels"), "quality")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    """A4: balanced class weights and the negative/positive ratio."""
+    cw = class_weights(read(spark, sf, "labels"), "quality")
+    return cw.select("quality", "n", F.round("weight", 6).alias("weight"),
+                     F.round("imbalance_ratio", 6).alias("imbalance_ratio"))
