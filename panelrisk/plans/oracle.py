@@ -158,3 +158,86 @@ SELECT quality, n,
              / greatest((SELECT coalesce(sum(n) FILTER (WHERE quality = 1), 0) FROM d), 1), 6) AS imbalance_ratio
 FROM d
 """
+
+ORACLE["row_mean"] = _LI_GAPS + """
+SELECT l_orderkey, l_linenumber,
+       ROUND((0.0 + COALESCE(qty, 0.0) + COALESCE(disc, 0.0) + COALESCE(tax, 0.0))
+             / NULLIF((qty IS NOT NULL)::INT + (disc IS NOT NULL)::INT + (tax IS NOT NULL)::INT, 0), 6) AS row_mean
+FROM s
+"""
+
+ORACLE["gap"] = "SELECT l_orderkey, l_linenumber, ROUND(l_tax - l_discount, 6) AS gap FROM lineitem"
+
+ORACLE["interactions"] = """
+SELECT l_orderkey, l_linenumber, ROUND(l_quantity * l_discount, 6) AS qty_x_disc,
+       ROUND(l_extendedprice * l_tax, 6) AS price_x_tax FROM lineitem
+"""
+
+ORACLE["all_below_median"] = _LI_GAPS + """
+, m AS (SELECT median(qty) AS mq, median(disc) AS md, median(tax) AS mt FROM s)
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN qty < mq AND disc < md AND tax < mt THEN 1 ELSE 0 END AS below
+FROM s CROSS JOIN m
+"""
+
+ORACLE["panel_features"] = r"""
+WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS ANO FROM orders),
+c AS (SELECT DISTINCT o_custkey FROM orders),
+a AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS ANO,
+             SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS t, COUNT(*) AS n,
+             MAX(CASE WHEN o_totalprice <= 400000 THEN o_totalprice END) AS mx,
+             MIN(CASE WHEN NOT starts_with(o_orderpriority, '5') THEN o_orderpriority END) AS pr
+      FROM orders GROUP BY 1, 2),
+lng AS (
+  SELECT c.o_custkey AS O_CUSTKEY, y.ANO, CAST(a.t AS DOUBLE) / 1000.0 AS TOTAL,
+         CAST(COALESCE(a.n, 0) AS DOUBLE) AS CNT, a.mx AS MAXP,
+         TRY_CAST(regexp_extract(a.pr, '^(\d+)', 1) AS DOUBLE) AS FASE
+  FROM c CROSS JOIN y LEFT JOIN a ON a.o_custkey = c.o_custkey AND a.ANO = y.ANO),
+kept AS (
+  SELECT DISTINCT * FROM lng
+  WHERE 2 * (1 + 1 + (TOTAL IS NOT NULL)::INT + (CNT IS NOT NULL)::INT + (MAXP IS NOT NULL)::INT
+             + (FASE IS NOT NULL)::INT) > 6),
+g AS (SELECT FASE AS gf, median(TOTAL) AS gt, median(CNT) AS gc, median(MAXP) AS gm
+      FROM kept WHERE FASE IS NOT NULL GROUP BY FASE),
+s1 AS (SELECT O_CUSTKEY, ANO, COALESCE(TOTAL, gt) AS TOTAL, COALESCE(CNT, gc) AS CNT,
+              COALESCE(MAXP, gm) AS MAXP, FASE
+       FROM kept LEFT JOIN g ON kept.FASE = g.gf),
+am AS (SELECT median(TOTAL) AS a_t, median(CNT) AS a_c, median(MAXP) AS a_m FROM s1),
+s2 AS (SELECT O_CUSTKEY, ANO, COALESCE(TOTAL, a_t) AS TOTAL, COALESCE(CNT, a_c) AS CNT,
+              COALESCE(MAXP, a_m) AS MAXP, FASE FROM s1 CROSS JOIN am),
+mf AS (SELECT FASE AS mfase FROM s2 WHERE FASE IS NOT NULL GROUP BY FASE ORDER BY count(*) DESC, FASE LIMIT 1),
+s3 AS (SELECT O_CUSTKEY, ANO, TOTAL, CNT, MAXP, COALESCE(FASE, (SELECT mfase FROM mf)) AS FASE FROM s2),
+lab AS (SELECT *, CASE WHEN TOTAL < 500 OR CNT < 2 THEN 1 ELSE 0 END AS DEFASAGEM FROM s3),
+md AS (SELECT median(CNT) AS mc, median(MAXP) AS mm, median(TOTAL) AS mt FROM lab)
+SELECT O_CUSTKEY, ANO, ROUND(TOTAL, 6) AS TOTAL, ROUND(CNT, 6) AS CNT, ROUND(MAXP, 6) AS MAXP,
+       ROUND(FASE, 6) AS FASE,
+       ROUND((0.0 + COALESCE(TOTAL, 0.0) + COALESCE(MAXP, 0.0))
+             / NULLIF((TOTAL IS NOT NULL)::INT + (MAXP IS NOT NULL)::INT, 0), 6) AS PERF,
+       ROUND(TOTAL - MAXP, 6) AS GAP,
+       ROUND(COALESCE(TOTAL - LAG(TOTAL) OVER (PARTITION BY O_CUSTKEY ORDER BY ANO, TOTAL), 0.0), 6) AS EVOLUTION,
+       ROUND(TOTAL * FASE, 6) AS TOTAL_x_FASE,
+       DEFASAGEM,
+       CASE WHEN CNT < mc AND MAXP < mm AND TOTAL < mt THEN 1 ELSE 0 END AS BELOW
+FROM lab CROSS JOIN md
+"""
+
+ORACLE["stratified_split"] = """
+WITH r AS (SELECT doc_id, quality,
+                  row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rk,
+                  count(*) OVER (PARTITION BY quality) AS n
+           FROM labels)
+SELECT doc_id, quality, CASE WHEN rk <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS split FROM r
+"""
+
+ORACLE["stratified_folds"] = """
+WITH r AS (SELECT doc_id, quality,
+                  row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rk
+           FROM labels)
+SELECT doc_id, quality, CAST((rk - 1) % 5 AS INTEGER) AS fold FROM r
+"""
+
+ORACLE["exact_sample"] = """
+WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('99:' || CAST(c_custkey AS VARCHAR)), c_custkey) AS rk,
+                  count(*) OVER () AS n FROM customer)
+SELECT c_custkey FROM r WHERE rk <= round(0.3 * n)
+"""

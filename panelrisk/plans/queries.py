@@ -225,3 +225,103 @@ def q_class_weights(spark, sf):
     cw = class_weights(read(spark, sf, "labels"), "quality")
     return cw.select("quality", "n", F.round("weight", 6).alias("weight"),
                      F.round("imbalance_ratio", 6).alias("imbalance_ratio"))
+
+
+# ---------------------------------------------------------------- features
+from panelrisk.operators.features import add_all_below_median, add_gap, add_interactions, add_row_means  # noqa: E402
+
+
+@query("row_mean")
+def q_row_mean(spark, sf):
+    """null-skipping mean of quantity, discount and tax."""
+    s = add_row_means(lineitem_with_gaps(spark, sf), {"row_mean": ("qty", "disc", "tax")})
+    return s.select("l_orderkey", "l_linenumber", F.round("row_mean", 6).alias("row_mean"))
+
+
+@query("gap")
+def q_gap(spark, sf):
+    """tax minus discount."""
+    s = add_gap(read(spark, sf, "lineitem"), "l_tax", "l_discount", "gap")
+    return s.select("l_orderkey", "l_linenumber", F.round("gap", 6).alias("gap"))
+
+
+@query("interactions")
+def q_interactions(spark, sf):
+    """products of measure pairs."""
+    s = add_interactions(read(spark, sf, "lineitem"),
+                         [("l_quantity", "l_discount", "qty_x_disc"), ("l_extendedprice", "l_tax", "price_x_tax")])
+    return s.select("l_orderkey", "l_linenumber", F.round("qty_x_disc", 6).alias("qty_x_disc"),
+                    F.round("price_x_tax", 6).alias("price_x_tax"))
+
+
+@query("all_below_median")
+def q_all_below_median(spark, sf):
+    """every measure strictly below its column median (null -> not below)."""
+    s = add_all_below_median(lineitem_with_gaps(spark, sf), ["qty", "disc", "tax"], "below")
+    return s.select("l_orderkey", "l_linenumber", "below")
+
+
+# ---------------------------------------------------------------- flagship panel
+from panelrisk.operators.panel import WideLayout as _WL  # noqa: E402
+from panelrisk.plans.jobs import panel_features as _panel_features  # noqa: E402
+from panelrisk.spec import PanelSpec  # noqa: E402
+
+ORDERS_SPEC = PanelSpec(
+    entity_candidates=("O_CUSTKEY",), period="ANO", group="FASE",
+    indicators=("TOTAL", "CNT", "MAXP"), anchor="TOTAL", label="DEFASAGEM",
+    categoricals=("FASE", "ANO"), composites={"PERF": ("TOTAL", "MAXP")},
+    below_median=("CNT", "MAXP", "TOTAL"), below_name="BELOW", gap=("TOTAL", "MAXP"), gap_name="GAP",
+    label_rule=(("TOTAL", 500.0), ("CNT", 2.0)), lag_name="EVOLUTION", anchor_x_group="TOTAL_x_FASE")
+
+ORDERS_PANEL_LAYOUT = _WL(indicators=("TOTAL", "CNT", "MAXP"), anchor="TOTAL", entity="O_CUSTKEY",
+                          period="ANO", group="FASE", group_sources=(("PRIO_GRADE", "leading_int"),),
+                          optional=())
+
+
+def orders_wide_raw(orders):
+    """Raw yearly customer file: one row per customer, columns suffixed by year, some
+    cells missing (no orders that year, a max price above 400k, the lowest priority)."""
+    o = orders.withColumn("_y", F.year("o_orderdate"))
+    years = sorted(r[0] for r in o.select("_y").distinct().collect())
+    aggs = []
+    for y in years:
+        hit = F.col("_y") == y
+        aggs += [
+            (F.sum(F.when(hit, F.col("o_totalprice").cast("decimal(18,2)"))).cast("double") / 1000.0)
+            .alias(f"total_{y}"),
+            F.count(F.when(hit, 1)).alias(f"cnt {y}"),
+            F.max(F.when(hit & (F.col("o_totalprice") <= 400000), F.col("o_totalprice"))).alias(f"maxp_{y}"),
+            F.min(F.when(hit & ~F.col("o_orderpriority").startswith("5"), F.col("o_orderpriority")))
+            .alias(f"prio grade_{y}"),
+        ]
+    return o.groupBy("o_custkey").agg(*aggs)
+
+
+@query("panel_features")
+def q_panel_features(spark, sf):
+    """O1 + F7 flagship: raw wide yearly file -> long panel -> cleaned, labelled, featured."""
+    out = _panel_features(orders_wide_raw(read(spark, sf, "orders")), ORDERS_SPEC, ORDERS_PANEL_LAYOUT)
+    dbl = ["TOTAL", "CNT", "MAXP", "FASE", "PERF", "GAP", "EVOLUTION", "TOTAL_x_FASE"]
+    return out.select("O_CUSTKEY", "ANO", *[F.round(c, 6).alias(c) for c in dbl], "DEFASAGEM", "BELOW")
+
+
+# ---------------------------------------------------------------- splitting / sampling
+from panelrisk.operators.sampling import exact_sample, stratified_folds, stratified_split  # noqa: E402
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf):
+    """80/20 per-class split by seeded md5 order."""
+    return stratified_split(read(spark, sf, "labels").select("doc_id", "quality"), "quality", "doc_id")
+
+
+@query("stratified_folds")
+def q_stratified_folds(spark, sf):
+    """5 stratified folds by seeded md5 order."""
+    return stratified_folds(read(spark, sf, "labels").select("doc_id", "quality"), "quality", "doc_id")
+
+
+@query("exact_sample")
+def q_exact_sample(spark, sf):
+    """Exactly round(0.3 n) customers, seed 99."""
+    return exact_sample(read(spark, sf, "customer").select("c_custkey"), "c_custkey")
