@@ -241,3 +241,139 @@ WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('99:' || CAST(c_cus
                   count(*) OVER () AS n FROM customer)
 SELECT c_custkey FROM r WHERE rk <= round(0.3 * n)
 """
+
+_SCORED = """
+WITH s AS (
+  SELECT l.doc_id, l.quality AS label, least(1.0, d.n_chars / 5000.0) AS score,
+         CAST(least(1.0, d.n_chars / 5000.0) >= 0.5 AS INTEGER) AS prediction
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+cls AS (SELECT DISTINCT cls FROM (SELECT label AS cls FROM s UNION ALL SELECT prediction FROM s) WHERE cls IS NOT NULL),
+rep AS (
+  SELECT c.cls,
+         COALESCE(sum(CAST(s.label = c.cls AND s.prediction = c.cls AS INTEGER)), 0) AS tp,
+         COALESCE(sum(CAST(s.label = c.cls AS INTEGER)), 0) AS support,
+         COALESCE(sum(CAST(s.prediction = c.cls AS INTEGER)), 0) AS n_pred
+  FROM cls c CROSS JOIN s GROUP BY c.cls),
+rep2 AS (
+  SELECT cls, support,
+         CASE WHEN n_pred = 0 THEN 0.0 ELSE tp::DOUBLE / n_pred END AS precision,
+         CASE WHEN support = 0 THEN 0.0 ELSE tp::DOUBLE / support END AS recall
+  FROM rep),
+rep3 AS (
+  SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1
+  FROM rep2),
+summ AS (
+  SELECT avg(f1) AS f1_macro, sum(f1 * support) / sum(support)::DOUBLE AS f1_weighted,
+         avg(precision) AS precision_macro, avg(recall) AS recall_macro,
+         COALESCE(max(CASE WHEN cls = 1 THEN recall END), 0.0) AS recall_positiva,
+         (SELECT avg(CAST(label = prediction AS DOUBLE)) FROM s) AS accuracy
+  FROM rep3),
+g AS (SELECT score, sum(CAST(label = 1 AS INTEGER)) AS pos, sum(CAST(label <> 1 AS INTEGER)) AS neg FROM s GROUP BY score),
+auc AS (
+  SELECT sum(pos * (neg_below + 0.5 * neg)) / NULLIF(sum(pos) * sum(neg), 0) AS roc_auc
+  FROM (SELECT *, COALESCE(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                  AS neg_below FROM g))
+"""
+
+ORACLE["confusion_matrix"] = _SCORED + """
+SELECT a.cls AS actual, p.cls AS predicted,
+       (SELECT count(*) FROM s WHERE s.label = a.cls AND s.prediction = p.cls) AS n
+FROM cls a CROSS JOIN cls p
+"""
+
+ORACLE["class_report"] = _SCORED + """
+SELECT cls, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall, support, ROUND(f1, 6) AS f1 FROM rep3
+"""
+
+ORACLE["macro_metrics"] = _SCORED + """
+SELECT ROUND(f1_macro, 6) AS f1_macro, ROUND(f1_weighted, 6) AS f1_weighted,
+       ROUND(precision_macro, 6) AS precision_macro, ROUND(recall_macro, 6) AS recall_macro,
+       ROUND(recall_positiva, 6) AS recall_positiva, ROUND(accuracy, 6) AS accuracy
+FROM summ
+"""
+
+ORACLE["roc_auc"] = _SCORED + "SELECT ROUND(roc_auc, 6) AS roc_auc FROM auc"
+
+ORACLE["roc_curve"] = _SCORED + """
+SELECT ROUND(score, 6) AS threshold,
+       ROUND(sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             / (SELECT sum(neg) FROM g)::DOUBLE, 6) AS fpr,
+       ROUND(sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             / (SELECT sum(pos) FROM g)::DOUBLE, 6) AS tpr
+FROM g
+"""
+
+ORACLE["release_gates"] = _SCORED + """
+, m AS (SELECT 'f1_macro' AS metric, f1_macro AS value FROM summ
+        UNION ALL SELECT 'roc_auc', roc_auc FROM auc
+        UNION ALL SELECT 'recall_positiva', recall_positiva FROM summ),
+gt AS (SELECT * FROM (VALUES ('f1_macro', 0.70), ('roc_auc', 0.75), ('recall_positiva', 0.65)) t(metric, threshold)),
+per AS (SELECT gt.metric, COALESCE(m.value, 0.0) AS value, gt.threshold::DOUBLE AS threshold,
+               COALESCE(m.value, 0.0) >= gt.threshold AS passed
+        FROM gt LEFT JOIN m ON gt.metric = m.metric)
+SELECT metric, ROUND(value, 6) AS value, ROUND(threshold, 6) AS threshold, passed FROM per
+UNION ALL SELECT 'all', NULL, NULL, bool_and(passed) FROM per
+"""
+
+_REQ = """
+WITH r AS (
+  SELECT event_id,
+         CASE WHEN event_type = 'signup' THEN NULL ELSE value / 40.0 END AS inde,
+         CAST(json_extract_string(props, '$.k') AS DOUBLE) / 9.0 AS ian,
+         CAST(trunc(hour(ts) / 2) AS INTEGER) AS fase,
+         CAST(year(ts) + trunc(value / 100) AS INTEGER) AS ano
+  FROM events),
+v AS (
+  SELECT event_id, concat_ws(';',
+     CASE WHEN inde IS NULL THEN 'inde: required' END, CASE WHEN inde < 0 THEN 'inde: below 0' END,
+     CASE WHEN inde > 10 THEN 'inde: above 10' END,
+     CASE WHEN ian IS NULL THEN 'ian: required' END, CASE WHEN ian < 0 THEN 'ian: below 0' END,
+     CASE WHEN ian > 10 THEN 'ian: above 10' END,
+     CASE WHEN fase IS NULL THEN 'fase: required' END, CASE WHEN fase < 0 THEN 'fase: below 0' END,
+     CASE WHEN fase > 8 THEN 'fase: above 8' END,
+     CASE WHEN ano IS NULL THEN 'ano: required' END, CASE WHEN ano < 2020 THEN 'ano: below 2020' END,
+     CASE WHEN ano > 2030 THEN 'ano: above 2030' END) AS errors
+  FROM r)
+"""
+
+ORACLE["validate_input"] = _REQ + "SELECT event_id, errors = '' AS valid, errors FROM v"
+
+ORACLE["quarantine"] = _REQ + """
+SELECT event_id, CAST(len(string_split(errors, ';')) AS INTEGER) AS n_errors, errors FROM v WHERE errors <> ''
+"""
+
+ORACLE["risk_tier"] = _SCORED + """
+SELECT doc_id, CASE WHEN score < 0.40 THEN 'baixo' WHEN score <= 0.70 THEN 'medio' ELSE 'alto' END AS nivel_risco,
+       score >= 0.5 AS risco
+FROM s
+"""
+
+ORACLE["score_record"] = _SCORED + """
+SELECT CAST(doc_id AS VARCHAR) AS student_id, score >= 0.5 AS risco_defasagem, ROUND(score, 4) AS probabilidade,
+       CASE WHEN score < 0.40 THEN 'baixo' WHEN score <= 0.70 THEN 'medio' ELSE 'alto' END AS nivel_risco,
+       '1.0.0' AS modelo_versao
+FROM s
+"""
+
+_LOG = """
+WITH lg AS (
+  SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, CAST(user_id AS VARCHAR) AS student_id, event_id,
+         CAST(value >= 250 AS INTEGER) AS risco_defasagem, ROUND(least(1.0, value / 500.0), 4) AS probabilidade,
+         CASE event_type WHEN 'error' THEN 'alto' WHEN 'purchase' THEN 'medio' WHEN 'view' THEN NULL
+                         ELSE 'baixo' END AS nivel_risco
+  FROM events),
+su AS (
+  SELECT count(*) AS total, count(*) FILTER (WHERE nivel_risco IS NOT DISTINCT FROM 'alto') AS alto,
+         count(*) FILTER (WHERE nivel_risco IS DISTINCT FROM 'alto') AS baixo_medio,
+         max(NULLIF(timestamp, '')) AS ultima
+  FROM lg)
+"""
+
+ORACLE["log_summary"] = _LOG + "SELECT * FROM su"
+
+ORACLE["kpis"] = _LOG + """
+SELECT total AS total_predicoes, alto AS predicoes_alto_risco, ROUND(alto / NULLIF(total, 0)::DOUBLE, 6) AS taxa_risco,
+       ultima AS ultima_predicao FROM su
+"""
+
+ORACLE["recent_predictions"] = _LOG + "SELECT * FROM lg ORDER BY timestamp DESC NULLS LAST, event_id DESC LIMIT 50"

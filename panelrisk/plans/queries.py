@@ -325,3 +325,140 @@ def q_stratified_folds(spark, sf):
 def q_exact_sample(spark, sf):
     """Exactly round(0.3 n) customers, seed 99."""
     return exact_sample(read(spark, sf, "customer").select("c_custkey"), "c_custkey")
+
+
+# ---------------------------------------------------------------- evaluation
+from panelrisk.operators import metrics as M  # noqa: E402
+
+
+def scored_docs(spark, sf):
+    """Predictions to evaluate: labelled documents, score = min(1, n_chars / 5000)."""
+    lab = read(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    doc = read(spark, sf, "documents").select("doc_id", "n_chars")
+    j = lab.join(doc, "doc_id")
+    score = F.least(F.lit(1.0), F.col("n_chars") / F.lit(5000.0))
+    return j.select("doc_id", "label", score.alias("score"),
+                    (score >= 0.5).cast("int").alias("prediction"))
+
+
+def _r6(df, keep=()):
+    return df.select(*[F.round(c, 6).alias(c) if c not in keep and dict(df.dtypes)[c] == "double"
+                       else F.col(c) for c in df.columns])
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    """Dense confusion counts."""
+    return M.confusion_matrix(scored_docs(spark, sf))
+
+
+@query("class_report")
+def q_class_report(spark, sf):
+    """Per-class precision / recall / F1 / support."""
+    return _r6(M.class_report(scored_docs(spark, sf)))
+
+
+@query("macro_metrics")
+def q_macro_metrics(spark, sf):
+    """E3 + E4: macro and weighted averages, accuracy, positive recall."""
+    return _r6(M.summary_metrics(scored_docs(spark, sf)))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf):
+    """E5: exact AUC with tied scores averaged."""
+    return _r6(M.roc_auc(scored_docs(spark, sf)))
+
+
+@query("roc_curve")
+def q_roc_curve(spark, sf):
+    """One ROC point per distinct threshold."""
+    return _r6(M.roc_curve(scored_docs(spark, sf)))
+
+
+@query("release_gates")
+def q_release_gates(spark, sf):
+    """E7 + O2: metric set -> inclusive release gates and the overall verdict."""
+    return _r6(M.release_gates(M.evaluate(scored_docs(spark, sf))))
+
+
+# ---------------------------------------------------------------- scoring
+from panelrisk.operators.scoring import Rule, score_records, validate_requests  # noqa: E402
+from panelrisk.functions.columns import risk_tier  # noqa: E402
+
+EVENT_CONTRACT = (Rule("inde", 0.0, 10.0), Rule("ian", 0.0, 10.0), Rule("fase", 0, 8), Rule("ano", 2020, 2030))
+
+
+def event_requests(spark, sf):
+    e = read(spark, sf, "events")
+    return e.select(
+        "event_id",
+        F.when(F.col("event_type") == "signup", None).otherwise(F.col("value") / 40.0).alias("inde"),
+        (F.get_json_object("props", "$.k").cast("double") / 9.0).alias("ian"),
+        (F.hour("ts") / 2).cast("int").alias("fase"),
+        (F.year("ts") + (F.col("value") / 100).cast("int")).alias("ano"))
+
+
+@query("validate_input")
+def q_validate_input(spark, sf):
+    """Contract check; violations listed in rule order."""
+    v = validate_requests(event_requests(spark, sf), EVENT_CONTRACT)
+    return v.select("event_id", "valid", F.array_join("errors", ";").alias("errors"))
+
+
+@query("quarantine")
+def q_quarantine(spark, sf):
+    """The rejected requests with their messages."""
+    v = validate_requests(event_requests(spark, sf), EVENT_CONTRACT)
+    return v.where(~F.col("valid")).select("event_id", F.size("errors").alias("n_errors"),
+                                           F.array_join("errors", ";").alias("errors"))
+
+
+@query("risk_tier")
+def q_risk_tier(spark, sf):
+    """C2 + C3: tier on the unrounded probability and the 0.5 decision."""
+    s = scored_docs(spark, sf)
+    return s.select("doc_id", risk_tier("score").alias("nivel_risco"), (F.col("score") >= 0.5).alias("risco"))
+
+
+@query("score_record")
+def q_score_record(spark, sf):
+    """C4 + C5: the response record (timestamp left out: wall clock)."""
+    s = scored_docs(spark, sf).withColumn("student_id", F.col("doc_id").cast("string"))
+    return score_records(s, prob="score").drop("timestamp")
+
+
+# ---------------------------------------------------------------- prediction log
+from panelrisk.operators.monitor import kpis, log_summary, recent_predictions  # noqa: E402
+
+
+def events_log(spark, sf):
+    """The events table read as a prediction log (levels from the event type)."""
+    e = read(spark, sf, "events")
+    level = (F.when(F.col("event_type") == "error", "alto").when(F.col("event_type") == "purchase", "medio")
+             .when(F.col("event_type") == "view", None).otherwise("baixo"))
+    return e.select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+        F.col("user_id").cast("string").alias("student_id"), "event_id",
+        (F.col("value") >= 250).cast("int").alias("risco_defasagem"),
+        F.round(F.least(F.lit(1.0), F.col("value") / 500.0), 4).alias("probabilidade"),
+        level.alias("nivel_risco"))
+
+
+@query("log_summary")
+def q_log_summary(spark, sf):
+    """Totals by level and the latest timestamp."""
+    return log_summary(events_log(spark, sf))
+
+
+@query("kpis")
+def q_kpis(spark, sf):
+    """Dashboard KPIs."""
+    k = kpis(log_summary(events_log(spark, sf)))
+    return k.withColumn("taxa_risco", F.round("taxa_risco", 6))
+
+
+@query("recent_predictions")
+def q_recent_predictions(spark, sf):
+    """U4: the 50 newest log rows (the limit is the feature)."""
+    return recent_predictions(events_log(spark, sf), 50, tie="event_id")
