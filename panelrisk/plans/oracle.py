@@ -377,3 +377,71 @@ SELECT total AS total_predicoes, alto AS predicoes_alto_risco, ROUND(alto / NULL
 """
 
 ORACLE["recent_predictions"] = _LOG + "SELECT * FROM lg ORDER BY timestamp DESC NULLS LAST, event_id DESC LIMIT 50"
+
+_NUM_DRIFT = """
+WITH src AS (
+  SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'r' ELSE 'c' END AS side,
+         l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem),
+lng AS (UNPIVOT src ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME "column" VALUE v),
+cnt AS (SELECT "column", v, count(*) FILTER (WHERE side = 'r') AS nr, count(*) FILTER (WHERE side = 'c') AS nc
+        FROM lng GROUP BY 1, 2),
+tot AS (SELECT "column", sum(nr) AS tr, sum(nc) AS tc FROM cnt GROUP BY 1),
+sd AS (SELECT "column", stddev_pop(v) AS sd FROM lng WHERE side = 'r' GROUP BY 1),
+cum AS (SELECT cnt.*, tot.tr, tot.tc,
+               sum(nr) OVER w / tot.tr::DOUBLE AS fr, sum(nc) OVER w / tot.tc::DOUBLE AS fc,
+               lead(v) OVER w2 AS v_next
+        FROM cnt JOIN tot USING ("column")
+        WINDOW w AS (PARTITION BY "column" ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+               w2 AS (PARTITION BY "column" ORDER BY v)),
+per AS (SELECT "column", any_value(tr) AS n_ref, any_value(tc) AS n_cur, max(abs(fr - fc)) AS ks_stat,
+               sum(abs(fr - fc) * COALESCE(v_next - v, 0)) AS w1
+        FROM cum GROUP BY 1),
+pv AS (SELECT per.*, sd.sd,
+              (sqrt(n_ref * n_cur / (n_ref + n_cur)::DOUBLE) + 0.12
+               + 0.11 / sqrt(n_ref * n_cur / (n_ref + n_cur)::DOUBLE)) * ks_stat AS lam
+       FROM per LEFT JOIN sd USING ("column")),
+fin AS (SELECT "column", n_ref, n_cur, ks_stat,
+               CASE WHEN lam < 0.3 THEN 1.0 ELSE least(1.0, greatest(0.0,
+                 (SELECT sum(2.0 * pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) t(k))))
+               END AS p_value,
+               w1 / NULLIF(sd, 0.0) AS wasserstein_norm
+        FROM pv),
+num AS (SELECT *, CASE WHEN n_ref > 1000 THEN COALESCE(wasserstein_norm >= 0.1, FALSE) ELSE p_value < 0.05 END
+                  AS drifted FROM fin)
+"""
+
+_CAT_DRIFT = """
+, esrc AS (SELECT CASE WHEN dayofmonth(ts) <= 15 THEN 'r' ELSE 'c' END AS side, event_type,
+                  CAST(CAST(trunc(hour(ts) / 6) AS INTEGER) AS VARCHAR) AS hour_band FROM events),
+elng AS (UNPIVOT esrc ON event_type, hour_band INTO NAME "column" VALUE v),
+ecnt AS (SELECT "column", v, count(*) FILTER (WHERE side = 'r') AS nr, count(*) FILTER (WHERE side = 'c') AS nc
+         FROM elng GROUP BY 1, 2),
+etot AS (SELECT "column", sum(nr) AS tr, sum(nc) AS tc FROM ecnt GROUP BY 1),
+esh AS (SELECT ecnt."column", nr / tr::DOUBLE AS p, nc / tc::DOUBLE AS q FROM ecnt JOIN etot USING ("column")),
+cat AS (
+  SELECT "column", count(*) AS n_categories,
+         sqrt(greatest(0.5 * sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END)
+                     + 0.5 * sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END), 0.0)) AS js_distance,
+         sum((greatest(q, 0.0001) - greatest(p, 0.0001)) * ln(greatest(q, 0.0001) / greatest(p, 0.0001))) AS psi
+  FROM esh GROUP BY 1),
+catd AS (SELECT *, js_distance >= 0.1 AS drifted FROM cat)
+"""
+
+ORACLE["drift_numeric"] = _NUM_DRIFT + """
+SELECT "column", n_ref, n_cur, ROUND(ks_stat, 6) AS ks_stat, ROUND(p_value, 6) AS p_value,
+       ROUND(wasserstein_norm, 6) AS wasserstein_norm, drifted FROM num
+"""
+
+ORACLE["drift_categorical"] = _NUM_DRIFT + _CAT_DRIFT + """
+SELECT "column", n_categories, ROUND(js_distance, 6) AS js_distance, ROUND(psi, 6) AS psi, drifted FROM catd
+"""
+
+ORACLE["drift_summary"] = _NUM_DRIFT + _CAT_DRIFT + """
+, allc AS (SELECT "column", drifted FROM num UNION ALL SELECT "column", drifted FROM catd)
+SELECT COALESCE(ROUND(count(*) FILTER (WHERE drifted) / NULLIF(count(*), 0)::DOUBLE, 4), 0.0) AS drift_score,
+       COALESCE(string_agg("column", ',' ORDER BY "column") FILTER (WHERE drifted), '') AS drifted_features,
+       count(*) AS n_columns,
+       COALESCE(ROUND(count(*) FILTER (WHERE drifted) / NULLIF(count(*), 0)::DOUBLE, 4), 0.0) > 0.15
+         AS drift_detected
+FROM allc
+"""

@@ -462,3 +462,53 @@ def q_kpis(spark, sf):
 def q_recent_predictions(spark, sf):
     """U4: the 50 newest log rows (the limit is the feature)."""
     return recent_predictions(events_log(spark, sf), 50, tie="event_id")
+
+
+# ---------------------------------------------------------------- drift
+from panelrisk.operators.drift import categorical_drift, drift_summary, numeric_drift  # noqa: E402
+
+LI_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def lineitem_halves(spark, sf):
+    li = read(spark, sf, "lineitem")
+    cut = F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")
+    return li.where(cut), li.where(~cut)
+
+
+def events_halves(spark, sf):
+    e = read(spark, sf, "events").select("event_type", (F.hour("ts") / 6).cast("int").cast("string").alias("hour_band"),
+                                         F.dayofmonth("ts").alias("_d"))
+    return e.where(F.col("_d") <= 15), e.where(F.col("_d") > 15)
+
+
+def _numeric_drift(spark, sf):
+    ref, cur = lineitem_halves(spark, sf)
+    return numeric_drift(ref, cur, LI_MEASURES)
+
+
+def _categorical_drift(spark, sf):
+    ref, cur = events_halves(spark, sf)
+    return categorical_drift(ref, cur, ["event_type", "hour_band"])
+
+
+@query("drift_numeric")
+def q_drift_numeric(spark, sf):
+    """K1: KS and normalised Wasserstein per lineitem measure, shipped before vs after 1998."""
+    return _r6(_numeric_drift(spark, sf))
+
+
+@query("drift_categorical")
+def q_drift_categorical(spark, sf):
+    """K2: Jensen-Shannon and PSI per event attribute, first vs second half of the month."""
+    return _r6(_categorical_drift(spark, sf))
+
+
+@query("drift_summary")
+def q_drift_summary(spark, sf):
+    """K3 + K4: share of drifted columns over both checks and the alert flag."""
+    cols = ["column", "drifted"]
+    both = _numeric_drift(spark, sf).select(*cols).unionByName(_categorical_drift(spark, sf).select(*cols))
+    s = drift_summary(both)
+    return s.select("drift_score", F.array_join("drifted_features", ",").alias("drifted_features"),
+                    "n_columns", "drift_detected")
