@@ -445,3 +445,22 @@ SELECT COALESCE(ROUND(count(*) FILTER (WHERE drifted) / NULLIF(count(*), 0)::DOU
          AS drift_detected
 FROM allc
 """
+
+ORACLE["standardize"] = """
+WITH s AS (SELECT avg(p_retailprice) AS m1, stddev_pop(p_retailprice) AS s1,
+                  avg(CAST(p_size AS DOUBLE)) AS m2, stddev_pop(CAST(p_size AS DOUBLE)) AS s2 FROM part)
+SELECT p_partkey,
+       ROUND(CASE WHEN s1 = 0 THEN 0.0 ELSE (p_retailprice - m1) / s1 END, 6) AS p_retailprice_std,
+       ROUND(CASE WHEN s2 = 0 THEN 0.0 ELSE (p_size - m2) / s2 END, 6) AS p_size_std
+FROM part CROSS JOIN s
+"""
+
+ORACLE["one_hot"] = """
+SELECT c_custkey,
+       CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS seg_AUTOMOBILE,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS seg_BUILDING,
+       CASE WHEN c_mktsegment = 'FURNITURE' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS seg_FURNITURE,
+       CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS seg_HOUSEHOLD,
+       CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS seg_MACHINERY
+FROM customer
+"""

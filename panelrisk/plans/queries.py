@@ -512,3 +512,97 @@ def q_drift_summary(spark, sf):
     s = drift_summary(both)
     return s.select("drift_score", F.array_join("drifted_features", ",").alias("drifted_features"),
                     "n_columns", "drift_detected")
+
+
+# ---------------------------------------------------------------- modelling
+from panelrisk.operators import model as ML  # noqa: E402
+
+
+@query("standardize")
+def q_standardize(spark, sf):
+    """A1: population-std scaling of part price and size."""
+    p = read(spark, sf, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
+    s = ML.standardize(p, ["p_retailprice", "p_size"])
+    return s.select("p_partkey", F.round("p_retailprice_std", 6).alias("p_retailprice_std"),
+                    F.round("p_size_std", 6).alias("p_size_std"))
+
+
+@query("one_hot")
+def q_one_hot(spark, sf):
+    """A2: one indicator column per market segment (sorted), unknown -> zeros."""
+    c = read(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return ML.one_hot(c, "c_mktsegment", "seg").drop("c_mktsegment")
+
+
+USER_NUMERIC = ["n_events", "total_value", "max_value", "n_purchase", "n_view", "day"]
+USER_CATEGORICAL = ["top_type"]
+
+
+def user_day_panel(spark, sf):
+    """Entity x period panel from events: one row per (user, day); label = error share > 25%."""
+    e = read(spark, sf, "events").withColumn("day", F.dayofmonth("ts"))
+    g = e.groupBy("user_id", "day").agg(
+        F.count(F.lit(1)).cast("double").alias("n_events"),
+        F.sum("value").alias("total_value"), F.max("value").alias("max_value"),
+        F.count_if(F.col("event_type") == "purchase").cast("double").alias("n_purchase"),
+        F.count_if(F.col("event_type") == "view").cast("double").alias("n_view"),
+        F.count_if(F.col("event_type") == "error").alias("_err"),
+        F.max_by("event_type", "value").alias("top_type"))
+    lab = (F.col("_err") / F.col("n_events") > 0.25).cast("int")
+    return g.withColumn("label", lab).withColumn("uid", F.concat_ws("-", "user_id", "day")).drop("_err") \
+        .withColumn("day", F.col("day").cast("double"))
+
+
+def _folds(spark, sf):
+    from panelrisk.operators.sampling import stratified_folds
+    return stratified_folds(user_day_panel(spark, sf), "label", "uid", k=5)
+
+
+SMALL_FOREST = dict(num_trees=20, max_depth=5)
+
+
+@query("train_score")
+def q_train_score(spark, sf):
+    """A8 + A12 + C2/C3: train on the 80% split, score the 20% hold-out."""
+    from panelrisk.operators.sampling import split_frames, stratified_split
+    split = stratified_split(user_day_panel(spark, sf), "label", "uid")
+    tr, te = split_frames(split)
+    model = ML.train(tr, "label", USER_NUMERIC, USER_CATEGORICAL, ML.random_forest("label", **SMALL_FOREST))
+    scored = ML.with_probability(model.transform(te))
+    return scored.select("uid", "label", F.col("prediction").cast("int").alias("prediction"),
+                         F.round(ML.PROB1, 4).alias("probabilidade"), risk_tier(ML.PROB1).alias("nivel_risco"))
+
+
+@query("cv_scores")
+def q_cv_scores(spark, sf):
+    """5-fold stratified CV of the default forest: mean / population std per metric."""
+    out = ML.cross_validate(_folds(spark, sf), "label", USER_NUMERIC, USER_CATEGORICAL,
+                            classifier_factory=lambda: ML.random_forest("label", **SMALL_FOREST))
+    return _r6(out)
+
+
+@query("model_compare")
+def q_model_compare(spark, sf):
+    """Forest vs two boosted-tree configurations, best macro F1 selected."""
+    cands = [ML.Candidate("RandomForestClassifier", lambda: ML.random_forest("label", **SMALL_FOREST)),
+             ML.Candidate("GBTClassifier", lambda: ML.boosted_trees("label", max_iter=10, max_depth=4)),
+             ML.Candidate("GBTClassifierSubsampled",
+                          lambda: ML.boosted_trees("label", max_iter=10, max_depth=3, subsample=0.8))]
+    return _r6(ML.compare_models(_folds(spark, sf), "label", USER_NUMERIC, USER_CATEGORICAL, cands))
+
+
+@query("tune")
+def q_tune(spark, sf):
+    """A10: random search (3 points here) over the forest grid, 3 folds."""
+    from panelrisk.operators.sampling import stratified_folds
+    data = stratified_folds(user_day_panel(spark, sf), "label", "uid", k=3)
+    grid = {"num_trees": [10, 20], "max_depth": [3, 5], "min_instances": [1, 2]}
+    return _r6(ML.tune(data, "label", USER_NUMERIC, USER_CATEGORICAL, grid, n_iter=3))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    """Top-20 importances of the trained forest, named by vector slot."""
+    data = user_day_panel(spark, sf)
+    model = ML.train(data, "label", USER_NUMERIC, USER_CATEGORICAL, ML.random_forest("label", **SMALL_FOREST))
+    return _r6(ML.feature_importance(model, model.transform(data.limit(1))))
