@@ -464,3 +464,30 @@ SELECT c_custkey,
        CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS seg_MACHINERY
 FROM customer
 """
+
+ORACLE["csv_roundtrip"] = """
+SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_acctbal < 0 THEN 'Não' ELSE 'Sim' END AS em_risco FROM customer
+"""
+
+ORACLE["jsonl_lenient"] = _LOG + "SELECT * FROM lg"
+
+ORACLE["registry_latest"] = """
+WITH r AS (SELECT 'v' || CAST(year(o_orderdate) AS VARCHAR) AS version, max(o_orderdate) AS trained_at,
+                  'RandomForestClassifier' AS algorithm, count(*) AS n_rows
+           FROM orders GROUP BY year(o_orderdate))
+SELECT * FROM r ORDER BY trained_at DESC LIMIT 1
+"""
+
+ORACLE["stream_score"] = _REQ + """
+, sc AS (SELECT r.event_id, v.errors = '' AS valid, least(1.0, e.value / 500.0) AS p
+         FROM r JOIN v ON r.event_id = v.event_id JOIN events e ON e.event_id = r.event_id)
+SELECT event_id, valid, ROUND(p, 4) AS probabilidade,
+       CASE WHEN valid THEN CASE WHEN p < 0.40 THEN 'baixo' WHEN p <= 0.70 THEN 'medio' ELSE 'alto' END END
+         AS nivel_risco
+FROM sc
+"""
+
+ORACLE["stream_counters"] = _LOG + """
+SELECT COALESCE(nivel_risco, '(none)') AS nivel_risco, count(*) AS n, max(NULLIF(timestamp, '')) AS ultima
+FROM lg GROUP BY 1
+"""

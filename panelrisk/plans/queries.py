@@ -606,3 +606,79 @@ def q_feature_importance(spark, sf):
     data = user_day_panel(spark, sf)
     model = ML.train(data, "label", USER_NUMERIC, USER_CATEGORICAL, ML.random_forest("label", **SMALL_FOREST))
     return _r6(ML.feature_importance(model, model.transform(data.limit(1))))
+
+
+# ---------------------------------------------------------------- sources, registry, streams
+
+from pyspark.sql import types as T  # noqa: E402
+
+from panelrisk.session import scratch_path  # noqa: E402
+from panelrisk.sources.files import PREDICTION_LOG_SCHEMA, load_csv, read_jsonl, write_csv  # noqa: E402
+from panelrisk.sources.registry import latest  # noqa: E402
+from panelrisk.streaming.score_stream import counters_stream, counters_view, score_stream  # noqa: E402
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    """Customers written as ';' Latin-1 CSV (with accented text) and read back through
+    the encoding check."""
+    c = read(spark, sf, "customer").select(
+        "c_custkey", "c_name", "c_acctbal",
+        F.when(F.col("c_acctbal") < 0, "Não").otherwise("Sim").alias("em_risco"))
+    path = scratch_path(spark, "csv")
+    write_csv(c, path, sep=";", encoding="ISO-8859-1")
+    back = load_csv(spark, path, sep=";",
+                    schema="c_custkey long, c_name string, c_acctbal double, em_risco string")
+    return back
+
+
+@query("jsonl_lenient")
+def q_jsonl_lenient(spark, sf):
+    """Prediction log as JSON lines plus a broken and a blank line; bad lines skipped."""
+    log = events_log(spark, sf)
+    lines = log.select(F.to_json(F.struct(*log.columns)).alias("value"))
+    junk = spark.range(2).select(F.when(F.col("id") == 0, F.lit("{not json")).otherwise(F.lit("")).alias("value"))
+    path = scratch_path(spark, "jsonl")
+    lines.unionByName(junk).write.mode("overwrite").text(path)
+    return read_jsonl(spark, path, PREDICTION_LOG_SCHEMA)
+
+
+@query("registry_latest")
+def q_registry_latest(spark, sf):
+    """S8 + S9: one run record per order year appended to a registry table; latest wins."""
+    o = read(spark, sf, "orders")
+    runs = o.groupBy(F.year("o_orderdate").alias("y")).agg(
+        F.max("o_orderdate").cast("timestamp").alias("trained_at"), F.count(F.lit(1)).alias("n_rows"))
+    runs = runs.select(F.concat(F.lit("v"), F.col("y").cast("string")).alias("version"), "trained_at",
+                       F.lit("RandomForestClassifier").alias("algorithm"), "n_rows")
+    path = scratch_path(spark, "registry")
+    runs.write.mode("append").parquet(path)
+    return latest(spark.read.parquet(path)).select("version", F.col("trained_at").cast("timestamp_ntz")
+                                                   .alias("trained_at"), "algorithm", "n_rows")
+
+
+REQUEST_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("inde", T.DoubleType()),
+                               T.StructField("ian", T.DoubleType()), T.StructField("fase", T.IntegerType()),
+                               T.StructField("ano", T.IntegerType()), T.StructField("value", T.DoubleType())])
+
+
+@query("stream_score")
+def q_stream_score(spark, sf):
+    """Requests land as JSON files; a streaming job validates and scores them."""
+    req = event_requests(spark, sf).join(read(spark, sf, "events").select("event_id", "value"), "event_id")
+    src, sink, ck = (scratch_path(spark, n) for n in ("req", "scored", "ck-score"))
+    req.write.mode("overwrite").json(src)
+    score_stream(spark, src, REQUEST_SCHEMA, EVENT_CONTRACT,
+                 F.least(F.lit(1.0), F.col("value") / 500.0), sink, ck)
+    return spark.read.parquet(sink)
+
+
+@query("stream_counters")
+def q_stream_counters(spark, sf):
+    """Running counters over a streamed prediction log."""
+    src, table, ck = (scratch_path(spark, n) for n in ("log", "counters", "ck-count"))
+    events_log(spark, sf).write.mode("overwrite").json(src)
+    counters_stream(spark, src, PREDICTION_LOG_SCHEMA, table, ck)
+    return spark.read.parquet(table)
+
+
