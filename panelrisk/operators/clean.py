@@ -99,15 +99,22 @@ def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def handle_missing_values(df: DataFrame, indicators: Sequence[str], group: str | None,
-                          categoricals: Sequence[str], null_group: str = "keep") -> DataFrame:
-    """M7: sparse-row filter -> group (or global) median -> mode."""
-    out = drop_sparse_rows(nan_to_null(df))
+                          categoricals: Sequence[str], null_group: str = "keep",
+                          cut_lineage: bool = True) -> DataFrame:
+    """M7: sparse-row filter -> group (or global) median -> mode.
+
+    With ``cut_lineage`` the filtered input and the median-filled frame are
+    checkpointed: each feeds several statistics jobs.
+    """
+    from panelrisk.session import materialize
+    keep = materialize if cut_lineage else (lambda x: x)
+    out = keep(drop_sparse_rows(nan_to_null(df)))
     num = [c for c in indicators if c in out.columns]
     if group and group in out.columns and num:
         out = impute_group_median(out, num, group, null_group)
     elif num:
         out = impute_global_median(out, num)
-    return impute_mode(out, [c for c in categoricals if c in out.columns])
+    return impute_mode(keep(out), [c for c in categoricals if c in out.columns])
 
 
 class PanelImputer:

@@ -107,12 +107,13 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Col
 
 def running_sums(df: DataFrame, segment: Sequence[str], order: Sequence[str | Column],
                  sums: Mapping[str, Column], bucket: str = BUCKET,
-                 exclusive: bool = False) -> DataFrame:
+                 exclusive: bool = False, totals: bool = False) -> DataFrame:
     """Running sums within ``segment`` ordered by ``order`` (must be unique in segment).
 
     ``df`` must carry an ordered ``bucket`` column (see ``range_bucket`` /
     ``hash_prefix_bucket``) that is monotone in (segment, order).  Inclusive by default;
-    ``exclusive=True`` gives the sum over strictly earlier rows.
+    ``exclusive=True`` gives the sum over strictly earlier rows.  ``totals=True`` also
+    adds ``<name>_total``, the whole-segment sum, taken from the same small table.
     """
     seg = list(segment)
     frame_end = -1 if exclusive else Window.currentRow
@@ -121,18 +122,21 @@ def running_sums(df: DataFrame, segment: Sequence[str], order: Sequence[str | Co
     local = df.select("*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"_loc_{n}")
                              for n, c in sums.items()])
     # one row per (bucket, segment) present: bounded by buckets x segments-per-bucket
-    totals = df.groupBy(bucket, *seg).agg(*[F.sum(c).alias(f"_tot_{n}") for n, c in sums.items()])
+    per_bucket = df.groupBy(bucket, *seg).agg(*[F.sum(c).alias(f"_tot_{n}") for n, c in sums.items()])
     w_prev = Window.partitionBy(*seg).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    w_all = Window.partitionBy(*seg)
+    offsets = per_bucket.select(
         F.col(bucket).alias("_ob"), *[F.col(s).alias(f"_os_{s}") for s in seg],
-        *[F.coalesce(F.sum(f"_tot_{n}").over(w_prev), F.lit(0)).alias(f"_off_{n}") for n in sums])
+        *[F.coalesce(F.sum(f"_tot_{n}").over(w_prev), F.lit(0)).alias(f"_off_{n}") for n in sums],
+        *[F.sum(f"_tot_{n}").over(w_all).alias(f"_all_{n}") for n in sums])
     cond = F.col(bucket) == F.col("_ob")
     for s in seg:
         cond = cond & F.col(s).eqNullSafe(F.col(f"_os_{s}"))
     joined = local.join(offsets, cond, "inner")
     out = joined.select(
         *[F.col(c) for c in df.columns],
-        *[(F.col(f"_off_{n}") + F.col(f"_loc_{n}")).alias(n) for n in sums])
+        *[(F.col(f"_off_{n}") + F.col(f"_loc_{n}")).alias(n) for n in sums],
+        *([F.col(f"_all_{n}").alias(f"{n}_total") for n in sums] if totals else []))
     return out
 
 
@@ -175,13 +179,14 @@ def plain_lag(df: DataFrame, segment: Sequence[str], order: Sequence[str | Colum
 
 
 def hash_rank(df: DataFrame, segment: Sequence[str], hash_hex: Column, key: Sequence[str],
-              name: str = "_rank", hex_digits: int = 3) -> DataFrame:
+              name: str = "_rank", hex_digits: int = 3, totals: bool = False) -> DataFrame:
     """1-based rank within segment ordered by (hash_hex, key), via hash-prefix buckets.
 
     Equivalent to ``row_number() over (partition by segment order by hash_hex, key)``
-    but no segment is processed by one task.
+    but no segment is processed by one task.  ``totals`` adds ``<name>_total``, the
+    segment size.
     """
     h = "_h"
     with_h = df.withColumn(h, hash_hex).withColumn(BUCKET, hash_prefix_bucket(F.col(h), hex_digits))
-    ranked = running_sums(with_h, segment, [F.col(h), *_cols(key)], {name: F.lit(1)})
+    ranked = running_sums(with_h, segment, [F.col(h), *_cols(key)], {name: F.lit(1)}, totals=totals)
     return ranked.drop(h, BUCKET)

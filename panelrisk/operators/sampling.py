@@ -21,20 +21,14 @@ def seeded_hash(key: str | Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
 
 
-def _class_sizes(df: DataFrame, label: str) -> DataFrame:
-    # one row per class: bounded by the number of classes
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(label, "_cls")
-
-
 def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: int = 42,
                      name: str = "split", hex_digits: int = 4) -> DataFrame:
     """Per class, the ceil(test_frac * n_class) rows with the smallest hash are 'test'."""
     if label not in df.columns:
         raise ValueError(f"label column {label!r} not found; encode the label first")
-    ranked = hash_rank(df, [label], seeded_hash(key, seed), [key], "_rk", hex_digits)
-    j = ranked.join(F.broadcast(_class_sizes(df, label)), F.col(label).eqNullSafe(F.col("_cls")))
-    test = F.col("_rk") <= F.ceil(F.lit(test_frac) * F.col("_n"))
-    return j.withColumn(name, F.when(test, "test").otherwise("train")).drop("_rk", "_cls", "_n")
+    ranked = hash_rank(df, [label], seeded_hash(key, seed), [key], "_rk", hex_digits, totals=True)
+    test = F.col("_rk") <= F.ceil(F.lit(test_frac) * F.col("_rk_total"))
+    return ranked.withColumn(name, F.when(test, "test").otherwise("train")).drop("_rk", "_rk_total")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
@@ -51,11 +45,9 @@ def exact_sample(df: DataFrame, key: str, frac: float = 0.3, seed: int = 99,
     Not ``orderBy().limit(n)``: n grows with the data and a limit that large funnels
     into one task.  The rank is distributed and n is a one-row aggregate.
     """
-    ranked = hash_rank(df, [], seeded_hash(key, seed), [key], "_rk", hex_digits)
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return (ranked.crossJoin(F.broadcast(n))
-            .where(F.col("_rk") <= F.round(F.lit(frac) * F.col("_n")))
-            .drop("_rk", "_n"))
+    ranked = hash_rank(df, [], seeded_hash(key, seed), [key], "_rk", hex_digits, totals=True)
+    return (ranked.where(F.col("_rk") <= F.round(F.lit(frac) * F.col("_rk_total")))
+            .drop("_rk", "_rk_total"))
 
 
 def bernoulli_sample(df: DataFrame, frac: float, seed: int = 99) -> DataFrame:

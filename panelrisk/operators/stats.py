@@ -35,14 +35,8 @@ def medians_long(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
     g = list(group)
     seg = [*g, VAR]
     counts = _long_values(df, cols, g).groupBy(*seg, VAL).agg(F.count(F.lit(1)).alias("_cnt"))
-    ranked = running_sums(range_bucket(counts, [*seg, VAL], n_buckets), seg, [VAL],
-                          {"_cum": F.col("_cnt")})
-    totals = counts.groupBy(*seg).agg(F.sum("_cnt").alias("_n"))
-    t = totals.select(*[F.col(c).alias(f"_t_{c}") for c in seg], "_n")
-    on = F.lit(True)
-    for c in seg:
-        on = on & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
-    j = ranked.join(t, on, "inner")
+    j = running_sums(range_bucket(counts, [*seg, VAL], n_buckets), seg, [VAL],
+                     {"_cum": F.col("_cnt")}, totals=True).withColumnRenamed("_cum_total", "_n")
     lo = F.floor((F.col("_n") + 1) / 2)
     hi = F.floor(F.col("_n") / 2) + 1
     prev = F.col("_cum") - F.col("_cnt")

@@ -10,6 +10,7 @@ from panelrisk.operators.label import encode_label
 from panelrisk.operators.panel import (
     EDUCATION_LAYOUT, WideLayout, is_wide, normalize_column_names, remove_duplicates,
     validate_schema, wide_to_long)
+from panelrisk.session import materialize
 from panelrisk.spec import EDUCATION, PanelSpec
 
 
@@ -20,9 +21,9 @@ def prepare_panel(df: DataFrame, spec: PanelSpec = EDUCATION, layout: WideLayout
     if is_wide(out.columns):
         out = wide_to_long(out, layout)
     validate_schema(out, spec.required)
-    out = remove_duplicates(out)
+    out = materialize(remove_duplicates(out))
     out = handle_missing_values(out, spec.indicators, spec.group, spec.categoricals, null_group)
-    return encode_label(out, spec.label, spec.label_rule, spec.label_text_map)
+    return materialize(encode_label(out, spec.label, spec.label_rule, spec.label_text_map))
 
 
 def panel_features(df: DataFrame, spec: PanelSpec = EDUCATION, layout: WideLayout = EDUCATION_LAYOUT,

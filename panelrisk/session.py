@@ -54,3 +54,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if root.startswith("file:"):
         root = root[len("file:"):]
     return os.path.join(root, "panelrisk", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Cut lineage: a reliable checkpoint into the shared checkpoint folder.
+
+    Used at stage boundaries whose output feeds several branches (and the sampling
+    jobs of the bucketed scans), so upstream work runs once and a lost executor
+    re-reads the checkpoint instead of recomputing the whole chain.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
