@@ -74,11 +74,20 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score", posi
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", positive: int = 1,
             n_buckets: int | None = None) -> DataFrame:
     """E5: exact ROC-AUC (Mann-Whitney, ties count one half).  One class -> null."""
-    g = score_counts(df, label, score, positive)
-    cum = running_sums(range_bucket(g, ["score"], n_buckets), [], ["score"],
+    return roc_auc_by(df, [], label, score, positive, n_buckets)
+
+
+def roc_auc_by(df: DataFrame, group: Sequence[str], label: str = "label", score: str = "score",
+               positive: int = 1, n_buckets: int | None = None) -> DataFrame:
+    """E5 per group (e.g. per CV fold) in one pass: one row per group."""
+    g = list(group)
+    counts = df.groupBy(*g, F.col(score).alias("score")).agg(
+        F.count_if(F.col(label) == positive).alias("pos"),
+        F.count_if(F.col(label) != positive).alias("neg"))
+    cum = running_sums(range_bucket(counts, [*g, "score"], n_buckets), g, ["score"],
                        {"neg_below": F.col("neg")}, exclusive=True)
-    return cum.agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5))
-                    / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("roc_auc"))
+    return cum.groupBy(*g).agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5))
+                                / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("roc_auc"))
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positive: int = 1,

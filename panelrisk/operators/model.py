@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.operators.label import with_weight_column
-from panelrisk.operators.metrics import cv_summary, per_group_metrics, roc_auc
+from panelrisk.operators.metrics import cv_summary, per_group_metrics, roc_auc_by
+from panelrisk.session import materialize
 
 FEATURES = "features"
 PROB1 = "probability_1"
@@ -147,13 +148,8 @@ def cross_validate(df: DataFrame, label: str, numeric: Sequence[str], categorica
     allp = preds[0]
     for p in preds[1:]:
         allp = allp.unionByName(p)
-    per = per_group_metrics(allp, fold_col, label)
-    aucs = [roc_auc(allp.where(F.col(fold_col) == f), label, PROB1).select(F.lit(f).alias(fold_col), "roc_auc")
-            for f in range(k)]
-    auc = aucs[0]
-    for a in aucs[1:]:
-        auc = auc.unionByName(a)
-    per = per.join(auc, fold_col)
+    allp = materialize(allp)  # k model applications feed two aggregates and a sampling job
+    per = per_group_metrics(allp, fold_col, label).join(roc_auc_by(allp, [fold_col], label, PROB1), fold_col)
     out = cv_summary(per, ["f1_macro", "roc_auc", "precision_macro", "recall_macro"])
     if with_train:
         tp = train_preds[0]
