@@ -200,17 +200,35 @@ def tune(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequenc
 
 
 
-def feature_importance(model: PipelineModel, scored: DataFrame, top_n: int = 20) -> DataFrame:
-    """Importances named by the assembled vector's slots, descending, top N."""
+def slot_names(model: PipelineModel) -> list[str]:
+    """Names of the assembled feature vector's slots, in order: the numeric inputs, then
+    one ``<column>_<category>`` per one-hot slot (fitted labels, sorted)."""
+    numeric, labels = [], {}
+    for st in model.stages:
+        if isinstance(st, VectorAssembler) and st.getOutputCol() == "__num":
+            numeric = list(st.getInputCols())
+        if hasattr(st, "labels") and hasattr(st, "getInputCol"):
+            labels[st.getInputCol()] = list(st.labels)
+    final = [st for st in model.stages if isinstance(st, VectorAssembler)][-1]
+    names = []
+    for part in final.getInputCols():
+        if part == "__num_s":
+            names += numeric
+        elif part.endswith("__ohe"):
+            c = part[: -len("__ohe")]
+            names += [f"{c}_{lab}" for lab in labels.get(c, [])]
+    return names
+
+
+def feature_importance(model: PipelineModel, spark_or_df, top_n: int = 20) -> DataFrame:
+    """Importances named by vector slot, descending, top N (none for models without
+    importances)."""
+    spark = getattr(spark_or_df, "sparkSession", spark_or_df)
     clf = model.stages[-1]
     if not hasattr(clf, "featureImportances"):
-        return scored.sparkSession.createDataFrame([], "feature string, importance double")
-    meta = scored.schema[FEATURES].metadata.get("ml_attr", {}).get("attrs", {})
-    names = {}
-    for group in meta.values():
-        for a in group:
-            names[a["idx"]] = a["name"]
+        return spark.createDataFrame([], "feature string, importance double")
+    names = slot_names(model)
     imp = clf.featureImportances.toArray()
-    rows = [(names.get(i, f"f{i}"), float(v)) for i, v in enumerate(imp)]
-    df = scored.sparkSession.createDataFrame(rows, "feature string, importance double")
+    rows = [(names[i] if i < len(names) else f"f{i}", float(v)) for i, v in enumerate(imp)]
+    df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.desc("importance"), "feature").limit(top_n)

@@ -605,7 +605,7 @@ def q_feature_importance(spark, sf):
     """Top-20 importances of the trained forest, named by vector slot."""
     data = user_day_panel(spark, sf)
     model = ML.train(data, "label", USER_NUMERIC, USER_CATEGORICAL, ML.random_forest("label", **SMALL_FOREST))
-    return _r6(ML.feature_importance(model, model.transform(data.limit(1))))
+    return _r6(ML.feature_importance(model, spark))
 
 
 # ---------------------------------------------------------------- sources, registry, streams
