@@ -52,7 +52,7 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], alpha: fl
                   n_buckets: int | None = None) -> DataFrame:
     """K1: one row per numeric column."""
     counts = _side_counts(ref, cur, cols, "double")
-    cum = running_sums(range_bucket(counts, [VAR, VAL], n_buckets), [VAR], [VAL],
+    cum = running_sums(range_bucket(counts, [VAL], n_buckets), [VAR], [VAL],
                        {"cr": F.col("nr"), "cc": F.col("nc")})
     # one row per column: a bounded broadcast
     tot = counts.groupBy(VAR).agg(F.sum("nr").alias("_tr"), F.sum("nc").alias("_tc"))

@@ -84,7 +84,7 @@ def roc_auc_by(df: DataFrame, group: Sequence[str], label: str = "label", score:
     counts = df.groupBy(*g, F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == positive).alias("pos"),
         F.count_if(F.col(label) != positive).alias("neg"))
-    cum = running_sums(range_bucket(counts, [*g, "score"], n_buckets), g, ["score"],
+    cum = running_sums(range_bucket(counts, ["score"], n_buckets), g, ["score"],
                        {"neg_below": F.col("neg")}, exclusive=True)
     return cum.groupBy(*g).agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5))
                                 / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("roc_auc"))

@@ -4,10 +4,12 @@ A plain ``Window.partitionBy(seg).orderBy(...)`` puts a whole segment in one tas
 a 2-class label, one score column or a hot entity that is a third of the data in one
 task.  Instead the ordered key space is cut into buckets:
 
-* ``range_bucket``  - literal cut points on the full (segment, order) key, taken from a
-  bounded hash-ordered sample; a hot segment spans many buckets.  The bucket id is a
-  pure function of the key, so every branch of a plan agrees on it (partition ids after
-  a range exchange would not: each branch samples its own bounds).
+* ``range_bucket``  - literal cut points on the leading order column, taken from a
+  bounded hash-ordered sample and applied with the JVM ``Bucketizer``; a hot segment
+  spans many buckets.  The bucket id is a pure function of the key, so every branch of
+  a plan agrees on it (partition ids after a range exchange would not: each branch
+  samples its own bounds).  Buckets only need to be monotone along the order inside a
+  segment, so the segment itself is not part of the cut.
 * ``hash_prefix_bucket`` - when the order key is a uniform hash (md5 hex), equal-width
   buckets on its prefix are already balanced; no sampling pass is needed.
 
@@ -18,10 +20,13 @@ buckets, combined with a window over that small table and joined back.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET = "_bucket"
 
@@ -64,33 +69,79 @@ def _null_first(t: tuple):
 
 
 def bucket_of(key: Sequence[str | Column], types: Sequence, cuts: list[tuple]) -> Column:
-    """Deterministic ordered bucket: number of cut points <= key (binary-search CASE)."""
+    """Deterministic ordered bucket: the number of cut points <= key.
+
+    The cut points are one literal array; a binary search runs in a higher-order
+    ``aggregate`` (ceil(log2(n+1)) struct comparisons per row), so the expression size
+    does not grow with the number of buckets.
+    """
+    if not cuts:
+        return F.lit(0)
     cols = _cols(key)
     k = F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(cols)])
-    lits = [F.struct(*[F.lit(v).cast(t).alias(f"_k{i}") for i, (v, t) in enumerate(zip(cut, types))])
-            for cut in cuts]
+    arr = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"_k{i}") for i, (v, t) in enumerate(zip(cut, types))])
+                    for cut in cuts])
+    depth = max(1, math.ceil(math.log2(len(cuts) + 1)))
 
-    def rec(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(k >= lits[mid - 1], rec(mid, hi)).otherwise(rec(lo, mid - 1))
+    def step(acc: Column, _i: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        mid = ((lo + hi + 1) / 2).cast("int")
+        up = F.struct(mid.alias("lo"), hi.alias("hi"))
+        down = F.struct(lo.alias("lo"), (mid - 1).alias("hi"))
+        return F.when(lo >= hi, acc).when(k >= F.element_at(arr, mid), up).otherwise(down)
 
-    return rec(0, len(cuts))
+    init = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), init, step)["lo"]
 
 
-def range_bucket(df: DataFrame, key: Sequence[str | Column], n_buckets: int | None = None,
-                 name: str = BUCKET) -> DataFrame:
-    """Attach an ordered bucket id: bucket(a) < bucket(b) implies key(a) <= key(b).
+def _as_double(c: Column, dt: T.DataType) -> Column | None:
+    """An order-preserving double for numeric, date and timestamp keys (else None)."""
+    if isinstance(dt, T.NumericType):
+        return c.cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return None
 
-    The id is a pure function of the key (literal cut points), so every branch of a
-    plan - and every retried task - assigns a row to the same bucket.
+
+def range_bucket(df: DataFrame, order: Sequence[str | Column], n_buckets: int | None = None,
+                 name: str = BUCKET) -> DataFrame:
+    """Attach a bucket id that never decreases along ``order`` (inside any segment).
+
+    The bucket is a pure function of the key value with literal cut points from a
+    bounded sample, so every branch of a plan - and every retried task - agrees on it.
+    Numeric / date / timestamp leading keys use the JVM ``Bucketizer`` (binary search
+    over the splits); other keys use a literal-array binary search.  Buckets cut the
+    leading order column: a hot segment is spread over many buckets, rows sharing one
+    leading value stay together.
     """
-    n = min(n_buckets or default_buckets(df), 512)
-    cols = _cols(key)
-    types = df.select(*cols).schema.fields
-    cuts = cut_points(df, cols, n)
-    return df.withColumn(name, bucket_of(cols, [f.dataType for f in types], cuts))
+    n = min(n_buckets or default_buckets(df), 4096)
+    cols = _cols(order)
+    lead_type = df.select(cols[0]).schema.fields[0].dataType
+    x = _as_double(cols[0], lead_type)
+    if x is None:
+        types = [f.dataType for f in df.select(*cols).schema.fields]
+        return df.withColumn(name, bucket_of(cols, types, cut_points(df, cols, n)))
+    k = max(1, n * 16)
+    sample = (df.select(x.alias("_x"), *[c.alias(f"_o{i}") for i, c in enumerate(cols)])
+              .orderBy(F.xxhash64(*[F.col(f"_o{i}") for i in range(len(cols))])).limit(k)
+              .where(F.col("_x").isNotNull() & ~F.isnan("_x")).select("_x").collect())
+    vals = sorted(r[0] for r in sample if math.isfinite(r[0]))
+    cuts: list[float] = []
+    for b in range(1, n):
+        if not vals:
+            break
+        v = vals[min(len(vals) - 1, int(round(b * len(vals) / n)))]
+        if not cuts or v > cuts[-1]:
+            cuts.append(v)
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    tmp_in, tmp_out = f"{name}__x", f"{name}__b"
+    staged = df.withColumn(tmp_in, F.coalesce(x, F.lit(float("-inf"))))
+    bz = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=tmp_in, outputCol=tmp_out,
+                    handleInvalid="keep")
+    return bz.transform(staged).withColumn(name, F.col(tmp_out).cast("int")).drop(tmp_in, tmp_out)
 
 
 def hash_prefix_bucket(hash_hex: Column, hex_digits: int = 3) -> Column:
@@ -110,8 +161,8 @@ def running_sums(df: DataFrame, segment: Sequence[str], order: Sequence[str | Co
                  exclusive: bool = False, totals: bool = False) -> DataFrame:
     """Running sums within ``segment`` ordered by ``order`` (must be unique in segment).
 
-    ``df`` must carry an ordered ``bucket`` column (see ``range_bucket`` /
-    ``hash_prefix_bucket``) that is monotone in (segment, order).  Inclusive by default;
+    ``df`` must carry a ``bucket`` column (see ``range_bucket`` / ``hash_prefix_bucket``)
+    that never decreases along ``order`` inside a segment.  Inclusive by default;
     ``exclusive=True`` gives the sum over strictly earlier rows.  ``totals=True`` also
     adds ``<name>_total``, the whole-segment sum, taken from the same small table.
     """
@@ -144,30 +195,29 @@ def segmented_lag(df: DataFrame, segment: Sequence[str], order: Sequence[str | C
                   values: Mapping[str, str], n_buckets: int | None = None) -> DataFrame:
     """``lag(value)`` over (partition by segment order by order), skew-safe.
 
-    ``order`` must make rows unique within a segment.  Adds one column per
-    ``values`` entry (out name -> source column); null where there is no earlier row.
+    ``order`` must make rows unique within a segment.  Rows are bucketed along the
+    order key; a window per (bucket, segment) gives the local lag, and the first row of
+    each (bucket, segment) takes the last row of the same segment in its nearest earlier
+    bucket (a table with one row per (bucket, segment), never one task per segment).
+    Adds one column per ``values`` entry (out name -> source column).
     """
     seg = list(segment)
-    key = [*_cols(seg), *_cols(order)]
-    b = range_bucket(df, key, n_buckets)
-    w = Window.partitionBy(BUCKET, *seg).orderBy(*_cols(order))
+    ordc = _cols(order)
+    b = range_bucket(df, ordc, n_buckets)
+    w = Window.partitionBy(BUCKET, *seg).orderBy(*ordc)
     local = b.select("*", F.row_number().over(w).alias("_rn"),
                      *[F.lag(src).over(w).alias(f"_lag_{out}") for out, src in values.items()])
-    # last row of every non-empty bucket; at most n_buckets rows
-    last = b.groupBy(BUCKET).agg(
-        F.max_by(F.struct(*[F.col(s).alias(f"_s_{i}") for i, s in enumerate(seg)],
-                          *[F.col(src).alias(f"_v_{out}") for out, src in values.items()]),
-                 F.struct(*key)).alias("_last"))
-    carry = last.select(F.col(BUCKET).alias("_cb"),
-                        F.lag("_last").over(Window.orderBy(BUCKET)).alias("_carry"))
-    joined = local.join(F.broadcast(carry), F.col(BUCKET) == F.col("_cb"), "left")
-    same = F.lit(True)
-    for i, s in enumerate(seg):
-        same = same & F.col(s).eqNullSafe(F.col(f"_carry._s_{i}"))
-    outs = []
-    for out in values:
-        boundary = F.when(F.col("_carry").isNotNull() & same, F.col(f"_carry._v_{out}"))
-        outs.append(F.when(F.col("_rn") == 1, boundary).otherwise(F.col(f"_lag_{out}")).alias(out))
+    last = b.groupBy(BUCKET, *seg).agg(
+        F.max_by(F.struct(*[F.col(src).alias(f"_v_{out}") for out, src in values.items()]),
+                 F.struct(*ordc)).alias("_last"))
+    carry = last.select(F.col(BUCKET).alias("_cb"), *[F.col(x).alias(f"_cs_{x}") for x in seg],
+                        F.lag("_last").over(Window.partitionBy(*seg).orderBy(BUCKET)).alias("_carry"))
+    cond = F.col(BUCKET) == F.col("_cb")
+    for x in seg:
+        cond = cond & F.col(x).eqNullSafe(F.col(f"_cs_{x}"))
+    joined = local.join(carry, cond, "left")
+    outs = [F.when(F.col("_rn") == 1, F.col(f"_carry._v_{out}")).otherwise(F.col(f"_lag_{out}")).alias(out)
+            for out in values]
     return joined.select(*[F.col(c) for c in df.columns], *outs)
 
 

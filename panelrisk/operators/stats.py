@@ -35,7 +35,7 @@ def medians_long(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
     g = list(group)
     seg = [*g, VAR]
     counts = _long_values(df, cols, g).groupBy(*seg, VAL).agg(F.count(F.lit(1)).alias("_cnt"))
-    j = running_sums(range_bucket(counts, [*seg, VAL], n_buckets), seg, [VAL],
+    j = running_sums(range_bucket(counts, [VAL], n_buckets), seg, [VAL],
                      {"_cum": F.col("_cnt")}, totals=True).withColumnRenamed("_cum_total", "_n")
     lo = F.floor((F.col("_n") + 1) / 2)
     hi = F.floor(F.col("_n") / 2) + 1
