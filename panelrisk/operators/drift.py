@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.operators.ordered import range_bucket, running_sums
+from panelrisk.session import materialize
 from panelrisk.spec import DRIFT_SHARE_THRESHOLD
 
 VAR, VAL = "column", "_val"
@@ -51,15 +52,16 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], alpha: fl
                   wasserstein_threshold: float = 0.1, large_reference: int = 1000,
                   n_buckets: int | None = None) -> DataFrame:
     """K1: one row per numeric column."""
-    counts = _side_counts(ref, cur, cols, "double")
+    # (column, value) -> counts, written once: raw data is read a single time and the
+    # bucket sample plus both scan branches read this compact table
+    counts = materialize(_side_counts(ref, cur, cols, "double"))
+    v = F.col(VAL)
     cum = running_sums(range_bucket(counts, [VAL], n_buckets), [VAR], [VAL],
-                       {"cr": F.col("nr"), "cc": F.col("nc")})
-    # one row per column: a bounded broadcast
-    tot = counts.groupBy(VAR).agg(F.sum("nr").alias("_tr"), F.sum("nc").alias("_tc"))
-    std = (ref.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), VAR, VAL)
-           .groupBy(VAR).agg(F.stddev_pop(VAL).alias("sd")))
-    stats = tot.join(std, VAR, "left").withColumnRenamed(VAR, "_c")
-    j = cum.join(F.broadcast(stats), F.col(VAR) == F.col("_c"))
+                       {"cr": F.col("nr"), "cc": F.col("nc"), "_sv": F.col("nr") * v,
+                        "_svv": F.col("nr") * v * v}, totals=True)
+    j = cum.withColumnRenamed("cr_total", "_tr").withColumnRenamed("cc_total", "_tc")
+    mean = F.col("_sv_total") / F.col("_tr")
+    j = j.withColumn("sd", F.sqrt(F.greatest(F.col("_svv_total") / F.col("_tr") - mean * mean, F.lit(0.0))))
     incl = F.abs(F.col("cr") / F.col("_tr") - F.col("cc") / F.col("_tc"))
     excl = F.abs((F.col("cr") - F.col("nr")) / F.col("_tr") - (F.col("cc") - F.col("nc")) / F.col("_tc"))
     per = j.groupBy(VAR).agg(
@@ -80,7 +82,7 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], alpha: fl
 def categorical_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], threshold: float = 0.1,
                       eps: float = 0.0001) -> DataFrame:
     """K2: Jensen-Shannon distance (natural log) and PSI per categorical column."""
-    counts = _side_counts(ref, cur, cols, "string")
+    counts = materialize(_side_counts(ref, cur, cols, "string"))
     tot = counts.groupBy(VAR).agg(F.sum("nr").alias("_tr"), F.sum("nc").alias("_tc")).withColumnRenamed(VAR, "_c")
     j = counts.join(F.broadcast(tot), F.col(VAR) == F.col("_c"))
     p = F.col("nr") / F.col("_tr")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.functions.columns import safe_div
 from panelrisk.operators.ordered import range_bucket, running_sums
+from panelrisk.session import materialize
 from panelrisk.spec import GATES
 
 
@@ -81,9 +82,9 @@ def roc_auc_by(df: DataFrame, group: Sequence[str], label: str = "label", score:
                positive: int = 1, n_buckets: int | None = None) -> DataFrame:
     """E5 per group (e.g. per CV fold) in one pass: one row per group."""
     g = list(group)
-    counts = df.groupBy(*g, F.col(score).alias("score")).agg(
+    counts = materialize(df.groupBy(*g, F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == positive).alias("pos"),
-        F.count_if(F.col(label) != positive).alias("neg"))
+        F.count_if(F.col(label) != positive).alias("neg")))
     cum = running_sums(range_bucket(counts, ["score"], n_buckets), g, ["score"],
                        {"neg_below": F.col("neg")}, exclusive=True)
     return cum.groupBy(*g).agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5))
@@ -93,7 +94,7 @@ def roc_auc_by(df: DataFrame, group: Sequence[str], label: str = "label", score:
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positive: int = 1,
               n_buckets: int | None = None) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, thresholds descending."""
-    g = score_counts(df, label, score, positive).withColumn("_neg_score", -F.col("score"))
+    g = materialize(score_counts(df, label, score, positive).withColumn("_neg_score", -F.col("score")))
     cum = running_sums(range_bucket(g, ["_neg_score"], n_buckets), [], ["_neg_score"],
                        {"tps": F.col("pos"), "fps": F.col("neg")})
     tot = g.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))

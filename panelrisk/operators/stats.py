@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.operators.ordered import range_bucket, running_sums
+from panelrisk.session import materialize
 
 VAR, VAL = "_var", "_val"
 
@@ -34,7 +35,9 @@ def medians_long(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
     """One row per (group..., _var) with the exact median ``_median`` (nulls skipped)."""
     g = list(group)
     seg = [*g, VAR]
-    counts = _long_values(df, cols, g).groupBy(*seg, VAL).agg(F.count(F.lit(1)).alias("_cnt"))
+    # distinct (segment, value) counts, written once: the bucket sample and both scan
+    # branches read this compact table instead of recomputing it from the input
+    counts = materialize(_long_values(df, cols, g).groupBy(*seg, VAL).agg(F.count(F.lit(1)).alias("_cnt")))
     j = running_sums(range_bucket(counts, [VAL], n_buckets), seg, [VAL],
                      {"_cum": F.col("_cnt")}, totals=True).withColumnRenamed("_cum_total", "_n")
     lo = F.floor((F.col("_n") + 1) / 2)
