@@ -100,11 +100,12 @@ def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def handle_missing_values(df: DataFrame, indicators: Sequence[str], group: str | None,
                           categoricals: Sequence[str], null_group: str = "keep",
-                          cut_lineage: bool = True) -> DataFrame:
+                          cut_lineage: bool = False) -> DataFrame:
     """M7: sparse-row filter -> group (or global) median -> mode.
 
-    With ``cut_lineage`` the filtered input and the median-filled frame are
-    checkpointed: each feeds several statistics jobs.
+    The statistics read compact, once-written count tables (see ``stats``); with
+    ``cut_lineage`` the filtered input and the median-filled frame are also written
+    once, for inputs that are expensive to recompute.
     """
     from panelrisk.session import materialize
     keep = materialize if cut_lineage else (lambda x: x)

@@ -92,11 +92,10 @@ def transform_features(df: DataFrame, spec: PanelSpec, tie: Sequence[str] = (),
                        skew_safe: bool = True) -> DataFrame:
     """composites -> temporal -> interactions (the reference's order).
 
-    The composite stage is checkpointed before the lag: the bucketed lag samples and
-    reads its input more than once.
+    Composites are narrow expressions plus a one-row median table, so the lag's
+    sample and scan re-derive them cheaply from the (materialized) prepared panel.
     """
-    from panelrisk.session import materialize
-    out = materialize(composite_features(df, spec))
+    out = composite_features(df, spec)
     out = add_lag_diff(out, spec.anchor, spec.entity_in(out.columns), spec.period, spec.lag_name,
                        tie=tie, skew_safe=skew_safe)
     pairs = [(spec.anchor, spec.group, spec.anchor_x_group)]

@@ -30,14 +30,23 @@ def _long_values(df: DataFrame, cols: Sequence[str], group: Sequence[str]) -> Da
             .where(F.col(VAL).isNotNull() & ~F.isnan(VAL)))
 
 
-def medians_long(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
-                 n_buckets: int | None = None) -> DataFrame:
-    """One row per (group..., _var) with the exact median ``_median`` (nulls skipped)."""
+# a segment with at most this many distinct values is reduced by one exact weighted
+# percentile aggregate (its buffer holds one entry per distinct value); larger segments
+# go through the bucketed scan, whose memory per task does not depend on the segment
+SMALL_DISTINCT = 200_000
+
+
+def _medians(df: DataFrame, cols: Sequence[str], group: Sequence[str],
+             n_buckets: int | None, small_distinct: int | None = None) -> tuple[DataFrame, bool]:
     g = list(group)
     seg = [*g, VAR]
-    # distinct (segment, value) counts, written once: the bucket sample and both scan
-    # branches read this compact table instead of recomputing it from the input
-    counts = materialize(_long_values(df, cols, g).groupBy(*seg, VAL).agg(F.count(F.lit(1)).alias("_cnt")))
+    # distinct (segment, value) counts, written once: the size check, the bucket sample
+    # and both scan branches read this compact table instead of recomputing it
+    counts = materialize(_long_values(df, cols, g).groupBy(*seg, VAL).agg(F.count(F.lit(1)).alias("_cnt")),
+                         "value-counts")
+    widest = counts.groupBy(*seg).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    if widest <= (SMALL_DISTINCT if small_distinct is None else small_distinct):
+        return counts.groupBy(*seg).agg(F.percentile(VAL, 0.5, F.col("_cnt")).alias("_median")), False
     j = running_sums(range_bucket(counts, [VAL], n_buckets), seg, [VAL],
                      {"_cum": F.col("_cnt")}, totals=True).withColumnRenamed("_cum_total", "_n")
     lo = F.floor((F.col("_n") + 1) / 2)
@@ -48,19 +57,27 @@ def medians_long(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
     picked = j.where(covers_lo | covers_hi)
     agg = picked.groupBy(*seg).agg(F.max(F.when(covers_lo, F.col(VAL))).alias("_lo"),
                                    F.max(F.when(covers_hi, F.col(VAL))).alias("_hi"))
-    return agg.select(*seg, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(0.5)).alias("_median"))
+    return agg.select(*seg, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(0.5)).alias("_median")), True
+
+
+def medians_long(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
+                 n_buckets: int | None = None, small_distinct: int | None = None) -> DataFrame:
+    """One row per (group..., _var) with the exact median ``_median`` (nulls skipped)."""
+    return _medians(df, cols, group, n_buckets, small_distinct)[0]
 
 
 def medians_wide(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
-                 suffix: str = "", n_buckets: int | None = None) -> DataFrame:
+                 suffix: str = "", n_buckets: int | None = None,
+                 small_distinct: int | None = None) -> DataFrame:
     """One row per group (or exactly one row) with a median column per input column."""
     g = list(group)
-    long = medians_long(df, cols, g, n_buckets)
+    long, heavy = _medians(df, cols, g, n_buckets, small_distinct)
     aggs = [F.max(F.when(F.col(VAR) == c, F.col("_median"))).alias(f"{c}{suffix}") for c in cols]
-    if g:
-        return long.groupBy(*g).agg(*aggs)
     # global: always exactly one row, even when every value is null
-    return long.agg(*aggs)
+    wide = long.groupBy(*g).agg(*aggs) if g else long.agg(*aggs)
+    # after the bucketed scan the small result is written once, so its consumers do not
+    # re-run the scan
+    return materialize(wide, "medians") if heavy else wide
 
 
 def mode_value(df: DataFrame, c: str, alias: str | None = None) -> DataFrame:

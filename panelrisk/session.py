@@ -56,12 +56,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "panelrisk", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df):
-    """Cut lineage: a reliable checkpoint into the shared checkpoint folder.
+def materialize(df, name: str = "stage"):
+    """Cut lineage: write ``df`` as a Parquet table in the shared checkpoint folder and
+    read it back.
 
     Used at stage boundaries whose output feeds several branches (and the sampling
-    jobs of the bucketed scans), so upstream work runs once and a lost executor
-    re-reads the checkpoint instead of recomputing the whole chain.
+    jobs of the bucketed scans): upstream work runs once (an uncached ``checkpoint()``
+    would compute it twice), later stages scan a columnar table with real size
+    statistics for AQE, and a lost executor re-reads the files instead of recomputing
+    the chain.  Never a machine-local folder on a cluster: the path comes from
+    ``spark.checkpoint.dir``.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from panelrisk.operators.clean import (
@@ -30,6 +32,17 @@ def test_exact_medians(spark):
     assert medians_wide(df, ["v"]).first().v == 2.5
 
 
+@pytest.mark.parametrize("small", [None, 0])
+def test_median_paths_agree(spark, small):
+    import random
+    rnd = random.Random(5)
+    rows = [("hot" if i % 3 else f"g{i % 7}", round(rnd.gauss(0, 3), 1)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.v for r in medians_wide(df, ["v"], ["k"], small_distinct=small).collect()}
+    want = {r.k: r.v for r in df.groupBy("k").agg(F.median("v").alias("v")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_group_median_impute(spark):
     rows = [(1.0, 1.0), (1.0, 3.0), (1.0, None),     # group 1 median 2
             (2.0, None), (2.0, None),                 # all-null group -> global
