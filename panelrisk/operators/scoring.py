@@ -67,8 +67,7 @@ def serving_features(df: DataFrame) -> DataFrame:
     bem = (F.col("ips") + F.col("ipp") + F.col("ipv")) / 3
     perf = (F.col("ida") + F.col("ieg") + F.col("iaa")) / 3
     fase = F.col("fase").cast("double")
-    return df.select(
-        "*",
+    feats = [
         F.col("inde").alias("INDE"), F.col("ian").alias("IAN"), F.col("ida").alias("IDA"),
         F.col("ieg").alias("IEG"), F.col("iaa").alias("IAA"), F.col("ips").alias("IPS"),
         F.col("ipp").alias("IPP"), F.col("ipv").alias("IPV"),
@@ -77,7 +76,11 @@ def serving_features(df: DataFrame) -> DataFrame:
         F.lit(0).alias("ABAIXO_MEDIA_GERAL"), F.lit(0.0).alias("EVOLUCAO_INDE"),
         (F.col("inde") * fase).alias("INDE_x_FASE"), (bem * perf).alias("BEMESTAR_x_PERFORMANCE"),
         F.col("ano").alias("ANO"), fase.alias("FASE"),
-        recode_turning_point(F.col("ponto_de_virada")).alias("PONTO_DE_VIRADA"))
+        recode_turning_point(F.col("ponto_de_virada")).alias("PONTO_DE_VIRADA")]
+    # request fields are replaced by the model's names (Spark names are case-insensitive)
+    replaced = {"INDE", "IAN", "IDA", "IEG", "IAA", "IPS", "IPP", "IPV", "ANO", "FASE", "PONTO_DE_VIRADA"}
+    keep = [c for c in df.columns if c.upper() not in replaced]
+    return df.select(*keep, *feats)
 
 
 def recode_turning_point(c: Column) -> Column:
@@ -106,3 +109,17 @@ def log_records(scored: DataFrame) -> DataFrame:
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
         "student_id", F.col("risco_defasagem").cast("int").alias("risco_defasagem"),
         "probabilidade", "nivel_risco")
+
+
+def score_batch(requests: DataFrame, model, rules: Sequence[Rule] = EDUCATION_CONTRACT,
+                version: str = "1.0.0", now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Contract -> serving features -> model probability -> records; plus quarantine.
+
+    ``model`` is a fitted ``PipelineModel`` whose stages read the serving feature names
+    (numeric inputs are looked up by name, unknown names are never required).
+    """
+    from panelrisk.operators.model import PROB1, with_probability
+    checked = validate_requests(requests, rules)
+    valid, quarantine = split_valid(checked)
+    scored = with_probability(model.transform(serving_features(valid)))
+    return score_records(scored, PROB1, "student_id", version, now), quarantine

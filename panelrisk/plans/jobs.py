@@ -30,3 +30,92 @@ def panel_features(df: DataFrame, spec: PanelSpec = EDUCATION, layout: WideLayou
                    skew_safe: bool = True) -> DataFrame:
     """O1 + F7: the prepared, labelled, feature-engineered panel."""
     return transform_features(prepare_panel(df, spec, layout), spec, skew_safe=skew_safe)
+
+
+# ---------------------------------------------------------------- K5: drift job
+def drift_job(reference_raw: DataFrame, current_raw: DataFrame | None = None, spec: PanelSpec = EDUCATION,
+              layout: WideLayout = EDUCATION_LAYOUT, threshold: float | None = None, sample_frac: float = 0.3,
+              seed: int = 99) -> tuple[DataFrame, DataFrame]:
+    """K5: prepare + feature both sides, keep numeric columns (label excluded), drop rows
+    with nulls; without a current frame use an exact seeded 30 % sample of the reference.
+    Returns (per-column drift table, one-row summary)."""
+    from pyspark.sql import functions as F
+
+    from panelrisk.operators.drift import drift_summary, numeric_drift
+    from panelrisk.operators.panel import drop_incomplete, numeric_columns
+    from panelrisk.operators.sampling import exact_sample
+    from panelrisk.spec import DRIFT_SHARE_THRESHOLD
+
+    ref_full = panel_features(reference_raw, spec, layout)
+    cols = numeric_columns(ref_full, exclude=[spec.label])
+    ref = materialize(drop_incomplete(ref_full.select(*cols)), "drift-reference")
+    if current_raw is not None:
+        cur = drop_incomplete(panel_features(current_raw, spec, layout).select(*cols))
+    else:
+        keyed = ref.withColumn("_row", F.to_json(F.struct(*cols)))
+        cur = exact_sample(keyed, "_row", sample_frac, seed).drop("_row")
+    per = numeric_drift(ref, cur, cols)
+    return per, drift_summary(per, DRIFT_SHARE_THRESHOLD if threshold is None else threshold)
+
+
+# ---------------------------------------------------------------- O3: training job
+def train_job(spark, data_path: str, spec: PanelSpec = EDUCATION, layout: WideLayout = EDUCATION_LAYOUT,
+              sep: str = ";", numeric=None, categorical=None, candidates=None, model_path: str | None = None,
+              registry_path: str | None = None, version: str = "1.0.0", folds: int = 5) -> dict:
+    """O3: load -> prepare -> features -> stratified split -> compare models (k-fold) ->
+    CV of the winner -> fit -> test metrics -> gates -> model + registry record.
+
+    Returns the DataFrames and the fitted model in a dict; nothing is collected except
+    the per-candidate CV scalars and the metric row written to the registry.
+    """
+    from pyspark.sql import functions as F
+
+    from panelrisk.operators import metrics as M
+    from panelrisk.operators import model as ML
+    from panelrisk.operators.panel import filter_features
+    from panelrisk.operators.sampling import split_frames, stratified_folds, stratified_split
+    from panelrisk.sources.files import load_csv
+    from panelrisk.sources.registry import append_runs, run_record, save_model
+    from panelrisk.spec import EDUCATION_MODEL_CATEGORICALS, EDUCATION_MODEL_NUMERIC
+
+    raw = load_csv(spark, data_path, sep=sep)
+    panel = panel_features(raw, spec, layout)
+    entity = spec.entity_in(panel.columns)
+    key_parts = [F.col(c).cast("string") for c in (entity, spec.period) if c and c in panel.columns]
+    keyed = panel.withColumn("_key", F.concat_ws("|", *key_parts, F.to_json(F.struct(*panel.columns))))
+    split = materialize(stratified_split(keyed, spec.label, "_key"), "split")
+    train, test = split_frames(split)
+    num, cat, feats = filter_features(train.columns, numeric or EDUCATION_MODEL_NUMERIC,
+                                      categorical or EDUCATION_MODEL_CATEGORICALS)
+    if spec.turning_point and spec.turning_point in train.columns:
+        # One recode on both sides, so serving ('Sim'/'Não') matches training
+        from panelrisk.operators.scoring import recode_turning_point
+        train = train.withColumn(spec.turning_point, recode_turning_point(F.col(spec.turning_point)))
+        test = test.withColumn(spec.turning_point, recode_turning_point(F.col(spec.turning_point)))
+    folded = materialize(stratified_folds(train, spec.label, "_key", k=folds), "folds")
+    cands = candidates or [
+        ML.Candidate("RandomForestClassifier", lambda: ML.random_forest(spec.label)),
+        ML.Candidate("GBTClassifier", lambda: ML.boosted_trees(spec.label)),
+        ML.Candidate("GBTClassifierShallow", lambda: ML.boosted_trees(spec.label, max_depth=5, subsample=0.8)),
+    ]
+    board = ML.compare_models(folded, spec.label, num, cat, cands)
+    chosen = [r.algorithm for r in board.where("selected").collect()]
+    best = next((c for c in cands if chosen and c.name == chosen[0]), cands[0])
+    cv = ML.cross_validate(folded, spec.label, num, cat, classifier_factory=best.make)
+    model = ML.train(train, spec.label, num, cat, best.make())
+    pred = ML.with_probability(model.transform(test)).select(
+        F.col(spec.label).alias("label"), F.col("prediction").cast("int").alias("prediction"),
+        F.col(ML.PROB1).alias("score"))
+    metrics = M.evaluate(pred)
+    gates = M.release_gates(metrics)
+    if model_path:
+        save_model(model, model_path)
+    if registry_path:
+        m = metrics.first().asDict()
+        c = cv.first().asDict()
+        reliable = bool(gates.where("metric = 'all'").first().passed)
+        append_runs(run_record(spark, version, best.name, feats, {k: float(v) for k, v in c.items() if v is not None},
+                               {k: float(v) for k, v in m.items() if v is not None}, reliable, model_path or ""),
+                    registry_path)
+    return {"panel": panel, "leaderboard": board, "cv": cv, "model": model, "predictions": pred,
+            "metrics": metrics, "gates": gates, "features": feats}

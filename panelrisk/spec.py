@@ -62,6 +62,10 @@ EDUCATION_ENGINEERED = (
     "EVOLUCAO_INDE", "INDE_x_FASE", "BEMESTAR_x_PERFORMANCE",
 )
 EDUCATION_EXCLUDED = ("DEFASAGEM", "NOME", "ALUNO", "ID_ALUNO", "ESTUDANTE", "TURMA", "PONTO_DE_VIRADA")
+EDUCATION_MODEL_NUMERIC = (
+    "INDE", "IAN", "IDA", "IEG", "IAA", "IPS", "IPP", "IPV", "INDICE_BEMESTAR", "INDICE_PERFORMANCE",
+    "GAP_AUTO_REAL", "ABAIXO_MEDIA_GERAL", "EVOLUCAO_INDE", "INDE_x_FASE", "BEMESTAR_x_PERFORMANCE", "ANO",
+)
 EDUCATION_MODEL_CATEGORICALS = ("FASE", "PONTO_DE_VIRADA")
 TIER_LOW_BELOW = 0.40      # p < 0.40 -> baixo
 TIER_MEDIUM_UPTO = 0.70    # p <= 0.70 -> medio, else alto
