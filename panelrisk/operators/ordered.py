@@ -149,11 +149,19 @@ def hash_prefix_bucket(hash_hex: Column, hex_digits: int = 3) -> Column:
     return F.conv(F.substring(hash_hex, 1, hex_digits), 16, 10).cast("int")
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
+SEGKEY = "_segkey"
+
+
+def _with_segkey(df: DataFrame, segment: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Pack the segment into one struct column.
+
+    Struct equality treats null fields as equal, so one plain equi-join key gives
+    null-safe segment matching, and a window partitioned by (bucket, key) leaves the
+    data hash-partitioned exactly as the later join needs it (no second shuffle).
+    """
+    if not segment:
+        return df, []
+    return df.withColumn(SEGKEY, F.struct(*[F.col(c) for c in segment])), [SEGKEY]
 
 
 def running_sums(df: DataFrame, segment: Sequence[str], order: Sequence[str | Column],
@@ -166,29 +174,25 @@ def running_sums(df: DataFrame, segment: Sequence[str], order: Sequence[str | Co
     ``exclusive=True`` gives the sum over strictly earlier rows.  ``totals=True`` also
     adds ``<name>_total``, the whole-segment sum, taken from the same small table.
     """
-    seg = list(segment)
+    base, sk = _with_segkey(df, segment)
     frame_end = -1 if exclusive else Window.currentRow
-    w_local = Window.partitionBy(bucket, *seg).orderBy(*_cols(order)).rowsBetween(
+    w_local = Window.partitionBy(bucket, *sk).orderBy(*_cols(order)).rowsBetween(
         Window.unboundedPreceding, frame_end)
-    local = df.select("*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"_loc_{n}")
-                             for n, c in sums.items()])
+    local = base.select("*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"_loc_{n}")
+                               for n, c in sums.items()])
     # one row per (bucket, segment) present: bounded by buckets x segments-per-bucket
-    per_bucket = df.groupBy(bucket, *seg).agg(*[F.sum(c).alias(f"_tot_{n}") for n, c in sums.items()])
-    w_prev = Window.partitionBy(*seg).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*seg)
+    per_bucket = base.groupBy(bucket, *sk).agg(*[F.sum(c).alias(f"_tot_{n}") for n, c in sums.items()])
+    w_prev = Window.partitionBy(*sk).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*sk)
     offsets = per_bucket.select(
-        F.col(bucket).alias("_ob"), *[F.col(s).alias(f"_os_{s}") for s in seg],
+        bucket, *sk,
         *[F.coalesce(F.sum(f"_tot_{n}").over(w_prev), F.lit(0)).alias(f"_off_{n}") for n in sums],
         *[F.sum(f"_tot_{n}").over(w_all).alias(f"_all_{n}") for n in sums])
-    cond = F.col(bucket) == F.col("_ob")
-    for s in seg:
-        cond = cond & F.col(s).eqNullSafe(F.col(f"_os_{s}"))
-    joined = local.join(offsets, cond, "inner")
-    out = joined.select(
+    joined = local.join(offsets, [bucket, *sk], "inner")
+    return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_off_{n}") + F.col(f"_loc_{n}")).alias(n) for n in sums],
         *([F.col(f"_all_{n}").alias(f"{n}_total") for n in sums] if totals else []))
-    return out
 
 
 def segmented_lag(df: DataFrame, segment: Sequence[str], order: Sequence[str | Column],
@@ -201,21 +205,16 @@ def segmented_lag(df: DataFrame, segment: Sequence[str], order: Sequence[str | C
     bucket (a table with one row per (bucket, segment), never one task per segment).
     Adds one column per ``values`` entry (out name -> source column).
     """
-    seg = list(segment)
     ordc = _cols(order)
-    b = range_bucket(df, ordc, n_buckets)
-    w = Window.partitionBy(BUCKET, *seg).orderBy(*ordc)
+    b, sk = _with_segkey(range_bucket(df, ordc, n_buckets), segment)
+    w = Window.partitionBy(BUCKET, *sk).orderBy(*ordc)
     local = b.select("*", F.row_number().over(w).alias("_rn"),
                      *[F.lag(src).over(w).alias(f"_lag_{out}") for out, src in values.items()])
-    last = b.groupBy(BUCKET, *seg).agg(
+    last = b.groupBy(BUCKET, *sk).agg(
         F.max_by(F.struct(*[F.col(src).alias(f"_v_{out}") for out, src in values.items()]),
                  F.struct(*ordc)).alias("_last"))
-    carry = last.select(F.col(BUCKET).alias("_cb"), *[F.col(x).alias(f"_cs_{x}") for x in seg],
-                        F.lag("_last").over(Window.partitionBy(*seg).orderBy(BUCKET)).alias("_carry"))
-    cond = F.col(BUCKET) == F.col("_cb")
-    for x in seg:
-        cond = cond & F.col(x).eqNullSafe(F.col(f"_cs_{x}"))
-    joined = local.join(carry, cond, "left")
+    carry = last.select(BUCKET, *sk, F.lag("_last").over(Window.partitionBy(*sk).orderBy(BUCKET)).alias("_carry"))
+    joined = local.join(carry, [BUCKET, *sk], "left")
     outs = [F.when(F.col("_rn") == 1, F.col(f"_carry._v_{out}")).otherwise(F.col(f"_lag_{out}")).alias(out)
             for out in values]
     return joined.select(*[F.col(c) for c in df.columns], *outs)
