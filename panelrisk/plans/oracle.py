@@ -491,3 +491,42 @@ ORACLE["stream_counters"] = _LOG + """
 SELECT COALESCE(nivel_risco, '(none)') AS nivel_risco, count(*) AS n, max(NULLIF(timestamp, '')) AS ultima
 FROM lg GROUP BY 1
 """
+
+ORACLE["serving_features"] = """
+WITH r AS (
+  SELECT CAST(event_id AS VARCHAR) AS student_id,
+         value / 50.0 AS inde, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 10.0 AS ian,
+         value / 40.0 AS ida, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 12.0 AS ieg,
+         value / 60.0 AS iaa, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 11.0 AS ips,
+         value / 45.0 AS ipp, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 13.0 AS ipv,
+         CAST(trunc(hour(ts) / 3) AS INTEGER) AS fase, CAST(year(ts) AS INTEGER) AS ano,
+         event_type = 'purchase' AS ponto_de_virada
+  FROM events)
+SELECT student_id,
+       ROUND((ips + ipp + ipv) / 3, 6) AS INDICE_BEMESTAR,
+       ROUND((ida + ieg + iaa) / 3, 6) AS INDICE_PERFORMANCE,
+       ROUND(iaa - ida, 6) AS GAP_AUTO_REAL,
+       ROUND(inde * CAST(fase AS DOUBLE), 6) AS INDE_x_FASE,
+       ROUND(((ips + ipp + ipv) / 3) * ((ida + ieg + iaa) / 3), 6) AS BEMESTAR_x_PERFORMANCE,
+       0 AS ABAIXO_MEDIA_GERAL, 0.0::DOUBLE AS EVOLUCAO_INDE, CAST(fase AS DOUBLE) AS FASE, ano AS ANO,
+       CASE WHEN ponto_de_virada THEN 'Sim' ELSE 'Não' END AS PONTO_DE_VIRADA
+FROM r
+"""
+
+ORACLE["group_median_overwrite"] = """
+WITH p AS (
+  SELECT p_partkey,
+         CASE WHEN p_size <= 3 THEN NULL ELSE p_brand END AS brand,
+         CASE WHEN p_brand = 'Brand#7' OR p_size BETWEEN 40 AND 45 THEN NULL ELSE p_retailprice END AS price,
+         CASE WHEN p_type = 'SMALL' THEN NULL ELSE CAST(p_size AS DOUBLE) END AS size
+  FROM part),
+hn AS (SELECT bool_or(price IS NULL) AS hp, bool_or(size IS NULL) AS hs FROM p),
+g AS (SELECT brand, median(price) AS gp, median(size) AS gs FROM p WHERE brand IS NOT NULL GROUP BY brand),
+s1 AS (SELECT p.p_partkey, p.brand,
+              CASE WHEN p.brand IS NULL AND hn.hp THEN NULL ELSE COALESCE(p.price, g.gp) END AS price,
+              CASE WHEN p.brand IS NULL AND hn.hs THEN NULL ELSE COALESCE(p.size, g.gs) END AS size
+       FROM p CROSS JOIN hn LEFT JOIN g ON p.brand = g.brand),
+a AS (SELECT median(price) AS ap, median(size) AS asz FROM s1)
+SELECT p_partkey, brand, ROUND(COALESCE(price, a.ap), 6) AS price, ROUND(COALESCE(size, a.asz), 6) AS size
+FROM s1 CROSS JOIN a
+"""

@@ -682,3 +682,46 @@ def q_stream_counters(spark, sf):
     return spark.read.parquet(table)
 
 
+
+
+# ---------------------------------------------------------------- more operator queries
+from panelrisk.operators.scoring import serving_features  # noqa: E402
+
+
+def event_full_requests(spark, sf):
+    """Complete scoring requests from events: eight indicators from value and props."""
+    e = read(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("double")
+    v = F.col("value")
+    return e.select(
+        F.col("event_id").cast("string").alias("student_id"),
+        (v / 50.0).alias("inde"), (k / 10.0).alias("ian"), (v / 40.0).alias("ida"), (k / 12.0).alias("ieg"),
+        (v / 60.0).alias("iaa"), (k / 11.0).alias("ips"), (v / 45.0).alias("ipp"), (k / 13.0).alias("ipv"),
+        (F.hour("ts") / 3).cast("int").alias("fase"), F.year("ts").alias("ano"),
+        (F.col("event_type") == "purchase").alias("ponto_de_virada"))
+
+
+@query("serving_features")
+def q_serving_features(spark, sf):
+    """F6 + P13: request-time features (fixed /3 means, products, zeros for history)."""
+    out = serving_features(event_full_requests(spark, sf))
+    cols = ["INDICE_BEMESTAR", "INDICE_PERFORMANCE", "GAP_AUTO_REAL", "INDE_x_FASE", "BEMESTAR_x_PERFORMANCE"]
+    return out.select("student_id", *[F.round(c, 6).alias(c) for c in cols], "ABAIXO_MEDIA_GERAL",
+                      "EVOLUCAO_INDE", "FASE", "ANO", "PONTO_DE_VIRADA")
+
+
+@query("group_median_overwrite")
+def q_group_median_overwrite(spark, sf):
+    """M2 + M3 with the reference's D4 behaviour: in a column with any null, rows whose
+    group key is null take the global fallback even where they had a value."""
+    out = impute_group_median(part_with_gaps(spark, sf), ["price", "size"], "brand", null_group="overwrite")
+    return out.select("p_partkey", "brand", F.round("price", 6).alias("price"), F.round("size", 6).alias("size"))
+
+
+@query("drift_job")
+def q_drift_job(spark, sf):
+    """K5 end to end: the orders panel (prepared + featured) against an exact seeded 30 %
+    sample of itself; per-column drift rows."""
+    from panelrisk.plans.jobs import drift_job
+    per, _summary = drift_job(orders_wide_raw(read(spark, sf, "orders")), None, ORDERS_SPEC, ORDERS_PANEL_LAYOUT)
+    return _r6(per)
