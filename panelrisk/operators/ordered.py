@@ -100,8 +100,13 @@ def _as_double(c: Column, dt: T.DataType) -> Column | None:
         return c.cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(dt, T.TimestampNTZType):
+        # wall-clock fields only: a cast through the session time zone is not monotone
+        # across daylight-saving gaps
+        return (F.unix_date(c.cast("date")).cast("double") * 86400e6 + F.hour(c) * 3600e6
+                + F.minute(c) * 60e6 + F.date_part(F.lit("SECOND"), c).cast("double") * 1e6)
     return None
 
 

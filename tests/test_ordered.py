@@ -67,3 +67,18 @@ def test_cut_points_with_duplicates_and_nulls(spark):
     cuts = cut_points(df, ["x"], 8)
     assert cuts == sorted(set(cuts), key=lambda t: (t[0] is not None, t[0]))
     assert range_bucket(df, ["x"], 8).where("_bucket is null").count() == 0
+
+
+def test_ntz_buckets_monotone_across_dst(spark):
+    from panelrisk.operators.ordered import _as_double
+    from pyspark.sql import types as T
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        ts = ["2024-03-10 01:59:59.5", "2024-03-10 02:30:00", "2024-03-10 03:00:00.25",
+              "2024-11-03 01:10:00", "2024-11-03 01:30:00"]
+        df = spark.createDataFrame([(t,) for t in ts], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+        vals = [r.x for r in df.select(_as_double(F.col("t"), T.TimestampNTZType()).alias("x")).collect()]
+        assert vals == sorted(vals) and len(set(vals)) == len(vals)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
