@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,3 +90,9 @@ def safe_div(num: Column, den: Column) -> Column:
 
 def is_numeric_type(dt: T.DataType) -> bool:
     return isinstance(dt, (T.NumericType, T.BooleanType))
+
+
+def scalars(one_row: DataFrame) -> dict[str, Column]:
+    """The columns of a one-row aggregate as scalar subqueries: computed once (Catalyst
+    merges subqueries over the same aggregate) and used as values - no join."""
+    return {c: one_row.select(c).scalar() for c in one_row.columns}

@@ -1,9 +1,9 @@
 """Missing-data operators.
 
-All statistics are aggregates joined back lazily: group medians are a distributed
-table (one row per group, joined with a plain equi-join that AQE turns into a
-broadcast only when its measured size allows); global medians and modes are exactly
-one row, so their broadcast is bounded by construction.
+All statistics are aggregates used lazily: group medians are a distributed table
+(one row per group, joined with a plain equi-join that AQE turns into a broadcast only
+when its measured size allows); global medians and modes are one-row aggregates used
+as scalar subqueries.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelrisk.functions.columns import scalars
 from panelrisk.operators.stats import medians_wide, mode_value
 
 
@@ -64,16 +65,14 @@ def impute_group_median(df: DataFrame, cols: Sequence[str], group: str,
     gmed = gmed.withColumnRenamed(group, "__grp")
     step1 = df.join(gmed, F.col(group) == F.col("__grp"), "left")
     if null_group == "overwrite":
-        has_null = df.agg(*[F.max(F.col(c).isNull().cast("int")).alias(f"{c}__hn") for c in cols])
-        step1 = step1.crossJoin(F.broadcast(has_null))
-        filled = {c: F.when(F.col(group).isNull() & (F.col(f"{c}__hn") == 1), F.lit(None).cast("double"))
+        hn = scalars(df.agg(*[F.max(F.col(c).isNull().cast("int")).alias(f"{c}__hn") for c in cols]))
+        filled = {c: F.when(F.col(group).isNull() & (hn[f"{c}__hn"] == 1), F.lit(None).cast("double"))
                   .otherwise(F.coalesce(F.col(c).cast("double"), F.col(f"{c}__g"))) for c in cols}
     else:
         filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__g")) for c in cols}
     step1 = step1.select(*[filled.get(c, F.col(c)).alias(c) for c in others])
-    gall = medians_wide(step1, cols, suffix="__a", n_buckets=n_buckets)
-    step2 = step1.crossJoin(F.broadcast(gall))
-    return step2.select(*[F.coalesce(F.col(c), F.col(f"{c}__a")).alias(c) if c in cols else F.col(c)
+    gall = scalars(medians_wide(step1, cols, suffix="__a", n_buckets=n_buckets))
+    return step1.select(*[F.coalesce(F.col(c), gall[f"{c}__a"]).alias(c) if c in cols else F.col(c)
                           for c in others])
 
 
@@ -82,20 +81,17 @@ def impute_global_median(df: DataFrame, cols: Sequence[str], n_buckets: int | No
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    gall = medians_wide(df, cols, suffix="__a", n_buckets=n_buckets)
-    j = df.crossJoin(F.broadcast(gall))
-    return j.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"{c}__a")).alias(c) if c in cols
-                      else F.col(c) for c in df.columns])
+    gall = scalars(medians_wide(df, cols, suffix="__a", n_buckets=n_buckets))
+    return df.select(*[F.coalesce(F.col(c).cast("double"), gall[f"{c}__a"]).alias(c) if c in cols
+                       else F.col(c) for c in df.columns])
 
 
 def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """M5: null -> most frequent value (ties: smallest); an all-null column stays null."""
     cols = [c for c in cols if c in df.columns]
-    out = df
-    for c in cols:
-        out = out.crossJoin(F.broadcast(mode_value(df, c, f"{c}__mode")))
-    return out.select(*[F.coalesce(F.col(c), F.col(f"{c}__mode")).alias(c) if c in cols else F.col(c)
-                        for c in df.columns])
+    modes = {c: mode_value(df, c, f"{c}__mode").select(f"{c}__mode").scalar() for c in cols}
+    return df.select(*[F.coalesce(F.col(c), modes[c]).alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
 
 
 def handle_missing_values(df: DataFrame, indicators: Sequence[str], group: str | None,
@@ -134,11 +130,8 @@ class PanelImputer:
             base = impute_group_median(df, num, self.group)
         global_tab = medians_wide(base, num, suffix="__a") if num else None
         cats = [c for c in self.categoricals if c in df.columns]
-        mode_tab = None
-        for c in cats:
-            m = mode_value(df, c, f"{c}__mode")
-            mode_tab = m if mode_tab is None else mode_tab.crossJoin(m)
-        return PanelImputerModel(num, self.group, cats, group_tab, global_tab, mode_tab)
+        mode_tabs = {c: mode_value(df, c, f"{c}__mode") for c in cats}
+        return PanelImputerModel(num, self.group, cats, group_tab, global_tab, mode_tabs)
 
 
 class PanelImputerModel:
@@ -155,12 +148,10 @@ class PanelImputerModel:
             for c in self.num:
                 fills[c] = [F.col(f"{c}__g")]
         if self.global_tab is not None:
-            out = out.crossJoin(F.broadcast(self.global_tab))
+            g_all = scalars(self.global_tab)
             for c in self.num:
-                fills.setdefault(c, []).append(F.col(f"{c}__a"))
-        if self.mode_tab is not None:
-            out = out.crossJoin(F.broadcast(self.mode_tab))
-            for c in self.cats:
-                fills.setdefault(c, []).append(F.col(f"{c}__mode"))
+                fills.setdefault(c, []).append(g_all[f"{c}__a"])
+        for c, tab in (self.mode_tab or {}).items():
+            fills.setdefault(c, []).append(scalars(tab)[f"{c}__mode"])
         return out.select(*[F.coalesce(F.col(c), *fills[c]).alias(c) if c in fills else F.col(c)
                             for c in df.columns])

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.functions.columns import row_mean
+from panelrisk.functions.columns import row_mean, scalars
 from panelrisk.operators.ordered import plain_lag, segmented_lag
 from panelrisk.operators.stats import medians_wide
 from panelrisk.spec import PanelSpec
@@ -34,17 +34,16 @@ def add_all_below_median(df: DataFrame, cols: Sequence[str], name: str,
                          n_buckets: int | None = None) -> DataFrame:
     """1 iff every present column is strictly below its column median; null -> 0.
 
-    The medians are one row (a proven size bound), so the broadcast is safe.
+    The medians are one row, used as scalar subqueries.
     """
     present = [c for c in cols if c in df.columns]
     if not present:
         return df
-    med = medians_wide(df, present, suffix="__med", n_buckets=n_buckets)
-    joined = df.crossJoin(F.broadcast(med))
+    med = scalars(medians_wide(df, present, suffix="__med", n_buckets=n_buckets))
     cond = F.lit(True)
     for c in present:
-        cond = cond & F.coalesce(F.col(c) < F.col(f"{c}__med"), F.lit(False))
-    return joined.withColumn(name, F.when(cond, 1).otherwise(0)).drop(*[f"{c}__med" for c in present])
+        cond = cond & F.coalesce(F.col(c) < med[f"{c}__med"], F.lit(False))
+    return df.withColumn(name, F.when(cond, 1).otherwise(0))
 
 
 def add_lag_diff(df: DataFrame, value: str, entity: str | None, period: str, name: str,

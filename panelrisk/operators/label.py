@@ -1,7 +1,7 @@
 """Label encoding and class weights (A4).
 
-The whole-column "is it binary?" decision (L3) stays lazy: a one-row aggregate is
-broadcast and the choice is a CASE per row, so no job runs at plan time.
+The whole-column "is it binary?" decision (L3) stays lazy: a one-row aggregate used as
+a scalar subquery, and the choice is a CASE per row, so no job runs at plan time.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelrisk.functions.columns import lenient_double, rule_flag, text_code
+from panelrisk.functions.columns import lenient_double, rule_flag, scalars, text_code
 
 
 def encode_label(df: DataFrame, label: str, rule: Sequence[tuple[str, float]],
@@ -29,13 +29,12 @@ def encode_label(df: DataFrame, label: str, rule: Sequence[tuple[str, float]],
     x = text_code(F.col(label), text_map).cast("double") if isinstance(dt, T.StringType) \
         else lenient_double(F.col(label))
     staged = df.withColumn("__y", x)
-    flag = staged.agg(F.coalesce(F.bool_and(F.when(F.col("__y").isNotNull(), F.col("__y").isin(0.0, 1.0))),
-                                 F.lit(True)).alias("__binary"))
-    j = staged.crossJoin(F.broadcast(flag))
+    binary = scalars(staged.agg(F.coalesce(
+        F.bool_and(F.when(F.col("__y").isNotNull(), F.col("__y").isin(0.0, 1.0))), F.lit(True)).alias("b")))["b"]
     signed = F.when(F.col("__y") < 0, 1).when(F.col("__y").isNotNull(), 0)
-    value = F.when(F.col("__binary"), F.coalesce(F.col("__y").cast("int"), derived)) \
+    value = F.when(binary, F.coalesce(F.col("__y").cast("int"), derived)) \
         .otherwise(F.coalesce(signed, derived))
-    return j.select(*[value.cast("int").alias(c) if c == label else F.col(c) for c in df.columns])
+    return staged.select(*[value.cast("int").alias(c) if c == label else F.col(c) for c in df.columns])
 
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:

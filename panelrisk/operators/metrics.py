@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.functions.columns import safe_div
+from panelrisk.functions.columns import safe_div, scalars
 from panelrisk.operators.ordered import range_bucket, running_sums
 from panelrisk.session import materialize
 from panelrisk.spec import GATES
@@ -62,7 +62,7 @@ def summary_metrics(df: DataFrame, label: str = "label", pred: str = "prediction
         F.avg("precision").alias("precision_macro"),
         F.avg("recall").alias("recall_macro"),
         F.coalesce(F.max(F.when(F.col("cls") == positive, F.col("recall"))), F.lit(0.0)).alias("recall_positiva"))
-    return m.crossJoin(acc)
+    return m.withColumn("accuracy", scalars(acc)["accuracy"])
 
 
 def score_counts(df: DataFrame, label: str = "label", score: str = "score", positive: int = 1) -> DataFrame:
@@ -97,16 +97,16 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positiv
     g = materialize(score_counts(df, label, score, positive).withColumn("_neg_score", -F.col("score")))
     cum = running_sums(range_bucket(g, ["_neg_score"], n_buckets), [], ["_neg_score"],
                        {"tps": F.col("pos"), "fps": F.col("neg")})
-    tot = g.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    return cum.crossJoin(F.broadcast(tot)).select(
+    tot = scalars(g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
+    return cum.select(
         F.col("score").alias("threshold"),
-        (F.col("fps") / F.nullif("_N", F.lit(0))).alias("fpr"),
-        (F.col("tps") / F.nullif("_P", F.lit(0))).alias("tpr"))
+        (F.col("fps") / F.nullif(tot["N"], F.lit(0))).alias("fpr"),
+        (F.col("tps") / F.nullif(tot["P"], F.lit(0))).alias("tpr"))
 
 
 def evaluate(df: DataFrame, label: str = "label", pred: str = "prediction", score: str = "score") -> DataFrame:
     """O2: the reference's metric set as one row."""
-    return summary_metrics(df, label, pred).crossJoin(roc_auc(df, label, score))
+    return summary_metrics(df, label, pred).withColumn("roc_auc", scalars(roc_auc(df, label, score))["roc_auc"])
 
 
 def metrics_long(metrics_row: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelrisk.functions.columns import scalars
 from panelrisk.operators.label import with_weight_column
 from panelrisk.operators.metrics import cv_summary, per_group_metrics, roc_auc_by
 from panelrisk.session import materialize
@@ -31,14 +32,13 @@ PROB1 = "probability_1"
 def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_std") -> DataFrame:
     """A1: (x - mean) / population std; zero variance -> 0 (sklearn semantics).
 
-    Statistics are one row, so the broadcast is bounded.
+    Statistics are one aggregate row, used as scalar subqueries.
     """
-    stats = df.agg(*[F.avg(c).alias(f"{c}__mu") for c in cols], *[F.stddev_pop(c).alias(f"{c}__sd") for c in cols])
-    j = df.crossJoin(F.broadcast(stats))
-    out = j.select(*df.columns, *[
-        F.when(F.col(f"{c}__sd") == 0, F.lit(0.0))
-        .otherwise((F.col(c) - F.col(f"{c}__mu")) / F.col(f"{c}__sd")).alias(f"{c}{suffix}") for c in cols])
-    return out
+    st = scalars(df.agg(*[F.avg(c).alias(f"{c}__mu") for c in cols],
+                        *[F.stddev_pop(c).alias(f"{c}__sd") for c in cols]))
+    return df.select(*df.columns, *[
+        F.when(st[f"{c}__sd"] == 0, F.lit(0.0))
+        .otherwise((F.col(c) - st[f"{c}__mu"]) / st[f"{c}__sd"]).alias(f"{c}{suffix}") for c in cols])
 
 
 def one_hot(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
@@ -155,7 +155,8 @@ def cross_validate(df: DataFrame, label: str, numeric: Sequence[str], categorica
         tp = train_preds[0]
         for p in train_preds[1:]:
             tp = tp.unionByName(p)
-        out = out.crossJoin(per_group_metrics(tp, fold_col, label).agg(F.avg("f1_macro").alias("train_f1_macro_mean")))
+        train_f1 = scalars(per_group_metrics(tp, fold_col, label).agg(F.avg("f1_macro").alias("t")))["t"]
+        out = out.withColumn("train_f1_macro_mean", train_f1)
     return out
 
 
