@@ -555,7 +555,7 @@ def user_day_panel(spark, sf):
 
 def _folds(spark, sf):
     from panelrisk.operators.sampling import stratified_folds
-    return stratified_folds(user_day_panel(spark, sf), "label", "uid", k=5)
+    return materialize(stratified_folds(user_day_panel(spark, sf), "label", "uid", k=5), "folds")
 
 
 SMALL_FOREST = dict(num_trees=20, max_depth=5)
@@ -565,7 +565,8 @@ SMALL_FOREST = dict(num_trees=20, max_depth=5)
 def q_train_score(spark, sf):
     """A8 + A12 + C2/C3: train on the 80% split, score the 20% hold-out."""
     from panelrisk.operators.sampling import split_frames, stratified_split
-    split = stratified_split(user_day_panel(spark, sf), "label", "uid")
+    # the split is read by every fit pass (indexer, encoder, scaler, forest): write it once
+    split = materialize(stratified_split(user_day_panel(spark, sf), "label", "uid"), "split")
     tr, te = split_frames(split)
     model = ML.train(tr, "label", USER_NUMERIC, USER_CATEGORICAL, ML.random_forest("label", **SMALL_FOREST))
     scored = ML.with_probability(model.transform(te))
@@ -612,7 +613,7 @@ def q_feature_importance(spark, sf):
 
 from pyspark.sql import types as T  # noqa: E402
 
-from panelrisk.session import scratch_path  # noqa: E402
+from panelrisk.session import materialize, scratch_path  # noqa: E402
 from panelrisk.sources.files import PREDICTION_LOG_SCHEMA, load_csv, read_jsonl, write_csv  # noqa: E402
 from panelrisk.sources.registry import latest  # noqa: E402
 from panelrisk.streaming.score_stream import counters_stream, counters_view, score_stream  # noqa: E402

@@ -64,3 +64,16 @@ def latest(registry: DataFrame, ts: str = "trained_at") -> DataFrame:
     cols = registry.columns
     return (registry.agg(F.max_by(F.struct(*cols), F.col(ts)).alias("_r"))
             .where(F.col("_r").isNotNull()).select("_r.*"))
+
+
+def model_metadata(registry: DataFrame, model_path: str | None = None) -> DataFrame:
+    """Metadata of the newest run (of ``model_path`` when given); when the registry
+    has none, the reference's default (version 'desconhecida', no features)."""
+    runs = registry if model_path is None else registry.where(F.col("model_path") == model_path)
+    spark = registry.sparkSession
+    default = spark.createDataFrame([(DEFAULT_METADATA["version"], None, None, DEFAULT_METADATA["features"],
+                                      None, None, None, model_path)], REGISTRY_SCHEMA)
+    found = latest(runs).withColumn("_pick", F.lit(0))
+    both = found.unionByName(default.withColumn("_pick", F.lit(1)))
+    # at most two rows: the newest run if there is one, else the default
+    return both.orderBy("_pick").limit(1).drop("_pick")

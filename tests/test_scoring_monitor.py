@@ -10,7 +10,7 @@ from panelrisk.operators.monitor import kpis, log_summary, recent_predictions
 from panelrisk.operators.scoring import EDUCATION_CONTRACT, recode_turning_point, score_records, validate_requests
 from panelrisk.session import scratch_path
 from panelrisk.sources.files import PREDICTION_LOG_SCHEMA, load_csv, read_jsonl, write_csv
-from panelrisk.sources.registry import latest
+from panelrisk.sources.registry import REGISTRY_SCHEMA, latest, model_metadata, run_record
 
 REQ = ("student_id string, inde double, ian double, ida double, ieg double, iaa double, ips double, "
        "ipp double, ipv double, fase int, ano int, ponto_de_virada boolean")
@@ -110,3 +110,11 @@ def test_registry_latest(spark):
                                "version string, trained_at string").withColumn("trained_at", F.to_timestamp("trained_at"))
     assert latest(df).first().version == "v2"
     assert latest(df.limit(0)).count() == 0
+
+
+def test_model_metadata_default_and_latest(spark):
+    empty = spark.createDataFrame([], REGISTRY_SCHEMA)
+    d = model_metadata(empty).first()
+    assert d.version == "desconhecida" and d.features == []
+    reg = run_record(spark, "2.0.0", "rf", ["INDE"], {"f1_macro_mean": 0.9}, {"f1_macro": 0.8}, True, "/m")
+    assert model_metadata(reg, "/m").first().version == "2.0.0"
