@@ -649,13 +649,12 @@ def q_registry_latest(spark, sf):
     """S8 + S9: one run record per order year appended to a registry table; latest wins."""
     o = read(spark, sf, "orders")
     runs = o.groupBy(F.year("o_orderdate").alias("y")).agg(
-        F.max("o_orderdate").cast("timestamp").alias("trained_at"), F.count(F.lit(1)).alias("n_rows"))
+        F.max("o_orderdate").alias("trained_at"), F.count(F.lit(1)).alias("n_rows"))
     runs = runs.select(F.concat(F.lit("v"), F.col("y").cast("string")).alias("version"), "trained_at",
                        F.lit("RandomForestClassifier").alias("algorithm"), "n_rows")
     path = scratch_path(spark, "registry")
     runs.write.mode("append").parquet(path)
-    return latest(spark.read.parquet(path)).select("version", F.col("trained_at").cast("timestamp_ntz")
-                                                   .alias("trained_at"), "algorithm", "n_rows")
+    return latest(spark.read.parquet(path)).select("version", "trained_at", "algorithm", "n_rows")
 
 
 REQUEST_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("inde", T.DoubleType()),
