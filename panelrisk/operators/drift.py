@@ -84,6 +84,7 @@ def categorical_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], thres
     """K2: Jensen-Shannon distance (natural log) and PSI per categorical column."""
     counts = materialize(_side_counts(ref, cur, cols, "string"))
     tot = counts.groupBy(VAR).agg(F.sum("nr").alias("_tr"), F.sum("nc").alias("_tc")).withColumnRenamed(VAR, "_c")
+    # one row per checked column (a plan-time list): a bounded broadcast
     j = counts.join(F.broadcast(tot), F.col(VAR) == F.col("_c"))
     p = F.col("nr") / F.col("_tr")
     q = F.col("nc") / F.col("_tc")

@@ -60,4 +60,5 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def with_weight_column(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Attach the balanced class weight to every row (join on a one-row-per-class table)."""
     cw = class_weights(df, label).select(F.col(label).alias("__cls"), F.col("weight").alias(name))
+    # one row per class: a bounded broadcast
     return df.join(F.broadcast(cw), F.col(label) == F.col("__cls"), "left").drop("__cls")

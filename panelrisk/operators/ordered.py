@@ -210,8 +210,12 @@ def segmented_lag(df: DataFrame, segment: Sequence[str], order: Sequence[str | C
     bucket (a table with one row per (bucket, segment), never one task per segment).
     Adds one column per ``values`` entry (out name -> source column).
     """
+    from panelrisk.session import materialize
     ordc = _cols(order)
-    b, sk = _with_segkey(range_bucket(df, ordc, n_buckets), segment)
+    # the input feeds the bucket sample, the local window and the last-row table: write it
+    # once so the upstream plan runs a single time
+    staged = materialize(df, "lag-input")
+    b, sk = _with_segkey(range_bucket(staged, ordc, n_buckets), segment)
     w = Window.partitionBy(BUCKET, *sk).orderBy(*ordc)
     local = b.select("*", F.row_number().over(w).alias("_rn"),
                      *[F.lag(src).over(w).alias(f"_lag_{out}") for out, src in values.items()])
