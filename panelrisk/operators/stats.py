@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.operators.ordered import range_bucket, running_sums
@@ -42,14 +42,10 @@ def _medians(df: DataFrame, cols: Sequence[str], group: Sequence[str],
     seg = [*g, VAR]
     # distinct (segment, value) counts, written once: the size check, the bucket sample
     # and both scan branches read this compact table instead of recomputing it
-    obs = Observation()
-    counts = materialize(_long_values(df, cols, g).groupBy(*seg, VAL).agg(F.count(F.lit(1)).alias("_cnt"))
-                         .observe(obs, F.count(F.lit(1)).alias("rows")), "value-counts")
+    counts = materialize(_long_values(df, cols, g).groupBy(*seg, VAL).agg(F.count(F.lit(1)).alias("_cnt")),
+                         "value-counts")
     limit = SMALL_DISTINCT if small_distinct is None else small_distinct
-    # the table's row count (observed while writing it) bounds its widest segment
-    widest = obs.get["rows"]
-    if widest > limit:
-        widest = counts.groupBy(*seg).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    widest = counts.groupBy(*seg).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
     if widest <= limit:
         return counts.groupBy(*seg).agg(F.percentile(VAL, 0.5, F.col("_cnt")).alias("_median")), False
     j = running_sums(range_bucket(counts, [VAL], n_buckets), seg, [VAL],
