@@ -71,3 +71,26 @@ def materialize(df, name: str = "stage"):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def recommended_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 4,
+                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session settings sized to the input volume (e.g. 100 TB on 1,000 executors).
+
+    Shuffle partitions are chosen so that one partition of the largest shuffle holds
+    about ``target_partition_bytes`` (and at least two waves of tasks), AQE coalesces
+    small partitions and splits skewed join partitions at runtime, and scan splits match
+    the same target.  The ordered scans take their bucket count from the shuffle
+    partitions (capped at 4,096 literal splits).
+    """
+    slots = max(1, executors * cores_per_executor)
+    parts = max(2 * slots, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }

@@ -82,3 +82,12 @@ def test_ntz_buckets_monotone_across_dst(spark):
         assert vals == sorted(vals) and len(set(vals)) == len(vals)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_recommended_conf_scales_with_input():
+    from panelrisk.session import recommended_conf
+    big = recommended_conf(100 * (1 << 40))
+    small = recommended_conf(1 << 30, executors=2, cores_per_executor=4)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
