@@ -45,7 +45,10 @@ def _medians(df: DataFrame, cols: Sequence[str], group: Sequence[str],
     counts = materialize(_long_values(df, cols, g).groupBy(*seg, VAL).agg(F.count(F.lit(1)).alias("_cnt")),
                          "value-counts")
     limit = SMALL_DISTINCT if small_distinct is None else small_distinct
-    widest = counts.groupBy(*seg).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    # the table's row count bounds its widest segment; count the segments only beyond it
+    widest = counts.count()
+    if widest > limit:
+        widest = counts.groupBy(*seg).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
     if widest <= limit:
         return counts.groupBy(*seg).agg(F.percentile(VAL, 0.5, F.col("_cnt")).alias("_median")), False
     j = running_sums(range_bucket(counts, [VAL], n_buckets), seg, [VAL],
