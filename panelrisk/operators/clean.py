@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelrisk.functions.columns import scalars
-from panelrisk.operators.stats import medians_wide, mode_value
+from panelrisk.operators import stats
+from panelrisk.operators.stats import (
+    VAL, VAR, medians_from_counts, medians_wide, mode_value, value_counts, widen_medians)
+from panelrisk.session import materialize
 
 
 def _missing(c: str, dt: T.DataType):
@@ -55,23 +58,48 @@ def impute_group_median(df: DataFrame, cols: Sequence[str], group: str,
     ``null_group="keep"`` leaves values of rows with a null group key alone;
     ``"overwrite"`` reproduces the reference, which replaces every value of such rows
     (in a column that has at least one null) with the global fallback.
+
+    One pass over the data: a (group, column, value) count table that also counts the
+    nulls.  The group medians come from its non-null rows; the column after the group
+    fill is, as counts, its non-null rows plus each group's null count at that group's
+    median - so the fallback median and the overwrite flags read the compact table
+    instead of scanning the filled frame again.
     """
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
     others = [c for c in df.columns]
-    keyed = df.where(F.col(group).isNotNull())
-    gmed = medians_wide(keyed, cols, [group], suffix="__g", n_buckets=n_buckets)
-    gmed = gmed.withColumnRenamed(group, "__grp")
-    step1 = df.join(gmed, F.col(group) == F.col("__grp"), "left")
+    counts = value_counts(df, cols, [group], keep_nulls=True)
+    # every table derived below has at most this many rows
+    bound = counts.count()
+    keyed = counts.where(F.col(group).isNotNull())
+    gmed = widen_medians(*medians_from_counts(keyed.where(F.col(VAL).isNotNull()), [group], n_buckets,
+                                              rows_bound=bound), cols, [group], "__g")
     if null_group == "overwrite":
-        hn = scalars(df.agg(*[F.max(F.col(c).isNull().cast("int")).alias(f"{c}__hn") for c in cols]))
+        hn = scalars(counts.agg(*[F.max(((F.col(VAR) == c) & F.col(VAL).isNull()).cast("int"))
+                                  .alias(f"{c}__hn") for c in cols]))
         filled = {c: F.when(F.col(group).isNull() & (hn[f"{c}__hn"] == 1), F.lit(None).cast("double"))
                   .otherwise(F.coalesce(F.col(c).cast("double"), F.col(f"{c}__g"))) for c in cols}
     else:
         filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__g")) for c in cols}
+    step1 = df.join(gmed.withColumnRenamed(group, "__grp"), F.col(group) == F.col("__grp"), "left")
     step1 = step1.select(*[filled.get(c, F.col(c)).alias(c) for c in others])
-    gall = scalars(medians_wide(step1, cols, suffix="__a", n_buckets=n_buckets))
+
+    # value counts of the filled columns
+    gm = (gmed.select(group, *[F.col(f"{c}__g").alias(c) for c in cols])
+          .unpivot([group], cols, VAR, "_m").where(F.col("_m").isNotNull()))
+    fill = (keyed.where(F.col(VAL).isNull()).join(gm, [group, VAR])
+            .select(VAR, F.col("_m").alias(VAL), "_cnt"))
+    kept = counts.where(F.col(VAL).isNotNull())
+    if null_group == "overwrite":
+        emptied = counts.where(F.col(VAL).isNull()).select(VAR).distinct()
+        kept = kept.where(F.col(group).isNotNull()).unionByName(
+            kept.where(F.col(group).isNull()).join(emptied, VAR, "left_anti"))
+    after = kept.select(VAR, VAL, "_cnt").unionByName(fill).groupBy(VAR, VAL).agg(F.sum("_cnt").alias("_cnt"))
+    if bound > stats.SMALL_DISTINCT:
+        after = materialize(after, "value-counts")
+    gall = scalars(widen_medians(*medians_from_counts(after, [], n_buckets, rows_bound=bound), cols,
+                                 suffix="__a"))
     return step1.select(*[F.coalesce(F.col(c), gall[f"{c}__a"]).alias(c) if c in cols else F.col(c)
                           for c in others])
 

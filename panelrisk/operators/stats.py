@@ -23,11 +23,27 @@ from panelrisk.session import materialize
 VAR, VAL = "_var", "_val"
 
 
-def _long_values(df: DataFrame, cols: Sequence[str], group: Sequence[str]) -> DataFrame:
+def _long_values(df: DataFrame, cols: Sequence[str], group: Sequence[str],
+                 keep_nulls: bool = False) -> DataFrame:
     g = list(group)
+    present = ~F.isnan(VAL) if keep_nulls else F.col(VAL).isNotNull() & ~F.isnan(VAL)
     return (df.select(*g, *[F.col(c).cast("double").alias(c) for c in cols])
             .unpivot(g, list(cols), VAR, VAL)
-            .where(F.col(VAL).isNotNull() & ~F.isnan(VAL)))
+            .where(present))
+
+
+def value_counts(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
+                 keep_nulls: bool = False) -> DataFrame:
+    """Distinct (group..., _var, _val) counts ``_cnt``, written once (NaN skipped).
+
+    A map-side partial count collapses repeated values before the shuffle, so a hot
+    group costs one row per distinct value.  With ``keep_nulls`` the missing values of
+    each (group, column) are counted under a null ``_val``.  The size check, the bucket
+    sample and both scan branches of the median read this compact table.
+    """
+    seg = [*group, VAR]
+    return materialize(_long_values(df, cols, group, keep_nulls).groupBy(*seg, VAL)
+                       .agg(F.count(F.lit(1)).alias("_cnt")), "value-counts")
 
 
 # a segment with at most this many distinct values is reduced by one exact weighted
@@ -36,17 +52,16 @@ def _long_values(df: DataFrame, cols: Sequence[str], group: Sequence[str]) -> Da
 SMALL_DISTINCT = 200_000
 
 
-def _medians(df: DataFrame, cols: Sequence[str], group: Sequence[str],
-             n_buckets: int | None, small_distinct: int | None = None) -> tuple[DataFrame, bool]:
-    g = list(group)
-    seg = [*g, VAR]
-    # distinct (segment, value) counts, written once: the size check, the bucket sample
-    # and both scan branches read this compact table instead of recomputing it
-    counts = materialize(_long_values(df, cols, g).groupBy(*seg, VAL).agg(F.count(F.lit(1)).alias("_cnt")),
-                         "value-counts")
+def medians_from_counts(counts: DataFrame, group: Sequence[str] = (), n_buckets: int | None = None,
+                        small_distinct: int | None = None,
+                        rows_bound: int | None = None) -> tuple[DataFrame, bool]:
+    """Exact medians per (group..., _var) from a (group..., _var, _val, _cnt) table
+    without null values.  Returns the long result and whether the bucketed scan ran.
+    ``rows_bound``, when known, is an upper bound of the table's row count."""
+    seg = [*group, VAR]
     limit = SMALL_DISTINCT if small_distinct is None else small_distinct
     # the table's row count bounds its widest segment; count the segments only beyond it
-    widest = counts.count()
+    widest = counts.count() if rows_bound is None or rows_bound > limit else rows_bound
     if widest > limit:
         widest = counts.groupBy(*seg).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
     if widest <= limit:
@@ -64,18 +79,21 @@ def _medians(df: DataFrame, cols: Sequence[str], group: Sequence[str],
     return agg.select(*seg, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(0.5)).alias("_median")), True
 
 
+def _medians(df: DataFrame, cols: Sequence[str], group: Sequence[str],
+             n_buckets: int | None, small_distinct: int | None = None) -> tuple[DataFrame, bool]:
+    return medians_from_counts(value_counts(df, cols, group), group, n_buckets, small_distinct)
+
+
 def medians_long(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
                  n_buckets: int | None = None, small_distinct: int | None = None) -> DataFrame:
     """One row per (group..., _var) with the exact median ``_median`` (nulls skipped)."""
     return _medians(df, cols, group, n_buckets, small_distinct)[0]
 
 
-def medians_wide(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
-                 suffix: str = "", n_buckets: int | None = None,
-                 small_distinct: int | None = None) -> DataFrame:
-    """One row per group (or exactly one row) with a median column per input column."""
+def widen_medians(long: DataFrame, heavy: bool, cols: Sequence[str], group: Sequence[str] = (),
+                  suffix: str = "") -> DataFrame:
+    """Long medians -> one row per group (or exactly one row), a column per input column."""
     g = list(group)
-    long, heavy = _medians(df, cols, g, n_buckets, small_distinct)
     aggs = [F.max(F.when(F.col(VAR) == c, F.col("_median"))).alias(f"{c}{suffix}") for c in cols]
     # global: always exactly one row, even when every value is null
     wide = long.groupBy(*g).agg(*aggs) if g else long.agg(*aggs)
@@ -84,6 +102,14 @@ def medians_wide(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
     return materialize(wide, "medians") if heavy else wide
 
 
+def medians_wide(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
+                 suffix: str = "", n_buckets: int | None = None,
+                 small_distinct: int | None = None) -> DataFrame:
+    """One row per group (or exactly one row) with a median column per input column."""
+    long, heavy = _medians(df, cols, list(group), n_buckets, small_distinct)
+    return widen_medians(long, heavy, cols, group, suffix)
+
+
 def mode_value(df: DataFrame, c: str, alias: str | None = None) -> DataFrame:
     """One-row frame: most frequent non-null value of ``c``; ties -> smallest; none -> null."""
     counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_cnt"))

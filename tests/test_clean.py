@@ -56,6 +56,52 @@ def test_group_median_impute(spark):
     assert sorted(over) == sorted([1.0, 3.0, 2.0, 2.0, 2.0, 2.0, 2.0])
 
 
+def _brute_group_median(rows, cols, null_group):
+    """Direct pandas statement of M2 + M3 (with the overwrite variant)."""
+    import pandas as pd
+    pdf = pd.DataFrame(rows, columns=["g", *cols])
+    out = pdf.copy()
+    for c in cols:
+        med = pdf[pdf.g.notna()].groupby("g")[c].median()
+        filled = pdf[c].where(pdf[c].notna() | pdf[c].isna() & pdf.g.isna(),
+                              pdf.g.map(med))
+        if null_group == "overwrite" and pdf[c].isna().any():
+            filled = filled.where(pdf.g.notna(), float("nan"))
+        out[c] = filled.fillna(filled.median())
+    return sorted((tuple(None if v != v else v for v in r) for r in out[["g", *cols]].itertuples(index=False)),
+                  key=_null_first)
+
+
+def _null_first(r):
+    return tuple((v is not None, v if v is not None else 0.0) for v in r)
+
+
+@pytest.mark.parametrize("small", [None, 0])
+@pytest.mark.parametrize("null_group", ["keep", "overwrite"])
+def test_group_median_impute_brute_force(spark, monkeypatch, small, null_group):
+    import random
+
+    from panelrisk.operators import stats
+    if small is not None:
+        monkeypatch.setattr(stats, "SMALL_DISTINCT", small)
+    rnd = random.Random(11)
+    rows = []
+    for i in range(1500):
+        g = None if i % 11 == 0 else (1.0 if i % 3 else float(i % 5 + 2))   # hot group 1, null keys
+        if g == 6.0:
+            a = None                                                          # all-null group for a
+        else:
+            a = None if rnd.random() < 0.2 else round(rnd.gauss(10, 4), 1)
+        b = None if rnd.random() < 0.3 else float(rnd.randint(0, 6))          # many ties
+        rows.append((g, a, b))
+    df = spark.createDataFrame(rows, "g double, a double, b double")
+    got = sorted((tuple(r) for r in impute_group_median(df, ["a", "b"], "g", null_group).collect()), key=_null_first)
+    want = _brute_group_median(rows, ["a", "b"], null_group)
+    assert len(got) == len(want)
+    for x, y in zip(got, want):
+        assert x[0] == y[0] and all(abs(u - v) < 1e-9 for u, v in zip(x[1:], y[1:])), (x, y)
+
+
 def test_mode_ties_smallest_and_all_null(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,)], "s string")
     assert mode_value(df, "s").first().s == "a"
