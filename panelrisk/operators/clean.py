@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from panelrisk.functions.columns import scalars
 from panelrisk.operators import stats
 from panelrisk.operators.stats import (
-    VAL, VAR, medians_from_counts, medians_wide, mode_value, value_counts, widen_medians)
+    VAL, VAR, medians_from_counts, medians_wide, mode_value, modes_row, value_counts, widen_medians)
 from panelrisk.session import materialize
 
 
@@ -117,8 +117,10 @@ def impute_global_median(df: DataFrame, cols: Sequence[str], n_buckets: int | No
 def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """M5: null -> most frequent value (ties: smallest); an all-null column stays null."""
     cols = [c for c in cols if c in df.columns]
-    modes = {c: mode_value(df, c, f"{c}__mode").select(f"{c}__mode").scalar() for c in cols}
-    return df.select(*[F.coalesce(F.col(c), modes[c]).alias(c) if c in cols else F.col(c)
+    if not cols:
+        return df
+    modes = scalars(modes_row(df, cols, "__mode"))
+    return df.select(*[F.coalesce(F.col(c), modes[f"{c}__mode"]).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
 

@@ -114,3 +114,21 @@ def mode_value(df: DataFrame, c: str, alias: str | None = None) -> DataFrame:
     """One-row frame: most frequent non-null value of ``c``; ties -> smallest; none -> null."""
     counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_cnt"))
     return counts.agg(F.min_by(F.col(c), F.struct(-F.col("_cnt"), F.col(c))).alias(alias or c))
+
+
+def modes_row(df: DataFrame, cols: Sequence[str], suffix: str = "__mode") -> DataFrame:
+    """One-row frame with the mode of every column in ``cols`` (ties -> smallest value,
+    all-null -> null), from ONE grouping-sets aggregate: a single scan and shuffle count
+    the values of all columns, instead of one pass per column."""
+    cols = list(cols)
+    if len(cols) == 1:
+        return mode_value(df, cols[0], f"{cols[0]}{suffix}")
+    counts = df.groupingSets([[c] for c in cols], *cols).agg(
+        F.count(F.lit(1)).alias("_cnt"), *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(cols)])
+
+    def pick(i: int, c: str):
+        mine = (F.col(f"_g{i}") == 0) & F.col(c).isNotNull()
+        # min_by skips rows whose ordering is null: only this column's grouping set counts
+        return F.min_by(F.col(c), F.when(mine, F.struct(-F.col("_cnt"), F.col(c)))).alias(f"{c}{suffix}")
+
+    return counts.agg(*[pick(i, c) for i, c in enumerate(cols)])
