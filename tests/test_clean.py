@@ -134,3 +134,19 @@ def test_panel_imputer_reuses_fitted_tables(spark):
 def test_null_profile_types(spark):
     df = spark.createDataFrame([(None, "a"), (1, None)], "a int, b string").withColumn("c", F.lit(None).cast("double"))
     assert null_profile(df).first().asDict() == {"n_null_a": 1, "n_null_b": 1, "n_null_c": 2}
+
+
+def test_modes_row_one_pass_equals_per_column(spark):
+    import random
+
+    from panelrisk.operators.stats import modes_row
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, 1.0, 2.0, 3.0]), rnd.choice([None, "a", "b", "c", "b"]), rnd.choice([None, 7, 8]),
+             None) for _ in range(400)]
+    rows += [(2.0, "a", 8, None)] * 3
+    df = spark.createDataFrame(rows, "x double, s string, n int, e int")
+    cols = ["x", "s", "n", "e"]
+    one = modes_row(df, cols)
+    assert one.first().asDict() == {f"{c}__mode": mode_value(df, c).first()[0] for c in cols}
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Expand") == 1
