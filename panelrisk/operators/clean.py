@@ -114,12 +114,15 @@ def impute_global_median(df: DataFrame, cols: Sequence[str], n_buckets: int | No
                        else F.col(c) for c in df.columns])
 
 
-def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """M5: null -> most frequent value (ties: smallest); an all-null column stays null."""
+def impute_mode(df: DataFrame, cols: Sequence[str], source: DataFrame | None = None) -> DataFrame:
+    """M5: null -> most frequent value (ties: smallest); an all-null column stays null.
+
+    ``source``: a frame with the same rows and the same values in ``cols`` to count the
+    modes on (e.g. the input of a median fill that does not touch ``cols``)."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    modes = scalars(modes_row(df, cols, "__mode"))
+    modes = scalars(modes_row(df if source is None else source, cols, "__mode"))
     return df.select(*[F.coalesce(F.col(c), modes[f"{c}__mode"]).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
@@ -135,13 +138,17 @@ def handle_missing_values(df: DataFrame, indicators: Sequence[str], group: str |
     """
     from panelrisk.session import materialize
     keep = materialize if cut_lineage else (lambda x: x)
-    out = keep(drop_sparse_rows(nan_to_null(df)))
-    num = [c for c in indicators if c in out.columns]
+    base = keep(drop_sparse_rows(nan_to_null(df)))
+    num = [c for c in indicators if c in base.columns]
+    cats = [c for c in categoricals if c in base.columns]
+    out = base
     if group and group in out.columns and num:
         out = impute_group_median(out, num, group, null_group)
     elif num:
         out = impute_global_median(out, num)
-    return impute_mode(keep(out), [c for c in categoricals if c in out.columns])
+    # the median fill keeps the rows and leaves other columns alone: when no categorical
+    # is median-filled, count the modes on its input (a plain scan, no join)
+    return impute_mode(keep(out), cats, None if set(cats) & set(num) else base)
 
 
 class PanelImputer:
