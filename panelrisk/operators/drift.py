@@ -38,6 +38,17 @@ def _side_counts(ref: DataFrame, cur: DataFrame, cols: Sequence[str], cast: str)
                                       F.count_if(F.col("_side") == "c").alias("nc"))
 
 
+def _split_counts(df: DataFrame, is_ref: Column, cols: Sequence[str], cast: str) -> DataFrame:
+    """Side counts from ONE frame: ``is_ref`` true -> reference, false -> current, null ->
+    neither.  One scan, where a union of two filtered frames would scan the input twice."""
+    long = (df.select(is_ref.alias("_isr"), *[F.col(c).cast(cast).alias(c) for c in cols])
+            .where(F.col("_isr").isNotNull())
+            .unpivot(["_isr"], list(cols), VAR, VAL)
+            .where(F.col(VAL).isNotNull()))
+    return long.groupBy(VAR, VAL).agg(F.count_if(F.col("_isr")).alias("nr"),
+                                      F.count_if(~F.col("_isr")).alias("nc"))
+
+
 def ks_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     """Asymptotic Kolmogorov distribution tail Q(lambda), lambda = (en + 0.12 + 0.11/en) * D."""
     en = F.sqrt(n * m / (n + m))
@@ -52,9 +63,23 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], alpha: fl
                   wasserstein_threshold: float = 0.1, large_reference: int = 1000,
                   n_buckets: int | None = None) -> DataFrame:
     """K1: one row per numeric column."""
+    return _numeric_drift(_side_counts(ref, cur, cols, "double"), alpha, wasserstein_threshold,
+                          large_reference, n_buckets)
+
+
+def numeric_drift_split(df: DataFrame, is_ref: Column, cols: Sequence[str], alpha: float = 0.05,
+                        wasserstein_threshold: float = 0.1, large_reference: int = 1000,
+                        n_buckets: int | None = None) -> DataFrame:
+    """K1 when both sides are parts of one frame (``is_ref`` true / false): one scan."""
+    return _numeric_drift(_split_counts(df, is_ref, cols, "double"), alpha, wasserstein_threshold,
+                          large_reference, n_buckets)
+
+
+def _numeric_drift(side_counts: DataFrame, alpha: float, wasserstein_threshold: float,
+                   large_reference: int, n_buckets: int | None) -> DataFrame:
     # (column, value) -> counts, written once: raw data is read a single time and the
     # bucket sample plus both scan branches read this compact table
-    counts = materialize(_side_counts(ref, cur, cols, "double"))
+    counts = materialize(side_counts)
     v = F.col(VAL)
     cum = running_sums(range_bucket(counts, [VAL], n_buckets), [VAR], [VAL],
                        {"cr": F.col("nr"), "cc": F.col("nc"), "_sv": F.col("nr") * v,
@@ -82,7 +107,17 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], alpha: fl
 def categorical_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], threshold: float = 0.1,
                       eps: float = 0.0001) -> DataFrame:
     """K2: Jensen-Shannon distance (natural log) and PSI per categorical column."""
-    counts = materialize(_side_counts(ref, cur, cols, "string"))
+    return _categorical_drift(_side_counts(ref, cur, cols, "string"), threshold, eps)
+
+
+def categorical_drift_split(df: DataFrame, is_ref: Column, cols: Sequence[str], threshold: float = 0.1,
+                            eps: float = 0.0001) -> DataFrame:
+    """K2 when both sides are parts of one frame (``is_ref`` true / false): one scan."""
+    return _categorical_drift(_split_counts(df, is_ref, cols, "string"), threshold, eps)
+
+
+def _categorical_drift(side_counts: DataFrame, threshold: float, eps: float) -> DataFrame:
+    counts = materialize(side_counts)
     tot = counts.groupBy(VAR).agg(F.sum("nr").alias("_tr"), F.sum("nc").alias("_tc")).withColumnRenamed(VAR, "_c")
     # one row per checked column (a plan-time list): a bounded broadcast
     j = counts.join(F.broadcast(tot), F.col(VAR) == F.col("_c"))

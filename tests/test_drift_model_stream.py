@@ -115,3 +115,20 @@ def test_stream_counters_equal_batch(spark):
     log.limit(3).write.mode("append").json(src)
     counters_stream(spark, src, PREDICTION_LOG_SCHEMA, table, ck)
     assert counters_view(spark.read.parquet(table)).first().total == 12
+
+
+def test_split_drift_equals_two_frames(spark):
+    import random
+
+    from panelrisk.operators.drift import categorical_drift_split, numeric_drift_split
+    rnd = random.Random(2)
+    rows = [(rnd.choice([None, 1, 2, 3]), round(rnd.gauss(i % 3, 1), 2), rnd.choice(["a", "b", None, "c"]))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "side int, x double, c string")
+    is_ref = F.col("side") <= 1
+    ref, cur = df.where(is_ref), df.where(~is_ref)
+    for two, one in [(numeric_drift(ref, cur, ["x"]), numeric_drift_split(df, is_ref, ["x"])),
+                     (categorical_drift(ref, cur, ["c"]), categorical_drift_split(df, is_ref, ["c"]))]:
+        a, b = two.first().asDict(), one.first().asDict()
+        assert a.keys() == b.keys()
+        assert all(a[k] == b[k] if not isinstance(a[k], float) else abs(a[k] - b[k]) < 1e-12 for k in a)

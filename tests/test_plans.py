@@ -30,8 +30,8 @@ def test_no_cross_joins(plans):
 def test_filters_reach_the_scan(spark):
     from panelrisk.operators.drift import _side_counts
     from panelrisk.plans.queries import LI_MEASURES, lineitem_halves
-    ref, cur = lineitem_halves(spark, SF)
-    p = _plan(_side_counts(ref, cur, LI_MEASURES, "double"))
+    li, cut = lineitem_halves(spark, SF)
+    p = _plan(_side_counts(li.where(cut), li.where(~cut), LI_MEASURES, "double"))
     assert re.search(r"PushedFilters: \[[^\]]*l_shipdate", p)
     scans = re.findall(r"ReadSchema: struct<([^\n]*)", p)
     # pruned: only the four measures and the ship date are read
@@ -39,6 +39,14 @@ def test_filters_reach_the_scan(spark):
                          and "l_orderkey" not in s for s in scans)
 
 
+def test_split_drift_reads_the_table_once(spark):
+    from panelrisk.operators.drift import _split_counts
+    from panelrisk.plans.queries import LI_MEASURES, lineitem_halves
+    p = _plan(_split_counts(*lineitem_halves(spark, SF), LI_MEASURES, "double"))
+    scans = re.findall(r"ReadSchema: struct<([^\n]*)", p)
+    assert len(scans) == 1 and "l_orderkey" not in scans[0] and "l_shipdate" in scans[0]
+
+
 def test_sparse_filter_is_one_scan_without_shuffle(spark):
     df = entry.queries()["sparse_rows"](spark, SF)
     physical = df._jdf.queryExecution().executedPlan().toString()
