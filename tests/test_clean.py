@@ -59,7 +59,7 @@ def test_group_median_impute(spark):
 def _brute_group_median(rows, cols, null_group):
     """Direct pandas statement of M2 + M3 (with the overwrite variant)."""
     import pandas as pd
-    pdf = pd.DataFrame(rows, columns=["g", *cols])
+    pdf = pd.DataFrame(rows, columns=["g", *cols]).astype("float64")
     out = pdf.copy()
     for c in cols:
         med = pdf[pdf.g.notna()].groupby("g")[c].median()

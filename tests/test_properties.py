@@ -41,3 +41,28 @@ def test_running_sums_property(spark, rows, buckets, exclusive):
     g = sorted(((r.s, r.tie, round(r.cs, 6), round(r.cs_total, 6)) for r in got.collect()), key=str)
     e = sorted(((r.s, r.tie, round(r.cs, 6), round(r.cs_total, 6)) for r in want.collect()), key=str)
     assert g == e
+
+
+impute_rows = st.lists(
+    st.tuples(st.one_of(st.none(), st.sampled_from([1.0, 2.0, 3.0]), st.just(1.0), st.just(1.0)),  # 1.0 is hot
+              st.one_of(st.none(), st.integers(-3, 3).map(float)),                                # ties
+              st.one_of(st.none(), st.floats(-9, 9, allow_nan=False).map(lambda x: round(x, 1)))),
+    min_size=1, max_size=80)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=impute_rows, overwrite=st.booleans(), bucketed=st.booleans())
+def test_group_median_impute_property(spark, monkeypatch, rows, overwrite, bucketed):
+    from panelrisk.operators import stats
+    from panelrisk.operators.clean import impute_group_median
+    from tests.test_clean import _brute_group_median, _null_first
+    monkeypatch.setattr(stats, "SMALL_DISTINCT", 0 if bucketed else 200_000)
+    mode = "overwrite" if overwrite else "keep"
+    df = spark.createDataFrame(rows, "g double, a double, b double")
+    got = sorted((tuple(r) for r in impute_group_median(df, ["a", "b"], "g", mode).collect()), key=_null_first)
+    want = _brute_group_median(rows, ["a", "b"], mode)
+    assert len(got) == len(want)
+    for x, y in zip(got, want):
+        assert x[0] == y[0]
+        assert all((u is None and v is None) or (u is not None and v is not None and abs(u - v) < 1e-9)
+                   for u, v in zip(x[1:], y[1:])), (x, y)
