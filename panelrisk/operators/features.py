@@ -31,15 +31,19 @@ def add_gap(df: DataFrame, minuend: str, subtrahend: str, name: str) -> DataFram
 
 
 def add_all_below_median(df: DataFrame, cols: Sequence[str], name: str,
-                         n_buckets: int | None = None) -> DataFrame:
+                         n_buckets: int | None = None, medians: DataFrame | None = None) -> DataFrame:
     """1 iff every present column is strictly below its column median; null -> 0.
 
-    The medians are one row, used as scalar subqueries.
+    The medians are one row, used as scalar subqueries.  ``medians``: a one-row table
+    with ``{c}__med`` already known for these rows (e.g. from the imputation's count
+    table); when it covers every present column no pass over ``df`` is needed.
     """
     present = [c for c in cols if c in df.columns]
     if not present:
         return df
-    med = scalars(medians_wide(df, present, suffix="__med", n_buckets=n_buckets))
+    if medians is None or not all(f"{c}__med" in medians.columns for c in present):
+        medians = medians_wide(df, present, suffix="__med", n_buckets=n_buckets)
+    med = scalars(medians.select(*[f"{c}__med" for c in present]))
     cond = F.lit(True)
     for c in present:
         cond = cond & F.coalesce(F.col(c) < med[f"{c}__med"], F.lit(False))
@@ -78,23 +82,23 @@ def add_interactions(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> Da
     return out
 
 
-def composite_features(df: DataFrame, spec: PanelSpec) -> DataFrame:
+def composite_features(df: DataFrame, spec: PanelSpec, medians: DataFrame | None = None) -> DataFrame:
     out = add_row_means(df, spec.composites)
     if spec.gap:
         out = add_gap(out, spec.gap[0], spec.gap[1], spec.gap_name)
     if spec.below_median:
-        out = add_all_below_median(out, spec.below_median, spec.below_name)
+        out = add_all_below_median(out, spec.below_median, spec.below_name, medians=medians)
     return out
 
 
 def transform_features(df: DataFrame, spec: PanelSpec, tie: Sequence[str] = (),
-                       skew_safe: bool = True) -> DataFrame:
+                       skew_safe: bool = True, medians: DataFrame | None = None) -> DataFrame:
     """composites -> temporal -> interactions (the reference's order).
 
     Composites are narrow expressions plus a one-row median table, so the lag's
     sample and scan re-derive them cheaply from the (materialized) prepared panel.
     """
-    out = composite_features(df, spec)
+    out = composite_features(df, spec, medians)
     out = add_lag_diff(out, spec.anchor, spec.entity_in(out.columns), spec.period, spec.lag_name,
                        tie=tie, skew_safe=skew_safe)
     pairs = [(spec.anchor, spec.group, spec.anchor_x_group)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from panelrisk.operators.clean import handle_missing_values
+from panelrisk.operators.clean import handle_missing_values_stats
 from panelrisk.operators.features import transform_features
 from panelrisk.operators.label import encode_label
 from panelrisk.operators.panel import (
@@ -17,19 +17,28 @@ from panelrisk.spec import EDUCATION, PanelSpec
 def prepare_panel(df: DataFrame, spec: PanelSpec = EDUCATION, layout: WideLayout = EDUCATION_LAYOUT,
                   null_group: str = "keep") -> DataFrame:
     """O1: names -> (wide -> long) -> schema check -> dedup -> missing values -> label."""
+    return _prepare(df, spec, layout, null_group)[0]
+
+
+def _prepare(df: DataFrame, spec: PanelSpec, layout: WideLayout, null_group: str = "keep"):
+    """O1, also returning the post-imputation median thunk (or None)."""
     out = normalize_column_names(df)
     if is_wide(out.columns):
         out = wide_to_long(out, layout)
     validate_schema(out, spec.required)
     out = materialize(remove_duplicates(out))
-    out = handle_missing_values(out, spec.indicators, spec.group, spec.categoricals, null_group)
-    return materialize(encode_label(out, spec.label, spec.label_rule, spec.label_text_map))
+    out, medians = handle_missing_values_stats(out, spec.indicators, spec.group, spec.categoricals, null_group)
+    # labelling keeps the rows and the indicator values, so the medians still hold
+    return materialize(encode_label(out, spec.label, spec.label_rule, spec.label_text_map)), medians
 
 
 def panel_features(df: DataFrame, spec: PanelSpec = EDUCATION, layout: WideLayout = EDUCATION_LAYOUT,
                    skew_safe: bool = True) -> DataFrame:
-    """O1 + F7: the prepared, labelled, feature-engineered panel."""
-    return transform_features(prepare_panel(df, spec, layout), spec, skew_safe=skew_safe)
+    """O1 + F7: the prepared, labelled, feature-engineered panel.  The below-median flag
+    reuses the imputation's medians when they cover its columns (no extra data pass)."""
+    prepared, medians = _prepare(df, spec, layout)
+    covered = medians is not None and set(spec.below_median) <= set(spec.indicators)
+    return transform_features(prepared, spec, skew_safe=skew_safe, medians=medians() if covered else None)
 
 
 # ---------------------------------------------------------------- K5: drift job

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelrisk.operators.clean import (
-    PanelImputer, drop_sparse_rows, handle_missing_values, impute_group_median, impute_mode, null_profile)
+    PanelImputer, drop_sparse_rows, handle_missing_values, impute_group_median, impute_group_median_stats,
+    impute_mode, null_profile)
 from panelrisk.operators.stats import medians_wide, mode_value
 
 
@@ -100,6 +101,9 @@ def test_group_median_impute_brute_force(spark, monkeypatch, small, null_group):
     assert len(got) == len(want)
     for x, y in zip(got, want):
         assert x[0] == y[0] and all(abs(u - v) < 1e-9 for u, v in zip(x[1:], y[1:])), (x, y)
+    # the post-fill medians derived from the count table equal a pass over the filled frame
+    filled, medians = impute_group_median_stats(df, ["a", "b"], "g", null_group)
+    assert medians().first().asDict() == medians_wide(filled, ["a", "b"], suffix="__med").first().asDict()
 
 
 def test_mode_ties_smallest_and_all_null(spark):
