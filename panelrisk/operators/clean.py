@@ -52,12 +52,6 @@ def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def impute_group_median(df: DataFrame, cols: Sequence[str], group: str,
                         null_group: str = "keep", n_buckets: int | None = None) -> DataFrame:
-    """M2 + M3 (see ``impute_group_median_stats``)."""
-    return impute_group_median_stats(df, cols, group, null_group, n_buckets)[0]
-
-
-def impute_group_median_stats(df: DataFrame, cols: Sequence[str], group: str,
-                              null_group: str = "keep", n_buckets: int | None = None):
     """M2 + M3: null -> median of its group; what is still null -> global median of the
     column *after* the group fill.
 
@@ -70,14 +64,10 @@ def impute_group_median_stats(df: DataFrame, cols: Sequence[str], group: str,
     fill is, as counts, its non-null rows plus each group's null count at that group's
     median - so the fallback median and the overwrite flags read the compact table
     instead of scanning the filled frame again.
-
-    Returns ``(filled, medians)``: ``medians()`` gives a one-row table ``{c}__med`` with
-    the median of each column after the fill (the fallback counts plus the remaining
-    nulls at the fallback value), for later steps that need them (F3) - no data pass.
     """
     cols = [c for c in cols if c in df.columns]
     if not cols:
-        return df, None
+        return df
     others = [c for c in df.columns]
     counts = value_counts(df, cols, [group], keep_nulls=True)
     # every table derived below has at most this many rows
@@ -108,24 +98,10 @@ def impute_group_median_stats(df: DataFrame, cols: Sequence[str], group: str,
     after = kept.select(VAR, VAL, "_cnt").unionByName(fill).groupBy(VAR, VAL).agg(F.sum("_cnt").alias("_cnt"))
     if bound > stats.SMALL_DISTINCT:
         after = materialize(after, "value-counts")
-    gall_row = widen_medians(*medians_from_counts(after, [], n_buckets, rows_bound=bound), cols, suffix="__a")
-    gall = scalars(gall_row)
-    filled_df = step1.select(*[F.coalesce(F.col(c), gall[f"{c}__a"]).alias(c) if c in cols else F.col(c)
-                               for c in others])
-
-    def final_medians() -> DataFrame:
-        # rows still null after the group fill take the fallback value
-        ga = gall_row.select(*[F.col(f"{c}__a").alias(c) for c in cols]).unpivot([], cols, VAR, "_m")
-        rest = (counts.groupBy(VAR).agg(F.sum("_cnt").alias("_t"))
-                .join(after.groupBy(VAR).agg(F.sum("_cnt").alias("_a")), VAR, "left")
-                .join(ga, VAR)
-                .select(VAR, F.col("_m").alias(VAL), (F.col("_t") - F.coalesce(F.col("_a"), F.lit(0))).alias("_cnt"))
-                .where(F.col(VAL).isNotNull() & (F.col("_cnt") > 0)))
-        final = after.unionByName(rest).groupBy(VAR, VAL).agg(F.sum("_cnt").alias("_cnt"))
-        return widen_medians(*medians_from_counts(final, [], n_buckets, rows_bound=bound + len(cols)), cols,
-                             suffix="__med")
-
-    return filled_df, final_medians
+    gall = scalars(widen_medians(*medians_from_counts(after, [], n_buckets, rows_bound=bound), cols,
+                                 suffix="__a"))
+    return step1.select(*[F.coalesce(F.col(c), gall[f"{c}__a"]).alias(c) if c in cols else F.col(c)
+                          for c in others])
 
 
 def impute_global_median(df: DataFrame, cols: Sequence[str], n_buckets: int | None = None) -> DataFrame:
@@ -154,34 +130,25 @@ def impute_mode(df: DataFrame, cols: Sequence[str], source: DataFrame | None = N
 def handle_missing_values(df: DataFrame, indicators: Sequence[str], group: str | None,
                           categoricals: Sequence[str], null_group: str = "keep",
                           cut_lineage: bool = False) -> DataFrame:
-    """M7 (see ``handle_missing_values_stats``)."""
-    return handle_missing_values_stats(df, indicators, group, categoricals, null_group, cut_lineage)[0]
-
-
-def handle_missing_values_stats(df: DataFrame, indicators: Sequence[str], group: str | None,
-                                categoricals: Sequence[str], null_group: str = "keep",
-                                cut_lineage: bool = False):
     """M7: sparse-row filter -> group (or global) median -> mode.
 
     The statistics read compact, once-written count tables (see ``stats``); with
     ``cut_lineage`` the filtered input and the median-filled frame are also written
-    once, for inputs that are expensive to recompute.  Returns ``(frame, medians)``, where
-    ``medians`` is the post-fill median thunk of the group path (else None).
+    once, for inputs that are expensive to recompute.
     """
+    from panelrisk.session import materialize
     keep = materialize if cut_lineage else (lambda x: x)
     base = keep(drop_sparse_rows(nan_to_null(df)))
     num = [c for c in indicators if c in base.columns]
     cats = [c for c in categoricals if c in base.columns]
-    out, medians = base, None
+    out = base
     if group and group in out.columns and num:
-        out, medians = impute_group_median_stats(out, num, group, null_group)
+        out = impute_group_median(out, num, group, null_group)
     elif num:
         out = impute_global_median(out, num)
     # the median fill keeps the rows and leaves other columns alone: when no categorical
-    # is median-filled, count the modes on its input (a plain scan, no join).  A mode
-    # fill of a median-filled column changes nothing (no nulls left, or all null), so
-    # the post-fill medians still hold.
-    return impute_mode(keep(out), cats, None if set(cats) & set(num) else base), medians
+    # is median-filled, count the modes on its input (a plain scan, no join)
+    return impute_mode(keep(out), cats, None if set(cats) & set(num) else base)
 
 
 class PanelImputer:
