@@ -94,7 +94,7 @@ def is_numeric_type(dt: T.DataType) -> bool:
 
 def scalars(one_row: DataFrame) -> dict[str, Column]:
     """The columns of a one-row aggregate as values - no join.  All of them are fields of
-    ONE struct-valued scalar subquery, so the aggregate runs once per query (identical
-    subqueries are reused) instead of once per column."""
+    one struct-valued scalar subquery, so the aggregate runs once per query however many
+    fields are used."""
     one = one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns]).alias("_s")).scalar()
     return {c: one.getField(c) for c in one_row.columns}

@@ -67,3 +67,24 @@ def test_ordered_windows_are_bucketed(plans):
         wins = re.findall(r"Window \[.*?\], \[(.*?)\], \[", plans[name])
         data_wins = [w for w in wins if "_bucket" in w or "_segkey" in w or w.strip()]
         assert any("_bucket" in w for w in data_wins), name
+
+
+def test_one_row_statistics_run_once(spark):
+    # the fields of one scalars() aggregate share one subquery: using three of them runs
+    # no more jobs than using one
+    from pyspark.sql import functions as F
+
+    from panelrisk.functions.columns import scalars
+    sc = spark.sparkContext
+    df = spark.range(5000).select((F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b"))
+
+    def jobs(n_fields, group):
+        s = scalars(df.agg(F.max("a").alias("ma"), F.min("b").alias("mb"), F.sum("a").alias("sa")))
+        cols = [(F.col("a") + s["ma"]).alias("x"), (F.col("b") * s["mb"]).alias("y"), (F.col("a") - s["sa"]).alias("z")]
+        sc.setJobGroup(group, group)
+        df.select(*cols[:n_fields]).write.format("noop").mode("overwrite").save()
+        n = len(sc.statusTracker().getJobIdsForGroup(group))
+        sc.setJobGroup("", "")
+        return n
+
+    assert jobs(3, "three-fields") <= jobs(1, "one-field")
