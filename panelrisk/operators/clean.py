@@ -50,40 +50,29 @@ def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.when(F.isnan(c), F.lit(None).cast(types[c])).otherwise(F.col(c)) for c in cols})
 
 
-def impute_group_median(df: DataFrame, cols: Sequence[str], group: str,
-                        null_group: str = "keep", n_buckets: int | None = None) -> DataFrame:
-    """M2 + M3: null -> median of its group; what is still null -> global median of the
-    column *after* the group fill.
-
-    ``null_group="keep"`` leaves values of rows with a null group key alone;
-    ``"overwrite"`` reproduces the reference, which replaces every value of such rows
-    (in a column that has at least one null) with the global fallback.
-
-    One pass over the data: a (group, column, value) count table that also counts the
-    nulls.  The group medians come from its non-null rows; the column after the group
-    fill is, as counts, its non-null rows plus each group's null count at that group's
-    median - so the fallback median and the overwrite flags read the compact table
-    instead of scanning the filled frame again.
+def group_median_tables(df: DataFrame, cols: Sequence[str], group: str, null_group: str = "keep",
+                        n_buckets: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Fit M2 + M3 from ONE pass over the data.
+
+    A (group, column, value) count table that also counts the nulls.  The group medians
+    come from its non-null rows; the column after the group fill is, as counts, its
+    non-null rows plus each group's null count at that group's median - so the fallback
+    median and the overwrite flags read the compact table instead of scanning the filled
+    frame again.
+
+    Returns (per-group ``{c}__g`` table, one-row fallback ``{c}__a``, one-row overwrite
+    flags ``{c}__hn`` or None).
     """
-    cols = [c for c in cols if c in df.columns]
-    if not cols:
-        return df
-    others = [c for c in df.columns]
     counts = value_counts(df, cols, [group], keep_nulls=True)
     # every table derived below has at most this many rows
     bound = counts.count()
     keyed = counts.where(F.col(group).isNotNull())
     gmed = widen_medians(*medians_from_counts(keyed.where(F.col(VAL).isNotNull()), [group], n_buckets,
                                               rows_bound=bound), cols, [group], "__g")
+    hn_row = None
     if null_group == "overwrite":
-        hn = scalars(counts.agg(*[F.max(((F.col(VAR) == c) & F.col(VAL).isNull()).cast("int"))
-                                  .alias(f"{c}__hn") for c in cols]))
-        filled = {c: F.when(F.col(group).isNull() & (hn[f"{c}__hn"] == 1), F.lit(None).cast("double"))
-                  .otherwise(F.coalesce(F.col(c).cast("double"), F.col(f"{c}__g"))) for c in cols}
-    else:
-        filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__g")) for c in cols}
-    step1 = df.join(gmed.withColumnRenamed(group, "__grp"), F.col(group) == F.col("__grp"), "left")
-    step1 = step1.select(*[filled.get(c, F.col(c)).alias(c) for c in others])
+        hn_row = counts.agg(*[F.max(((F.col(VAR) == c) & F.col(VAL).isNull()).cast("int")).alias(f"{c}__hn")
+                              for c in cols])
 
     # value counts of the filled columns
     gm = (gmed.select(group, *[F.col(f"{c}__g").alias(c) for c in cols])
@@ -98,8 +87,33 @@ def impute_group_median(df: DataFrame, cols: Sequence[str], group: str,
     after = kept.select(VAR, VAL, "_cnt").unionByName(fill).groupBy(VAR, VAL).agg(F.sum("_cnt").alias("_cnt"))
     if bound > stats.SMALL_DISTINCT:
         after = materialize(after, "value-counts")
-    gall = scalars(widen_medians(*medians_from_counts(after, [], n_buckets, rows_bound=bound), cols,
-                                 suffix="__a"))
+    gall_row = widen_medians(*medians_from_counts(after, [], n_buckets, rows_bound=bound), cols, suffix="__a")
+    return gmed, gall_row, hn_row
+
+
+def impute_group_median(df: DataFrame, cols: Sequence[str], group: str,
+                        null_group: str = "keep", n_buckets: int | None = None) -> DataFrame:
+    """M2 + M3: null -> median of its group; what is still null -> global median of the
+    column *after* the group fill (statistics from ``group_median_tables``, one pass).
+
+    ``null_group="keep"`` leaves values of rows with a null group key alone;
+    ``"overwrite"`` reproduces the reference, which replaces every value of such rows
+    (in a column that has at least one null) with the global fallback.
+    """
+    cols = [c for c in cols if c in df.columns]
+    if not cols:
+        return df
+    others = [c for c in df.columns]
+    gmed, gall_row, hn_row = group_median_tables(df, cols, group, null_group, n_buckets)
+    if hn_row is not None:
+        hn = scalars(hn_row)
+        filled = {c: F.when(F.col(group).isNull() & (hn[f"{c}__hn"] == 1), F.lit(None).cast("double"))
+                  .otherwise(F.coalesce(F.col(c).cast("double"), F.col(f"{c}__g"))) for c in cols}
+    else:
+        filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__g")) for c in cols}
+    step1 = df.join(gmed.withColumnRenamed(group, "__grp"), F.col(group) == F.col("__grp"), "left")
+    step1 = step1.select(*[filled.get(c, F.col(c)).alias(c) for c in others])
+    gall = scalars(gall_row)
     return step1.select(*[F.coalesce(F.col(c), gall[f"{c}__a"]).alias(c) if c in cols else F.col(c)
                           for c in others])
 
@@ -159,22 +173,22 @@ class PanelImputer:
         self.indicators, self.group, self.categoricals = list(indicators), group, list(categoricals)
 
     def fit(self, df: DataFrame) -> "PanelImputerModel":
+        """One pass for the median tables and one for all the modes."""
         num = [c for c in self.indicators if c in df.columns]
-        group_tab = None
-        base = df
+        group_tab, global_tab = None, None
         if self.group and self.group in df.columns and num:
-            group_tab = medians_wide(df.where(F.col(self.group).isNotNull()), num, [self.group], suffix="__g")
-            base = impute_group_median(df, num, self.group)
-        global_tab = medians_wide(base, num, suffix="__a") if num else None
+            group_tab, global_tab, _ = group_median_tables(df, num, self.group)
+        elif num:
+            global_tab = medians_wide(df, num, suffix="__a")
         cats = [c for c in self.categoricals if c in df.columns]
-        mode_tabs = {c: mode_value(df, c, f"{c}__mode") for c in cats}
-        return PanelImputerModel(num, self.group, cats, group_tab, global_tab, mode_tabs)
+        mode_row = modes_row(df, cats, "__mode") if cats else None
+        return PanelImputerModel(num, self.group, cats, group_tab, global_tab, mode_row)
 
 
 class PanelImputerModel:
-    def __init__(self, num, group, cats, group_tab, global_tab, mode_tab):
+    def __init__(self, num, group, cats, group_tab, global_tab, mode_row):
         self.num, self.group, self.cats = num, group, cats
-        self.group_tab, self.global_tab, self.mode_tab = group_tab, global_tab, mode_tab
+        self.group_tab, self.global_tab, self.mode_row = group_tab, global_tab, mode_row
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
@@ -188,7 +202,9 @@ class PanelImputerModel:
             g_all = scalars(self.global_tab)
             for c in self.num:
                 fills.setdefault(c, []).append(g_all[f"{c}__a"])
-        for c, tab in (self.mode_tab or {}).items():
-            fills.setdefault(c, []).append(scalars(tab)[f"{c}__mode"])
+        if self.mode_row is not None:
+            modes = scalars(self.mode_row)
+            for c in self.cats:
+                fills.setdefault(c, []).append(modes[f"{c}__mode"])
         return out.select(*[F.coalesce(F.col(c), *fills[c]).alias(c) if c in fills else F.col(c)
                             for c in df.columns])

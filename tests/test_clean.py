@@ -150,3 +150,18 @@ def test_modes_row_one_pass_equals_per_column(spark):
     assert one.first().asDict() == {f"{c}__mode": mode_value(df, c).first()[0] for c in cols}
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Expand") == 1
+
+
+def test_panel_imputer_on_its_training_frame_equals_the_operators(spark):
+    import random
+    rnd = random.Random(7)
+    rows = []
+    for i in range(600):
+        g = None if i % 13 == 0 else (1.0 if i % 3 else float(i % 4 + 2))
+        a = None if (g == 5.0 or rnd.random() < 0.25) else round(rnd.gauss(5, 2), 1)
+        t = rnd.choice([None, "p", "q", "q"])
+        rows.append((i, g, a, t))
+    df = spark.createDataFrame(rows, "id int, g double, a double, t string")
+    fitted = PanelImputer(["a"], "g", ["t"]).fit(df).transform(df)
+    direct = impute_mode(impute_group_median(df, ["a"], "g"), ["t"])
+    assert sorted(fitted.collect()) == sorted(direct.select(*fitted.columns).collect())
