@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import functools
 
-from panelrisk.llm import bpe, decontam, language, line_dedup, sharding, simhash, warc
+from panelrisk.llm import bpe, decontam, language, line_dedup, sharding, simhash, topk, warc
 from panelrisk.llm.common import ship
 
-MODULES = (line_dedup, language, decontam, simhash, sharding, warc, bpe)
+MODULES = (line_dedup, language, decontam, simhash, sharding, warc, topk, bpe)
 
 
 def _shipped(query):
