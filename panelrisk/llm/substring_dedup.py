@@ -41,6 +41,8 @@ WINDOW = 13
 SEED = 5
 BATCH_BYTES = 8 << 20
 BATCH_DOCS = 4_096
+#: A source is told as (batch number << PLACE_BITS) + place in the batch.
+PLACE_BITS = 13
 #: Stands for a null id: never smaller than another.
 NO_ID = np.iinfo(np.int64).max
 _SHORT = np.uint64((1 << 48) - 1)
@@ -118,6 +120,9 @@ class Batch:
         ends = np.cumsum(sizes, dtype=np.int64).tolist()
         self.words = split([self.raw[a:b].decode() for a, b in zip([0, *ends], ends)])
 
+    def refs(self, docs: np.ndarray) -> np.ndarray:
+        return (self.number << PLACE_BITS) + docs.astype(np.int64)
+
     def word_bytes(self, a: int, b: int) -> list[bytes]:
         raw = self.words.raw
         return [raw[s:e].tobytes() for s, e in zip(self.words.starts[a:b].tolist(), self.words.ends[a:b].tolist())]
@@ -127,9 +132,8 @@ class Batch:
 
 
 def _representatives(batch: Batch, blocks: Blocks, content: np.ndarray):
-    """(distinct contents, the block that stands for each: least id, then least word number; number of each block)."""
-    at = blocks.start - batch.words.first[blocks.doc]
-    order = np.lexsort((at, batch.ids[blocks.doc], content)) if len(content) else np.zeros(0, np.int64)
+    """(distinct contents, the block that stands for each: the first by (id, place, word); number of each block)."""
+    order = np.lexsort((blocks.start, batch.ids[blocks.doc], content)) if len(content) else np.zeros(0, np.int64)
     sorted_content = content[order]
     new = np.ones(len(order), bool)
     new[1:] = sorted_content[1:] != sorted_content[:-1]
@@ -168,7 +172,7 @@ def spans(batches: DataFrame, window: int, seed: int, buckets: int) -> DataFrame
     """(batch, doc, start, n, source, source_start, digest): repeated paths with an earlier source.
 
     ``doc`` numbers the documents of the batch; a span covers n words from word ``start`` on, which are
-    also found in the document with the id ``source`` from its word ``source_start`` on.
+    also found in the document ``source`` from its word ``source_start`` on.
     """
 
     def minimizers(stream):
@@ -203,8 +207,8 @@ def spans(batches: DataFrame, window: int, seed: int, buckets: int) -> DataFrame
 
     def edges(left: pa.Table, right: pa.Table) -> pa.Table:
         """The distinct blocks of a batch that may be repeated, with the hashes of their windows."""
-        names = ("bucket", "batch", "content", "n", "h", "source", "at")
-        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+        names = ("bucket", "batch", "content", "n", "h", "id", "source", "at")
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
         rows: list[list] = [[] for _ in names]
         if left.num_rows and right.num_rows:
             batch = Batch(left)
@@ -220,7 +224,8 @@ def spans(batches: DataFrame, window: int, seed: int, buckets: int) -> DataFrame
                 s = stand[o]
                 which = np.repeat(first[s], b.n[s]) + _steps(b.n[s])
                 for out, v in zip(rows, (x, batch.number, _bytes(content[o], "<u8"), _bytes(b.n[s], "u1"), _bytes(h[which], "<u8"),
-                                         _bytes(batch.ids[b.doc[s]], "<i8"), _bytes(b.start[s] - batch.words.first[b.doc[s]], "<i8"))):
+                                         _bytes(batch.ids[b.doc[s]], "<i8"), _bytes(batch.refs(b.doc[s]), "<i8"),
+                                         _bytes(b.start[s] - batch.words.first[b.doc[s]], "<i8"))):
                     out.append(v)
         return pa.table({c: pa.array(x, t) for c, x, t in zip(names, rows, kinds)})
 
@@ -229,29 +234,29 @@ def spans(batches: DataFrame, window: int, seed: int, buckets: int) -> DataFrame
         get = lambda c, t: [np.frombuffer(r, t) for r in part.column(c).to_pylist()]
         contents, ns = get("content", "<u8"), get("n", "u1")
         content, n = np.concatenate(contents), np.concatenate(ns).astype(np.int64)
-        h, own, at = (np.concatenate(get(c, t)) for c, t in (("h", "<u8"), ("source", "<i8"), ("at", "<i8")))
+        h, own, ref, at = (np.concatenate(get(c, t)) for c, t in (("h", "<u8"), ("id", "<i8"), ("source", "<i8"), ("at", "<i8")))
         block = np.repeat(np.arange(len(n)), n)
         off = _steps(n)
-        doc, pos = own[block], at[block] + off
-        order = np.lexsort((pos, doc, h))
+        doc, ref, pos = own[block], ref[block], at[block] + off
+        order = np.lexsort((pos, ref, doc, h))
         new = np.ones(len(h), bool)
         new[1:] = h[order][1:] != h[order][:-1]
         lead = order[new][np.cumsum(new) - 1]
-        sdoc, spos = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
-        sdoc[order], spos[order] = doc[lead], pos[lead]
+        sdoc, sref, spos = (np.empty(len(h), np.int64) for _ in range(3))
+        sdoc[order], sref[order], spos[order] = doc[lead], ref[lead], pos[lead]
         earlier = sdoc < doc
         begins = np.ones(len(h), bool)
-        begins[1:] = ((block[1:] != block[:-1]) | ~earlier[:-1] | (sdoc[1:] != sdoc[:-1]) | (spos[1:] != spos[:-1] + 1))
+        begins[1:] = ((block[1:] != block[:-1]) | ~earlier[:-1] | (sref[1:] != sref[:-1]) | (spos[1:] != spos[:-1] + 1))
         first = np.flatnonzero(begins)
         size = np.diff(np.append(first, len(h)))
         good = earlier[first]
         first, size = first[good], size[good]
         row = np.repeat(np.arange(len(ns)), [len(x) for x in ns])[block[first]]  # pieces stay in order of their rows
         cut = np.searchsorted(row, np.arange(len(ns) + 1))
-        out = [(content[block[first]], "<u8"), (off[first], "u1"), (size, "u1"), (sdoc[first], "<i8"), (spos[first], "<i8")]
+        out = [(content[block[first]], "<u8"), (off[first], "u1"), (size, "u1"), (sdoc[first], "<i8"), (sref[first], "<i8"), (spos[first], "<i8")]
         return pa.table({"batch": part.column("batch"), **{
             c: pa.array([_bytes(x[a:b], t) for a, b in zip(cut, cut[1:])], pa.binary())
-            for c, (x, t) in zip(("content", "off", "size", "source", "at"), out)}})
+            for c, (x, t) in zip(("content", "off", "size", "id", "source", "at"), out)}})
 
     def glued(left: pa.Table, right_m: pa.Table) -> pa.Table:
         """The spans of a batch: its pieces, and blocks repeated inside the batch, glued where they continue."""
@@ -269,62 +274,57 @@ def spans(batches: DataFrame, window: int, seed: int, buckets: int) -> DataFrame
         # by distinct content: sources of its windows, those of the representative unless a piece tells an earlier one
         n = b.n[stand]
         base = np.concatenate(([0], np.cumsum(n)))
-        sdoc = np.repeat(batch.ids[b.doc[stand]], n)
+        sdoc, sref = np.repeat(batch.ids[b.doc[stand]], n), np.repeat(batch.refs(b.doc[stand]), n)
         spos = np.repeat(b.start[stand] - batch.words.first[b.doc[stand]], n) + _steps(n)
         size = get("size", "u1").astype(np.int64)
         where = np.searchsorted(content, get("content", "<u8"))
         to = np.repeat(base[where] + get("off", "u1"), size) + _steps(size)
-        sdoc[to] = np.repeat(get("source", "<i8"), size)
+        sdoc[to], sref[to] = np.repeat(get("id", "<i8"), size), np.repeat(get("source", "<i8"), size)
         spos[to] = np.repeat(get("at", "<i8"), size) + _steps(size)
         # by window of every block
         src = np.repeat(base[number], b.n) + _steps(b.n)
         at = np.repeat(b.start, b.n) + _steps(b.n)
         doc = np.repeat(b.doc, b.n)
         gone = sdoc[src] < batch.ids[doc]
-        at, doc, sdoc, spos = at[gone], doc[gone], sdoc[src][gone], spos[src][gone]
+        at, doc, sref, spos = at[gone], doc[gone], sref[src][gone], spos[src][gone]
         if not len(at):
             return empty
         new = np.ones(len(at), bool)
-        new[1:] = ((at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (sdoc[1:] != sdoc[:-1]) | (spos[1:] != spos[:-1] + 1))
+        new[1:] = ((at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (sref[1:] != sref[:-1]) | (spos[1:] != spos[:-1] + 1))
         f = np.flatnonzero(new)
         n_words = np.diff(np.append(f, len(at))) + window - 1
         return pa.table({
             "batch": pa.array([batch.number] * len(f), pa.int64()), "doc": pa.array(doc[f], pa.int32()),
             "start": pa.array(at[f] - batch.words.first[doc[f]], pa.int64()), "n": pa.array(n_words, pa.int64()),
-            "source": pa.array(sdoc[f]), "source_start": pa.array(spos[f]),
+            "source": pa.array(sref[f]), "source_start": pa.array(spos[f]),
             "digest": pa.array([batch.digest(a, k) for a, k in zip(at[f].tolist(), n_words.tolist())], pa.binary())})
 
     found = (batches.mapInArrow(minimizers, "bucket int, batch long, m binary, twice binary")
              .groupBy("bucket").applyInArrow(repeated, "batch long, m binary").filter("length(m) > 0"))
     per_batch = batches.groupBy("batch")
     pieces = (per_batch.cogroup(found.groupBy("batch"))
-              .applyInArrow(edges, "bucket int, batch long, content binary, n binary, h binary, source binary, at binary")
+              .applyInArrow(edges, "bucket int, batch long, content binary, n binary, h binary, id binary, source binary, at binary")
               .groupBy("bucket").applyInArrow(sources, "batch long, content binary, off binary, size binary, "
-                                                       "source binary, at binary"))
-    none = [F.lit(None).cast("binary").alias(c) for c in ("content", "off", "size", "source", "at")]
+                                                       "id binary, source binary, at binary"))
+    none = [F.lit(None).cast("binary").alias(c) for c in ("content", "off", "size", "id", "source", "at")]
     told = (found.select("batch", "m", *none)
-            .unionByName(pieces.select("batch", F.lit(None).cast("binary").alias("m"), "content", "off", "size", "source", "at")))
+            .unionByName(pieces.select("batch", F.lit(None).cast("binary").alias("m"), "content", "off", "size", "id", "source", "at")))
     return per_batch.cogroup(told.groupBy("batch")).applyInArrow(
         glued, "batch long, doc int, start long, n long, source long, source_start long, digest binary")
 
 
 def verified(batches: DataFrame, found: DataFrame) -> DataFrame:
     """The spans whose words are those at their source."""
-    owners = (batches.select("batch", "ids")
-              .mapInArrow(lambda stream: (pa.RecordBatch.from_arrays(
-                  [pa.array(np.repeat(r.column(0).to_numpy(), [len(x.as_py()) // 8 for x in r.column(1)])),
-                   pa.array(np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in r.column(1)] or [np.zeros(0, "<i8")])),
-                   pa.array(np.concatenate([np.arange(len(x.as_py()) // 8) for x in r.column(1)] or [np.zeros(0, int)]).astype(np.int32))],
-                  ["holder", "id", "place"]) for r in stream), "holder long, id long, place int"))
     asked = (found.select("source", "source_start", "n").distinct()
-             .join(owners, F.col("source") == F.col("id")).select("holder", "place", "source", "source_start", "n"))
+             .withColumn("holder", F.shiftright("source", PLACE_BITS)))
 
     def told(left: pa.Table, right: pa.Table) -> pa.Table:
         digests: list = []
         if left.num_rows and right.num_rows:
             batch = Batch(left)
             first, counts = batch.words.first, batch.words.counts
-            for p, a, n in zip(*(right.column(c).to_pylist() for c in ("place", "source_start", "n"))):
+            for p, a, n in zip(*(right.column(c).to_pylist() for c in ("source", "source_start", "n"))):
+                p &= (1 << PLACE_BITS) - 1
                 digests.append(batch.digest(int(first[p]) + a, n) if a + n <= counts[p] else None)
         return pa.table({"source": pa.array(right.column("source") if digests else [], pa.int64()),
                          "source_start": pa.array(right.column("source_start") if digests else [], pa.int64()),
@@ -332,7 +332,7 @@ def verified(batches: DataFrame, found: DataFrame) -> DataFrame:
                          "digest": pa.array(digests, pa.binary())})
 
     truth = (batches.groupBy("batch").cogroup(asked.groupBy("holder"))
-             .applyInArrow(told, "source long, source_start long, n long, digest binary").distinct())
+             .applyInArrow(told, "source long, source_start long, n long, digest binary"))
     return found.join(truth, ["source", "source_start", "n", "digest"], "left_semi")
 
 
@@ -345,6 +345,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words.  Rows of equal ids (integers) take nothing from each other, nor do null ids, which count as larger
     than all others.  Other columns are ignored; an empty table gives an empty table.
     """
+    if batch_docs > 1 << PLACE_BITS:
+        raise ValueError("too many documents in a batch")
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     batches = rows.mapInArrow(_batched(batch_docs, batch_bytes), "batch long, ids binary, sizes binary, texts binary")

@@ -58,7 +58,7 @@ def test_false_sources_are_not_believed(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
     batches = docs.mapInArrow(D._batched(10, 1 << 20), "batch long, ids binary, sizes binary, texts binary")
     number = batches.first()["batch"]
-    claim = [(number, 1, 0, 40, 1, 0, bytearray(b"x" * 16))]
+    claim = [(number, 1, 0, 40, number << D.PLACE_BITS, 0, bytearray(b"x" * 16))]
     found = spark.createDataFrame(claim, "batch long, doc int, start long, n long, source long, source_start long, digest binary")
     assert D.verified(batches, found).collect() == []
 
