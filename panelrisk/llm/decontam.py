@@ -14,6 +14,8 @@ result.  A document carries its text once, however many seeds it shares.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,12 +81,20 @@ def greedy_tiles(item: np.ndarray, doc: np.ndarray, min_match: int = MIN_MATCH)
         if longest > 2 * s:
             s = longest
             continue
-        for k, i, d in sorted(runs, key=lambda r: (-r[0], r[1], r[2])):
-            if free_i[i:i + k].all() and free_d[d:d + k].all():
-                tiles.append([i, d, k])
-                free_i[i:i + k] = free_d[d:d + k] = False
-        if any(k >= s for k, _, _ in _runs(item, doc, free_i, free_d, s)):
-            continue  # what is left of runs that a longer tile cut into
+        queue = [(-k, i, d) for k, i, d in runs]
+        heapq.heapify(queue)
+        while queue:
+            k, i, d = heapq.heappop(queue)
+            free = free_i[i:i - k] & free_d[d:d - k]
+            if free.all():
+                tiles.append([i, d, -k])
+                free_i[i:i - k] = free_d[d:d - k] = False
+                continue
+            # what is left of a run that a longer tile has cut into
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], free.view(np.int8), [0]))))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if b - a >= s:
+                    heapq.heappush(queue, (a - b, i + a, d + a))
         if s <= min_match:
             return tiles
         s = max(min_match, s // 2)
