@@ -16,12 +16,20 @@ from panelrisk.session import checkpoint_root
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package through Spark's own file server, once for each application."""
+    """Gives the executors this package through Spark's own file server, once for each application.
+
+    It also bounds the bytes of a batch that goes to a Python worker, where the session sets no bound:
+    10,000 rows, the usual limit, can be any number of bytes when texts are long.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]

@@ -22,20 +22,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelrisk.llm.common import col, scratch, table
+from panelrisk.llm.common import col, scratch, table, written
 
 MIN_REVISIT = 100
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
 #: Records of one archive file: with the segment size, this bounds a file and so a reading task.
 FILE_RECORDS = 2_000
+_BATCH_BYTES = 4 << 20
 #: Any fixed time does: the pages carry none.
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 
-_RECORD = T.StructType([T.StructField(n, t) for n, t in (
-    ("record_id", T.StringType()), ("kind", T.StringType()), ("refers_to", T.StringType()),
-    ("uri", T.StringType()), ("digest", T.StringType()), ("origin", T.StringType()),
+_WHOLE = T.StructType([T.StructField(n, t) for n, t in (
+    ("record_id", T.StringType()), ("kind", T.StringType()), ("uri", T.StringType()), ("digest", T.StringType()),
+    ("refers_to", T.StringType()), ("payload", T.BinaryType()), ("error", T.StringType()))])
+_SEGMENT = T.StructType([T.StructField(n, t) for n, t in (
+    ("origin", T.StringType()), ("kind", T.StringType()), ("uri", T.StringType()), ("digest", T.StringType()),
     ("segment", T.IntegerType()), ("total", T.LongType()), ("block", T.BinaryType()))])
 _PAYLOAD = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("error", T.StringType())])
 
@@ -125,11 +128,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     def lines(stream):
         for batch in stream:
-            out = []
-            for rid, url, digest, payload, ref in zip(*(c.to_pylist() for c in batch.columns)):
-                out += records(rid, url, digest, payload, ref, segment_bytes)
-            for a in range(0, len(out), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(out[a:a + 500], pa.binary())], ["record"])
+            for a in range(0, batch.num_rows, 250):
+                out = []
+                for row in zip(*(c.slice(a, 250).to_pylist() for c in batch.columns)):
+                    out += records(*row, segment_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     (known.mapInArrow(lines, "record binary").select(F.col("record").cast("string").alias("record"))
      .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path))
@@ -139,7 +142,7 @@ _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)[ \t]*$")
 
 
 def parse(raw: bytes):
-    """The records of an archive as dicts of ``_RECORD``'s fields; a broken archive raises ValueError."""
+    """The records of an archive as dicts; a broken archive raises ValueError."""
     at = 0
     bare = lambda v: v.strip().strip("<>") if v else None
     while at < len(raw):
@@ -166,82 +169,90 @@ def parse(raw: bytes):
             at += 2
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives in the folder ``path``; a task holds one file at a time."""
+def opened(block: bytes, digest: str | None) -> tuple[bytes | None, str | None]:
+    """(payload, None) of a whole HTTP block, or (None, what is wrong): ``http`` for a block without head,
+    ``chunks`` for bad framing, ``digest`` where the payload is not what the record promised."""
+    head, gap, body = block.partition(b"\r\n\r\n")
+    if not gap:
+        return None, "http"
+    if re.search(rb"(?im)^transfer-encoding:.*\bchunked\s*$", head):
+        try:
+            body = unchunked(body)
+        except ValueError:
+            return None, "chunks"
+    if digest is not None and hashlib.sha256(body).hexdigest() != digest:
+        return None, "digest"
+    return body, None
+
+
+def _whole(r: dict) -> dict | None:
+    if r["kind"] == "revisit":
+        return {**r, "payload": None, "error": None}
+    if r["kind"] == "response" and r["segment"] is None:
+        payload, error = opened(r["block"], r["digest"])
+        return {**r, "payload": payload, "error": error}
+    return None
+
+
+def _segment(r: dict) -> dict | None:
+    return {**r, "origin": r["origin"] or r["record_id"]} if r["segment"] is not None else None
+
+
+def _read(spark: SparkSession, path: str, pick, schema: T.StructType) -> DataFrame:
+    """What ``pick`` makes of the records of all archives in ``path``; a task holds one file at a time."""
     import gzip
 
-    def opened(stream):
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
+
+    def parsed(stream):
         for batch in stream:
             for raw in batch.column(0):
                 data = raw.as_py()
                 data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = []
-                for r in parse(data):
-                    rows.append(r)
-                    if len(rows) == 500:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
+                rows, size = [], 0
+                for r in filter(None, map(pick, parse(data))):
+                    rows.append({f: r[f] for f in fields.names})
+                    size += len(r["block"])
+                    if size > _BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, fields)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield pa.RecordBatch.from_pylist(rows, fields)
 
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
-    schema = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in _RECORD.fields])
-    return (spark.read.format("binaryFile").load(path).filter("length > 0").select("content")
-            .mapInArrow(opened, _RECORD))
+    return (spark.read.format("binaryFile").load(path).filter("length > 0").select("content").mapInArrow(parsed, schema))
 
 
-def reassemble(found: DataFrame) -> DataFrame:
-    """Response records with their whole block: (record_id, uri, digest, block, error).
+def reassemble(segments: DataFrame) -> DataFrame:
+    """(record_id, uri, digest, block, error) of segmented blocks, from their records (see ``_SEGMENT``).
 
-    Continuations are grouped by the origin's record id and ordered by segment number.  ``error`` is
-    ``segments`` if a number is missing or repeats, or the origin or the last segment is missing, ``length``
-    if the total differs; the block is then null.
+    Segments are grouped by the origin's record id and ordered by segment number.  ``error`` is ``segments``
+    if a number is missing or repeats, or the origin or the last segment is missing, and ``length`` if the
+    total differs; the block is then null.
     """
-    whole = (found.filter("kind = 'response' and segment is null")
-             .select("record_id", "uri", "digest", "block", F.lit(None).cast("string").alias("error")))
-    parts = (found.filter("segment is not null").withColumn("key", F.coalesce("origin", "record_id")).groupBy("key")
+    parts = (segments.groupBy("origin")
              .agg(F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total").alias("total"),
                   F.max(F.when(F.col("kind") == "response", F.struct("uri", "digest"))).alias("h")))
-    numbers, n = F.col("s.segment"), F.size("s")
-    complete = (numbers == F.sequence(F.lit(1), n)) & F.col("total").isNotNull() & F.col("h").isNotNull()
+    n = F.size("s")
+    complete = (F.col("s.segment") == F.sequence(F.lit(1), n)) & F.col("total").isNotNull() & F.col("h").isNotNull()
     joined = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
     error = F.when(~F.coalesce(complete, F.lit(False)), "segments").when(joined != F.col("total"), "length")
-    put = parts.withColumn("error", error).select(
-        F.col("key").alias("record_id"), "h.uri", "h.digest",
-        F.when(F.col("error").isNull(), F.concat_ws("", F.transform(F.col("s.block"), lambda b: F.hex(b)))).alias("hexed"),
-        "error").select("record_id", "uri", "digest", F.unhex("hexed").alias("block"), "error")
-    return whole.unionByName(put)
+    # one concatenation, through hex: binary arrays can't be joined
+    block = F.unhex(F.array_join(F.transform(F.col("s.block"), lambda b: F.hex(b)), ""))
+    return parts.select(F.col("origin").alias("record_id"), "h.uri", "h.digest",
+                        F.when(error.isNull(), block).alias("block"), error.alias("error"))
 
 
 def payloads(blocks: DataFrame) -> DataFrame:
-    """``blocks`` with the HTTP head cut off and the chunks decoded: (record_id, uri, digest, payload, error).
-
-    ``error`` is ``http`` for a block without head, ``chunks`` for bad framing and ``digest`` where the
-    payload is not what the record promised.
-    """
+    """``blocks`` opened: (record_id, uri, digest, payload, error); see ``opened``."""
 
     @F.arrow_udf(_PAYLOAD)
-    def opened(blocks: pa.Array, digests: pa.Array) -> pa.Array:
-        out = []
-        for b, d in zip(blocks, digests):
-            block, payload, error = b.as_py(), None, None
-            if block is not None:
-                head, gap, body = block.partition(b"\r\n\r\n")
-                if not gap:
-                    error = "http"
-                elif re.search(rb"(?im)^transfer-encoding:.*\bchunked\s*$", head):
-                    try:
-                        payload = unchunked(body)
-                    except ValueError:
-                        error = "chunks"
-                else:
-                    payload = body
-                if payload is not None and d.is_valid and hashlib.sha256(payload).hexdigest() != d.as_py():
-                    payload, error = None, "digest"
-            out.append({"payload": payload, "error": error})
-        return pa.array(out, pa.struct([("payload", pa.binary()), ("error", pa.string())]))
-
-    return (blocks.withColumn("p", opened("block", "digest"))
+    def each(blocks: pa.Array, digests: pa.Array) -> pa.Array:
+        both = [(None, None) if not b.is_valid else opened(b.as_py(), d.as_py()) for b, d in zip(blocks, digests)]
+        return pa.array([{"payload": p, "error": e} for p, e in both],
+                        pa.struct([("payload", pa.binary()), ("error", pa.string())]))
+
+    return (blocks.withColumn("p", each("block", "digest"))
             .select("record_id", "uri", "digest", "p.payload", F.coalesce("error", "p.error").alias("error")))
 
 
@@ -250,22 +261,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     A revisit has no payload of its own; ``refers_to`` is the record id of its response.
     """
-    found = read_records(spark, path)
-    own = payloads(reassemble(found)).select("record_id", F.lit("response").alias("kind"), "uri", "digest",
-                                             F.lit(None).cast("string").alias("refers_to"), "payload", "error")
-    again = found.filter("kind = 'revisit'").select("record_id", "kind", "uri", "digest", "refers_to",
-                                                    F.lit(None).cast("binary").alias("payload"),
-                                                    F.lit(None).cast("string").alias("error"))
-    return own.unionByName(again)
+    whole = _read(spark, path, _whole, _WHOLE)
+    joined = payloads(reassemble(_read(spark, path, _segment, _SEGMENT)))
+    return whole.unionByName(joined.select("record_id", F.lit("response").alias("kind"), "uri", "digest",
+                                           F.lit(None).cast("string").alias("refers_to"), "payload", "error"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     # sizes and digests are measured on what was read; a response that came back broken has none
-    found = read_archives(spark, path).select(
+    found = written(read_archives(spark, path).select(
         "record_id", "kind", "refers_to", F.octet_length("payload").cast("long").alias("n"),
-        F.sha2("payload", 256).alias("d"))
+        F.sha2("payload", 256).alias("d")), "read")
     own = found.filter("kind = 'response'").select("record_id", "n", "d")
     again = (found.filter("kind = 'revisit'").select(F.col("record_id").alias("rid"), "refers_to")
              .join(own.distinct(), F.col("refers_to") == F.col("record_id")).select("rid", "refers_to", "n", "d"))
