@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelrisk.functions.columns import scalars
-from panelrisk.operators import stats
 from panelrisk.operators.stats import (
     VAL, VAR, medians_from_counts, medians_wide, mode_value, modes_row, value_counts, widen_medians)
 from panelrisk.session import materialize
@@ -64,11 +63,9 @@ def group_median_tables(df: DataFrame, cols: Sequence[str], group: str, null_gro
     flags ``{c}__hn`` or None).
     """
     counts = value_counts(df, cols, [group], keep_nulls=True)
-    # every table derived below has at most this many rows
-    bound = counts.count()
     keyed = counts.where(F.col(group).isNotNull())
-    gmed = widen_medians(*medians_from_counts(keyed.where(F.col(VAL).isNotNull()), [group], n_buckets,
-                                              rows_bound=bound), cols, [group], "__g")
+    gmed = widen_medians(medians_from_counts(keyed.where(F.col(VAL).isNotNull()), [group], n_buckets),
+                         cols, [group], "__g")
     hn_row = None
     if null_group == "overwrite":
         hn_row = counts.agg(*[F.max(((F.col(VAR) == c) & F.col(VAL).isNull()).cast("int")).alias(f"{c}__hn")
@@ -84,10 +81,9 @@ def group_median_tables(df: DataFrame, cols: Sequence[str], group: str, null_gro
         emptied = counts.where(F.col(VAL).isNull()).select(VAR).distinct()
         kept = kept.where(F.col(group).isNotNull()).unionByName(
             kept.where(F.col(group).isNull()).join(emptied, VAR, "left_anti"))
-    after = kept.select(VAR, VAL, "_cnt").unionByName(fill).groupBy(VAR, VAL).agg(F.sum("_cnt").alias("_cnt"))
-    if bound > stats.SMALL_DISTINCT:
-        after = materialize(after, "value-counts")
-    gall_row = widen_medians(*medians_from_counts(after, [], n_buckets, rows_bound=bound), cols, suffix="__a")
+    after = materialize(kept.select(VAR, VAL, "_cnt").unionByName(fill).groupBy(VAR, VAL)
+                        .agg(F.sum("_cnt").alias("_cnt")), "value-counts")
+    gall_row = widen_medians(medians_from_counts(after, [], n_buckets), cols, suffix="__a")
     return gmed, gall_row, hn_row
 
 

@@ -7,8 +7,9 @@ bucketed running sums, so no column and no value range is processed by one task.
 Categorical columns: Jensen-Shannon distance and PSI from per-category shares.
 
 [choice] decision rules (the reference delegates them to a third-party preset):
-numeric - Wasserstein >= 0.1 when the reference has more than 1,000 rows, else
-KS p < 0.05; categorical - Jensen-Shannon distance >= 0.1.  All are parameters.
+numeric - ``test="wasserstein"`` (normalised distance >= 0.1) or ``test="ks"`` (p < 0.05),
+named by the caller and the same at every size; categorical - Jensen-Shannon distance >= 0.1.
+NaN counts as missing.  A side without values gives null statistics and ``drifted`` false.
 """
 
 from __future__ import annotations
@@ -25,10 +26,14 @@ from panelrisk.spec import DRIFT_SHARE_THRESHOLD
 VAR, VAL = "column", "_val"
 
 
+def _present(cast: str) -> Column:
+    return F.col(VAL).isNotNull() & ~F.isnan(VAL) if cast == "double" else F.col(VAL).isNotNull()
+
+
 def _long(df: DataFrame, cols: Sequence[str], side: str, cast: str) -> DataFrame:
     return (df.select(*[F.col(c).cast(cast).alias(c) for c in cols])
             .unpivot([], list(cols), VAR, VAL)
-            .where(F.col(VAL).isNotNull())
+            .where(_present(cast))
             .withColumn("_side", F.lit(side)))
 
 
@@ -44,7 +49,7 @@ def _split_counts(df: DataFrame, is_ref: Column, cols: Sequence[str], cast: str)
     long = (df.select(is_ref.alias("_isr"), *[F.col(c).cast(cast).alias(c) for c in cols])
             .where(F.col("_isr").isNotNull())
             .unpivot(["_isr"], list(cols), VAR, VAL)
-            .where(F.col(VAL).isNotNull()))
+            .where(_present(cast)))
     return long.groupBy(VAR, VAL).agg(F.count_if(F.col("_isr")).alias("nr"),
                                       F.count_if(~F.col("_isr")).alias("nc"))
 
@@ -60,48 +65,56 @@ def ks_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
 
 
 def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], alpha: float = 0.05,
-                  wasserstein_threshold: float = 0.1, large_reference: int = 1000,
+                  wasserstein_threshold: float = 0.1, test: str = "wasserstein",
                   n_buckets: int | None = None) -> DataFrame:
     """K1: one row per numeric column."""
     return _numeric_drift(_side_counts(ref, cur, cols, "double"), alpha, wasserstein_threshold,
-                          large_reference, n_buckets)
+                          test, n_buckets, cols)
 
 
 def numeric_drift_split(df: DataFrame, is_ref: Column, cols: Sequence[str], alpha: float = 0.05,
-                        wasserstein_threshold: float = 0.1, large_reference: int = 1000,
+                        wasserstein_threshold: float = 0.1, test: str = "wasserstein",
                         n_buckets: int | None = None) -> DataFrame:
     """K1 when both sides are parts of one frame (``is_ref`` true / false): one scan."""
     return _numeric_drift(_split_counts(df, is_ref, cols, "double"), alpha, wasserstein_threshold,
-                          large_reference, n_buckets)
+                          test, n_buckets, cols)
 
 
-def _numeric_drift(side_counts: DataFrame, alpha: float, wasserstein_threshold: float,
-                   large_reference: int, n_buckets: int | None) -> DataFrame:
+def _numeric_drift(side_counts: DataFrame, alpha: float, wasserstein_threshold: float, test: str,
+                   n_buckets: int | None, cols: Sequence[str]) -> DataFrame:
+    if test not in ("wasserstein", "ks"):
+        raise ValueError(f"unknown drift test: {test!r}")
     # (column, value) -> counts, written once: raw data is read a single time and the
-    # bucket sample plus both scan branches read this compact table
+    # cut points plus all branches below read this compact table
     counts = materialize(side_counts)
     v = F.col(VAL)
-    cum = running_sums(range_bucket(counts, [VAL], n_buckets), [VAR], [VAL],
-                       {"cr": F.col("nr"), "cc": F.col("nc"), "_sv": F.col("nr") * v,
-                        "_svv": F.col("nr") * v * v}, totals=True)
-    j = cum.withColumnRenamed("cr_total", "_tr").withColumnRenamed("cc_total", "_tc")
-    mean = F.col("_sv_total") / F.col("_tr")
-    j = j.withColumn("sd", F.sqrt(F.greatest(F.col("_svv_total") / F.col("_tr") - mean * mean, F.lit(0.0))))
-    incl = F.abs(F.col("cr") / F.col("_tr") - F.col("cc") / F.col("_tc"))
-    excl = F.abs((F.col("cr") - F.col("nr")) / F.col("_tr") - (F.col("cc") - F.col("nc")) / F.col("_tc"))
-    per = j.groupBy(VAR).agg(
-        F.first("_tr").alias("n_ref"), F.first("_tc").alias("n_cur"), F.first("sd").alias("_sd"),
-        F.max(incl).alias("ks_stat"),
-        # W1 = sum_i d_i (x_{i+1} - x_i) = sum_i x_i (d_{i-1} - d_i), d_{i-1} = CDF gap just below x_i
-        F.sum(F.col(VAL) * (excl - incl)).alias("_w1"))
-    out = per.select(
-        VAR, "n_ref", "n_cur", "ks_stat",
-        ks_pvalue(F.col("ks_stat"), F.col("n_ref").cast("double"), F.col("n_cur").cast("double")).alias("p_value"),
-        (F.col("_w1") / F.nullif(F.col("_sd"), F.lit(0.0))).alias("wasserstein_norm"))
-    drifted = F.when(F.col("n_ref") > large_reference,
-                     F.coalesce(F.col("wasserstein_norm") >= wasserstein_threshold, F.lit(False))) \
-        .otherwise(F.col("p_value") < alpha)
-    return out.withColumn("drifted", drifted)
+    ref = counts.where("nr > 0")
+    means = ref.groupBy(VAR).agg((F.sum(F.col("nr") * v) / F.sum("nr")).alias("_mean"))  # one row per column
+    # squares of centred values: no cancellation when values are large beside their spread
+    spread = (ref.join(means, VAR).groupBy(VAR)
+              .agg(F.sqrt(F.sum(F.col("nr") * (v - F.col("_mean")) * (v - F.col("_mean"))) / F.sum("nr")).alias("_sd")))
+    j = (running_sums(range_bucket(counts, [VAL], n_buckets), [VAR], [VAL],
+                      {"cr": F.col("nr"), "cc": F.col("nc")}, totals=True)
+         .withColumnRenamed("cr_total", "_tr").withColumnRenamed("cc_total", "_tc"))
+    share = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    incl = F.abs(share("cr", "_tr") - share("cc", "_tc"))
+    excl = F.abs((F.col("cr") - F.col("nr")) / F.nullif(F.col("_tr"), F.lit(0))
+                 - (F.col("cc") - F.col("nc")) / F.nullif(F.col("_tc"), F.lit(0)))
+    per = j.join(means, VAR, "left").groupBy(VAR).agg(
+        F.first("_tr").alias("n_ref"), F.first("_tc").alias("n_cur"), F.max(incl).alias("ks_stat"),
+        # W1 = sum_i d_i (x_{i+1} - x_i) = sum_i x_i (d_{i-1} - d_i), d_{i-1} = CDF gap just below x_i;
+        # the gaps of a column cancel, so its values may be taken relative to their mean
+        F.sum((v - F.coalesce("_mean", F.lit(0.0))) * (excl - incl)).alias("_w1"))
+    listed = counts.sparkSession.createDataFrame([(c,) for c in cols], f"{VAR} string")
+    out = (listed.join(per, VAR, "left").join(spread, VAR, "left")
+           .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_ref", "n_cur")})
+           .select(VAR, "n_ref", "n_cur", "ks_stat",
+                   F.when(F.least("n_ref", "n_cur") > 0,
+                          ks_pvalue(F.col("ks_stat"), F.greatest("n_ref", F.lit(1)).cast("double"),
+                                    F.greatest("n_cur", F.lit(1)).cast("double"))).alias("p_value"),
+                   (F.col("_w1") / F.nullif(F.col("_sd"), F.lit(0.0))).alias("wasserstein_norm")))
+    drifted = F.col("wasserstein_norm") >= wasserstein_threshold if test == "wasserstein" else F.col("p_value") < alpha
+    return out.withColumn("drifted", F.coalesce(drifted, F.lit(False)))
 
 
 def categorical_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], threshold: float = 0.1,
@@ -121,20 +134,20 @@ def _categorical_drift(side_counts: DataFrame, threshold: float, eps: float) ->
     tot = counts.groupBy(VAR).agg(F.sum("nr").alias("_tr"), F.sum("nc").alias("_tc")).withColumnRenamed(VAR, "_c")
     # one row per checked column (a plan-time list): a bounded broadcast
     j = counts.join(F.broadcast(tot), F.col(VAR) == F.col("_c"))
-    p = F.col("nr") / F.col("_tr")
-    q = F.col("nc") / F.col("_tc")
+    p = F.col("nr") / F.nullif(F.col("_tr"), F.lit(0))
+    q = F.col("nc") / F.nullif(F.col("_tc"), F.lit(0))
     m = (p + q) / 2
 
     def kl_term(a: Column) -> Column:
-        return F.when(a > 0, a * F.log(a / m)).otherwise(F.lit(0.0))
+        return F.when(a > 0, a * F.log(a / m)).when(a == 0, F.lit(0.0))  # null without a side
 
-    pe, qe = F.greatest(p, F.lit(eps)), F.greatest(q, F.lit(eps))
+    pe, qe = F.when(p.isNotNull(), F.greatest(p, F.lit(eps))), F.when(q.isNotNull(), F.greatest(q, F.lit(eps)))
     per = j.groupBy(VAR).agg(
         F.count(F.lit(1)).alias("n_categories"),
         (0.5 * F.sum(kl_term(p)) + 0.5 * F.sum(kl_term(q))).alias("_js"),
         F.sum((qe - pe) * F.log(qe / pe)).alias("psi"))
-    return per.select(VAR, "n_categories", F.sqrt(F.greatest(F.col("_js"), F.lit(0.0))).alias("js_distance"),
-                      "psi").withColumn("drifted", F.col("js_distance") >= threshold)
+    return per.select(VAR, "n_categories", F.sqrt(F.when(F.col("_js") > 0, F.col("_js")).when(F.col("_js").isNotNull(), F.lit(0.0))).alias("js_distance"),
+                      "psi").withColumn("drifted", F.coalesce(F.col("js_distance") >= threshold, F.lit(False)))
 
 
 def drift_summary(per_column: DataFrame, threshold: float = DRIFT_SHARE_THRESHOLD) -> DataFrame:

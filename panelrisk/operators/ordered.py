@@ -5,13 +5,13 @@ a 2-class label, one score column or a hot entity that is a third of the data in
 task.  Instead the ordered key space is cut into buckets:
 
 * ``range_bucket``  - literal cut points on the leading order column, taken from a
-  bounded hash-ordered sample and applied with the JVM ``Bucketizer``; a hot segment
+  quantile sketch and applied with the JVM ``Bucketizer``; a hot segment
   spans many buckets.  The bucket id is a pure function of the key, so every branch of
   a plan agrees on it (partition ids after a range exchange would not: each branch
   samples its own bounds).  Buckets only need to be monotone along the order inside a
   segment, so the segment itself is not part of the cut.
-* ``hash_prefix_bucket`` - when the order key is a uniform hash (md5 hex), equal-width
-  buckets on its prefix are already balanced; no sampling pass is needed.
+* ``hash_bucket`` - when the order key is a uniform hash (md5 hex), equal-width
+  buckets on its leading bits are already balanced; no pass for cut points is needed.
 
 Within a bucket a window does the local work; the cross-bucket part is a small table
 (one row per bucket, or per bucket x segment) whose size is bounded by the number of
@@ -20,7 +20,6 @@ buckets, combined with a window over that small table and joined back.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -39,63 +38,13 @@ def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
-def cut_points(df: DataFrame, key: Sequence[str | Column], n_buckets: int,
-               samples_per_bucket: int = 16) -> list[tuple]:
-    """Sorted distinct key tuples that cut ``df`` into about ``n_buckets`` equal ranges.
-
-    The sample is the ``n_buckets * samples_per_bucket`` rows with the smallest hash of
-    the key: a deterministic, uniform, bounded top-k (per-task heaps, no full sort), so
-    only that many small tuples reach the driver however large ``df`` is.
-    """
-    k = max(1, n_buckets * samples_per_bucket)
-    cols = _cols(key)
-    rows = (df.select(*[c.alias(f"_k{i}") for i, c in enumerate(cols)])
-            .orderBy(F.xxhash64(*[F.col(f"_k{i}") for i in range(len(cols))]))
-            .limit(k).collect())
-    keys = sorted({tuple(r) for r in rows}, key=_null_first)
-    if len(keys) <= 1:
-        return []
-    step = len(keys) / n_buckets
-    cuts = []
-    for b in range(1, n_buckets):
-        cand = keys[min(len(keys) - 1, int(round(b * step)))]
-        if not cuts or _null_first(cand) > _null_first(cuts[-1]):
-            cuts.append(cand)
-    return cuts
-
-
-def _null_first(t: tuple):
-    return tuple((v is not None, v) for v in t)
-
-
-def bucket_of(key: Sequence[str | Column], types: Sequence, cuts: list[tuple]) -> Column:
-    """Deterministic ordered bucket: the number of cut points <= key.
-
-    The cut points are one literal array; a binary search runs in a higher-order
-    ``aggregate`` (ceil(log2(n+1)) struct comparisons per row), so the expression size
-    does not grow with the number of buckets.
-    """
-    if not cuts:
-        return F.lit(0)
-    cols = _cols(key)
-    k = F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(cols)])
-    arr = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"_k{i}") for i, (v, t) in enumerate(zip(cut, types))])
-                    for cut in cuts])
-    depth = max(1, math.ceil(math.log2(len(cuts) + 1)))
-
-    def step(acc: Column, _i: Column) -> Column:
-        lo, hi = acc["lo"], acc["hi"]
-        mid = ((lo + hi + 1) / 2).cast("int")
-        up = F.struct(mid.alias("lo"), hi.alias("hi"))
-        down = F.struct(lo.alias("lo"), (mid - 1).alias("hi"))
-        return F.when(lo >= hi, acc).when(k >= F.element_at(arr, mid), up).otherwise(down)
-
-    init = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), init, step)["lo"]
-
-
 def _as_double(c: Column, dt: T.DataType) -> Column | None:
-    """An order-preserving double for numeric, date and timestamp keys (else None)."""
+    """A double that never decreases along numeric, boolean, date, timestamp and text keys (else None)."""
+    if isinstance(dt, T.BooleanType):
+        return c.cast("int").cast("double")
+    if isinstance(dt, T.StringType):
+        # the first six bytes as a number: text is ordered by its bytes
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
     if isinstance(dt, T.NumericType):
         return c.cast("double")
     if isinstance(dt, T.DateType):
@@ -114,32 +63,23 @@ def range_bucket(df: DataFrame, order: Sequence[str | Column], n_buckets: int |
                  name: str = BUCKET) -> DataFrame:
     """Attach a bucket id that never decreases along ``order`` (inside any segment).
 
-    The bucket is a pure function of the key value with literal cut points from a
-    bounded sample, so every branch of a plan - and every retried task - agrees on it.
-    Numeric / date / timestamp leading keys use the JVM ``Bucketizer`` (binary search
-    over the splits); other keys use a literal-array binary search.  Buckets cut the
-    leading order column: a hot segment is spread over many buckets, rows sharing one
-    leading value stay together.
+    There are about as many buckets as shuffle partitions.  The cut points are row quantiles of
+    the leading order column from ``percentile_approx``: a mergeable sketch, combined before the
+    shuffle, so a value that fills many rows counts with all of them and the driver sees the cut
+    points only.  They become literals of the JVM ``Bucketizer``, so every branch of a plan - and
+    every retried task - agrees on a row's bucket.  A hot segment is spread over many buckets;
+    rows sharing one leading value stay together.
     """
-    n = min(n_buckets or default_buckets(df), 4096)
-    cols = _cols(order)
-    lead_type = df.select(cols[0]).schema.fields[0].dataType
-    x = _as_double(cols[0], lead_type)
+    n = n_buckets or default_buckets(df)
+    lead = _cols(order)[0]
+    x = _as_double(lead, df.select(lead).schema.fields[0].dataType)
     if x is None:
-        types = [f.dataType for f in df.select(*cols).schema.fields]
-        return df.withColumn(name, bucket_of(cols, types, cut_points(df, cols, n)))
-    k = max(1, n * 16)
-    sample = (df.select(x.alias("_x"), *[c.alias(f"_o{i}") for i, c in enumerate(cols)])
-              .orderBy(F.xxhash64(*[F.col(f"_o{i}") for i in range(len(cols))])).limit(k)
-              .where(F.col("_x").isNotNull() & ~F.isnan("_x")).select("_x").collect())
-    vals = sorted(r[0] for r in sample if math.isfinite(r[0]))
+        raise TypeError("the leading order column must be a number, boolean, date, timestamp or text")
     cuts: list[float] = []
-    for b in range(1, n):
-        if not vals:
-            break
-        v = vals[min(len(vals) - 1, int(round(b * len(vals) / n)))]
-        if not cuts or v > cuts[-1]:
-            cuts.append(v)
+    if n > 1:
+        finite = F.when(F.abs(x) < F.lit(float("inf")), x)  # null for null, NaN and infinities
+        found = df.agg(F.percentile_approx(finite, [b / n for b in range(1, n)], max(10_000, 20 * n))).first()[0]
+        cuts = sorted(set(found or []))
     if not cuts:
         return df.withColumn(name, F.lit(0))
     tmp_in, tmp_out = f"{name}__x", f"{name}__b"
@@ -149,9 +89,9 @@ def range_bucket(df: DataFrame, order: Sequence[str | Column], n_buckets: int |
     return bz.transform(staged).withColumn(name, F.col(tmp_out).cast("int")).drop(tmp_in, tmp_out)
 
 
-def hash_prefix_bucket(hash_hex: Column, hex_digits: int = 3) -> Column:
-    """Equal-width bucket on the first hex digits of a uniform md5 hex string."""
-    return F.conv(F.substring(hash_hex, 1, hex_digits), 16, 10).cast("int")
+def hash_bucket(hash_hex: Column, n_buckets: int) -> Column:
+    """Equal-width bucket, 0 to n_buckets - 1, of a uniform md5 hex string (its first 32 bits)."""
+    return F.shiftright(F.conv(F.substring(hash_hex, 1, 8), 16, 10).cast("long") * n_buckets, 32).cast("int")
 
 
 SEGKEY = "_segkey"
@@ -174,7 +114,7 @@ def running_sums(df: DataFrame, segment: Sequence[str], order: Sequence[str | Co
                  exclusive: bool = False, totals: bool = False) -> DataFrame:
     """Running sums within ``segment`` ordered by ``order`` (must be unique in segment).
 
-    ``df`` must carry a ``bucket`` column (see ``range_bucket`` / ``hash_prefix_bucket``)
+    ``df`` must carry a ``bucket`` column (see ``range_bucket`` / ``hash_bucket``)
     that never decreases along ``order`` inside a segment.  Inclusive by default;
     ``exclusive=True`` gives the sum over strictly earlier rows.  ``totals=True`` also
     adds ``<name>_total``, the whole-segment sum, taken from the same small table.
@@ -237,14 +177,15 @@ def plain_lag(df: DataFrame, segment: Sequence[str], order: Sequence[str | Colum
 
 
 def hash_rank(df: DataFrame, segment: Sequence[str], hash_hex: Column, key: Sequence[str],
-              name: str = "_rank", hex_digits: int = 3, totals: bool = False) -> DataFrame:
-    """1-based rank within segment ordered by (hash_hex, key), via hash-prefix buckets.
+              name: str = "_rank", n_buckets: int | None = None, totals: bool = False) -> DataFrame:
+    """1-based rank within segment ordered by (hash_hex, key), via equal-width hash buckets,
+    by default as many as shuffle partitions.  ``hash_hex`` must not be null.
 
     Equivalent to ``row_number() over (partition by segment order by hash_hex, key)``
     but no segment is processed by one task.  ``totals`` adds ``<name>_total``, the
     segment size.
     """
     h = "_h"
-    with_h = df.withColumn(h, hash_hex).withColumn(BUCKET, hash_prefix_bucket(F.col(h), hex_digits))
+    with_h = df.withColumn(h, hash_hex).withColumn(BUCKET, hash_bucket(F.col(h), n_buckets or default_buckets(df)))
     ranked = running_sums(with_h, segment, [F.col(h), *_cols(key)], {name: F.lit(1)}, totals=totals)
     return ranked.drop(h, BUCKET)

@@ -8,7 +8,7 @@ period, so no self-union and no per-period re-read of the wide table.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelrisk.functions.columns import leading_int, lenient_double
-
-_PERIOD_SUFFIX = re.compile(r"_(\d{4})$")
-
+from panelrisk.spec import EDUCATION_INDICATORS, EDUCATION_WIDE_OPTIONAL
 
 def normalize_name(name: str) -> str:
     return re.sub(r"\s+", "_", name.strip().upper())
@@ -35,21 +33,57 @@ def normalize_column_names(df: DataFrame) -> DataFrame:
 
 def validate_schema(df: DataFrame, required: Iterable[str]) -> bool:
     """Every required name present (compared upper-cased); else ValueError."""
-    present = {c.upper() for c in df.columns}
-    missing = set(required) - present
-    if missing:
-        raise ValueError(f"missing required columns: {sorted(missing)}")
+    absent = sorted(set(required).difference(map(str.upper, df.columns)))
+    if absent:
+        raise ValueError(f"required columns not found: {absent}")
     return True
 
 
+@dataclass(frozen=True)
+class YearlyColumn:
+    """A column called ``<stem>_<period>``, the period being its last four digits."""
+
+    name: str
+    stem: str
+    period: int
+
+    @classmethod
+    def parse(cls, name: str) -> YearlyColumn | None:
+        stem, _, tail = name.rpartition("_")
+        yearly = len(tail) == 4 and tail.isdecimal() and tail.isascii() and len(stem) < len(name) - 4
+        return cls(name, stem, int(tail)) if yearly else None
+
+
+def yearly_columns(columns: Iterable[str]) -> dict[int, dict[str, YearlyColumn]]:
+    """The wide columns, by period (ascending) and stem; every name is parsed once."""
+    found: dict[int, dict[str, YearlyColumn]] = {}
+    for c in filter(None, map(YearlyColumn.parse, columns)):
+        found.setdefault(c.period, {})[c.stem] = c
+    return dict(sorted(found.items()))
+
+
 def is_wide(columns: Iterable[str]) -> bool:
     """Any column named like NAME_YYYY."""
-    return any(_PERIOD_SUFFIX.search(c) for c in columns)
+    return bool(yearly_columns(columns))
 
 
 def discover_periods(columns: Iterable[str]) -> list[int]:
     """Sorted distinct 4-digit suffixes."""
-    return sorted({int(m.group(1)) for c in columns for m in [_PERIOD_SUFFIX.search(c)] if m})
+    return list(yearly_columns(columns))
+
+
+@dataclass(frozen=True)
+class Target:
+    """A long column: the stems that can fill it, in order of preference, and how each is read.
+
+    ``how`` is "double" (lenient), "leading_int" or "as_is".
+    """
+
+    name: str
+    sources: tuple[tuple[str, str], ...]
+
+    def pick(self, present: Mapping[str, YearlyColumn]) -> tuple[YearlyColumn, str] | None:
+        return next(((present[stem], how) for stem, how in self.sources if stem in present), None)
 
 
 @dataclass(frozen=True)
@@ -64,74 +98,51 @@ class WideLayout:
     group: str = "FASE"
     group_sources: tuple[tuple[str, str], ...] = (("FASE", "value"), ("FASE_TURMA", "leading_int"))
     # optional text / label columns: long name -> candidate prefixes (first present wins)
-    optional: tuple[tuple[str, tuple[str, ...]], ...] = (
-        ("TURMA", ("TURMA",)),
-        ("PONTO_DE_VIRADA", ("PONTO_VIRADA", "PONTO_DE_VIRADA")),
-        ("DEFASAGEM", ("DEFASAGEM",)),
-    )
+    optional: tuple[tuple[str, tuple[str, ...]], ...] = EDUCATION_WIDE_OPTIONAL
+
+    @property
+    def targets(self) -> tuple[Target, ...]:
+        group = tuple((stem, "leading_int" if how == "leading_int" else "double") for stem, how in self.group_sources)
+        return (*(Target(i, ((i, "double"),)) for i in self.indicators), Target(self.group, group),
+                *(Target(n, tuple((stem, "as_is") for stem in stems)) for n, stems in self.optional))
 
 
-# fixed values for the education layout (column prefixes of the reference's yearly file)
-EDUCATION_LAYOUT = WideLayout(indicators=("INDE", "IAN", "IDA", "IEG", "IAA", "IPS", "IPP", "IPV"),
-                              anchor="INDE")
+EDUCATION_LAYOUT = WideLayout(indicators=EDUCATION_INDICATORS, anchor="INDE")
 
 
-def _common_type(types: Sequence[T.DataType]) -> T.DataType:
-    if types and all(isinstance(t, (T.NumericType, T.BooleanType)) for t in types):
-        return T.DoubleType()
-    return T.StringType()
+_READ = {"double": lenient_double, "leading_int": leading_int, "as_is": lambda c: c}
 
 
 def wide_to_long(df: DataFrame, layout: WideLayout = EDUCATION_LAYOUT) -> DataFrame:
     """One row per (input row, kept period); a period without its anchor is skipped.
 
-    Indicators and the group are coerced leniently to double afterwards; columns not
-    described by the layout are dropped.  No period kept -> the input is returned.
+    Indicators and the group are coerced leniently to double; columns not described by the
+    layout are dropped.  No period kept -> the input is returned.
     """
-    cols = set(df.columns)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    periods = [p for p in discover_periods(df.columns) if f"{layout.anchor}_{p}" in cols]
-    if not periods:
+    by_period = {p: c for p, c in yearly_columns(df.columns).items() if layout.anchor in c}
+    if not by_period:
         return df
-
-    # per period: long name -> source expression (absent -> missing)
-    plans: list[dict[str, Column | None]] = []
-    src_types: dict[str, list[T.DataType]] = {}
-    order: list[str] = []
-    for p in periods:
-        s = f"_{p}"
-        m: dict[str, Column | None] = {}
-        for ind in layout.indicators:
-            if f"{ind}{s}" in cols:
-                m[ind] = lenient_double(F.col(f"{ind}{s}"))
-                src_types.setdefault(ind, []).append(T.DoubleType())
-        for prefix, how in layout.group_sources:
-            if f"{prefix}{s}" in cols:
-                c = F.col(f"{prefix}{s}")
-                m[layout.group] = leading_int(c) if how == "leading_int" else lenient_double(c)
-                src_types.setdefault(layout.group, []).append(T.DoubleType())
-                break
-        for name, prefixes in layout.optional:
-            for prefix in prefixes:
-                if f"{prefix}{s}" in cols:
-                    m[name] = F.col(f"{prefix}{s}")
-                    src_types.setdefault(name, []).append(types[f"{prefix}{s}"])
-                    break
-        for k in m:
-            if k not in order:
-                order.append(k)
-        plans.append(m)
-
-    final_types = {k: _common_type(src_types[k]) for k in order}
-    structs = []
-    for p, m in zip(periods, plans):
-        fields = [F.lit(p).cast("int").alias(layout.period)]
-        for k in order:
-            v = m.get(k)
-            fields.append((v if v is not None else F.lit(None)).cast(final_types[k]).alias(k))
-        structs.append(F.struct(*fields))
-    keep = [layout.entity] if layout.entity and layout.entity in cols else []
-    return df.select(*keep, F.explode(F.array(*structs)).alias("_p")).select(*keep, "_p.*")
+    picks = {p: {t.name: t.pick(c) for t in layout.targets} for p, c in by_period.items()}
+    kinds = {t.name: _long_type(df, [picks[p][t.name] for p in picks]) for t in layout.targets}
+    # columns in the order in which the periods, oldest first, bring them in
+    names = list(dict.fromkeys(n for own in picks.values() for n, found in own.items() if found))
+
+    def cell(name: str, found: tuple[YearlyColumn, str] | None) -> Column:
+        value = F.lit(None) if found is None else _READ[found[1]](F.col(found[0].name))
+        return value.cast(kinds[name]).alias(name)
+
+    rows = [F.struct(F.lit(p).cast("int").alias(layout.period), *[cell(n, own[n]) for n in names])
+            for p, own in picks.items()]
+    keep = [layout.entity] if layout.entity in df.columns else []
+    return df.select(*keep, F.inline(F.array(*rows)))
+
+
+def _long_type(df: DataFrame, found: Sequence[tuple[YearlyColumn, str] | None]) -> T.DataType:
+    """Double where all the source columns are numbers or read as such, else text."""
+    present = [f for f in found if f]
+    numeric = all(how != "as_is" or isinstance(df.schema[c.name].dataType, (T.NumericType, T.BooleanType))
+                  for c, how in present)
+    return T.DoubleType() if present and numeric else T.StringType()
 
 
 def concat_panels(frames: Sequence[DataFrame]) -> DataFrame:

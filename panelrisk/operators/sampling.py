@@ -1,8 +1,8 @@
 """Reproducible splitting and sampling.
 
 Membership is decided by ``md5('<seed>:' || key)``: portable (DuckDB computes the
-same hash), deterministic under task retries, and uniform, so equal-width buckets on
-the hash prefix are balanced.  Ranks come from ``ordered.hash_rank``: no class and no
+same hash), deterministic under task retries, and uniform, so equal-width buckets of
+the hash are balanced.  Ranks come from ``ordered.hash_rank``: no class and no
 global order is ever processed by one task.
 """
 
@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelrisk.operators.ordered import hash_rank
 
@@ -21,31 +22,38 @@ def seeded_hash(key: str | Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
 
 
+def _member_hash(df: DataFrame, key: str, seed: int) -> Column:
+    """The key's hash; rows without a key are placed by a hash of the whole row, so none is lost
+    and they do not share one place."""
+    whole = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return F.coalesce(seeded_hash(key, seed), F.md5(F.concat(F.lit(f"{seed}:null:"), F.xxhash64(*whole).cast("string"))))
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: int = 42,
-                     name: str = "split", hex_digits: int = 4) -> DataFrame:
+                     name: str = "split", n_buckets: int | None = None) -> DataFrame:
     """Per class, the ceil(test_frac * n_class) rows with the smallest hash are 'test'."""
     if label not in df.columns:
         raise ValueError(f"label column {label!r} not found; encode the label first")
-    ranked = hash_rank(df, [label], seeded_hash(key, seed), [key], "_rk", hex_digits, totals=True)
+    ranked = hash_rank(df, [label], _member_hash(df, key, seed), [key], "_rk", n_buckets, totals=True)
     test = F.col("_rk") <= F.ceil(F.lit(test_frac) * F.col("_rk_total"))
     return ranked.withColumn(name, F.when(test, "test").otherwise("train")).drop("_rk", "_rk_total")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
-                     name: str = "fold", hex_digits: int = 4) -> DataFrame:
+                     name: str = "fold", n_buckets: int | None = None) -> DataFrame:
     """fold = (rank within class - 1) mod k: class shares equal in every fold."""
-    ranked = hash_rank(df, [label], seeded_hash(key, seed), [key], "_rk", hex_digits)
+    ranked = hash_rank(df, [label], _member_hash(df, key, seed), [key], "_rk", n_buckets)
     return ranked.withColumn(name, ((F.col("_rk") - 1) % k).cast("int")).drop("_rk")
 
 
 def exact_sample(df: DataFrame, key: str, frac: float = 0.3, seed: int = 99,
-                 hex_digits: int = 4) -> DataFrame:
+                 n_buckets: int | None = None) -> DataFrame:
     """Exactly round(frac * n) rows without replacement - the smallest hashes.
 
     Not ``orderBy().limit(n)``: n grows with the data and a limit that large funnels
     into one task.  The rank is distributed and n is a one-row aggregate.
     """
-    ranked = hash_rank(df, [], seeded_hash(key, seed), [key], "_rk", hex_digits, totals=True)
+    ranked = hash_rank(df, [], _member_hash(df, key, seed), [key], "_rk", n_buckets, totals=True)
     return (ranked.where(F.col("_rk") <= F.round(F.lit(frac) * F.col("_rk_total")))
             .drop("_rk", "_rk_total"))
 

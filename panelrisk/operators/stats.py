@@ -38,34 +38,18 @@ def value_counts(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
 
     A map-side partial count collapses repeated values before the shuffle, so a hot
     group costs one row per distinct value.  With ``keep_nulls`` the missing values of
-    each (group, column) are counted under a null ``_val``.  The size check, the bucket
-    sample and both scan branches of the median read this compact table.
+    each (group, column) are counted under a null ``_val``.  The cut points and both scan
+    branches of the median read this compact table.
     """
     seg = [*group, VAR]
     return materialize(_long_values(df, cols, group, keep_nulls).groupBy(*seg, VAL)
                        .agg(F.count(F.lit(1)).alias("_cnt")), "value-counts")
 
 
-# a segment with at most this many distinct values is reduced by one exact weighted
-# percentile aggregate (its buffer holds one entry per distinct value); larger segments
-# go through the bucketed scan, whose memory per task does not depend on the segment
-SMALL_DISTINCT = 200_000
-
-
-def medians_from_counts(counts: DataFrame, group: Sequence[str] = (), n_buckets: int | None = None,
-                        small_distinct: int | None = None,
-                        rows_bound: int | None = None) -> tuple[DataFrame, bool]:
-    """Exact medians per (group..., _var) from a (group..., _var, _val, _cnt) table
-    without null values.  Returns the long result and whether the bucketed scan ran.
-    ``rows_bound``, when known, is an upper bound of the table's row count."""
+def medians_from_counts(counts: DataFrame, group: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+    """Exact medians ``_median`` per (group..., _var) from a written (group..., _var, _val, _cnt)
+    table without null values: running counts by value buckets, whatever the table's size."""
     seg = [*group, VAR]
-    limit = SMALL_DISTINCT if small_distinct is None else small_distinct
-    # the table's row count bounds its widest segment; count the segments only beyond it
-    widest = counts.count() if rows_bound is None or rows_bound > limit else rows_bound
-    if widest > limit:
-        widest = counts.groupBy(*seg).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
-    if widest <= limit:
-        return counts.groupBy(*seg).agg(F.percentile(VAL, 0.5, F.col("_cnt")).alias("_median")), False
     j = running_sums(range_bucket(counts, [VAL], n_buckets), seg, [VAL],
                      {"_cum": F.col("_cnt")}, totals=True).withColumnRenamed("_cum_total", "_n")
     lo = F.floor((F.col("_n") + 1) / 2)
@@ -76,38 +60,29 @@ def medians_from_counts(counts: DataFrame, group: Sequence[str] = (), n_buckets:
     picked = j.where(covers_lo | covers_hi)
     agg = picked.groupBy(*seg).agg(F.max(F.when(covers_lo, F.col(VAL))).alias("_lo"),
                                    F.max(F.when(covers_hi, F.col(VAL))).alias("_hi"))
-    return agg.select(*seg, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(0.5)).alias("_median")), True
-
-
-def _medians(df: DataFrame, cols: Sequence[str], group: Sequence[str],
-             n_buckets: int | None, small_distinct: int | None = None) -> tuple[DataFrame, bool]:
-    return medians_from_counts(value_counts(df, cols, group), group, n_buckets, small_distinct)
+    return agg.select(*seg, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(0.5)).alias("_median"))
 
 
 def medians_long(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
-                 n_buckets: int | None = None, small_distinct: int | None = None) -> DataFrame:
+                 n_buckets: int | None = None) -> DataFrame:
     """One row per (group..., _var) with the exact median ``_median`` (nulls skipped)."""
-    return _medians(df, cols, group, n_buckets, small_distinct)[0]
+    return medians_from_counts(value_counts(df, cols, group), group, n_buckets)
 
 
-def widen_medians(long: DataFrame, heavy: bool, cols: Sequence[str], group: Sequence[str] = (),
+def widen_medians(long: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
                   suffix: str = "") -> DataFrame:
-    """Long medians -> one row per group (or exactly one row), a column per input column."""
+    """Long medians -> one row per group (or exactly one row), a column per input column;
+    written once, so that its consumers do not repeat the scan."""
     g = list(group)
     aggs = [F.max(F.when(F.col(VAR) == c, F.col("_median"))).alias(f"{c}{suffix}") for c in cols]
     # global: always exactly one row, even when every value is null
-    wide = long.groupBy(*g).agg(*aggs) if g else long.agg(*aggs)
-    # after the bucketed scan the small result is written once, so its consumers do not
-    # re-run the scan
-    return materialize(wide, "medians") if heavy else wide
+    return materialize(long.groupBy(*g).agg(*aggs) if g else long.agg(*aggs), "medians")
 
 
 def medians_wide(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
-                 suffix: str = "", n_buckets: int | None = None,
-                 small_distinct: int | None = None) -> DataFrame:
+                 suffix: str = "", n_buckets: int | None = None) -> DataFrame:
     """One row per group (or exactly one row) with a median column per input column."""
-    long, heavy = _medians(df, cols, list(group), n_buckets, small_distinct)
-    return widen_medians(long, heavy, cols, group, suffix)
+    return widen_medians(medians_long(df, cols, list(group), n_buckets), cols, group, suffix)
 
 
 def mode_value(df: DataFrame, c: str, alias: str | None = None) -> DataFrame:

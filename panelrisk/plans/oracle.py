@@ -406,7 +406,7 @@ fin AS (SELECT "column", n_ref, n_cur, ks_stat,
                END AS p_value,
                w1 / NULLIF(sd, 0.0) AS wasserstein_norm
         FROM pv),
-num AS (SELECT *, CASE WHEN n_ref > 1000 THEN COALESCE(wasserstein_norm >= 0.1, FALSE) ELSE p_value < 0.05 END
+num AS (SELECT *, COALESCE(wasserstein_norm >= 0.1, FALSE)
                   AS drifted FROM fin)
 """
 

@@ -67,6 +67,12 @@ EDUCATION_MODEL_NUMERIC = (
     "GAP_AUTO_REAL", "ABAIXO_MEDIA_GERAL", "EVOLUCAO_INDE", "INDE_x_FASE", "BEMESTAR_x_PERFORMANCE", "ANO",
 )
 EDUCATION_MODEL_CATEGORICALS = ("FASE", "PONTO_DE_VIRADA")
+# yearly file: long text / label column -> prefixes of its wide columns
+EDUCATION_WIDE_OPTIONAL = (
+    ("TURMA", ("TURMA",)),
+    ("PONTO_DE_VIRADA", ("PONTO_VIRADA", "PONTO_DE_VIRADA")),
+    ("DEFASAGEM", ("DEFASAGEM",)),
+)
 TIER_LOW_BELOW = 0.40      # p < 0.40 -> baixo
 TIER_MEDIUM_UPTO = 0.70    # p <= 0.70 -> medio, else alto
 DECISION_AT = 0.5          # p >= 0.5 -> at risk

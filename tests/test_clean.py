@@ -32,13 +32,13 @@ def test_exact_medians(spark):
     assert medians_wide(df, ["v"]).first().v == 2.5
 
 
-@pytest.mark.parametrize("small", [None, 0])
-def test_median_paths_agree(spark, small):
+@pytest.mark.parametrize("buckets", [None, 1, 40])
+def test_medians_equal_the_built_in(spark, buckets):
     import random
     rnd = random.Random(5)
     rows = [("hot" if i % 3 else f"g{i % 7}", round(rnd.gauss(0, 3), 1)) for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r.k: r.v for r in medians_wide(df, ["v"], ["k"], small_distinct=small).collect()}
+    got = {r.k: r.v for r in medians_wide(df, ["v"], ["k"], n_buckets=buckets).collect()}
     want = {r.k: r.v for r in df.groupBy("k").agg(F.median("v").alias("v")).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
@@ -76,14 +76,9 @@ def _null_first(r):
     return tuple((v is not None, v if v is not None else 0.0) for v in r)
 
 
-@pytest.mark.parametrize("small", [None, 0])
 @pytest.mark.parametrize("null_group", ["keep", "overwrite"])
-def test_group_median_impute_brute_force(spark, monkeypatch, small, null_group):
+def test_group_median_impute_brute_force(spark, null_group):
     import random
-
-    from panelrisk.operators import stats
-    if small is not None:
-        monkeypatch.setattr(stats, "SMALL_DISTINCT", small)
     rnd = random.Random(11)
     rows = []
     for i in range(1500):

@@ -51,12 +51,10 @@ impute_rows = st.lists(
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(rows=impute_rows, overwrite=st.booleans(), bucketed=st.booleans())
-def test_group_median_impute_property(spark, monkeypatch, rows, overwrite, bucketed):
-    from panelrisk.operators import stats
+@given(rows=impute_rows, overwrite=st.booleans())
+def test_group_median_impute_property(spark, rows, overwrite):
     from panelrisk.operators.clean import impute_group_median
     from tests.test_clean import _brute_group_median, _null_first
-    monkeypatch.setattr(stats, "SMALL_DISTINCT", 0 if bucketed else 200_000)
     mode = "overwrite" if overwrite else "keep"
     df = spark.createDataFrame(rows, "g double, a double, b double")
     got = sorted((tuple(r) for r in impute_group_median(df, ["a", "b"], "g", mode).collect()), key=_null_first)
