@@ -29,7 +29,8 @@ def encode_label(df: DataFrame, label: str, rule: Sequence[tuple[str, float]],
     x = text_code(F.col(label), text_map).cast("double") if isinstance(dt, T.StringType) \
         else lenient_double(F.col(label))
     staged = df.withColumn("__y", x)
-    binary = scalars(staged.agg(F.coalesce(
+    # mapped text is 0, 1 or null by construction: nothing to look for in the data
+    binary = F.lit(True) if isinstance(dt, T.StringType) else scalars(staged.agg(F.coalesce(
         F.bool_and(F.when(F.col("__y").isNotNull(), F.col("__y").isin(0.0, 1.0))), F.lit(True)).alias("b")))["b"]
     signed = F.when(F.col("__y") < 0, 1).when(F.col("__y").isNotNull(), 0)
     value = F.when(binary, F.coalesce(F.col("__y").cast("int"), derived)) \

@@ -18,45 +18,54 @@ from panelrisk.session import materialize
 from panelrisk.spec import GATES
 
 
-def _classes(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """Classes present in y_true or y_pred (bounded by the number of classes)."""
-    return (df.select(F.col(label).alias("cls")).union(df.select(F.col(pred).alias("cls")))
-            .where(F.col("cls").isNotNull()).distinct())
+def pair_counts(df: DataFrame, label: str = "label", pred: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+    """(by..., label, pred, n), written once: the only read of the predictions.  It has at most
+    classes squared rows (for each value of ``by``), and E1 to E4 are aggregates of it."""
+    return materialize(df.groupBy(*by, F.col(label).alias("label"), F.col(pred).alias("pred"))
+                       .agg(F.count(F.lit(1)).alias("n")), "pair-counts")
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     """Dense (actual, predicted, n) over the sorted classes, zeros included."""
-    counts = df.groupBy(F.col(label).alias("actual"), F.col(pred).alias("predicted")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    cls = _classes(df, label, pred).agg(F.array_sort(F.collect_set("cls")).alias("c"))
+    counts = pair_counts(df, label, pred)
+    cls = (counts.select(F.explode(F.array("label", "pred")).alias("cls")).where("cls is not null")
+           .agg(F.array_sort(F.collect_set("cls")).alias("c")))
     grid = cls.select(F.explode("c").alias("actual"), "c").select("actual", F.explode("c").alias("predicted"))
-    return (grid.join(counts, ["actual", "predicted"], "left")
+    return (grid.join(counts.toDF("actual", "predicted", "n"), ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
-def class_report(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
-    """Precision, recall, F1 and support per class; zero division -> 0."""
-    actual = df.groupBy(F.col(label).alias("cls")).agg(
-        F.count(F.lit(1)).alias("support"),
-        F.count_if(F.col(label) == F.col(pred)).alias("tp"))
-    predicted = df.groupBy(F.col(pred).alias("cls")).agg(F.count(F.lit(1)).alias("n_pred"))
-    j = actual.join(predicted, "cls", "full_outer").where(F.col("cls").isNotNull())
-    tp = F.coalesce("tp", F.lit(0))
-    support = F.coalesce("support", F.lit(0))
-    prec = safe_div(tp.cast("double"), F.coalesce("n_pred", F.lit(0)).cast("double"))
-    rec = safe_div(tp.cast("double"), support.cast("double"))
-    return (j.select("cls", prec.alias("precision"), rec.alias("recall"), support.cast("long").alias("support"))
+def _report(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support by class (and ``by``), from the pair counts."""
+    n = F.col("n")
+    sides = (counts.select(*by, F.explode(F.array(
+        F.struct(F.col("label").alias("cls"), n.alias("support"), F.when(F.col("label") == F.col("pred"), n)
+                 .otherwise(0).alias("tp"), F.lit(0).cast("long").alias("n_pred")),
+        F.struct(F.col("pred").alias("cls"), F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("tp"),
+                 n.alias("n_pred")))).alias("s")).select(*by, "s.*").where("cls is not null"))
+    c = sides.groupBy(*by, "cls").agg(*[F.sum(x).alias(x) for x in ("support", "tp", "n_pred")])
+    tp = F.col("tp").cast("double")
+    return (c.select(*by, "cls", safe_div(tp, F.col("n_pred").cast("double")).alias("precision"),
+                     safe_div(tp, F.col("support").cast("double")).alias("recall"), F.col("support").cast("long").alias("support"))
             .withColumn("f1", safe_div(2 * F.col("precision") * F.col("recall"),
                                        F.col("precision") + F.col("recall"))))
 
 
+def class_report(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
+    """Precision, recall, F1 and support per class; zero division -> 0."""
+    return _report(pair_counts(df, label, pred))
+
+
 def summary_metrics(df: DataFrame, label: str = "label", pred: str = "prediction",
                     positive: int = 1) -> DataFrame:
     """E3 + E4: one row - macro/weighted F1, macro precision/recall, accuracy, positive recall."""
-    rep = class_report(df, label, pred)
-    acc = df.agg(safe_div(F.count_if(F.col(label) == F.col(pred)).cast("double"),
-                          F.count(F.lit(1)).cast("double")).alias("accuracy"))
-    m = rep.agg(
+    return _summary(pair_counts(df, label, pred), positive)
+
+
+def _summary(counts: DataFrame, positive: int = 1) -> DataFrame:
+    acc = counts.agg(safe_div(F.coalesce(F.sum(F.when(F.col("label") == F.col("pred"), F.col("n"))), F.lit(0)).cast("double"),
+                              F.sum("n").cast("double")).alias("accuracy"))
+    m = _report(counts).agg(
         F.avg("f1").alias("f1_macro"),
         safe_div(F.sum(F.col("f1") * F.col("support")), F.sum("support").cast("double")).alias("f1_weighted"),
         F.avg("precision").alias("precision_macro"),
@@ -81,10 +90,13 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", positive:
 def roc_auc_by(df: DataFrame, group: Sequence[str], label: str = "label", score: str = "score",
                positive: int = 1, n_buckets: int | None = None) -> DataFrame:
     """E5 per group (e.g. per CV fold) in one pass: one row per group."""
-    g = list(group)
-    counts = materialize(df.groupBy(*g, F.col(score).alias("score")).agg(
+    counts = materialize(df.groupBy(*group, F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == positive).alias("pos"),
         F.count_if(F.col(label) != positive).alias("neg")))
+    return _auc(counts, list(group), n_buckets)
+
+
+def _auc(counts: DataFrame, g: list[str], n_buckets: int | None = None) -> DataFrame:
     cum = running_sums(range_bucket(counts, ["score"], n_buckets), g, ["score"],
                        {"neg_below": F.col("neg")}, exclusive=True)
     return cum.groupBy(*g).agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5))
@@ -104,9 +116,17 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positiv
         (F.col("tps") / F.nullif(tot["P"], F.lit(0))).alias("tpr"))
 
 
-def evaluate(df: DataFrame, label: str = "label", pred: str = "prediction", score: str = "score") -> DataFrame:
-    """O2: the reference's metric set as one row."""
-    return summary_metrics(df, label, pred).withColumn("roc_auc", scalars(roc_auc(df, label, score))["roc_auc"])
+def evaluate(df: DataFrame, label: str = "label", pred: str = "prediction", score: str = "score",
+             positive: int = 1) -> DataFrame:
+    """O2: the reference's metric set as one row, from one read of the predictions."""
+    base = materialize(df.groupBy(F.col(label).alias("label"), F.col(pred).alias("pred"), F.col(score).alias("score"))
+                       .agg(F.count(F.lit(1)).alias("n")), "scored-counts")
+    pairs = materialize(base.groupBy("label", "pred").agg(F.sum("n").alias("n")), "pair-counts")
+    n = F.col("n")
+    scores = materialize(base.groupBy("score").agg(
+        F.coalesce(F.sum(F.when(F.col("label") == positive, n)), F.lit(0)).alias("pos"),
+        F.coalesce(F.sum(F.when(F.col("label") != positive, n)), F.lit(0)).alias("neg")), "score-counts")
+    return _summary(pairs, positive).withColumn("roc_auc", scalars(_auc(scores, []))["roc_auc"])
 
 
 def metrics_long(metrics_row: DataFrame) -> DataFrame:
@@ -145,15 +165,6 @@ def cv_summary(per_fold: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def per_group_metrics(df: DataFrame, group: str, label: str = "label", pred: str = "prediction") -> DataFrame:
-    """Macro F1 / precision / recall per group (fold) in one pass of group-level counts."""
-    c = df.groupBy(group, F.col(label).alias("cls")).agg(
-        F.count(F.lit(1)).alias("support"), F.count_if(F.col(label) == F.col(pred)).alias("tp"))
-    p = df.groupBy(group, F.col(pred).alias("cls")).agg(F.count(F.lit(1)).alias("n_pred"))
-    j = c.join(p, [group, "cls"], "full_outer")
-    tp = F.coalesce("tp", F.lit(0)).cast("double")
-    prec = safe_div(tp, F.coalesce("n_pred", F.lit(0)).cast("double"))
-    rec = safe_div(tp, F.coalesce("support", F.lit(0)).cast("double"))
-    f1 = safe_div(2 * prec * rec, prec + rec)
-    return j.groupBy(group).agg(F.avg(f1).alias("f1_macro"), F.avg(prec).alias("precision_macro"),
-                                F.avg(rec).alias("recall_macro"))
-
+    """Macro F1 / precision / recall per group (fold) from one table of counts."""
+    return (_report(pair_counts(df, label, pred, [group]), [group]).groupBy(group)
+            .agg(F.avg("f1").alias("f1_macro"), F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro")))

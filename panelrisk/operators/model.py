@@ -11,6 +11,8 @@ import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
@@ -60,12 +62,13 @@ class Candidate:
     params: dict = field(default_factory=dict)
 
 
-def random_forest(label: str, weight: str | None = "weight", num_trees: int = 200, max_depth: int = 10,
-                  min_instances: int = 1, seed: int = 42):
+def random_forest(label: str, weight: str | None = "weight", num_trees: int = 200, max_depth: int | None = 10,
+                  min_instances: int = 1, max_features: str = "auto", seed: int = 42):
     """A5: the reference's default forest (min-split has no Spark twin; min instances per
-    node is the nearest control)."""
-    kw = dict(labelCol=label, featuresCol=FEATURES, numTrees=num_trees, maxDepth=max_depth,
-              minInstancesPerNode=min_instances, seed=seed)
+    node is the nearest control).  Without a depth limit trees grow to Spark ML's limit of 30;
+    ``max_features`` is "sqrt", "log2", "all", a share or a number."""
+    kw = dict(labelCol=label, featuresCol=FEATURES, numTrees=num_trees, maxDepth=30 if max_depth is None else max_depth,
+              minInstancesPerNode=min_instances, featureSubsetStrategy=str(max_features), seed=seed)
     if weight:
         kw["weightCol"] = weight
     return RandomForestClassifier(**kw)
@@ -136,7 +139,7 @@ def cross_validate(df: DataFrame, label: str, numeric: Sequence[str], categorica
     macro recall, plus the mean train macro F1.
     """
     k = df.select(F.max(fold_col)).first()[0] + 1
-    data = df.cache()
+    data = df
     preds, train_preds = [], []
     for f in range(k):
         tr, te = data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f)
@@ -162,18 +165,20 @@ def cross_validate(df: DataFrame, label: str, numeric: Sequence[str], categorica
 
 def compare_models(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str],
                    candidates: Sequence[Candidate], fold_col: str = "fold") -> DataFrame:
-    """CV every candidate; a failing candidate is skipped; best by macro F1 with the
-    first candidate winning ties.  Returns the leaderboard with ``selected``."""
+    """CV every candidate; a failing one is listed with its error and can't win; best by macro
+    F1 with the first candidate winning ties.  Returns the leaderboard with ``selected``; an AUC
+    that is not defined is null."""
     spark = df.sparkSession
     rows = []
     for i, c in enumerate(candidates):
         try:
             s = cross_validate(df, label, numeric, categorical, fold_col, c.make, with_train=False).first()
-            rows.append((i, c.name, float(s["f1_macro_mean"]), float(s["roc_auc_mean"] or 0.0)))
-        except Exception:  # noqa: BLE001 - the reference logs and skips a failing candidate
-            continue
-    board = spark.createDataFrame(rows, "rank_in_list int, algorithm string, f1_macro_mean double, roc_auc_mean double")
-    best = max(rows, key=lambda r: (r[2], -r[0]))[0] if rows else -1
+            rows.append((i, c.name, s["f1_macro_mean"], s["roc_auc_mean"], None))
+        except (PySparkException, Py4JJavaError, ValueError) as e:  # the reference goes on without a failing candidate
+            rows.append((i, c.name, None, None, f"{type(e).__name__}: {str(e)[:300]}"))
+    board = spark.createDataFrame(rows, "rank_in_list int, algorithm string, f1_macro_mean double, roc_auc_mean double, "
+                                        "error string")
+    best = max((r for r in rows if r[2] is not None), key=lambda r: (r[2], -r[0]), default=(-1,))[0]
     return board.withColumn("selected", F.col("rank_in_list") == best)
 
 
@@ -190,14 +195,27 @@ def param_grid_sample(grid: dict, n_iter: int = 10, seed: int = 42) -> list[dict
 def tune(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], grid: dict,
          n_iter: int = 10, fold_col: str = "fold", seed: int = 42) -> DataFrame:
     """A10: random search over the grid with k-fold macro F1; best point first."""
+    return _search(df, label, numeric, categorical, grid, n_iter, fold_col, seed)[0]
+
+
+def tune_and_fit(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], grid: dict,
+                 n_iter: int = 10, fold_col: str = "fold", seed: int = 42) -> tuple[DataFrame, PipelineModel]:
+    """A10 with the refit: (the board, the pipeline with the best point fitted on all rows)."""
+    board, best = _search(df, label, numeric, categorical, grid, n_iter, fold_col, seed)
+    return board, train(df, label, numeric, categorical, random_forest(label, **best))
+
+
+def _search(df, label, numeric, categorical, grid, n_iter, fold_col, seed) -> tuple[DataFrame, dict]:
     spark = df.sparkSession
+    points = param_grid_sample(grid, n_iter, seed)
     rows = []
-    for i, p in enumerate(param_grid_sample(grid, n_iter, seed)):
+    for i, p in enumerate(points):
         s = cross_validate(df, label, numeric, categorical, fold_col,
                            lambda p=p: random_forest(label, **p), with_train=False).first()
         rows.append((i, str(sorted(p.items())), float(s["f1_macro_mean"])))
     board = spark.createDataFrame(rows, "point int, params string, f1_macro_mean double")
-    return board.orderBy(F.desc("f1_macro_mean"), "point")
+    best = max(rows, key=lambda r: (r[2], -r[0]))[0]
+    return board.orderBy(F.desc("f1_macro_mean"), "point"), points[best]
 
 
 

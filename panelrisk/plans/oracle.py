@@ -481,7 +481,7 @@ SELECT * FROM r ORDER BY trained_at DESC LIMIT 1
 ORACLE["stream_score"] = _REQ + """
 , sc AS (SELECT r.event_id, v.errors = '' AS valid, least(1.0, e.value / 500.0) AS p
          FROM r JOIN v ON r.event_id = v.event_id JOIN events e ON e.event_id = r.event_id)
-SELECT event_id, valid, ROUND(p, 4) AS probabilidade,
+SELECT event_id, valid, CASE WHEN valid THEN ROUND(p, 4) END AS probabilidade,
        CASE WHEN valid THEN CASE WHEN p < 0.40 THEN 'baixo' WHEN p <= 0.70 THEN 'medio' ELSE 'alto' END END
          AS nivel_risco
 FROM sc

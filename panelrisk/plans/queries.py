@@ -7,6 +7,8 @@ are rounded to 6 places so both engines print the same value.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -389,10 +391,10 @@ from panelrisk.functions.columns import risk_tier  # noqa: E402
 EVENT_CONTRACT = (Rule("inde", 0.0, 10.0), Rule("ian", 0.0, 10.0), Rule("fase", 0, 8), Rule("ano", 2020, 2030))
 
 
-def event_requests(spark, sf):
+def event_requests(spark, sf, *more):
     e = read(spark, sf, "events")
     return e.select(
-        "event_id",
+        "event_id", *more,
         F.when(F.col("event_type") == "signup", None).otherwise(F.col("value") / 40.0).alias("inde"),
         (F.get_json_object("props", "$.k").cast("double") / 9.0).alias("ian"),
         (F.hour("ts") / 2).cast("int").alias("fase"),
@@ -544,11 +546,11 @@ def user_day_panel(spark, sf):
     e = read(spark, sf, "events").withColumn("day", F.dayofmonth("ts"))
     g = e.groupBy("user_id", "day").agg(
         F.count(F.lit(1)).cast("double").alias("n_events"),
-        F.sum("value").alias("total_value"), F.max("value").alias("max_value"),
+        F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("total_value"), F.max("value").alias("max_value"),
         F.count_if(F.col("event_type") == "purchase").cast("double").alias("n_purchase"),
         F.count_if(F.col("event_type") == "view").cast("double").alias("n_view"),
         F.count_if(F.col("event_type") == "error").alias("_err"),
-        F.max_by("event_type", "value").alias("top_type"))
+        F.max_by("event_type", F.struct("value", "event_id")).alias("top_type"))
     lab = (F.col("_err") / F.col("n_events") > 0.25).cast("int")
     return g.withColumn("label", lab).withColumn("uid", F.concat_ws("-", "user_id", "day")).drop("_err") \
         .withColumn("day", F.col("day").cast("double"))
@@ -616,7 +618,7 @@ from pyspark.sql import types as T  # noqa: E402
 
 from panelrisk.session import materialize, scratch_path  # noqa: E402
 from panelrisk.sources.files import PREDICTION_LOG_SCHEMA, load_csv, read_jsonl, write_csv  # noqa: E402
-from panelrisk.sources.registry import latest  # noqa: E402
+from panelrisk.sources.registry import append_runs, latest, read_registry, run_record  # noqa: E402
 from panelrisk.streaming.score_stream import counters_stream, counters_view, score_stream  # noqa: E402
 
 
@@ -651,11 +653,20 @@ def q_registry_latest(spark, sf):
     o = read(spark, sf, "orders")
     runs = o.groupBy(F.year("o_orderdate").alias("y")).agg(
         F.max("o_orderdate").alias("trained_at"), F.count(F.lit(1)).alias("n_rows"))
-    runs = runs.select(F.concat(F.lit("v"), F.col("y").cast("string")).alias("version"), "trained_at",
-                       F.lit("RandomForestClassifier").alias("algorithm"), "n_rows")
+    none = F.lit(None)
+    runs = runs.select(
+        F.concat(F.lit("v"), F.col("y").cast("string")).alias("version"), F.col("trained_at").cast("timestamp"),
+        F.lit("RandomForestClassifier").alias("algorithm"), none.cast("array<string>").alias("features"),
+        none.cast("map<string,double>").alias("cv_scores"),
+        F.create_map(F.lit("n_rows"), F.col("n_rows").cast("double")).alias("test_metrics"),
+        F.lit(True).alias("reliable"), F.lit("").alias("model_path"))
     path = scratch_path(spark, "registry")
-    runs.write.mode("append").parquet(path)
-    return latest(spark.read.parquet(path)).select("version", "trained_at", "algorithm", "n_rows")
+    first = run_record(spark, "v0", "RandomForestClassifier", [], {}, {"n_rows": 0.0}, False, "", datetime(1970, 1, 1))
+    append_runs(first, path)
+    append_runs(runs, path)
+    return latest(read_registry(spark, path)).select(
+        "version", F.col("trained_at").cast(o.schema["o_orderdate"].dataType).alias("trained_at"), "algorithm",
+        F.col("test_metrics")["n_rows"].cast("long").alias("n_rows"))
 
 
 REQUEST_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("inde", T.DoubleType()),
@@ -666,7 +677,7 @@ REQUEST_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.Struct
 @query("stream_score")
 def q_stream_score(spark, sf):
     """Requests land as JSON files; a streaming job validates and scores them."""
-    req = event_requests(spark, sf).join(read(spark, sf, "events").select("event_id", "value"), "event_id")
+    req = event_requests(spark, sf, "value")
     src, sink, ck = (scratch_path(spark, n) for n in ("req", "scored", "ck-score"))
     req.write.mode("overwrite").json(src)
     score_stream(spark, src, REQUEST_SCHEMA, EVENT_CONTRACT,
@@ -678,7 +689,9 @@ def q_stream_score(spark, sf):
 def q_stream_counters(spark, sf):
     """Running counters over a streamed prediction log."""
     src, table, ck = (scratch_path(spark, n) for n in ("log", "counters", "ck-count"))
-    events_log(spark, sf).write.mode("overwrite").json(src)
+    log = events_log(spark, sf)
+    broken = spark.range(1).select(F.lit("{not json").alias("value"))  # skipped, as in batch
+    log.select(F.to_json(F.struct(*log.columns)).alias("value")).union(broken).write.mode("overwrite").text(src)
     counters_stream(spark, src, PREDICTION_LOG_SCHEMA, table, ck)
     return spark.read.parquet(table)
 

@@ -35,12 +35,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and scratch tables.
 
-    Read from the session; set our own only where the cluster names none.
+    Read from the session.  Only a local session without the setting gets a folder of its own;
+    on a cluster that is an error, because executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="panelrisk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -56,6 +59,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "panelrisk", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in any store that Spark can reach."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def materialize(df, name: str = "stage"):
     """Cut lineage: write ``df`` as a Parquet table in the shared checkpoint folder and
     read it back.
@@ -81,7 +91,7 @@ def recommended_conf(input_bytes: int, executors: int = 1000, cores_per_executor
     about ``target_partition_bytes`` (and at least two waves of tasks), AQE coalesces
     small partitions and splits skewed join partitions at runtime, and scan splits match
     the same target.  The ordered scans take their bucket count from the shuffle
-    partitions (capped at 4,096 literal splits).
+    partitions.
     """
     slots = max(1, executors * cores_per_executor)
     parts = max(2 * slots, -(-input_bytes // target_partition_bytes))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
+
+from panelrisk.session import path_exists
 
 CORRUPT = "_corrupt_record"
 
@@ -22,10 +23,9 @@ def load_csv(spark: SparkSession, path: str, sep: str = ";", schema: T.StructTyp
     Missing path -> FileNotFoundError; no data rows -> ValueError (the reference's
     contract).  The emptiness check reads one row, not the file.
     """
-    try:
-        enc = encoding or ("ISO-8859-1" if _has_invalid_utf8(spark, path) else "UTF-8")
-    except AnalysisException as e:
-        raise FileNotFoundError(path) from e
+    if not path_exists(spark, path):
+        raise FileNotFoundError(path)
+    enc = encoding or ("ISO-8859-1" if _has_invalid_utf8(spark, path) else "UTF-8")
     reader = spark.read.option("header", True).option("sep", sep).option("encoding", enc)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
@@ -38,18 +38,24 @@ def write_csv(df: DataFrame, path: str, sep: str = ";", encoding: str = "UTF-8")
     df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
 
 
+def parse_json_lines(lines: DataFrame, schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
+    """Text lines (``value``) as records of ``schema``, in batch and in streams alike.
+
+    Blank lines are ignored; unparsable ones are dropped, or with ``keep_corrupt`` kept as null
+    records with their text in ``_corrupt_record``.
+    """
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    out = (lines.where(F.trim("value") != "").select(F.from_json("value", full, options).alias("r")).select("r.*"))
+    return out if keep_corrupt else out.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
-    """JSON lines with a fixed schema; blank lines ignored, unparsable lines dropped
-    (or kept in ``_corrupt_record`` when ``keep_corrupt``); missing path -> empty frame."""
-    full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    try:
-        df = (spark.read.schema(full).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    if keep_corrupt:
-        return df
-    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """JSON lines with a fixed schema (see ``parse_json_lines``); missing path -> empty frame."""
+    if not path_exists(spark, path):
+        full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        return spark.createDataFrame([], full if keep_corrupt else schema)
+    return parse_json_lines(spark.read.text(path), schema, keep_corrupt)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:

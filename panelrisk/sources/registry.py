@@ -6,7 +6,6 @@ registry table, so "latest model" is an aggregate, not a directory listing.
 
 from __future__ import annotations
 
-import os
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelrisk.session import path_exists
+
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("version", T.StringType()),
     T.StructField("trained_at", T.TimestampType()),
@@ -34,10 +35,9 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     """Load; a missing model raises FileNotFoundError."""
-    try:
-        return PipelineModel.load(path)
-    except Exception as e:  # noqa: BLE001 - Py4J wraps the IO error
-        raise FileNotFoundError(path) from e
+    if not path_exists(SparkSession.active(), path):
+        raise FileNotFoundError(path)
+    return PipelineModel.load(path)
 
 
 def append_runs(runs: DataFrame, registry_path: str) -> None:
@@ -54,9 +54,10 @@ def run_record(spark: SparkSession, version: str, algorithm: str, features: list
 
 
 def read_registry(spark: SparkSession, registry_path: str) -> DataFrame:
-    if not os.path.exists(registry_path.replace("file:", "")):
+    """The registry's rows, in any store; none where nothing has been written yet."""
+    if not path_exists(spark, registry_path):
         return spark.createDataFrame([], REGISTRY_SCHEMA)
-    return spark.read.parquet(registry_path)
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path)
 
 
 def latest(registry: DataFrame, ts: str = "trained_at") -> DataFrame:

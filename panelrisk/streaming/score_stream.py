@@ -13,29 +13,64 @@ from pyspark.sql import types as T
 
 from panelrisk.functions.columns import risk_tier
 from panelrisk.operators.monitor import HIGH
-from panelrisk.operators.scoring import Rule, validate_requests
+from panelrisk.operators.scoring import EDUCATION_CONTRACT, Rule, score_batch, validate_requests
+from panelrisk.session import materialize
+from panelrisk.sources.files import parse_json_lines
 
 
-def score_stream(spark: SparkSession, source_dir: str, schema: T.StructType, rules: tuple[Rule, ...],
-                 prob_expr, sink_dir: str, checkpoint_dir: str) -> None:
-    """Validate + score every request file that arrives; append records to Parquet."""
-    src = spark.readStream.schema(schema).json(source_dir)
-    scored = validate_requests(src, rules).select(
-        "event_id", "valid", F.round(prob_expr, 4).alias("probabilidade"),
-        F.when(F.col("valid"), risk_tier(prob_expr)).alias("nivel_risco"))
-    q = (scored.writeStream.format("parquet").option("path", sink_dir)
+def json_stream(spark: SparkSession, source_dir: str, schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
+    """JSON lines of the files that arrive, parsed as the batch source parses them."""
+    return parse_json_lines(spark.readStream.text(source_dir), schema, keep_corrupt)
+
+
+def _append(stream: DataFrame, sink_dir: str, checkpoint_dir: str) -> None:
+    q = (stream.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint_dir).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def score_stream(spark: SparkSession, source_dir: str, schema: T.StructType, rules: tuple[Rule, ...],
+                 prob_expr, sink_dir: str, checkpoint_dir: str) -> None:
+    """C7 with a probability expression: validate + score every request file that arrives.
+
+    Invalid requests are written with ``valid`` false and neither probability nor tier.
+    """
+    prob = F.when(F.col("valid"), prob_expr)
+    _append(validate_requests(json_stream(spark, source_dir, schema), rules).select(
+        "event_id", "valid", F.round(prob, 4).alias("probabilidade"), risk_tier(prob).alias("nivel_risco")),
+        sink_dir, checkpoint_dir)
+
+
+def score_requests_stream(spark: SparkSession, source_dir: str, schema: T.StructType, model, sink_dir: str,
+                          quarantine_dir: str, checkpoint_dir: str, rules=EDUCATION_CONTRACT, version: str = "1.0.0",
+                          features=None, mode: str = "request", history: DataFrame | None = None,
+                          now=None) -> None:
+    """C7 with a fitted model: each micro-batch goes through ``score_batch``, the plan of batch scoring.
+
+    Records are written under ``sink_dir/batch=N``, rejected requests with their errors under
+    ``quarantine_dir/batch=N``; a batch that is run again after a failure overwrites its own folders.
+    """
+
+    def score(batch: DataFrame, epoch: int) -> None:
+        batch = materialize(batch, "request-batch")  # read by the records and by the quarantine
+        records, rejected = score_batch(batch, model, rules, version, now, features, mode, history)
+        records.write.mode("overwrite").parquet(f"{sink_dir}/batch={epoch}")
+        rejected.write.mode("overwrite").parquet(f"{quarantine_dir}/batch={epoch}")
+
+    q = (json_stream(spark, source_dir, schema).writeStream.foreachBatch(score)
+         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def counters_stream(spark: SparkSession, log_dir: str, schema: T.StructType, table_dir: str,
                     checkpoint_dir: str) -> None:
     """Running counters per risk level + latest timestamp, rewritten each batch.
 
-    Global counters: state is one row per level (fixed size), no watermark needed.
+    Global counters: state is one row per level (fixed size), no watermark needed.  Broken lines are
+    not counted, as in the batch source.
     """
-    src = spark.readStream.schema(schema).json(log_dir)
+    src = json_stream(spark, log_dir, schema)
     counts = src.groupBy(F.coalesce(F.col("nivel_risco"), F.lit("(none)")).alias("nivel_risco")).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.nullif(F.col("timestamp"), F.lit(""))).alias("ultima"))
 

@@ -94,7 +94,8 @@ def test_cross_validate_and_compare(spark):
     board = ML.compare_models(df, "y", ["INDE", "IAN"], [], [
         ML.Candidate("rf", lambda: ML.random_forest("y", num_trees=5, max_depth=3)),
         ML.Candidate("bad", lambda: ML.random_forest("no_such_label"))]).collect()
-    assert [r.algorithm for r in board] == ["rf"] and board[0].selected
+    assert [(r.algorithm, r.selected) for r in sorted(board)] == [("rf", True), ("bad", False)]
+    assert next(r.error for r in board if r.algorithm == "bad")
 
 
 def test_param_grid_sample_seeded():
