@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelrisk.functions.columns import row_mean, scalars
 from panelrisk.operators.ordered import plain_lag, segmented_lag
 from panelrisk.operators.stats import medians_wide
+from panelrisk.session import materialize
 from panelrisk.spec import PanelSpec
 
 
@@ -51,24 +52,36 @@ def add_lag_diff(df: DataFrame, value: str, entity: str | None, period: str, nam
                  n_buckets: int | None = None) -> DataFrame:
     """value minus the previous row's value of the same entity, ordered by period.
 
-    First row of an entity, a null on either side, a null entity -> 0.  No entity
-    column -> constant 0.0.  ``tie`` orders rows sharing (entity, period); without it
+    First row of an entity, a null on either side, a null entity -> 0.  No entity, period or
+    value column -> constant 0.0.  ``tie`` orders rows sharing (entity, period); without it
     the value itself breaks ties so the result is deterministic.
     """
-    if entity is None or entity not in df.columns or value not in df.columns:
+    if entity is None or not {entity, period, value} <= set(df.columns):
         return df.withColumn(name, F.lit(0.0))
+    if skew_safe:
+        # rows without an entity have no history: they are answered outside the scan, where they
+        # would all meet in one segment
+        df = materialize(df, "lag-input")
+        loose = df.where(F.col(entity).isNull()).withColumn(name, F.lit(0.0))
+        df = df.where(F.col(entity).isNotNull())
     order = [F.col(period), *[F.col(t) if isinstance(t, str) else t for t in tie]]
     if not tie:
         order.append(F.col(value))
     if skew_safe:
-        lagged = segmented_lag(df, [entity], order, {"__prev": value}, n_buckets)
-    else:
-        lagged = plain_lag(df, [entity], order, {"__prev": value})
+        lagged = segmented_lag(df, [entity], order, {"__prev": value}, n_buckets, written=True)
+        diff = F.coalesce(F.col(value) - F.col("__prev"), F.lit(0.0)).cast("double")
+        return lagged.withColumn(name, diff).drop("__prev").unionByName(loose)
+    lagged = plain_lag(df, [entity], order, {"__prev": value})
     diff = F.coalesce(F.col(value) - F.col("__prev"), F.lit(0.0))
     return (lagged.withColumn(name, F.when(F.col(entity).isNull(), F.lit(0.0)).otherwise(diff).cast("double"))
             .drop("__prev"))
 
 
+def sort_panel(df: DataFrame, entity: str | None, period: str) -> DataFrame:
+    """F8: rows ordered by (entity, period), nulls first: a range shuffle, for ordered output only."""
+    return df.orderBy(*[c for c in (entity, period) if c and c in df.columns])
+
+
 def add_interactions(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
     """products a*b for each (a, b, name) whose inputs both exist."""
     out = df

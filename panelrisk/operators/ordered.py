@@ -141,7 +141,7 @@ def running_sums(df: DataFrame, segment: Sequence[str], order: Sequence[str | Co
 
 
 def segmented_lag(df: DataFrame, segment: Sequence[str], order: Sequence[str | Column],
-                  values: Mapping[str, str], n_buckets: int | None = None) -> DataFrame:
+                  values: Mapping[str, str], n_buckets: int | None = None, written: bool = False) -> DataFrame:
     """``lag(value)`` over (partition by segment order by order), skew-safe.
 
     ``order`` must make rows unique within a segment.  Rows are bucketed along the
@@ -152,9 +152,9 @@ def segmented_lag(df: DataFrame, segment: Sequence[str], order: Sequence[str | C
     """
     from panelrisk.session import materialize
     ordc = _cols(order)
-    # the input feeds the bucket sample, the local window and the last-row table: write it
-    # once so the upstream plan runs a single time
-    staged = materialize(df, "lag-input")
+    # the input feeds the cut points, the local window and the last-row table: it is written
+    # once so the upstream plan runs a single time (``written``: by the caller)
+    staged = df if written else materialize(df, "lag-input")
     b, sk = _with_segkey(range_bucket(staged, ordc, n_buckets), segment)
     w = Window.partitionBy(BUCKET, *sk).orderBy(*ordc)
     local = b.select("*", F.row_number().over(w).alias("_rn"),

@@ -530,3 +530,86 @@ a AS (SELECT median(price) AS ap, median(size) AS asz FROM s1)
 SELECT p_partkey, brand, ROUND(COALESCE(price, a.ap), 6) AS price, ROUND(COALESCE(size, a.asz), 6) AS size
 FROM s1 CROSS JOIN a
 """
+
+
+ORACLE["split_null_keys"] = """
+WITH d AS (SELECT quality AS label, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+s AS (SELECT 'split' AS part, 'test' AS name, label, CAST(ceil(0.2 * n) AS BIGINT) AS n FROM d
+      UNION ALL SELECT 'split', 'train', label, n - CAST(ceil(0.2 * n) AS BIGINT) FROM d),
+f AS (SELECT 'fold' AS part, CAST(k AS VARCHAR) AS name, label, CAST((n - k + 4) // 5 AS BIGINT) AS n FROM d, range(5) t(k))
+SELECT part, name, CAST(label AS VARCHAR) AS label, n FROM s WHERE n > 0
+UNION ALL SELECT part, name, CAST(label AS VARCHAR), n FROM f WHERE n > 0
+UNION ALL SELECT 'sample', 'all', NULL, CAST(round(0.3 * sum(n)) AS BIGINT) FROM d
+"""
+
+_ODD_DRIFT = (_NUM_DRIFT
+    .replace("l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)",
+             "CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS with_nan, "
+             "CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN CAST(l_tax AS DOUBLE) END AS one_side, "
+             "CAST(l_quantity AS DOUBLE) / 100 + 1e9 AS \"offset\" FROM lineitem)")
+    .replace("UNPIVOT src ON l_quantity, l_extendedprice, l_discount, l_tax", "UNPIVOT src ON with_nan, one_side, \"offset\"")
+    .replace("tot.tr::DOUBLE AS fr", "NULLIF(tot.tr, 0)::DOUBLE AS fr").replace("tot.tc::DOUBLE AS fc", "NULLIF(tot.tc, 0)::DOUBLE AS fc")
+    .replace("/ (n_ref + n_cur)::DOUBLE)", "/ NULLIF(least(n_ref, n_cur) + greatest(n_ref, n_cur), 0)::DOUBLE)"))
+ORACLE["drift_odd_values"] = _ODD_DRIFT + """
+SELECT "column", n_ref, n_cur, ROUND(ks_stat, 6) AS ks_stat,
+       CASE WHEN least(n_ref, n_cur) > 0 THEN ROUND(p_value, 6) END AS p_value,
+       CASE WHEN least(n_ref, n_cur) > 0 THEN ROUND(wasserstein_norm, 6) END AS wasserstein_norm,
+       CASE WHEN least(n_ref, n_cur) > 0 THEN drifted ELSE FALSE END AS drifted FROM num
+"""
+
+ORACLE["lag_odd_entities"] = """
+WITH o AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_totalprice AS DOUBLE) AS price,
+                  CASE WHEN o_orderkey % 3 = 1 THEN -1 WHEN o_orderkey % 3 = 2 THEN o_custkey END AS entity FROM orders)
+SELECT o_orderkey, year, ROUND(price, 6) AS price, entity,
+       ROUND(CASE WHEN entity IS NULL THEN 0.0
+                  ELSE COALESCE(price - lag(price) OVER (PARTITION BY entity ORDER BY year, o_orderkey), 0.0) END, 6) AS diff
+FROM o
+"""
+
+ORACLE["csv_comma"] = """SELECT c_custkey, c_name || ' ção, "€"' AS c_name FROM customer"""
+
+ORACLE["jsonl_append"] = _LOG + "SELECT * FROM lg"
+
+ORACLE["evaluation_report"] = f"""
+WITH g AS ({ORACLE["release_gates"]}), c AS ({ORACLE["confusion_matrix"]}), r AS ({ORACLE["class_report"]}),
+a AS (SELECT 'gates' AS section, metric AS name, CAST(value AS DOUBLE) AS value,
+             CASE WHEN passed THEN 'OK' ELSE 'REPROVADO' END AS detail FROM g
+      UNION ALL SELECT 'confusion', actual || '->' || predicted, CAST(n AS DOUBLE), NULL FROM c
+      UNION ALL SELECT 'class_precision', CAST(cls AS VARCHAR), precision, NULL FROM r
+      UNION ALL SELECT 'class_recall', CAST(cls AS VARCHAR), recall, NULL FROM r
+      UNION ALL SELECT 'class_f1', CAST(cls AS VARCHAR), f1, NULL FROM r
+      UNION ALL SELECT 'class_support', CAST(cls AS VARCHAR), CAST(support AS DOUBLE), NULL FROM r)
+SELECT section, name, ROUND(value, 6) AS value, detail, 'run1' AS run_id FROM a
+"""
+
+ORACLE["drift_report"] = f"""
+WITH d AS ({ORACLE["drift_numeric"]}),
+a AS (SELECT 'column_n_ref' AS section, "column" AS name, CAST(n_ref AS DOUBLE) AS value, CAST(drifted AS VARCHAR) AS detail FROM d
+      UNION ALL SELECT 'column_n_cur', "column", CAST(n_cur AS DOUBLE), CAST(drifted AS VARCHAR) FROM d
+      UNION ALL SELECT 'column_ks_stat', "column", ks_stat, CAST(drifted AS VARCHAR) FROM d
+      UNION ALL SELECT 'column_p_value', "column", p_value, CAST(drifted AS VARCHAR) FROM d
+      UNION ALL SELECT 'column_wasserstein_norm', "column", wasserstein_norm, CAST(drifted AS VARCHAR) FROM d
+      UNION ALL SELECT 'summary', 'drift_score', CAST(ROUND(count(*) FILTER (WHERE drifted) / count(*)::DOUBLE, 4) AS DOUBLE),
+                       COALESCE(string_agg("column", ',' ORDER BY "column") FILTER (WHERE drifted), '') FROM d)
+SELECT section, name, ROUND(value, 6) AS value, detail, 'run1' AS run_id FROM a
+"""
+
+ORACLE["global_median_impute"] = """
+WITH p AS (
+  SELECT p_partkey,
+         CASE WHEN p_brand = 'Brand#7' OR p_size BETWEEN 40 AND 45 THEN NULL ELSE p_retailprice END AS price,
+         CASE WHEN p_type = 'SMALL' THEN NULL ELSE CAST(p_size AS DOUBLE) END AS size
+  FROM part),
+a AS (SELECT median(price) AS ap, median(size) AS asz FROM p)
+SELECT p_partkey, ROUND(COALESCE(price, ap), 6) AS price, ROUND(COALESCE(size, asz), 6) AS size FROM p CROSS JOIN a
+"""
+
+ORACLE["feature_projection"] = """
+WITH p AS (
+  SELECT p_partkey,
+         CASE WHEN p_size <= 3 THEN NULL ELSE p_brand END AS brand,
+         CASE WHEN p_brand = 'Brand#7' OR p_size BETWEEN 40 AND 45 THEN NULL ELSE p_retailprice END AS price,
+         CASE WHEN p_type = 'SMALL' THEN NULL ELSE CAST(p_size AS DOUBLE) END AS size
+  FROM part)
+SELECT p_partkey, price, size, brand FROM p WHERE brand IS NOT NULL AND price IS NOT NULL AND size IS NOT NULL
+"""

@@ -739,3 +739,96 @@ def q_drift_job(spark, sf):
     from panelrisk.plans.jobs import drift_job
     per, _summary = drift_job(orders_wide_raw(read(spark, sf, "orders")), None, ORDERS_SPEC, ORDERS_PANEL_LAYOUT)
     return _r6(per)
+
+
+# ---------------------------------------------------------------- odd rows, and operators without a query of their own
+from panelrisk.operators.clean import impute_global_median  # noqa: E402
+from panelrisk.operators.panel import drop_incomplete, filter_features, numeric_columns, project_known  # noqa: E402
+from panelrisk.operators.features import select_features  # noqa: E402
+from panelrisk.sources.files import append_jsonl  # noqa: E402
+from panelrisk.sources.reports import drift_report, evaluation_report, write_report  # noqa: E402
+
+
+@query("split_null_keys")
+def q_split_null_keys(spark, sf):
+    """T1-T3 where a third of the rows have no key: none is lost; rows per class, split and fold, and the sample."""
+    from panelrisk.operators.sampling import exact_sample, stratified_folds, stratified_split
+    d = scored_docs(spark, sf).withColumn("key", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")))
+    count = lambda df, part: df.groupBy(F.lit(part[0]).alias("part"), F.col(part[1]).cast("string").alias("name"),
+                                        F.col(part[2]).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return (count(stratified_split(d, "label", "key"), ("split", "split", "label"))
+            .unionByName(count(stratified_folds(d, "label", "key"), ("fold", "fold", "label")))
+            .unionByName(exact_sample(d, "key", 0.3).agg(F.lit("sample").alias("part"), F.lit("all").alias("name"),
+                                                         F.lit(None).cast("string").alias("label"), F.count(F.lit(1)).alias("n"))))
+
+
+@query("drift_odd_values")
+def q_drift_odd_values(spark, sf):
+    """K1 on a column with NaN, one without values on the current side, and one with a large offset."""
+    li, is_ref = lineitem_halves(spark, sf)
+    odd = li.select("l_shipdate",
+                    F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("l_quantity").cast("double")).alias("with_nan"),
+                    F.when(is_ref, F.col("l_tax").cast("double")).alias("one_side"),
+                    (F.col("l_quantity").cast("double") / 100 + F.lit(1e9)).alias("offset"))
+    return _r6(numeric_drift_split(odd, is_ref, ["with_nan", "one_side", "offset"]))
+
+
+@query("lag_odd_entities")
+def q_lag_odd_entities(spark, sf):
+    """F4 with a third of the rows without entity and another third of one entity."""
+    o = read(spark, sf, "orders").select(
+        "o_orderkey", F.year("o_orderdate").alias("year"), F.col("o_totalprice").cast("double").alias("price"),
+        F.when(F.col("o_orderkey") % 3 == 0, None).when(F.col("o_orderkey") % 3 == 1, F.lit(-1)).otherwise(F.col("o_custkey")).alias("entity"))
+    return _r6(add_lag_diff(o, "price", "entity", "year", "diff", tie=["o_orderkey"]))
+
+
+@query("csv_comma")
+def q_csv_comma(spark, sf):
+    """The same source with commas and UTF-8, told by the bytes."""
+    c = read(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(" ção, \"€\"")).alias("c_name"))
+    path = scratch_path(spark, "csv-comma")
+    write_csv(c, path, sep=",")
+    return load_csv(spark, path, sep=",", schema="c_custkey long, c_name string")
+
+
+@query("jsonl_append")
+def q_jsonl_append(spark, sf):
+    """Two appends to one prediction log."""
+    log, path = events_log(spark, sf), scratch_path(spark, "jsonl-append")
+    append_jsonl(log.where("event_id % 2 = 0"), path)
+    append_jsonl(log.where("event_id % 2 = 1"), path)
+    return read_jsonl(spark, path, PREDICTION_LOG_SCHEMA)
+
+
+@query("evaluation_report")
+def q_evaluation_report(spark, sf):
+    """Gates, confusion cells and class rows of a run, written and read back."""
+    d, path = scored_docs(spark, sf), scratch_path(spark, "report")
+    metrics = materialize(M.evaluate(d), "metrics")
+    write_report(evaluation_report(metrics, M.release_gates(metrics), M.class_report(d), M.confusion_matrix(d)), path, "run1")
+    out = spark.read.parquet(path).where("section <> 'metrics'")
+    return _r6(out.select("section", "name", "value", "detail", F.col("run_id").cast("string").alias("run_id")))
+
+
+@query("drift_report")
+def q_drift_report(spark, sf):
+    """Per-column drift statistics and the summary row of a run, written and read back."""
+    per, path = materialize(_numeric_drift(spark, sf), "drift"), scratch_path(spark, "drift-report")
+    write_report(drift_report(per, drift_summary(per)), path, "run1")
+    return _r6(spark.read.parquet(path).select("section", "name", "value", "detail", F.col("run_id").cast("string").alias("run_id")))
+
+
+@query("global_median_impute")
+def q_global_median_impute(spark, sf):
+    """M4: null -> global median."""
+    return _r6(impute_global_median(part_with_gaps(spark, sf), ["price", "size"]).select("p_partkey", "price", "size"))
+
+
+@query("feature_projection")
+def q_feature_projection(spark, sf):
+    """Feature lists from the schema, complete rows only, projected to what a model knows."""
+    p = part_with_gaps(spark, sf)
+    num, cat, both = filter_features(p.columns, ["price", "weight", "size"], ["brand", "color"])
+    chosen = select_features(p, ["price", "size", "brand"], ["weight"], ["p_partkey"])
+    known = [c for c in numeric_columns(p, exclude=["p_partkey"]) if c in chosen and c in num]
+    return project_known(drop_incomplete(p, both), ["p_partkey", *known, *cat, "unknown"])
