@@ -7,8 +7,8 @@ encoded once; the ids go back to their batches, and there the documents are reas
 So the shuffles carry one or three bytes for a pre-token's position, and each spelling once a batch.
 Decoding looks the ids up in the token-byte table, which the rank file fixes (50,256 rows).
 
-A batch ends at ``max_words`` distinct pre-tokens, which bounds what a task holds; only a single
-document can exceed it, and its numbers then take four bytes each.
+A batch ends at ``BATCH_BYTES`` of text, which bounds what a task holds; only a single document can exceed
+it.  (Numbers take four bytes each in a batch of over half a million distinct words.)
 
 Both passes over the texts must see the same rows in the same order, so ``docs`` has to come from
 files by narrow operations only; write it first where it doesn't.
@@ -22,18 +22,19 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelrisk.llm.common import col, shuffle_partitions, table
+from panelrisk.llm.words import mix, span_hashes, split_bytes
 
-MAX_WORDS = 400_000
+#: Characters of text in a batch.
+BATCH_BYTES = 8 << 20
 #: A position takes one byte for the FEW most frequent words, else three.
 FEW = 248
 _LIMIT = FEW + (256 - FEW) * 65_536
-#: Positions of one batch.
-_MAX_POSITIONS = 8_000_000
 _STREAM_ROWS = 2_000
 
 
@@ -53,69 +54,93 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
-class Batch:
-    """Documents as sequences of word numbers, and the words."""
+#: Bytes of Unicode's white space: those of one byte, and the others by their first two.
+_SPACES = np.isin(np.arange(256), [*range(9, 14), 32])
+_WIDE = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A,)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)))
+_GAPS = np.isin(np.arange(256), [10, 32])
+_OTHER_VALUES = np.random.default_rng(20_240_602).integers(1, 1 << 63, 256, np.uint64)
 
-    #: Where none of these stands, a blank always starts a pre-token and a line feed is one.
-    _ODD = regex.compile(r"\p{White_Space}\p{White_Space}|^\p{White_Space}|\p{White_Space}\Z")
 
-    def __init__(self, matches, max_words: int):
-        self.max_words = max_words
-        self.matches, self.numbers, self.words, self.docs, self.positions = matches, {}, [], [], 0
-        batch = self
+def _simple(data: list[bytes]) -> np.ndarray:
+    """The texts in which no white space stands at an end or beside another, and none is beyond ASCII.
 
-        class Known(dict):
-            def __init__(self, lead: str):
-                super().__init__()
-                self.lead = lead
+    There a blank always starts a pre-token, and a line feed is one.  (Some texts with other characters
+    that start with the same bytes as wide white space are left out too.)
+    """
+    raw = np.frombuffer(b"\n".join([b"", *data, b""]), np.uint8)
+    ends = np.cumsum([len(d) + 1 for d in data])
+    space = _SPACES[raw]
+    bad = [np.flatnonzero(space[1:] & space[:-1])]
+    for lead, second in _WIDE:
+        at = np.flatnonzero(raw == lead)
+        bad.append(at[np.isin(raw[at + 1], second)])
+    out = np.ones(len(data), bool)
+    at = np.concatenate(bad)
+    out[np.searchsorted(ends, at, "right")] = False
+    return out
 
-            def __missing__(self, piece: str) -> bytes:
-                out = self[piece] = batch.number(batch.matches(self.lead + piece))
-                return out
 
-        self.first, self.later = Known(""), Known(" ")
-        self.line = None
-
-    def number(self, words: list[str]) -> bytes:
-        out = []
-        for w in words:
-            k = self.numbers.get(w)
-            if k is None:
-                k = self.numbers[w] = len(self.words)
-                self.words.append(w)
-            out.append(k)
-        return np.array(out, np.uint32).tobytes()
-
-    def add(self, text: str | None) -> None:
-        if not text:
-            codes = b""
-        elif self._ODD.search(text):
-            codes = self.number(self.matches(text))
-        else:
-            parts = []
-            for k, line in enumerate(text.split("\n")):
-                if k:
-                    if self.line is None:
-                        self.line = self.number(["\n"])
-                    parts.append(self.line)
-                head, *rest = line.split(" ")
-                parts.append(self.first[head])
-                parts.extend(map(self.later.__getitem__, rest))
-            codes = b"".join(parts)
-        self.docs.append(np.frombuffer(codes, np.uint32))
-        self.positions += len(codes) // 4
-
-    @property
-    def full(self) -> bool:
-        return len(self.words) >= self.max_words or self.positions >= _MAX_POSITIONS
-
-    def ranked(self) -> tuple[list[str], np.ndarray]:
-        """The words, most frequent first, and the new number of each old one."""
-        counts = np.bincount(np.concatenate(self.docs), minlength=len(self.words))
-        order = np.argsort(-counts, kind="stable")
-        number = np.empty(len(order), np.uint32)
-        number[order] = np.arange(len(order), dtype=np.uint32)
-        return [self.words[i] for i in order.tolist()], number
+def number(texts: list[str | None], matches) -> tuple[list[str], list[np.ndarray]]:
+    """(the distinct pre-tokens, most frequent first; by text, the numbers of its pre-tokens).
+
+    In simple texts every distinct piece between blanks and line feeds is matched once.  Pieces are told
+    apart by a 64-bit hash, and a second one must agree, or else all texts are matched whole.
+    """
+    words: list[str] = []
+
+    class Codes(dict):
+        """The number of each word, as four bytes."""
+
+        def __missing__(self, word: str) -> bytes:
+            out = self[word] = len(words).to_bytes(4, "little")
+            words.append(word)
+            return out
+
+    code = Codes().__getitem__
+    coded = lambda found: np.frombuffer(b"".join(map(code, found)), "<u4")
+    docs = [np.zeros(0, np.uint32)] * len(texts)
+    full = [k for k, t in enumerate(texts) if t]
+    data = [texts[k].encode("utf-8", "replace") for k in full]
+    simple = _simple(data) if data else np.zeros(0, bool)
+    easy = [k for k, s in zip(full, simple.tolist()) if s]
+    w = split_bytes([d for d, s in zip(data, simple.tolist()) if s], _GAPS)
+    lead = np.where(w.raw[w.starts - 1] == 32, 1, 2).astype(np.uint64)  # after a blank, after a line feed
+    lead[w.first[:-1]] = 0
+    _, one, of = np.unique(mix(w.hashes + lead), return_index=True, return_inverse=True)
+    other = span_hashes(w.raw, w.starts, w.ends, _OTHER_VALUES) + lead
+    if (other[one][of] != other).any():
+        easy = []
+    else:
+        size, kind, line = np.zeros(len(one), np.int64), lead[one], int.from_bytes(code("\n"), "little")
+        parts = []
+        for k, (first, sep) in enumerate((("", "\n"), (" ", "\n "), ("\n", "\n"))):
+            own = np.flatnonzero(kind == k)
+            if len(own):
+                pieces = [w.raw[s:e].tobytes() for s, e in zip(w.starts[one[own]].tolist(), w.ends[one[own]].tolist())]
+                flat = coded(matches(first + sep.join(map(bytes.decode, pieces))))
+                cut = flat == line
+                # a line feed parts two pieces, and belongs to those that come after one
+                size[own] = np.bincount(np.cumsum(cut) - (k == 2), minlength=len(own)) - (np.arange(len(own)) > 0) * (k < 2)
+                parts.append((own, flat if k == 2 else flat[~cut]))
+        start = np.zeros(len(one), np.int64)
+        base = 0
+        for own, flat in parts:
+            start[own] = base + np.cumsum(size[own]) - size[own]
+            base += len(flat)
+        flat = np.concatenate([f for _, f in parts]) if parts else np.zeros(0, np.uint32)
+        n = size[of]
+        total = np.concatenate(([0], np.cumsum(n)))
+        out = flat[np.repeat(start[of] - total[:-1], n) + np.arange(total[-1])]
+        for k, (a, b) in zip(easy, zip(total[w.first].tolist(), total[w.first[1:]].tolist())):
+            docs[k] = out[a:b]
+    for k in set(full) - set(easy):
+        docs[k] = coded(matches(texts[k]))
+    counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *docs]), minlength=len(words))
+    order = np.argsort(-counts, kind="stable")
+    order = order[counts[order] > 0]
+    new = np.zeros(len(words), np.uint32)
+    new[order] = np.arange(len(order), dtype=np.uint32)
+    return [words[i] for i in order.tolist()], [new[d] for d in docs]
 
 
 def pack(codes: np.ndarray, n_words: int) -> bytes:
@@ -138,38 +163,42 @@ def unpack(raw: bytes, n: int, n_words: int) -> np.ndarray:
     return out
 
 
-def _batches(stream, pattern: str, max_words: int):
-    """(batch number, batch, [ids of its rows as Arrow arrays]) over the rows (id, text) of a partition."""
+def _batches(stream, pattern: str, batch_bytes: int):
+    """(batch number, its rows' ids, its words, the numbers of each row's words) over rows (id, text)."""
     matches = regex.compile(pattern).findall
-    part = TaskContext.get().partitionId()
-    serial, batch, ids = 0, None, []
+    part, serial = TaskContext.get().partitionId(), 0
+    ids, texts, size = [], [], 0
     for rows in stream:
-        done = 0
-        for k, text in enumerate(rows.column(1)):
-            if batch is None:
-                batch = Batch(matches, max_words)
-            batch.add(text.as_py())
-            if batch.full:
-                ids.append(rows.column(0).slice(done, k + 1 - done))
-                yield (part << 24) + serial, batch, ids
-                serial, batch, ids, done = serial + 1, None, [], k + 1
-        if done < rows.num_rows:
-            ids.append(rows.column(0).slice(done))
-    if batch is not None:
-        yield (part << 24) + serial, batch, ids
-
-
-def _text_offsets(parts: list[bytes]) -> tuple[bytes, bytes]:
-    return b"".join(parts), np.fromiter(map(len, parts), np.uint32, len(parts)).tobytes()
-
-
-def _cut(raw: bytes, lengths: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
-    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+        for i, text in zip(rows.column(0), rows.column(1)):
+            ids.append(i)
+            texts.append(text.as_py())
+            size += len(texts[-1] or "")
+            if size >= batch_bytes:
+                yield ((part << 24) + serial, pa.array([x.as_py() for x in ids], rows.column(0).type), *number(texts, matches))
+                serial, ids, texts, size = serial + 1, [], [], 0
+    if ids:
+        yield ((part << 24) + serial, pa.array([x.as_py() for x in ids], ids[0].type), *number(texts, matches))
+
+
+def _pressed(numbers: np.ndarray, parts: list[bytes]) -> bytes:
+    """Ascending numbers and a byte string for each, compressed."""
+    sizes = np.fromiter(map(len, parts), np.uint32, len(parts))
+    steps = np.diff(numbers.astype(np.uint32), prepend=np.uint32(0))
+    raw = b"".join([len(parts).to_bytes(4, "little"), steps.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), *parts])
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpressed(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n = int.from_bytes(raw[:4], "little")
+    numbers = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.uint32)
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4 + 4 * n), dtype=np.int64) + 4 + 8 * n
+    ends = ends.tolist()
+    return numbers, [raw[a:b] for a, b in zip([4 + 8 * n, *ends], ends)]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None,
-           pattern: str | None = None, max_words: int = MAX_WORDS) -> DataFrame:
+           pattern: str | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(id_col, ids): the token ids of every row's text as little-endian unsigned 32-bit numbers.
 
     Each match of ``pattern`` is encoded on its own by the ranks in the file ``ranks``, without
@@ -185,31 +214,27 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
-    def sequences(stream):
-        for number, batch, ids in _batches(stream, pattern, max_words):
-            words, new = batch.ranked()
-            ids = pa.concat_arrays(ids)
+    def numbered(stream):
+        """Rows of two kinds: a batch's documents, for the batch, and its words, for -1 - bucket."""
+        names = ["target", "batch", "id", "n", "n_words", "data"]
+        for serial, ids, words, docs in _batches(stream, pattern, batch_bytes):
             for a in range(0, len(ids), _STREAM_ROWS):
-                part = batch.docs[a:a + _STREAM_ROWS]
+                part = docs[a:a + _STREAM_ROWS]
+                k = len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * len(part), pa.int64()), ids.slice(a, _STREAM_ROWS),
-                     pa.array([len(d) for d in part], pa.int64()), pa.array([len(words)] * len(part), pa.int64()),
-                     pa.array([pack(new[d], len(words)) for d in part], pa.binary())],
-                    ["batch", "id", "n", "n_words", "codes"])
-
-    def spellings(stream):
-        for number, batch, _ in _batches(stream, pattern, max_words):
-            raw = [w.encode("utf-8", "replace") for w in batch.ranked()[0]]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int32, len(raw))
+                    [pa.array([serial] * k, pa.int64()), pa.array([serial] * k, pa.int64()), ids.slice(a, _STREAM_ROWS),
+                     pa.array([len(d) for d in part], pa.int64()), pa.array([len(words)] * k, pa.int64()),
+                     pa.array([pack(d, len(words)) for d in part], pa.binary())], names)
+            raw = [w.encode("utf-8", "replace") for w in words]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = [(b, order[x:y]) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-            packed = [_text_offsets([raw[i] for i in at.tolist()]) for _, at in out]
+            out = [(-1 - b, order[x:y]) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+            k = len(out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * len(out), pa.int64()), pa.array([b for b, _ in out], pa.int32()),
-                 pa.array([at.astype(np.uint32).tobytes() for _, at in out], pa.binary()),
-                 pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())],
-                ["batch", "bucket", "numbers", "words", "lengths"])
+                [pa.array([b for b, _ in out], pa.int64()), pa.array([serial] * k, pa.int64()), pa.nulls(k, ids.type),
+                 pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+                 pa.array([_pressed(at, [raw[i] for i in at.tolist()]) for _, at in out], pa.binary())], names)
 
     def encoded(stream):
         """Each distinct word of the partition is encoded once."""
@@ -222,33 +247,31 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 out = self[word] = np.array(own.encode_ordinary(word.decode()), "<u4").tobytes()
                 return out
 
-        ids = Ids()
+        ids = Ids().__getitem__
         for rows in stream:
-            out = [_text_offsets([ids[w] for w in _cut(r, x)])
-                   for r, x in zip(rows.column(3).to_pylist(), rows.column(4).to_pylist())]
+            words = np.flatnonzero(rows.column(0).to_numpy() < 0)
+            both = [_unpressed(rows.column(5)[k].as_py()) for k in words.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(2), pa.array([r for r, _ in out], pa.binary()),
-                 pa.array([(np.frombuffer(x, np.uint32) // 4).astype(np.uint8).tobytes()
-                           if max(np.frombuffer(x, np.uint32), default=0) < 1024 else b"\0" + x for r, x in out], pa.binary())],
-                ["batch", "numbers", "ids", "lengths"])
+                [rows.column(1).take(pa.array(words)), pa.array([_pressed(at, list(map(ids, w))) for at, w in both], pa.binary())],
+                ["batch", "ids"])
 
     def reassembled(left: pa.Table, right: pa.Table) -> pa.Table:
-        n_words = left.column("n_words")[0].as_py() if left.num_rows else 0
+        if not left.num_rows or left.column("target")[0].as_py() < 0:
+            return pa.table({"id": pa.array([], left.schema.field("id").type), "ids": pa.array([], pa.binary())})
+        n_words = left.column("n_words")[0].as_py()
         ids = [b""] * n_words
-        spelt = [right.column(c).to_pylist() for c in ("numbers", "ids", "lengths")] if right.num_rows else [[]] * 3
-        for at, raw, lengths in zip(*spelt):
-            sizes = (np.frombuffer(lengths, np.uint32, offset=1) if lengths[:1] == b"\0"
-                     else np.frombuffer(lengths, np.uint8).astype(np.uint32) * 4)
-            for k, w in zip(np.frombuffer(at, np.uint32).tolist(), _cut(raw, sizes.astype(np.uint32).tobytes())):
+        for raw in right.column("ids").to_pylist() if right.num_rows else []:
+            for k, w in zip(*(x if isinstance(x, list) else x.tolist() for x in _unpressed(raw))):
                 ids[k] = w
         out = [b"".join(map(ids.__getitem__, unpack(c, n, n_words).tolist()))
-               for c, n in zip(left.column("codes").to_pylist(), left.column("n").to_pylist())]
+               for c, n in zip(left.column("data").to_pylist(), left.column("n").to_pylist())]
         return pa.table({"id": left.column("id"), "ids": pa.array(out, pa.binary())})
 
-    codes = rows.mapInArrow(sequences, f"batch long, id {id_type}, n long, n_words long, codes binary")
-    words = rows.mapInArrow(spellings, "batch long, bucket int, numbers binary, words binary, lengths binary")
-    known = (words.repartition(n, "bucket").mapInArrow(encoded, "batch long, numbers binary, ids binary, lengths binary"))
-    return (codes.groupBy("batch").cogroup(known.groupBy("batch"))
+    # one exchange, which both branches read
+    dealt = (rows.mapInArrow(numbered, f"target long, batch long, id {id_type}, n long, n_words long, data binary")
+             .repartition(n, "target"))
+    known = dealt.mapInArrow(encoded, "batch long, ids binary")
+    return (dealt.groupBy("target").cogroup(known.groupBy("batch"))
             .applyInArrow(reassembled, f"id {id_type}, ids binary").withColumnRenamed("id", id_col))
 
 

@@ -72,13 +72,22 @@ def split(texts: list[str | None], tokens: bool = False) -> Words:
     """The words of each text: runs without ASCII white space, or, as tokens, runs of ASCII letters and
     digits, ``_`` and anything beyond ASCII, after lower-casing.  A null text has none."""
     data = [(t.lower() if tokens else t).encode("utf-8", "replace") if t else b"" for t in texts]
+    return split_bytes(data, _NOT_TOKEN if tokens else _SPACE)
+
+
+def split_bytes(data: list[bytes], gaps: np.ndarray) -> Words:
+    """The runs of bytes of each text that ``gaps``, by byte, does not mark; a line feed must be marked."""
     raw = np.frombuffer(b"\n".join([*data, b""]), np.uint8)  # a separator after each text
-    gap = (_NOT_TOKEN if tokens else _SPACE)[raw]
+    gap = gaps[raw]
     edge = np.diff(gap.view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     ends = ends[:len(starts)]
     limits = np.cumsum([0, *[len(d) + 1 for d in data]])
-    first = np.searchsorted(starts, limits)
+    return Words(raw, starts, ends, span_hashes(raw, starts, ends), np.searchsorted(starts, limits))
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
+    """A hash of each span of bytes; ``values`` are 256 random numbers."""
     hashes = np.empty(len(starts), np.uint64)
     a = 0
     while a < len(starts):
@@ -86,25 +95,25 @@ def split(texts: list[str | None], tokens: bool = False) -> Words:
         base = starts[a]
         b = int(np.searchsorted(ends, base + _PIECE, "right"))
         if b == a:
-            hashes[a] = _long_word(raw[base:ends[a]])
+            hashes[a] = _long_word(raw[base:ends[a]], values)
             a += 1
             continue
         piece = raw[base:ends[b - 1]]
         sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(_VALUES[piece] * _UP[:len(piece)], out=sums[1:])
+        np.cumsum(values[piece] * _UP[:len(piece)], out=sums[1:])
         s, e = starts[a:b] - base, ends[a:b] - base
         hashes[a:b] = (sums[e] - sums[s]) * _DOWN[s]
         a = b
     lengths = (ends - starts).astype(np.uint64)
-    return Words(raw, starts, ends, mix(hashes + lengths * np.uint64(0xD6E8FEB86659FD93)), first)
+    return mix(hashes + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _long_word(raw: np.ndarray) -> np.uint64:
+def _long_word(raw: np.ndarray, values: np.ndarray) -> np.uint64:
     """The same polynomial over a word longer than a piece."""
     total, scale = np.uint64(0), np.uint64(1)
     with np.errstate(over="ignore"):
         for i in range(0, len(raw), _PIECE):
             part = raw[i:i + _PIECE]
-            total += scale * np.sum(_VALUES[part] * _UP[:len(part)], dtype=np.uint64)
+            total += scale * np.sum(values[part] * _UP[:len(part)], dtype=np.uint64)
             scale *= _UP[_PIECE]
     return total

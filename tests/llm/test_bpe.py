@@ -21,8 +21,8 @@ def ids_of(text):
 def test_encode_and_decode_equal_the_library(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (3, "id again"), (3, "id again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "id.x")
-    for words in (bpe.MAX_WORDS, 3):
-        out = bpe.decode(bpe.encode(docs, "id.x", "text", max_words=words)).collect()
+    for size in (bpe.BATCH_BYTES, 30):
+        out = bpe.decode(bpe.encode(docs, "id.x", "text", batch_bytes=size)).collect()
         assert sorted((str(r[0]), bytes(r[1]), bytes(r[2])) for r in out) == sorted(
             (str(i), ids_of(t), (t or "").encode()) for i, t in rows)
 
@@ -41,13 +41,21 @@ def test_clashing_columns_and_empty_table(spark):
 def test_pre_tokens_equal_the_pattern(texts):
     import regex
     matches = regex.compile(bpe.default_pattern()).findall
-    b = bpe.Batch(matches, 1000)
-    for t in texts:
-        b.add(t)
-    for t, d in zip(texts, b.docs):
-        assert [b.words[k] for k in d.tolist()] == matches(t)
-        assert [OWN.encode_ordinary(w) for w in matches(t)] == [OWN.encode_ordinary(b.words[k]) for k in d.tolist()]
+    words, docs = bpe.number([None, *texts], matches)
+    assert len(set(words)) == len(words) and len(docs[0]) == 0
+    for t, d in zip(texts, docs[1:]):
+        assert [words[k] for k in d.tolist()] == matches(t)
         assert sum((OWN.encode_ordinary(w) for w in matches(t)), []) == OWN.encode_ordinary(t)
+    counts = np.bincount(np.concatenate(docs).astype(int), minlength=len(words))
+    assert (np.diff(counts) <= 0).all()
+
+
+def test_colliding_hashes_do_not_matter(monkeypatch):
+    import regex
+    matches = regex.compile(bpe.default_pattern()).findall
+    monkeypatch.setattr(bpe, "mix", lambda h: h % np.uint64(2))
+    words, docs = bpe.number(["a b c a", "d e\nf"], matches)
+    assert [[words[k] for k in d.tolist()] for d in docs] == [matches("a b c a"), matches("d e\nf")]
 
 
 @given(st.lists(st.integers(0, 524_535), max_size=50), st.sampled_from([300, 524_536, 600_000]))
