@@ -132,7 +132,8 @@ def impute_mode(df: DataFrame, cols: Sequence[str], source: DataFrame | None = N
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    modes = scalars(modes_row(df if source is None else source, cols, "__mode"))
+    # one row, written: every later read of the result would count the modes again
+    modes = scalars(materialize(modes_row(df if source is None else source, cols, "__mode"), "modes"))
     return df.select(*[F.coalesce(F.col(c), modes[f"{c}__mode"]).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
@@ -182,10 +183,28 @@ class PanelImputer:
 
 
 class PanelImputerModel:
+    _TABLES = ("group_tab", "global_tab", "mode_row")
+    _ABOUT = "num array<string>, `group` string, cats array<string>, tables array<string>"
+
     def __init__(self, num, group, cats, group_tab, global_tab, mode_row):
         self.num, self.group, self.cats = num, group, cats
         self.group_tab, self.global_tab, self.mode_row = group_tab, global_tab, mode_row
 
+    def save(self, path: str) -> None:
+        """Writes the fitted tables and what they are for under ``path``."""
+        spark = next(t for t in (self.group_tab, self.global_tab, self.mode_row, None) if t is not None).sparkSession
+        for name in self._TABLES:
+            if getattr(self, name) is not None:
+                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        kept = [n for n in self._TABLES if getattr(self, n) is not None]
+        spark.createDataFrame([(self.num, self.group, self.cats, kept)], self._ABOUT).write.mode("overwrite").parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "PanelImputerModel":
+        about = spark.read.schema(cls._ABOUT).parquet(f"{path}/about").first()
+        tables = [spark.read.parquet(f"{path}/{n}") if n in about.tables else None for n in cls._TABLES]
+        return cls(list(about.num), about.group, list(about.cats), *tables)
+
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
         fills = {}

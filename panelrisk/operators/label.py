@@ -1,7 +1,7 @@
 """Label encoding and class weights (A4).
 
-The whole-column "is it binary?" decision (L3) stays lazy: a one-row aggregate used as
-a scalar subquery, and the choice is a CASE per row, so no job runs at plan time.
+The whole-column "is it binary?" decision (L3) is a one-row aggregate, written once and used as a
+scalar subquery; the choice is a CASE per row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelrisk.functions.columns import lenient_double, rule_flag, scalars, text_code
+from panelrisk.session import materialize
 
 
 def encode_label(df: DataFrame, label: str, rule: Sequence[tuple[str, float]],
@@ -30,8 +31,8 @@ def encode_label(df: DataFrame, label: str, rule: Sequence[tuple[str, float]],
         else lenient_double(F.col(label))
     staged = df.withColumn("__y", x)
     # mapped text is 0, 1 or null by construction: nothing to look for in the data
-    binary = F.lit(True) if isinstance(dt, T.StringType) else scalars(staged.agg(F.coalesce(
-        F.bool_and(F.when(F.col("__y").isNotNull(), F.col("__y").isin(0.0, 1.0))), F.lit(True)).alias("b")))["b"]
+    binary = F.lit(True) if isinstance(dt, T.StringType) else scalars(materialize(staged.agg(F.coalesce(
+        F.bool_and(F.when(F.col("__y").isNotNull(), F.col("__y").isin(0.0, 1.0))), F.lit(True)).alias("b")), "binary"))["b"]
     signed = F.when(F.col("__y") < 0, 1).when(F.col("__y").isNotNull(), 0)
     value = F.when(binary, F.coalesce(F.col("__y").cast("int"), derived)) \
         .otherwise(F.coalesce(signed, derived))

@@ -1,4 +1,7 @@
-"""Orchestration: composition of the operators, still lazy."""
+"""Orchestration: composition of the operators.
+
+Building these plans runs jobs: panels that several branches read, and their statistics, are written once.
+"""
 
 from __future__ import annotations
 
@@ -16,14 +19,18 @@ from panelrisk.spec import EDUCATION, PanelSpec
 
 def prepare_panel(df: DataFrame, spec: PanelSpec = EDUCATION, layout: WideLayout = EDUCATION_LAYOUT,
                   null_group: str = "keep") -> DataFrame:
-    """O1: names -> (wide -> long) -> schema check -> dedup -> missing values -> label."""
+    """O1: names -> (wide -> long) -> schema check -> dedup -> missing values -> label.
+
+    The panel is written once, after the deduplication; what follows are row expressions over it,
+    with the group medians joined and one-row statistics, which are computed once and written.
+    """
     out = normalize_column_names(df)
     if is_wide(out.columns):
         out = wide_to_long(out, layout)
     validate_schema(out, spec.required)
     out = materialize(remove_duplicates(out))
     out = handle_missing_values(out, spec.indicators, spec.group, spec.categoricals, null_group)
-    return materialize(encode_label(out, spec.label, spec.label_rule, spec.label_text_map))
+    return encode_label(out, spec.label, spec.label_rule, spec.label_text_map)
 
 
 def panel_features(df: DataFrame, spec: PanelSpec = EDUCATION, layout: WideLayout = EDUCATION_LAYOUT,

@@ -165,3 +165,15 @@ def test_scratch_folder_on_a_cluster_must_be_named():
 
     with pytest.raises(RuntimeError):
         checkpoint_root(Session())
+
+
+def test_imputer_survives_saving(spark):
+    from panelrisk.operators.clean import PanelImputer, PanelImputerModel
+    rows = [(1.0, 1.0, "a"), (1.0, 3.0, None), (2.0, None, "a"), (None, 7.0, "b")]
+    df = spark.createDataFrame(rows, "g double, v double, c string")
+    for group in ("g", None):
+        model, path = PanelImputer(["v"], group, ["c"]).fit(df), scratch_path(spark, "imputer")
+        model.save(path)
+        again = PanelImputerModel.load(spark, path)
+        odd = spark.createDataFrame([(1.0, None, None), (9.0, None, "z")], df.schema)
+        assert sorted(map(tuple, again.transform(odd).collect())) == sorted(map(tuple, model.transform(odd).collect()))
