@@ -39,7 +39,7 @@ from panelrisk.llm.words import Words, mix, split
 
 WINDOW = 13
 SEED = 5
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_DOCS = 4_096
 #: A source is told as (batch number << PLACE_BITS) + place in the batch.
 PLACE_BITS = 13
