@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from panelrisk.functions.columns import scalars
 from panelrisk.operators.stats import (
-    VAL, VAR, medians_from_counts, medians_wide, mode_value, modes_row, value_counts, widen_medians)
+    VAL, VAR, medians_from_counts, medians_wide, modes_row, value_counts, widen_medians)
 from panelrisk.session import materialize
 
 

@@ -39,6 +39,14 @@ def panel_features(df: DataFrame, spec: PanelSpec = EDUCATION, layout: WideLayou
     return transform_features(prepare_panel(df, spec, layout), spec, skew_safe=skew_safe)
 
 
+def row_key(panel: DataFrame, spec: PanelSpec):
+    """A short key that spreads the rows: entity, period and a hash of the row."""
+    from pyspark.sql import functions as F
+
+    parts = [F.col(c).cast("string") for c in (spec.entity_in(panel.columns), spec.period) if c and c in panel.columns]
+    return F.concat_ws("|", *parts, F.xxhash64(*panel.columns).cast("string"))
+
+
 # ---------------------------------------------------------------- K5: drift job
 def drift_job(reference_raw: DataFrame, current_raw: DataFrame | None = None, spec: PanelSpec = EDUCATION,
               layout: WideLayout = EDUCATION_LAYOUT, threshold: float | None = None, sample_frac: float = 0.3,
@@ -55,12 +63,12 @@ def drift_job(reference_raw: DataFrame, current_raw: DataFrame | None = None, sp
 
     ref_full = panel_features(reference_raw, spec, layout)
     cols = numeric_columns(ref_full, exclude=[spec.label])
-    ref = materialize(drop_incomplete(ref_full.select(*cols)), "drift-reference")
+    keyed = ref_full.withColumn("_row", row_key(ref_full, spec)).select("_row", *cols)
+    ref = materialize(drop_incomplete(keyed, cols), "drift-reference")
     if current_raw is not None:
         cur = drop_incomplete(panel_features(current_raw, spec, layout).select(*cols))
     else:
-        keyed = ref.withColumn("_row", F.to_json(F.struct(*cols)))
-        cur = exact_sample(keyed, "_row", sample_frac, seed).drop("_row")
+        cur = exact_sample(ref, "_row", sample_frac, seed).drop("_row")
     per = numeric_drift(ref, cur, cols)
     return per, drift_summary(per, DRIFT_SHARE_THRESHOLD if threshold is None else threshold)
 
@@ -87,9 +95,7 @@ def train_job(spark, data_path: str, spec: PanelSpec = EDUCATION, layout: WideLa
 
     raw = load_csv(spark, data_path, sep=sep)
     panel = panel_features(raw, spec, layout)
-    entity = spec.entity_in(panel.columns)
-    key_parts = [F.col(c).cast("string") for c in (entity, spec.period) if c and c in panel.columns]
-    keyed = panel.withColumn("_key", F.concat_ws("|", *key_parts, F.to_json(F.struct(*panel.columns))))
+    keyed = panel.withColumn("_key", row_key(panel, spec))
     split = materialize(stratified_split(keyed, spec.label, "_key"), "split")
     train, test = split_frames(split)
     num, cat, feats = filter_features(train.columns, numeric or EDUCATION_MODEL_NUMERIC,

@@ -619,7 +619,7 @@ from pyspark.sql import types as T  # noqa: E402
 from panelrisk.session import materialize, scratch_path  # noqa: E402
 from panelrisk.sources.files import PREDICTION_LOG_SCHEMA, load_csv, read_jsonl, write_csv  # noqa: E402
 from panelrisk.sources.registry import append_runs, latest, read_registry, run_record  # noqa: E402
-from panelrisk.streaming.score_stream import counters_stream, counters_view, score_stream  # noqa: E402
+from panelrisk.streaming.score_stream import counters_stream, score_stream  # noqa: E402
 
 
 @query("csv_roundtrip")
