@@ -132,14 +132,17 @@ class MacroF1Evaluator(Evaluator):
 
 
 def cross_validate(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str],
-                   fold_col: str = "fold", classifier_factory=None, with_train: bool = True) -> DataFrame:
+                   fold_col: str = "fold", classifier_factory=None, with_train: bool = True,
+                   written: bool = False) -> DataFrame:
     """Per-fold fit/predict; metrics from one union of fold predictions.
 
+    ``df`` is read by every pass of every fit, so it is written first, unless the caller has (``written``).
+
     Returns one row: mean and population std of macro F1, AUC, macro precision and
     macro recall, plus the mean train macro F1.
     """
-    k = df.select(F.max(fold_col)).first()[0] + 1
-    data = df
+    data = df if written else materialize(df, "folds")
+    k = data.select(F.max(fold_col)).first()[0] + 1
     preds, train_preds = [], []
     for f in range(k):
         tr, te = data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f)
@@ -168,11 +171,11 @@ def compare_models(df: DataFrame, label: str, numeric: Sequence[str], categorica
     """CV every candidate; a failing one is listed with its error and can't win; best by macro
     F1 with the first candidate winning ties.  Returns the leaderboard with ``selected``; an AUC
     that is not defined is null."""
-    spark = df.sparkSession
+    spark, df = df.sparkSession, materialize(df, "folds")
     rows = []
     for i, c in enumerate(candidates):
         try:
-            s = cross_validate(df, label, numeric, categorical, fold_col, c.make, with_train=False).first()
+            s = cross_validate(df, label, numeric, categorical, fold_col, c.make, with_train=False, written=True).first()
             rows.append((i, c.name, s["f1_macro_mean"], s["roc_auc_mean"], None))
         except (PySparkException, Py4JJavaError, ValueError) as e:  # the reference goes on without a failing candidate
             rows.append((i, c.name, None, None, f"{type(e).__name__}: {str(e)[:300]}"))
@@ -206,12 +209,12 @@ def tune_and_fit(df: DataFrame, label: str, numeric: Sequence[str], categorical:
 
 
 def _search(df, label, numeric, categorical, grid, n_iter, fold_col, seed) -> tuple[DataFrame, dict]:
-    spark = df.sparkSession
+    spark, df = df.sparkSession, materialize(df, "folds")
     points = param_grid_sample(grid, n_iter, seed)
     rows = []
     for i, p in enumerate(points):
         s = cross_validate(df, label, numeric, categorical, fold_col,
-                           lambda p=p: random_forest(label, **p), with_train=False).first()
+                           lambda p=p: random_forest(label, **p), with_train=False, written=True).first()
         rows.append((i, str(sorted(p.items())), float(s["f1_macro_mean"])))
     board = spark.createDataFrame(rows, "point int, params string, f1_macro_mean double")
     best = max(rows, key=lambda r: (r[2], -r[0]))[0]

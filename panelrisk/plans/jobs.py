@@ -50,10 +50,11 @@ def row_key(panel: DataFrame, spec: PanelSpec):
 # ---------------------------------------------------------------- K5: drift job
 def drift_job(reference_raw: DataFrame, current_raw: DataFrame | None = None, spec: PanelSpec = EDUCATION,
               layout: WideLayout = EDUCATION_LAYOUT, threshold: float | None = None, sample_frac: float = 0.3,
-              seed: int = 99) -> tuple[DataFrame, DataFrame]:
+              seed: int = 99, test: str = "wasserstein") -> tuple[DataFrame, DataFrame]:
     """K5: prepare + feature both sides, keep numeric columns (label excluded), drop rows
     with nulls; without a current frame use an exact seeded 30 % sample of the reference.
-    Returns (per-column drift table, one-row summary)."""
+    ``test`` names the numeric drift test ("ks" suits small panels, where sampling noise alone moves the
+    distance).  Returns (per-column drift table, one-row summary)."""
     from pyspark.sql import functions as F
 
     from panelrisk.operators.drift import drift_summary, numeric_drift
@@ -69,7 +70,7 @@ def drift_job(reference_raw: DataFrame, current_raw: DataFrame | None = None, sp
         cur = drop_incomplete(panel_features(current_raw, spec, layout).select(*cols))
     else:
         cur = exact_sample(ref, "_row", sample_frac, seed).drop("_row")
-    per = numeric_drift(ref, cur, cols)
+    per = numeric_drift(ref, cur, cols, test=test)
     return per, drift_summary(per, DRIFT_SHARE_THRESHOLD if threshold is None else threshold)
 
 

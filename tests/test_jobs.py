@@ -87,11 +87,11 @@ def test_load_missing_model_raises(spark):
 
 def test_drift_job_and_reports(spark, csv_path):
     raw = spark.read.option("header", True).option("sep", ";").option("inferSchema", True).csv(csv_path)
-    per, summary = drift_job(raw)
+    per, summary = drift_job(raw, test="ks")
     s = summary.first()
     assert s.n_columns == per.count() and not s.drift_detected
     shifted = _panel(spark, shift=2.0)
-    per2, summary2 = drift_job(raw, shifted)
+    per2, summary2 = drift_job(raw, shifted, test="ks")
     s2 = summary2.first()
     assert s2.drift_detected and "INDE" in s2.drifted_features
     path = scratch_path(spark, "t-reports")
