@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelrisk.llm import bpe, decontam, language, line_dedup, simhash
-from panelrisk.llm.common import fresh, ship, table, written
+from panelrisk.llm.common import col, fresh, ship, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = language.fit(docs.filter(~language.held_out()))
     (text,) = fresh(docs, "_text")
-    found = language.identify(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias(text)), model, text)
+    found = language.identify(docs.select(F.struct(*map(col, docs.columns)).alias("doc"), F.col("text").alias(text)), model, text)
     return found.filter(~F.col("rejected")).select("doc.*")
 
 

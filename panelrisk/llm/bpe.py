@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrisk.llm.common import col, shuffle_partitions, table
+from panelrisk.llm.common import col, give_back, shuffle_partitions, table
 from panelrisk.llm.words import mix, span_hashes, split_bytes
 
 #: Characters of text in a batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: A position takes one byte for the FEW most frequent words, else three.
 FEW = 248
 _LIMIT = FEW + (256 - FEW) * 65_536
@@ -180,16 +180,19 @@ def _batches(stream, pattern: str, batch_bytes: int):
         yield ((part << 24) + serial, pa.array([x.as_py() for x in ids], ids[0].type), *number(texts, matches))
 
 
+_PRESS, _UNPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pressed(numbers: np.ndarray, parts: list[bytes]) -> bytes:
     """Ascending numbers and a byte string for each, compressed."""
     sizes = np.fromiter(map(len, parts), np.uint32, len(parts))
     steps = np.diff(numbers.astype(np.uint32), prepend=np.uint32(0))
     raw = b"".join([len(parts).to_bytes(4, "little"), steps.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), *parts])
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return _PRESS.compress(raw)
 
 
 def _unpressed(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
+    raw = _UNPRESS.decompress(raw)
     n = int.from_bytes(raw[:4], "little")
     numbers = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.uint32)
     ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4 + 4 * n), dtype=np.int64) + 4 + 8 * n
@@ -210,7 +213,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     pattern = pattern or default_pattern()
     with open(ranks or default_ranks(), "rb") as f:
         ranks_file = spark.sparkContext.broadcast(f.read())  # 0.8 MB, whatever the corpus
-    buckets = 4 * n
+    buckets = max(256, 2 * n)  # a few for each task, so that tasks get about as many words
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -235,6 +238,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 [pa.array([b for b, _ in out], pa.int64()), pa.array([serial] * k, pa.int64()), pa.nulls(k, ids.type),
                  pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
                  pa.array([_pressed(at, [raw[i] for i in at.tolist()]) for _, at in out], pa.binary())], names)
+        give_back()
 
     def encoded(stream):
         """Each distinct word of the partition is encoded once."""
@@ -254,6 +258,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
             yield pa.RecordBatch.from_arrays(
                 [rows.column(1).take(pa.array(words)), pa.array([_pressed(at, list(map(ids, w))) for at, w in both], pa.binary())],
                 ["batch", "ids"])
+        ids = None
+        give_back()
 
     def reassembled(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or left.column("target")[0].as_py() < 0:
@@ -265,6 +271,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 ids[k] = w
         out = [b"".join(map(ids.__getitem__, unpack(c, n, n_words).tolist()))
                for c, n in zip(left.column("data").to_pylist(), left.column("n").to_pylist())]
+        ids = None
+        give_back()
         return pa.table({"id": left.column("id"), "ids": pa.array(out, pa.binary())})
 
     # one exchange, which both branches read

@@ -27,7 +27,7 @@ from panelrisk.llm.words import split
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.8
-MAX_SEEDS = 1_000_000
+MAX_SEEDS = 250_000
 _FILTER_BITS = 22
 _TILED = T.StructType([T.StructField("coverage", T.DoubleType()),
                        T.StructField("tiles", T.ArrayType(T.ArrayType(T.IntegerType())))])

@@ -82,28 +82,24 @@ def _block(fp: Column, start: int, width: int) -> Column:
 
 
 def _keys(fp: Column, cuts: list[tuple[int, int]], names: tuple[str, str]) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(i).alias(names[0]), _block(fp, s, w).alias(names[1]))
-                               for i, (s, w) in enumerate(cuts)]))
+    return F.array(*[F.struct(F.lit(i).alias(names[0]), _block(fp, s, w).alias(names[1])) for i, (s, w) in enumerate(cuts)])
 
 
 def _dealt(distinct: DataFrame, max_bits: int, split_above: int) -> DataFrame:
     """(b, v, c, u, fp): the groups (b, v, c, u) of each fingerprint; c is -1 in groups dealt once."""
-    first = _cuts(64, max_bits + 1)
-    once = distinct.select("fp", _keys(F.col("fp"), first, ("b", "v")).alias("k")).select("k.*", "fp")
+    fp, first = F.col("fp"), _cuts(64, max_bits + 1)
+    once = distinct.select("fp", F.explode(_keys(fp, first, ("b", "v"))).alias("k")).select("k.*", "fp")
     large = once.groupBy("b", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > split_above).select("b", "v")
     marked = once.join(large.withColumn("again", F.lit(True)), ["b", "v"], "left")
-    out = marked.filter("again is null").select("b", "v", F.lit(-1).alias("c"), F.lit(0).cast("long").alias("u"), "fp")
-    again = marked.filter("again")
+    keys = F.when(F.col("again").isNull(), F.array(F.struct(F.lit(-1).alias("c"), F.lit(0).cast("long").alias("u"))))
     for i, (s, w) in enumerate(first):
         rest = F.lit(0).cast("long")  # the other bits, turned to the front
         if s + w < 64:
-            rest = rest.bitwiseOR(F.shiftleft("fp", s + w))
+            rest = rest.bitwiseOR(F.shiftleft(fp, s + w))
         if s:
-            rest = rest.bitwiseOR(F.shiftleft(_block(F.col("fp"), 0, s), w))
-        out = out.union(again.filter(F.col("b") == i).withColumn("t", rest)
-                        .select("b", "v", _keys(F.col("t"), _cuts(64 - w, max_bits + 1), ("c", "u")).alias("k"), "fp")
-                        .select("b", "v", "k.*", "fp"))
-    return out
+            rest = rest.bitwiseOR(F.shiftleft(_block(fp, 0, s), w))
+        keys = keys.when(F.col("b") == i, _keys(rest, _cuts(64 - w, max_bits + 1), ("c", "u")))
+    return marked.select("b", "v", F.explode(keys).alias("k"), "fp").select("b", "v", "k.*", "fp")
 
 
 class GrayIndex:
@@ -216,6 +212,17 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, split_above: int = SPLI
             .mapInArrow(stars, "u long, v long"))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int,
+             split_above: int) -> tuple[DataFrame, DataFrame]:
+    """((id, text_hash, fp) of every row, (fp, component) of every distinct fingerprint)."""
+    rows = written(docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_hash"),
+                               fingerprints(docs, text_col, shingle).alias("fp")), "simhash")
+    distinct = rows.select("fp").distinct()
+    found = components(links(distinct, max_bits, split_above))
+    return rows, (distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+                  .select("fp", F.coalesce("root", "fp").alias("component")))
+
+
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
             max_bits: int = MAX_BITS, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """(id_col, text_hash, fingerprint, component_id, component), one row per row of ``docs``.
@@ -226,29 +233,25 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     smallest fingerprint in it, as a signed long.  Other columns are ignored.  An empty table gives
     an empty table.
     """
-    rows = written(docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_hash"),
-                               fingerprints(docs, text_col, shingle).alias("fp")), "simhash")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "fingerprints")
-    found = components(links(distinct.select("fp"), max_bits, split_above))
-    rooted = (distinct.join(found, distinct["fp"] == found["node"], "left")
-              .select("fp", "low", F.coalesce("root", "fp").alias("component")))
-    ids = rooted.groupBy("component").agg(F.min("low").alias("component_id"))
-    known = rooted.select("fp", "component").join(ids, "component")
-    return rows.join(known, "fp").select(F.col("id").alias(id_col), "text_hash",
-                                         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                                         "component_id", "component")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    rows, groups = _grouped(docs, id_col, text_col, shingle, max_bits, split_above)
+    named = rows.join(groups, "fp")
+    ids = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    return named.join(ids, "component").select(
+        F.col("id").alias(id_col), "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        "component_id", "component")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+               max_bits: int = MAX_BITS, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id.
 
     Of rows with one id the smallest text hash stays, of rows equal in id and text any one.  A null id
     stays only where the component has no other.
     """
-    found = simhash(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), "id", "text", **settings)
+    rows, groups = _grouped(docs, id_col, text_col, shingle, max_bits, split_above)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("s")
     none, known, th = fresh(docs, "_none", "_id", "_text_hash")
-    stay = (found.groupBy("component").agg(first)
+    stay = (rows.join(groups, "fp").groupBy("component").agg(first)
             .select(F.col("s.none").alias(none), F.coalesce("s.id", F.lit(0)).alias(known),
                     F.col("s.text_hash").alias(th)))
     keyed = (docs.withColumn(none, col(id_col).isNull()).withColumn(known, F.coalesce(col(id_col), F.lit(0)))

@@ -8,7 +8,7 @@ import numpy as np
 
 from panelrisk.llm.common import SPACE_BYTES
 
-_PIECE = 1 << 20
+_PIECE = 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
