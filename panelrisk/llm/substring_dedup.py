@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrisk.llm.common import col, shuffle_partitions, table
+from panelrisk.llm.common import col, give_back, shuffle_partitions, table
 from panelrisk.llm.words import Words, mix, split
 
 WINDOW = 13
@@ -142,6 +142,17 @@ def _representatives(batch: Batch, blocks: Blocks, content: np.ndarray):
     return sorted_content[new], order[new], number
 
 
+def _tidy(work):
+    """A function of two tables that leaves its worker small."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        give_back()
+        return out
+
+    return run
+
+
 def _batched(batch_docs: int, batch_bytes: int):
     def form(stream):
         part, serial = TaskContext.get().partitionId(), 0
@@ -192,6 +203,7 @@ def spans(batches: DataFrame, window: int, seed: int, buckets: int) -> DataFrame
                      pa.array([_planes(m[o]) for o in own], pa.binary()),
                      pa.array([np.packbits(n[o] > 1).tobytes() for o in own], pa.binary())],
                     ["bucket", "batch", "m", "twice"])
+        give_back()
 
     def repeated(part: pa.Table) -> pa.Table:
         """Minimizers of two documents, by batch."""
@@ -303,14 +315,14 @@ def spans(batches: DataFrame, window: int, seed: int, buckets: int) -> DataFrame
              .groupBy("bucket").applyInArrow(repeated, "batch long, m binary").filter("length(m) > 0"))
     per_batch = batches.groupBy("batch")
     pieces = (per_batch.cogroup(found.groupBy("batch"))
-              .applyInArrow(edges, "bucket int, batch long, content binary, n binary, h binary, id binary, source binary, at binary")
+              .applyInArrow(_tidy(edges), "bucket int, batch long, content binary, n binary, h binary, id binary, source binary, at binary")
               .groupBy("bucket").applyInArrow(sources, "batch long, content binary, off binary, size binary, "
                                                        "id binary, source binary, at binary"))
     none = [F.lit(None).cast("binary").alias(c) for c in ("content", "off", "size", "id", "source", "at")]
     told = (found.select("batch", "m", *none)
             .unionByName(pieces.select("batch", F.lit(None).cast("binary").alias("m"), "content", "off", "size", "id", "source", "at")))
     return per_batch.cogroup(told.groupBy("batch")).applyInArrow(
-        glued, "batch long, doc int, start long, n long, source long, source_start long, digest binary")
+        _tidy(glued), "batch long, doc int, start long, n long, source long, source_start long, digest binary")
 
 
 def verified(batches: DataFrame, found: DataFrame) -> DataFrame:
@@ -372,7 +384,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          "kept": pa.array(out, pa.string())})
 
     return (batches.groupBy("batch").cogroup(good.groupBy("batch"))
-            .applyInArrow(kept, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col))
+            .applyInArrow(_tidy(kept), "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
