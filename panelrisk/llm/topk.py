@@ -202,10 +202,11 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     look = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("pivot")]
     placed = dealt.withColumn("tree", (look(first) + F.pmod(F.xxhash64("id", "v"), look(parts))).cast("int"))
 
-    def answers(tree: MTree, ids, matrix, bounds):
+    def answers(tree: MTree, ids, matrix, bounds, lows):
+        """Per query the tree's k best, of which those below the k-th score at home are of no use."""
         out = [[], [], [], []]
-        for own, q, bound in zip(ids, matrix, bounds):
-            found = tree.search(q, own, k, bound)
+        for own, q, bound, low in zip(ids, matrix, bounds, lows):
+            found = [x for x in tree.search(q, own, k, bound) if low is None or x[0] >= low]
             out[0] += [own] * len(found)
             out[1] += [q.tobytes()] * len(found)
             out[2] += [i for _, i in found]
@@ -219,7 +220,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         tree = MTree(ids, matrix, top)
         asks = np.flatnonzero(part.column("is_query").to_numpy(zero_copy_only=False)).tolist()
         asks = list({(int(ids[a]), matrix[a].tobytes()): a for a in asks}.values())  # repeated rows ask once
-        out = answers(tree, ids[asks].tolist(), matrix[asks], [np.inf] * len(asks))
+        out = answers(tree, ids[asks].tolist(), matrix[asks], [np.inf] * len(asks), [None] * len(asks))
         return pa.table(dict(zip(("query_id", "q", "id", "score"),
                                  (pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int64()))))))
 
@@ -245,7 +246,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
             matrix = _matrix(asks.column("q").to_pylist())
             limit = [np.inf if low is None else tree.kth_distance(q, low)
                      for low, q in zip(asks.column("low").to_pylist(), matrix)]
-            out = answers(tree, asks.column("query_id").to_pylist(), matrix, limit)
+            out = answers(tree, asks.column("query_id").to_pylist(), matrix, limit, asks.column("low").to_pylist())
         return pa.table(dict(zip(("query_id", "q", "id", "score"),
                                  (pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int64()))))))
 
