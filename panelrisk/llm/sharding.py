@@ -11,13 +11,17 @@ its first and last group end, and the check runs twice, once on the safe side an
 side.  That brackets the capacity and every cut; the next round lays the cells over the brackets only.
 It ends when both checks agree, with the exact answer.
 
+The capacity bounds the largest run only; filling every run up to it would leave the last ones empty
+where one group is large.  So each run is cut at the group end nearest to its even share of what is left,
+within the capacity and where the rest still fits the runs left.
+
 Running sums and places come from one range shuffle of narrow rows (no texts), in which a hot group is
 split over partitions because the document id is part of the range key.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -117,18 +121,68 @@ class _Ends:
             at_low, at_high = max(at_low, self.reach(a, False)), max(at_high, self.reach(b, True))
         return out
 
+    def large(self, shards: int) -> list[tuple[int, int]]:
+        """(start, end) of the groups above the even share of what lies outside such groups; fewer than ``shards``."""
+        groups = []
+        for a, b in zip([0, *self.known], self.known):
+            k = bisect_right(self.hidden, (a, self.total)) - 1
+            if k < 0 or self.hidden[k][1] < b:  # no end is hidden between
+                groups.append((a, b))
+        out, rest = [], self.total
+        for a, b in sorted(groups, key=lambda g: g[0] - g[1]):
+            if (b - a) * (shards - len(out)) <= rest:
+                break
+            out.append((a, b))
+            rest -= b - a
+        return out
+
+    def even(self, capacity: int, shards: int) -> tuple[list[int], list[tuple[int, int]]]:
+        """(cuts, hidden intervals at which a nearer end may lie) of runs of nearly even size.
+
+        A run ends at the known end nearest to its share of the bytes left: groups that are larger than
+        a share have a run each, the stretches between them are shared by the other runs.  No run is above ``capacity``, which known
+        ends can meet; none is empty if there are as many groups.  The last ``shards`` ends must be known.
+        """
+        known, runs = self.known, min(shards, len(self.known))
+        large = self.large(runs)
+        need = [self.total]  # the first place from which so many runs hold the rest
+        for _ in range(runs):
+            need.append(known[bisect_left(known, need[-1] - capacity)] if need[-1] > capacity else 0)
+        at, cuts, unsure = 0, [], []
+        for left in reversed(range(runs)):
+            ahead = [g for g in large if g[0] >= at]
+            rest, over = self.total - at - sum(b - a for a, b in ahead), left + 1 - len(ahead)
+            stretch = min((a for a, _ in ahead), default=self.total) - at  # up to the next large group
+            if over > 0 and stretch:
+                aim = at + stretch // max(1, round(stretch * over / rest))
+            else:
+                aim = at + (self.total - at) // (left + 1)
+            first = max(bisect_right(known, at), bisect_left(known, need[left]))
+            last = min(bisect_right(known, at + capacity), len(known) - left) - 1
+            k = bisect_left(known, aim, first, last)
+            if k > first and aim - known[k - 1] <= known[k] - aim:
+                k -= 1
+            h = bisect_right(self.hidden, (aim, 0)) - 1
+            if left and h >= 0 and self.hidden[h][0] < aim < self.hidden[h][1]:
+                unsure.append(self.hidden[h])
+            at = known[k]
+            cuts.append(at)
+        return cuts, sorted(set(unsure))
+
 
 def minimax_cuts(ends: DataFrame, shards: int, cells: int = CELLS) -> tuple[int, list[int]]:
     """(capacity, cuts) of the smallest largest run; ``ends`` has a row ``ends`` for each group end.
 
-    The cuts are the running sums at which the runs end; there are at most ``shards``.
+    The cuts are the running sums at which the runs end: one for each of the ``shards``, or for each
+    group where there are fewer.
     """
     total = ends.agg(F.max("ends")).first()[0]
     if not total:
         return 0, []
     low, high = -(-total // shards) - 1, total  # low can't be met, high can
     known, ranges = _Ends(total), [(0, total)]
-    while True:
+
+    def look() -> None:
         each = max(2, cells // len(ranges))
         cell = None
         for i, (a, b) in enumerate(ranges):
@@ -138,11 +192,18 @@ def minimax_cuts(ends: DataFrame, shards: int, cells: int = CELLS) -> tuple[int,
         seen = (ends.withColumn("cell", cell).filter("cell is not null").groupBy("cell")
                 .agg(F.min("ends").alias("a"), F.max("ends").alias("b")).collect())
         known.learn(ranges, [(r["a"], r["b"]) for r in seen])
+
+    while high - low > 1:
+        look()
         high = known.least(low, high, shards, False)
         low = known.least(low, high, shards, True) - 1
-        if high - low <= 1:
-            return high, known.fill(high, shards, False)
         ranges = known.unsure(low + 1, high, shards)
+    known.learn([], [(r["ends"],) * 2 for r in ends.orderBy(F.desc("ends")).limit(shards).collect()])
+    while True:
+        cuts, ranges = known.even(high, shards)
+        if not ranges:
+            return high, cuts
+        look()
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = N_SHARDS,
@@ -151,8 +212,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sha
 
     ``size`` is the text's UTF-8 bytes (null: none) plus ``overhead``.  Equal texts are in one shard; all
     nulls are equal, and differ from the empty text.  The largest shard is as small as whole groups in
-    hash order allow.  ``slot`` counts from 0 without gaps in each shard, in the order (text hash, id); ties
-    of repeated rows in file order.  Fewer groups than shards leave the last shards empty; an empty table
+    hash order allow, and the others share the rest nearly evenly.  ``slot`` counts from 0 without gaps
+    in each shard, in the order (text hash, id); ties of repeated rows in file order.  Fewer groups than shards leave the last shards empty; an empty table
     gives an empty table.  Ids may be null; other columns are ignored.
     """
     text = col(text_col)

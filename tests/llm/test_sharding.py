@@ -76,3 +76,33 @@ def test_rows(spark):
     assert S.shard(docs.filter("false"), n_shards=8).collect() == []
     few = S.shard(docs.limit(2), n_shards=40).collect()
     assert len(few) == 2
+
+
+@pytest.mark.parametrize("place,share", [(0, 0), (0, 1 / 3), (0.5, 1 / 3), (1, 0.9)])
+def test_a_large_group_empties_no_shard(spark, place, share):
+    rng = random.Random(3)
+    sizes = [rng.randint(100, 900) for _ in range(4_000)]
+    sizes.insert(int(place * len(sizes)), big := int(sum(sizes) * share / (1 - share)) + 1)
+    sums = [sum(sizes[:i + 1]) for i in range(len(sizes))]
+    got, cuts = S.minimax_cuts(spark.createDataFrame([(x,) for x in sums], "ends long").coalesce(1), 40, 2_000)
+    runs = sorted(b - a for a, b in zip([0, *cuts], cuts))
+    assert len(cuts) == 40 and runs[0] > 0 and set(cuts) <= set(sums) and cuts[-1] == sums[-1]
+    assert runs[-1] == got == brute(sizes, 40)
+    if share:
+        even = (sum(sizes) - big) / 39
+        assert got == big and runs[-2] < 1.2 * even and sum(r < 0.8 * even for r in runs) <= 2
+
+
+def test_as_many_groups_as_shards(spark):
+    for sizes in ([10 ** 9] + [1] * 39, [7, 1, 10 ** 6]):
+        sums = [sum(sizes[:i + 1]) for i in range(len(sizes))]
+        assert S.minimax_cuts(spark.createDataFrame([(x,) for x in sums], "ends long"), 40, 200) == (max(sizes), sums)
+
+
+def test_rows_with_a_third_in_one_group(spark):
+    docs = spark.createDataFrame([(i, "copy " * 20 if i % 3 == 0 else f"text number {i} " * 6) for i in range(3_000)],
+                                 "doc_id long, text string")
+    loads = {}
+    for r in S.shard(docs).collect():
+        loads[r["shard"]] = loads.get(r["shard"], 0) + r["size"]
+    assert sorted(loads) == list(range(40)) and max(loads.values()) == 1_000 * 116
