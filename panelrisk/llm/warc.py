@@ -35,11 +35,11 @@ DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 
 _WHOLE = T.StructType([T.StructField(n, t) for n, t in (
-    ("record_id", T.StringType()), ("kind", T.StringType()), ("uri", T.StringType()), ("digest", T.StringType()),
-    ("refers_to", T.StringType()), ("payload", T.BinaryType()), ("error", T.StringType()))])
+    ("record_id", T.StringType()), ("page", T.StringType()), ("kind", T.StringType()), ("uri", T.StringType()),
+    ("digest", T.StringType()), ("refers_to", T.StringType()), ("payload", T.BinaryType()), ("error", T.StringType()))])
 _SEGMENT = T.StructType([T.StructField(n, t) for n, t in (
-    ("origin", T.StringType()), ("kind", T.StringType()), ("uri", T.StringType()), ("digest", T.StringType()),
-    ("segment", T.IntegerType()), ("total", T.LongType()), ("block", T.BinaryType()))])
+    ("origin", T.StringType()), ("page", T.StringType()), ("kind", T.StringType()), ("uri", T.StringType()),
+    ("digest", T.StringType()), ("segment", T.IntegerType()), ("total", T.LongType()), ("block", T.BinaryType()))])
 _PAYLOAD = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("error", T.StringType())])
 
 
@@ -81,9 +81,9 @@ def _head(fields: list[tuple[str, object]], length: int) -> bytes:
 
 
 def records(record_id: str, uri: str | None, digest: str, payload: bytes, refers_to: str | None,
-            segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
-    """The WARC records of one page, without the separators that follow them."""
-    base = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}")]
+            segment_bytes: int = SEGMENT_BYTES, page: str | None = None) -> list[bytes]:
+    """The WARC records of one page, without the separators that follow them; ``page`` is its id in the table."""
+    base = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Page-ID", page)]
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
         return [_head([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{record_id}>"), *base,
@@ -111,27 +111,40 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                    min_revisit: int = MIN_REVISIT, file_records: int = FILE_RECORDS) -> None:
     """Writes gzipped archives of ``pages`` to the folder ``path``.
 
-    A null payload is empty; a null url leaves the field out.  Record ids are ``urn:page:ID``, with a null id
-    as the empty string.  Of equal payloads of at least ``min_revisit`` bytes the smallest id is the
-    response; repeated rows with that id are all responses.  Other columns are ignored; no rows make
-    an archive without records.
+    A null payload is empty; a null url leaves the field out.  Every row has a record id of its own:
+    ``urn:page:ID``, and ``urn:page:ID#ROW`` with the row's number for repeated ids and null ids (as the empty
+    string); the field ``Page-ID`` has the id itself.  Of equal payloads of at least ``min_revisit`` bytes the
+    smallest id is the response; repeated rows with that id are all responses, and revisits refer to the first;
+    rows without id are responses too.  Other columns are ignored; no rows make an archive without records.
+    ``pages`` is read twice and must give its rows in the same order, as files do; otherwise rows are
+    written as responses under ``urn:page:ID``.
     """
     base = pages.select(col(id_col).cast("string").alias("id"), col(id_col).alias("key"), col(url_col).alias("url"),
-                        F.coalesce(col(payload_col), F.lit("")).cast("binary").alias("payload"))
+                        F.coalesce(col(payload_col), F.lit("")).cast("binary").alias("payload"),
+                        F.monotonically_increasing_id().alias("row"))
     base = base.withColumn("digest", F.sha2("payload", 256))
-    first = (base.filter(F.octet_length("payload") >= min_revisit).select("digest", "key")
-             .groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
-             .filter("n > 1").select("digest", F.col("first").cast("string").alias("first")))
-    known = base.join(first, "digest", "left").select(
-        F.concat(F.lit("urn:page:"), F.coalesce("id", F.lit(""))).alias("record_id"), "url", "digest", "payload",
-        F.when(~F.col("id").eqNullSafe(F.col("first")), F.concat(F.lit("urn:page:"), F.col("first"))).alias("refers_to"))
+    plain = F.concat(F.lit("urn:page:"), F.coalesce("id", F.lit("")))
+    rows = written(base.select("row", "id", "key", "digest", (F.octet_length("payload") >= min_revisit).alias("long")), "pages")
+    repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and key is not null").select("key", "n")
+    named = rows.join(repeated, "key", "left").withColumn(
+        "record_id", F.when(F.col("n").isNotNull() | F.col("key").isNull(), F.concat(plain, F.lit("#"), F.col("row"))))
+    first = (named.filter("long and key is not null").groupBy("digest")
+             .agg(F.min(F.struct("key", "row", F.coalesce("record_id", plain).alias("rid"))).alias("first"),
+                  F.count(F.lit(1)).alias("m"))
+             .filter("m > 1").select("digest", F.col("first.key").alias("first"), F.col("first.rid").alias("rid")))
+    marks = (named.join(first, "digest", "left")
+             .select("row", "digest", "record_id", F.when(F.col("key") != F.col("first"), F.col("rid")).alias("refers_to"))
+             .filter("record_id is not null or refers_to is not null"))
+    known = base.join(marks, ["row", "digest"], "left").select(
+        F.coalesce("record_id", plain).alias("record_id"), "url", "digest", "payload", "refers_to",
+        F.lit(segment_bytes).alias("segment_bytes"), F.col("id").alias("page"))
 
     def lines(stream):
         for batch in stream:
             for a in range(0, batch.num_rows, 250):
                 out = []
                 for row in zip(*(c.slice(a, 250).to_pylist() for c in batch.columns)):
-                    out += records(*row, segment_bytes)
+                    out += records(*row)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     (known.mapInArrow(lines, "record binary").select(F.col("record").cast("string").alias("record"))
@@ -159,7 +172,7 @@ def parse(raw: bytes):
         if start + n > len(raw):
             raise ValueError(f"record cut short at byte {at}")
         number, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
-        yield {"record_id": bare(head.get("warc-record-id")), "kind": head.get("warc-type"),
+        yield {"record_id": bare(head.get("warc-record-id")), "page": head.get("page-id"), "kind": head.get("warc-type"),
                "refers_to": bare(head.get("warc-refers-to")), "uri": head.get("warc-target-uri"),
                "digest": (head.get("warc-payload-digest") or "").rpartition(":")[2] or None,
                "origin": bare(head.get("warc-segment-origin-id")), "segment": int(number) if number else None,
@@ -224,7 +237,7 @@ def _read(spark: SparkSession, path: str, pick, schema: T.StructType) -> DataFra
 
 
 def reassemble(segments: DataFrame) -> DataFrame:
-    """(record_id, uri, digest, block, error) of segmented blocks, from their records (see ``_SEGMENT``).
+    """(record_id, page, uri, digest, block, error) of segmented blocks, from their records (see ``_SEGMENT``).
 
     Segments are grouped by the origin's record id and ordered by segment number.  ``error`` is ``segments``
     if a number is missing or repeats, or the origin or the last segment is missing, and ``length`` if the
@@ -232,19 +245,19 @@ def reassemble(segments: DataFrame) -> DataFrame:
     """
     parts = (segments.groupBy("origin")
              .agg(F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total").alias("total"),
-                  F.max(F.when(F.col("kind") == "response", F.struct("uri", "digest"))).alias("h")))
+                  F.max(F.when(F.col("kind") == "response", F.struct("uri", "digest", "page"))).alias("h")))
     n = F.size("s")
     complete = (F.col("s.segment") == F.sequence(F.lit(1), n)) & F.col("total").isNotNull() & F.col("h").isNotNull()
     joined = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
     error = F.when(~F.coalesce(complete, F.lit(False)), "segments").when(joined != F.col("total"), "length")
     # one concatenation, through hex: binary arrays can't be joined
     block = F.unhex(F.array_join(F.transform(F.col("s.block"), lambda b: F.hex(b)), ""))
-    return parts.select(F.col("origin").alias("record_id"), "h.uri", "h.digest",
+    return parts.select(F.col("origin").alias("record_id"), "h.page", "h.uri", "h.digest",
                         F.when(error.isNull(), block).alias("block"), error.alias("error"))
 
 
 def payloads(blocks: DataFrame) -> DataFrame:
-    """``blocks`` opened: (record_id, uri, digest, payload, error); see ``opened``."""
+    """``blocks`` opened: (record_id, page, uri, digest, payload, error); see ``opened``."""
 
     @F.arrow_udf(_PAYLOAD)
     def each(blocks: pa.Array, digests: pa.Array) -> pa.Array:
@@ -253,17 +266,17 @@ def payloads(blocks: DataFrame) -> DataFrame:
                         pa.struct([("payload", pa.binary()), ("error", pa.string())]))
 
     return (blocks.withColumn("p", each("block", "digest"))
-            .select("record_id", "uri", "digest", "p.payload", F.coalesce("error", "p.error").alias("error")))
+            .select("record_id", "page", "uri", "digest", "p.payload", F.coalesce("error", "p.error").alias("error")))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, kind, uri, digest, refers_to, payload, error) of all responses and revisits in ``path``.
+    """(record_id, page, kind, uri, digest, refers_to, payload, error) of all responses and revisits in ``path``.
 
     A revisit has no payload of its own; ``refers_to`` is the record id of its response.
     """
     whole = _read(spark, path, _whole, _WHOLE)
     joined = payloads(reassemble(_read(spark, path, _segment, _SEGMENT)))
-    return whole.unionByName(joined.select("record_id", F.lit("response").alias("kind"), "uri", "digest",
+    return whole.unionByName(joined.select("record_id", "page", F.lit("response").alias("kind"), "uri", "digest",
                                            F.lit(None).cast("string").alias("refers_to"), "payload", "error"))
 
 
@@ -272,17 +285,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(table(spark, sf_dir, "pages"), path)
     # sizes and digests are measured on what was read; a response that came back broken has none
     found = written(read_archives(spark, path).select(
-        "record_id", "kind", "refers_to", F.octet_length("payload").cast("long").alias("n"),
-        F.sha2("payload", 256).alias("d")), "read")
-    own = found.filter("kind = 'response'").select("record_id", "n", "d")
-    again = (found.filter("kind = 'revisit'").select(F.col("record_id").alias("rid"), "refers_to")
-             .join(own.distinct(), F.col("refers_to") == F.col("record_id")).select("rid", "refers_to", "n", "d"))
-    page = lambda c: F.expr(f"cast(nullif(substring({c}, 10), '') as bigint)")
-    cols = lambda rid, kind, ref: [page(rid).alias("page_id"), F.col("n").alias("payload_bytes"),
-                                   F.col("d").alias("payload_digest"), F.lit(kind).alias("record_type"),
-                                   ref.alias("refers_to")]
-    return (own.select(*cols("record_id", "response", F.lit(None).cast("long")))
-            .union(again.select(*cols("rid", "revisit", page("refers_to")))))
+        "record_id", F.col("page").cast("bigint").alias("page_id"), "kind", "refers_to",
+        F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("d")), "read")
+    own = found.filter("kind = 'response'")
+    again = (found.filter("kind = 'revisit'").select("page_id", "refers_to")
+             .join(own.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("to"), "n", "d"), "refers_to"))
+    cols = lambda kind, ref: ["page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"),
+                              F.lit(kind).alias("record_type"), ref.alias("refers_to")]
+    return own.select(*cols("response", F.lit(None).cast("long"))).union(again.select(*cols("revisit", F.col("to"))))
 
 
 ORACLE = {"op8_warc": """

@@ -87,3 +87,25 @@ def test_missing_and_wrong_segments(spark):
     assert run(seg + seg[1:2]) == (None, "segments")
     assert run([*seg[:-1], {**seg[-1], "total": 7}]) == (None, "length")
     assert run([{**seg[0], "digest": "0"}, *seg[1:]]) == (None, "digest")
+
+
+def test_repeated_and_null_ids_with_long_pages(spark, tmp_path):
+    long = ["".join(random.Random(s).choice("abc d") for _ in range(40_000)) for s in range(4)]
+    rows = ([(1, "u", long[0])] * 3 + [(1, "u", long[1]), (1, "v", "short")] + [(2, "u", long[0]), (3, "u", long[1]), (3, "u", long[1])]
+            + [(None, "u", long[2])] * 2 + [(None, "w", long[3]), (None, None, long[0]), (None, None, None), (4, "u", long[2])])
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(path)
+    W.write_archives(spark.read.parquet(path), str(tmp_path / "warc"))
+    back = W.read_archives(spark, str(tmp_path / "warc")).collect()
+    assert len(back) == len(rows) == len({r["record_id"] for r in back}) and not any(r["error"] for r in back)
+    responses = {r["record_id"]: r for r in back if r["kind"] == "response"}
+    assert all(responses[r["refers_to"]]["digest"] == r["digest"] for r in back if r["kind"] == "revisit")
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    first = {sha(t): min(i for i, _, u in rows if i is not None and u == t) for t in long[:3]}
+    want = []
+    for i, _, t in rows:
+        to = first.get(sha(t))
+        again = i is not None and to is not None and to != i
+        want.append((i, len(t or ""), sha(t), "revisit" if again else "response", to if again else None))
+    got = [tuple(r) for r in W.op8_warc(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
