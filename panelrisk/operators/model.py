@@ -63,12 +63,12 @@ class Candidate:
 
 
 def random_forest(label: str, weight: str | None = "weight", num_trees: int = 200, max_depth: int | None = 10,
-                  min_instances: int = 1, max_features: str = "auto", seed: int = 42):
+                  min_instances: int = 1, max_features: str = "auto", seed: int = 42, min_split: int = 2):
     """A5: the reference's default forest (min-split has no Spark twin; min instances per
-    node is the nearest control).  Without a depth limit trees grow to Spark ML's limit of 30;
+    node is the nearest control: half of ``min_split`` in each child).  Without a depth limit trees grow to Spark ML's limit of 30;
     ``max_features`` is "sqrt", "log2", "all", a share or a number."""
     kw = dict(labelCol=label, featuresCol=FEATURES, numTrees=num_trees, maxDepth=30 if max_depth is None else max_depth,
-              minInstancesPerNode=min_instances, featureSubsetStrategy=str(max_features), seed=seed)
+              minInstancesPerNode=max(min_instances, -(-min_split // 2)), featureSubsetStrategy=str(max_features), seed=seed)
     if weight:
         kw["weightCol"] = weight
     return RandomForestClassifier(**kw)

@@ -561,7 +561,9 @@ def _folds(spark, sf):
     return materialize(stratified_folds(user_day_panel(spark, sf), "label", "uid", k=5), "folds")
 
 
-SMALL_FOREST = dict(num_trees=20, max_depth=5)
+#: The reference's random search: 360 points.
+FOREST_GRID = {"num_trees": [100, 200, 300, 500], "max_depth": [5, 8, 10, 15, None], "min_split": [2, 5, 10],
+               "max_features": ["sqrt", "log2"], "min_instances": [1, 2, 4]}
 
 
 @query("train_score")
@@ -571,7 +573,7 @@ def q_train_score(spark, sf):
     # the split is read by every fit pass (indexer, encoder, scaler, forest): write it once
     split = materialize(stratified_split(user_day_panel(spark, sf), "label", "uid"), "split")
     tr, te = split_frames(split)
-    model = ML.train(tr, "label", USER_NUMERIC, USER_CATEGORICAL, ML.random_forest("label", **SMALL_FOREST))
+    model = ML.train(tr, "label", USER_NUMERIC, USER_CATEGORICAL)
     scored = ML.with_probability(model.transform(te))
     return scored.select("uid", "label", F.col("prediction").cast("int").alias("prediction"),
                          F.round(ML.PROB1, 4).alias("probabilidade"), risk_tier(ML.PROB1).alias("nivel_risco"))
@@ -580,35 +582,31 @@ def q_train_score(spark, sf):
 @query("cv_scores")
 def q_cv_scores(spark, sf):
     """5-fold stratified CV of the default forest: mean / population std per metric."""
-    out = ML.cross_validate(_folds(spark, sf), "label", USER_NUMERIC, USER_CATEGORICAL,
-                            classifier_factory=lambda: ML.random_forest("label", **SMALL_FOREST))
-    return _r6(out)
+    return _r6(ML.cross_validate(_folds(spark, sf), "label", USER_NUMERIC, USER_CATEGORICAL))
 
 
 @query("model_compare")
 def q_model_compare(spark, sf):
     """Forest vs two boosted-tree configurations, best macro F1 selected."""
-    cands = [ML.Candidate("RandomForestClassifier", lambda: ML.random_forest("label", **SMALL_FOREST)),
-             ML.Candidate("GBTClassifier", lambda: ML.boosted_trees("label", max_iter=10, max_depth=4)),
-             ML.Candidate("GBTClassifierSubsampled",
-                          lambda: ML.boosted_trees("label", max_iter=10, max_depth=3, subsample=0.8))]
+    cands = [ML.Candidate("RandomForestClassifier", lambda: ML.random_forest("label")),
+             ML.Candidate("GBTClassifier", lambda: ML.boosted_trees("label")),
+             ML.Candidate("GBTClassifierSubsampled", lambda: ML.boosted_trees("label", subsample=0.8))]
     return _r6(ML.compare_models(_folds(spark, sf), "label", USER_NUMERIC, USER_CATEGORICAL, cands))
 
 
 @query("tune")
 def q_tune(spark, sf):
-    """A10: random search (3 points here) over the forest grid, 3 folds."""
+    """A10: random search (10 points) over the reference's forest grid, 3 folds."""
     from panelrisk.operators.sampling import stratified_folds
     data = stratified_folds(user_day_panel(spark, sf), "label", "uid", k=3)
-    grid = {"num_trees": [10, 20], "max_depth": [3, 5], "min_instances": [1, 2]}
-    return _r6(ML.tune(data, "label", USER_NUMERIC, USER_CATEGORICAL, grid, n_iter=3))
+    return _r6(ML.tune(data, "label", USER_NUMERIC, USER_CATEGORICAL, FOREST_GRID))
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf):
     """Top-20 importances of the trained forest, named by vector slot."""
     data = user_day_panel(spark, sf)
-    model = ML.train(data, "label", USER_NUMERIC, USER_CATEGORICAL, ML.random_forest("label", **SMALL_FOREST))
+    model = ML.train(data, "label", USER_NUMERIC, USER_CATEGORICAL)
     return _r6(ML.feature_importance(model, spark))
 
 
