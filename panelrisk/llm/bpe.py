@@ -284,7 +284,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", ranks: str | None = None) -> DataFrame:
-    """``encoded`` with the bytes of the ids in ``out_col``: each id's row of the token-byte table, joined.
+    """``encoded`` with the bytes of the ids in ``out_col``: each id is looked up in the broadcast rank file.
 
     Null ids give null.  An id outside the table raises an error.  A column called ``out_col`` is replaced.
     """
