@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import functools
 
-from panelrisk.llm import bpe, decontam, language, line_dedup, packing, sharding, simhash, substring_dedup, topk, warc
+from panelrisk.llm import bpe, decontam, language, line_dedup, merkle, packing, sharding, simhash, substring_dedup, topk, warc
 from panelrisk.llm.common import ship
 
-MODULES = (line_dedup, language, packing, decontam, substring_dedup, simhash, sharding, warc, topk, bpe)
+MODULES = (line_dedup, language, packing, decontam, substring_dedup, simhash, sharding, warc, topk, bpe, merkle)
 
 
 def _shipped(query):

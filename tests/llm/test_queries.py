@@ -19,8 +19,8 @@ def norm(v):
     return list(v) if isinstance(v, (list, tuple)) else v
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 12))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
