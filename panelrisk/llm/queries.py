@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import functools
 
-from panelrisk.llm import bpe, decontam, language, line_dedup, merkle, packing, sharding, simhash, substring_dedup, topk, warc, whitening
+from panelrisk.llm import bpe, decontam, language, line_dedup, merge_bpe, merkle, packing, sharding, simhash, substring_dedup, topk, warc, whitening
 from panelrisk.llm.common import ship
 
-MODULES = (line_dedup, language, packing, decontam, substring_dedup, simhash, sharding, warc, topk, bpe, merkle, whitening)
+MODULES = (line_dedup, language, packing, decontam, substring_dedup, simhash, sharding, warc, topk, bpe, merkle, whitening, merge_bpe)
 
 
 def _shipped(query):
