@@ -50,11 +50,11 @@ def test_decode_any_ids(ids):
 def slow(symbols, merges):
     """The definition: the lowest rank first, the leftmost of its pairs first."""
     while True:
-        found = [(merges[p][0], k) for k, p in enumerate(zip(symbols, symbols[1:])) if p in merges]
+        found = [(merges[a][b], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if b in merges[a]]
         if not found:
             return symbols
-        _, k = min(found)
-        symbols = [*symbols[:k], merges[tuple(symbols[k:k + 2])][1], *symbols[k + 2:]]
+        rank, k = min(found)
+        symbols = [*symbols[:k], OWN.made[rank], *symbols[k + 2:]]
 
 
 @settings(max_examples=200, deadline=None)
