@@ -3,6 +3,9 @@
 Scaling, encoding and trees are Spark ML stages, fitted on executors; the only
 driver-side pieces are model objects, the small parameter grid and per-fold metric
 scalars.  Cross-validation folds come from ``sampling.stratified_folds``.
+
+Forests and boosted trees are ``tree_stages.TreeClassifier``: all folds and candidates of a comparison or search
+are fitted in the same jobs (``trees.cross_scores``).  Any other Spark ML classifier is fitted fold by fold.
 """
 
 from __future__ import annotations
@@ -14,7 +17,6 @@ from dataclasses import dataclass, field
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.functions.columns import scalars
+from panelrisk.operators import trees
 from panelrisk.operators.label import with_weight_column
 from panelrisk.operators.metrics import cv_summary, per_group_metrics, roc_auc_by
-from panelrisk.session import materialize
+from panelrisk.operators.tree_stages import KEY, TreeClassifier, row_hash
+from panelrisk.session import materialize, ship
 
 FEATURES = "features"
 PROB1 = "probability_1"
@@ -63,25 +67,28 @@ class Candidate:
 
 
 def random_forest(label: str, weight: str | None = "weight", num_trees: int = 200, max_depth: int | None = 10,
-                  min_instances: int = 1, max_features: str = "auto", seed: int = 42, min_split: int = 2):
-    """A5: the reference's default forest (min-split has no Spark twin; min instances per
-    node is the nearest control: half of ``min_split`` in each child).  Without a depth limit trees grow to Spark ML's limit of 30;
-    ``max_features`` is "sqrt", "log2", "all", a share or a number."""
-    kw = dict(labelCol=label, featuresCol=FEATURES, numTrees=num_trees, maxDepth=30 if max_depth is None else max_depth,
-              minInstancesPerNode=max(min_instances, -(-min_split // 2)), featureSubsetStrategy=str(max_features), seed=seed)
-    if weight:
-        kw["weightCol"] = weight
-    return RandomForestClassifier(**kw)
-
-
-def boosted_trees(label: str, weight: str | None = "weight", max_iter: int = 200, max_depth: int = 6,
-                  step: float = 0.1, subsample: float = 1.0, seed: int = 42):
-    """Gradient-boosted trees (level-wise; leaf-wise boosting has no Spark ML twin)."""
-    kw = dict(labelCol=label, featuresCol=FEATURES, maxIter=max_iter, maxDepth=max_depth, stepSize=step,
-              subsamplingRate=subsample, seed=seed)
-    if weight:
-        kw["weightCol"] = weight
-    return GBTClassifier(**kw)
+                  min_instances: int = 1, max_features: str | float | int = "sqrt", seed: int = 42,
+                  min_split: int = 5) -> TreeClassifier:
+    """A5: the reference's default forest.  A node needs ``min_split`` rows to be split and its children
+    ``min_instances``; without a depth limit trees end at depth 30; classes are balanced unless ``weight`` is
+    None; ``max_features`` is "sqrt", "log2", "all", a share or a number."""
+    return TreeClassifier(labelCol=label, featuresCol=FEATURES, spec=trees.Forest(
+        trees=num_trees, depth=max_depth, min_split=min_split, min_leaf=min_instances, features=max_features,
+        balanced=bool(weight), seed=seed))
+
+
+def boosted_trees(label: str, weight: str | None = "positive", max_iter: int = 200, max_depth: int | None = 6,
+                  step: float = 0.1, l2: float = 1.0, seed: int = 42) -> TreeClassifier:
+    """Second-order boosting, level by level; positives weigh negatives / positives."""
+    return TreeClassifier(labelCol=label, featuresCol=FEATURES,
+                          spec=trees.Boosting(rounds=max_iter, depth=max_depth, step=step, l2=l2, weights=weight, seed=seed))
+
+
+def leaf_boosted_trees(label: str, weight: str | None = "balanced", max_iter: int = 200, max_depth: int | None = 6,
+                       step: float = 0.1, leaves: int = 31, min_instances: int = 20, seed: int = 42) -> TreeClassifier:
+    """Boosting that splits the leaf of largest gain first, with balanced classes."""
+    return TreeClassifier(labelCol=label, featuresCol=FEATURES, spec=trees.leaf_wise(
+        rounds=max_iter, depth=max_depth, step=step, leaves=leaves, min_leaf=min_instances, weights=weight, seed=seed))
 
 
 def build_pipeline(numeric: Sequence[str], categorical: Sequence[str], classifier) -> Pipeline:
@@ -98,7 +105,8 @@ def build_pipeline(numeric: Sequence[str], categorical: Sequence[str], classifie
                    OneHotEncoder(inputCols=[f"{c}__idx"], outputCols=[f"{c}__ohe"], dropLast=True,
                                  handleInvalid="keep")]
         parts.append(f"{c}__ohe")
-    stages += [VectorAssembler(inputCols=parts, outputCol=FEATURES), classifier]
+    # missing numbers reach the trees, which have a branch for them
+    stages += [VectorAssembler(inputCols=parts, outputCol=FEATURES, handleInvalid="keep"), classifier]
     return Pipeline(stages=stages)
 
 
@@ -110,8 +118,9 @@ def with_probability(pred: DataFrame) -> DataFrame:
 def train(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str],
           classifier=None) -> PipelineModel:
     """Default forest with balanced class weights."""
-    data = with_weight_column(df, label)
     clf = classifier or random_forest(label)
+    # trees weigh the classes themselves
+    data = df.withColumn(KEY, row_hash(df)) if isinstance(clf, TreeClassifier) else with_weight_column(df, label)
     return build_pipeline(numeric, categorical, clf).fit(data)
 
 
@@ -131,23 +140,54 @@ class MacroF1Evaluator(Evaluator):
         return True
 
 
+_CV = ["f1_macro", "roc_auc", "precision_macro", "recall_macro"]
+
+
+def tree_inputs(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list:
+    """The feature columns of the pipeline as trees see them: numbers as they are, a 0/1 column for each category."""
+    seen = df.select(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in categorical]).first() if categorical else ()
+    return [F.col(c) for c in numeric] + [F.when(F.col(c).cast("string") == v, 1.0).otherwise(0.0)
+                                          for c, values in zip(categorical, seen) for v in values]
+
+
+def _cv_board(df: DataFrame, label: str, numeric, categorical, fold_col: str, classifiers: Sequence[TreeClassifier],
+              with_train: bool) -> DataFrame:
+    """A row of CV statistics for each classifier (``candidate``, from 0): all folds of all of them in the same jobs."""
+    ship(df.sparkSession)
+    rows = trees.prepare(df, tree_inputs(df, numeric, categorical), label, row_hash(df, fold_col), fold_col)
+    k = (rows.agg(F.max("fold")).first()[0] or 0) + 1
+    scored = trees.cross_scores(rows, [trees.Task(c.spec, f) for c in classifiers for f in range(k)])
+    scored = materialize(scored.select("task", "unseen", F.col("y").cast("int").alias("label"), "probability",
+                                       (F.col("probability") > 0.5).cast("double").alias("prediction")), "cv-scores")
+    own, candidate = scored.where("unseen"), F.floor(F.col("task") / k).cast("int").alias("candidate")
+    per = per_group_metrics(own, "task").join(roc_auc_by(own, ["task"], "label", "probability"), "task")
+    out = per.groupBy(candidate).agg(*[a for m in _CV for a in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))])
+    if with_train:
+        train_ = per_group_metrics(scored.where("not unseen"), "task").groupBy(candidate).agg(F.avg("f1_macro").alias("train_f1_macro_mean"))
+        out = out.join(train_, "candidate")
+    return out
+
+
 def cross_validate(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str],
                    fold_col: str = "fold", classifier_factory=None, with_train: bool = True,
                    written: bool = False) -> DataFrame:
-    """Per-fold fit/predict; metrics from one union of fold predictions.
+    """Per-fold fit/predict; metrics from one table of fold predictions.
 
-    ``df`` is read by every pass of every fit, so it is written first, unless the caller has (``written``).
+    Trees are fitted for all folds at once; another classifier fold by fold, and ``df``, which every pass of every
+    fit reads, is written first then, unless the caller has (``written``).
 
     Returns one row: mean and population std of macro F1, AUC, macro precision and
     macro recall, plus the mean train macro F1.
     """
+    first = classifier_factory() if classifier_factory else random_forest(label)
+    if isinstance(first, TreeClassifier):
+        return _cv_board(df, first.getLabelCol(), numeric, categorical, fold_col, [first], with_train).drop("candidate")
     data = df if written else materialize(df, "folds")
     k = data.select(F.max(fold_col)).first()[0] + 1
     preds, train_preds = [], []
     for f in range(k):
         tr, te = data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f)
-        clf = classifier_factory() if classifier_factory else random_forest(label)
-        model = train(tr, label, numeric, categorical, clf)
+        model = train(tr, label, numeric, categorical, classifier_factory())
         preds.append(with_probability(model.transform(te)).select(fold_col, label, "prediction", PROB1))
         if with_train:
             train_preds.append(model.transform(tr).select(F.lit(f).alias(fold_col), label, "prediction"))
@@ -156,7 +196,7 @@ def cross_validate(df: DataFrame, label: str, numeric: Sequence[str], categorica
         allp = allp.unionByName(p)
     allp = materialize(allp)  # k model applications feed two aggregates and a sampling job
     per = per_group_metrics(allp, fold_col, label).join(roc_auc_by(allp, [fold_col], label, PROB1), fold_col)
-    out = cv_summary(per, ["f1_macro", "roc_auc", "precision_macro", "recall_macro"])
+    out = cv_summary(per, _CV)
     if with_train:
         tp = train_preds[0]
         for p in train_preds[1:]:
@@ -170,18 +210,29 @@ def compare_models(df: DataFrame, label: str, numeric: Sequence[str], categorica
                    candidates: Sequence[Candidate], fold_col: str = "fold") -> DataFrame:
     """CV every candidate; a failing one is listed with its error and can't win; best by macro
     F1 with the first candidate winning ties.  Returns the leaderboard with ``selected``; an AUC
-    that is not defined is null."""
+    that is not defined is null.  All tree candidates are fitted in the same jobs."""
     spark, df = df.sparkSession, materialize(df, "folds")
-    rows = []
+    rows, grown = {}, {}
     for i, c in enumerate(candidates):
         try:
-            s = cross_validate(df, label, numeric, categorical, fold_col, c.make, with_train=False, written=True).first()
-            rows.append((i, c.name, s["f1_macro_mean"], s["roc_auc_mean"], None))
+            made = c.make()
+            if isinstance(made, TreeClassifier):
+                if made.getLabelCol() != label:
+                    raise ValueError(f"the candidate's label is {made.getLabelCol()}, the comparison's {label}")
+                grown[i] = made
+            else:
+                s = cross_validate(df, label, numeric, categorical, fold_col, c.make, with_train=False, written=True).first()
+                rows[i] = (i, c.name, s["f1_macro_mean"], s["roc_auc_mean"], None)
         except (PySparkException, Py4JJavaError, ValueError) as e:  # the reference goes on without a failing candidate
-            rows.append((i, c.name, None, None, f"{type(e).__name__}: {str(e)[:300]}"))
-    board = spark.createDataFrame(rows, "rank_in_list int, algorithm string, f1_macro_mean double, roc_auc_mean double, "
-                                        "error string")
-    best = max((r for r in rows if r[2] is not None), key=lambda r: (r[2], -r[0]), default=(-1,))[0]
+            rows[i] = (i, c.name, None, None, f"{type(e).__name__}: {str(e)[:300]}")
+    if grown:
+        for s in _cv_board(df, label, numeric, categorical, fold_col, list(grown.values()), with_train=False).collect():
+            i = list(grown)[s["candidate"]]
+            rows[i] = (i, candidates[i].name, s["f1_macro_mean"], s["roc_auc_mean"], None)
+    listed = [rows[i] for i in sorted(rows)]
+    board = spark.createDataFrame(listed, "rank_in_list int, algorithm string, f1_macro_mean double, roc_auc_mean double, "
+                                          "error string")
+    best = max((r for r in listed if r[2] is not None), key=lambda r: (r[2], -r[0]), default=(-1,))[0]
     return board.withColumn("selected", F.col("rank_in_list") == best)
 
 
@@ -209,19 +260,14 @@ def tune_and_fit(df: DataFrame, label: str, numeric: Sequence[str], categorical:
 
 
 def _search(df, label, numeric, categorical, grid, n_iter, fold_col, seed) -> tuple[DataFrame, dict]:
-    spark, df = df.sparkSession, materialize(df, "folds")
     points = param_grid_sample(grid, n_iter, seed)
-    rows = []
-    for i, p in enumerate(points):
-        s = cross_validate(df, label, numeric, categorical, fold_col,
-                           lambda p=p: random_forest(label, **p), with_train=False, written=True).first()
-        rows.append((i, str(sorted(p.items())), float(s["f1_macro_mean"])))
-    board = spark.createDataFrame(rows, "point int, params string, f1_macro_mean double")
+    board = _cv_board(df, label, numeric, categorical, fold_col, [random_forest(label, **p) for p in points], with_train=False)
+    rows = [(s["candidate"], str(sorted(points[s["candidate"]].items())), float(s["f1_macro_mean"])) for s in board.collect()]
     best = max(rows, key=lambda r: (r[2], -r[0]))[0]
+    board = df.sparkSession.createDataFrame(rows, "point int, params string, f1_macro_mean double")
     return board.orderBy(F.desc("f1_macro_mean"), "point"), points[best]
 
 
-
 def slot_names(model: PipelineModel) -> list[str]:
     """Names of the assembled feature vector's slots, in order: the numeric inputs, then
     one ``<column>_<category>`` per one-hot slot (fitted labels, sorted)."""

@@ -109,8 +109,8 @@ def train_job(spark, data_path: str, spec: PanelSpec = EDUCATION, layout: WideLa
     folded = materialize(stratified_folds(train, spec.label, "_key", k=folds), "folds")
     cands = candidates or [
         ML.Candidate("RandomForestClassifier", lambda: ML.random_forest(spec.label)),
-        ML.Candidate("GBTClassifier", lambda: ML.boosted_trees(spec.label)),
-        ML.Candidate("GBTClassifierShallow", lambda: ML.boosted_trees(spec.label, max_depth=5, subsample=0.8)),
+        ML.Candidate("LevelWiseBoosting", lambda: ML.boosted_trees(spec.label)),
+        ML.Candidate("LeafWiseBoosting", lambda: ML.leaf_boosted_trees(spec.label)),
     ]
     board = ML.compare_models(folded, spec.label, num, cat, cands)
     chosen = [r.algorithm for r in board.where("selected").collect()]

@@ -587,10 +587,10 @@ def q_cv_scores(spark, sf):
 
 @query("model_compare")
 def q_model_compare(spark, sf):
-    """Forest vs two boosted-tree configurations, best macro F1 selected."""
+    """Forest vs level-wise vs leaf-wise boosted trees, best macro F1 selected."""
     cands = [ML.Candidate("RandomForestClassifier", lambda: ML.random_forest("label")),
-             ML.Candidate("GBTClassifier", lambda: ML.boosted_trees("label")),
-             ML.Candidate("GBTClassifierSubsampled", lambda: ML.boosted_trees("label", subsample=0.8))]
+             ML.Candidate("LevelWiseBoosting", lambda: ML.boosted_trees("label")),
+             ML.Candidate("LeafWiseBoosting", lambda: ML.leaf_boosted_trees("label"))]
     return _r6(ML.compare_models(_folds(spark, sf), "label", USER_NUMERIC, USER_CATEGORICAL, cands))
 
 

@@ -10,9 +10,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_OWN_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "panelrisk") -> SparkSession:
     builder = (
@@ -44,13 +49,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="panelrisk-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # the setting is fixed once a context runs, so the session's own folder is remembered here
+        root = _OWN_ROOTS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="panelrisk-ckpt-"))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package through Spark's own file server, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    path = f"{tempfile.mkdtemp(prefix='panelrisk-core-')}/panelrisk_core.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     root = checkpoint_root(spark)
@@ -80,7 +99,7 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # the schema is known: no job looks for it
 
 
 def recommended_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 4,
