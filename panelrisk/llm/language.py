@@ -24,7 +24,7 @@ from panelrisk.llm.common import col, fresh, table
 #: Bounds of what a model learns from, and so of what travels to the tasks.
 DICT_BYTES = 196_608
 SAMPLE_DOCS = 400
-SAMPLE_TEXT_BYTES = 16_384
+SAMPLE_TEXT_CHARS = 16_384
 MAX_LANGUAGES = 1_000
 LEVEL = 6
 BLOCK_BYTES = 16_384
@@ -54,25 +54,29 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
         dict_bytes: int = DICT_BYTES, **settings) -> LanguageModel:
     """A model of all languages of the labelled rows of ``docs``.
 
-    Rows without text or language teach nothing.  Per language about ``sample_docs`` texts of at
-    most SAMPLE_TEXT_BYTES are drawn by the hash of the text, the same texts counting once, and
-    whole texts fill the dictionary in hash order while there is room.  The driver gets these
-    samples only: their size does not depend on the table's.  More than MAX_LANGUAGES languages
+    Rows without text or language teach nothing.  Per language about ``sample_docs`` different texts are drawn
+    by their hashes, or all where there are no more; copies count once.  Of a longer text a piece of
+    SAMPLE_TEXT_CHARS characters is taken, at a place that its hash names, so a language of long texts alone
+    is learnt too.  The pieces fill the dictionary in hash order while there is room.  The driver gets
+    these samples only: their size does not depend on the table's.  More than MAX_LANGUAGES languages
     raise an error.
     """
     rows = (docs.select(col(text_col).alias("text"), col(lang_col).alias("lang"))
-            .filter("text is not null and lang is not null")
-            .filter(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+            .filter("text is not null and text <> '' and lang is not null")
+            .withColumn("h", F.xxhash64(F.lit("sample"), F.col("text"))))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
              .limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return LanguageModel((), **settings)
     span = 1 << 30
-    share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(span, -(-span * sample_docs // n)))])
-    drawn = (rows.withColumn("h", F.xxhash64(F.lit("sample"), F.col("text")))
-             .filter(F.pmod("h", F.lit(span)) < share[F.col("lang")])
+    # the count of different texts is within a few per cent: where it is near sample_docs, all are taken
+    part = lambda n: span if n < 1.1 * sample_docs else -(-span * sample_docs // n)
+    share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, part(n))])
+    at = F.pmod(F.xxhash64(F.lit("place"), "h"), F.greatest(F.length("text") - SAMPLE_TEXT_CHARS + 1, F.lit(1))).cast("int")
+    drawn = (rows.filter(F.pmod("h", F.lit(span)) < share[F.col("lang")])
+             .select("lang", "h", F.substring("text", at + 1, F.lit(SAMPLE_TEXT_CHARS)).alias("text"))
              .groupBy("lang", "h").agg(F.min("text").alias("text")))
     texts: dict[str, list] = {}
     for r in drawn.collect():

@@ -34,6 +34,8 @@ TREE_ROWS = 4_096
 PAGE = 64
 FANOUT = 16
 BLOCK = 4_096
+#: Where components end, so that they are longs.
+EDGE = 2.0 ** 62
 #: Rounding of distances, beside which every product is exact.
 SLACK = 1e-6
 
@@ -43,7 +45,8 @@ class MTree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float, page: int = PAGE, fanout: int = FANOUT):
         """``top``: M squared, at least the largest squared norm."""
-        self.ids, self.raw, self.top = ids, vectors.astype(np.float64), top
+        self.ids, self.whole, self.raw, self.top = ids, vectors, vectors.astype(np.float64), top
+        self.most = float(np.abs(self.raw).max(initial=0)) * vectors.shape[1]
         norms = np.einsum("ij,ij->i", self.raw, self.raw)
         points = np.hstack([self.raw, np.sqrt(np.maximum(top - norms, 0))[:, None]])
         self.order = np.arange(len(ids))
@@ -98,6 +101,7 @@ class MTree:
         best: list[tuple[int, int]] = []  # a heap, worst first: (score, -id)
         heap: list[tuple[float, int, int, float]] = []  # (lower bound, level, node, distance to its object)
         slack = SLACK * (1 + np.sqrt(qq + self.top))
+        exact = self.most * float(np.abs(q).max(initial=0)) < 2 ** 53
 
         def push(level: int, nodes: np.ndarray) -> None:
             here = self.levels[level]
@@ -119,7 +123,10 @@ class MTree:
                     push(level - 1, near)
                 continue
             near = members[np.abs(d - away) <= bound + slack]  # the triangle inequality, nothing computed
-            scores = self.raw[near] @ q
+            if exact:
+                scores = self.raw[near] @ q
+            else:  # whole numbers of any size, held at the ends of a long
+                scores = np.clip(self.whole[near].astype(object) @ query.astype(object), 1 - (1 << 63), (1 << 63) - 1)
             if len(best) == k:
                 good = scores >= best[0][0]
                 scores, near = scores[good], near[good]
@@ -146,7 +153,8 @@ def _vector(vectors: DataFrame, vec_col: str, scale: int):
     """Integer components, null unless all are finite numbers; an empty vector is null too."""
     v = F.transform(col(vec_col), lambda x: x.cast("double"))
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (F.size(v) > 0)
-    return F.when(good, F.transform(v, lambda x: F.floor(x * scale).cast("long")))
+    held = lambda x: F.least(F.greatest(x * scale, F.lit(-EDGE)), F.lit(EDGE))
+    return F.when(good, F.transform(v, lambda x: F.floor(held(x)).cast("long")))
 
 
 def _matrix(raw: list[bytes]) -> np.ndarray:
@@ -158,8 +166,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     """(query_id, rank, id_col, score): for each query row its ``k`` largest products with other rows.
 
     ``is_query`` is a boolean column; by default ids divisible by 20.  Components become
-    floor(scale * x); vectors that are null, empty, or hold null or infinite or NaN components take no
-    part, nor do null ids; all others must have one length.  Rows of the query's own id are no
+    floor(scale * x), held at +-2**62; vectors that are null, empty, or hold null or infinite or NaN components
+    take no part, nor do null ids; all others must have one length, or a ValueError says so before the search.
+    Scores are exact, and those beyond +-(2**63 - 1) are held there (ties to the smaller id).  Rows of the query's own id are no
     candidates of it.  Ties go to the smaller id.  A repeated row is a candidate as often as it is there, and
     a query once for each id and vector.  Fewer than k candidates give fewer rows; an empty table gives an
     empty table.  Other columns are ignored.
@@ -176,14 +185,17 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
 
     base = (vectors.select(col(id_col).cast("long").alias("id"), _vector(vectors, vec_col, scale).alias("v"),
                            F.coalesce(is_query, F.lit(False)).alias("is_query")).filter("id is not null and v is not null")
-            .withColumn("norm", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))
+            .withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
             .select("id", "v", "norm", "is_query"))
-    rows = written(base.mapInArrow(packed, "id long, v binary, norm long, is_query boolean"), "vectors")
+    rows = written(base.mapInArrow(packed, "id long, v binary, norm double, is_query boolean"), "vectors")
     size = rows.agg(F.max("norm").alias("top"), F.count(F.lit(1)).alias("n"),
-                    F.count_if("is_query").alias("asked")).first()
+                    F.count_if("is_query").alias("asked"), F.min(F.octet_length("v")).alias("short"),
+                    F.max(F.octet_length("v")).alias("long")).first()
     shape = f"query_id long, rank int, `{id_col}` long, score long"
     if not size["n"]:
         return spark.createDataFrame([], shape)
+    if size["short"] != size["long"]:
+        raise ValueError(f"vectors of {size['short'] // 8} to {size['long'] // 8} components can't be searched together")
     top = float(size["top"])
     chosen = [r["v"] for r in rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()]
 

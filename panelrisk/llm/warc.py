@@ -114,8 +114,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     A null payload is empty; a null url leaves the field out.  Every row has a record id of its own:
     ``urn:page:ID``, and ``urn:page:ID#ROW`` with the row's number for repeated ids and null ids (as the empty
     string); the field ``Page-ID`` has the id itself.  Of equal payloads of at least ``min_revisit`` bytes the
-    smallest id is the response; repeated rows with that id are all responses, and revisits refer to the first;
-    rows without id are responses too.  Other columns are ignored; no rows make an archive without records.
+    smallest id is the response; repeated rows with that id are all responses, and revisits, rows without id among
+    them, refer to the first; where no row has an id, all are responses.  Other columns are ignored; no rows make an archive without records.
     ``pages`` is read twice and must give its rows in the same order, as files do; otherwise rows are
     written as responses under ``urn:page:ID``.
     """
@@ -128,12 +128,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and key is not null").select("key", "n")
     named = rows.join(repeated, "key", "left").withColumn(
         "record_id", F.when(F.col("n").isNotNull() | F.col("key").isNull(), F.concat(plain, F.lit("#"), F.col("row"))))
-    first = (named.filter("long and key is not null").groupBy("digest")
-             .agg(F.min(F.struct("key", "row", F.coalesce("record_id", plain).alias("rid"))).alias("first"),
-                  F.count(F.lit(1)).alias("m"))
-             .filter("m > 1").select("digest", F.col("first.key").alias("first"), F.col("first.rid").alias("rid")))
+    own = F.when(F.col("key").isNotNull(), F.struct("key", "row", F.coalesce("record_id", plain).alias("rid")))
+    first = (named.filter("long").groupBy("digest").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("m"))
+             .filter("m > 1 and first is not null").select("digest", F.col("first.key").alias("first"), F.col("first.rid").alias("rid")))
+    other = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
     marks = (named.join(first, "digest", "left")
-             .select("row", "digest", "record_id", F.when(F.col("key") != F.col("first"), F.col("rid")).alias("refers_to"))
+             .select("row", "digest", "record_id", F.when(other, F.col("rid")).alias("refers_to"))
              .filter("record_id is not null or refers_to is not null"))
     known = base.join(marks, ["row", "digest"], "left").select(
         F.coalesce("record_id", plain).alias("record_id"), "url", "digest", "payload", "refers_to",
@@ -299,8 +299,8 @@ ORACLE = {"op8_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 f AS (SELECT sha256(html) AS d, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY 1)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
-       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to
+       CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM p LEFT JOIN f ON f.d = sha256(html)
 """}
 QUERIES = {"op8_warc": op8_warc}

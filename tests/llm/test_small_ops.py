@@ -96,6 +96,41 @@ def test_held_out_accuracy(spark):
     assert sum(r["rejected"] for r in out) / len(out) < 0.03
 
 
+def test_no_language_is_lost(spark):
+    rng = random.Random(3)
+    french = [prose(rng, "cc", 40) for _ in range(10)]
+    rows = [(i, french[i % 10], "cc") for i in range(20_000)] + [(i, prose(rng, "aa", 30), "aa") for i in range(600)]
+    rows += [(i, prose(rng, "bb", 9_000), "bb") for i in range(3)]  # one language has long texts alone
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [k for k, _ in model.dictionaries] == ["aa", "bb", "cc"]
+    asked = spark.createDataFrame([(k, prose(rng, lang, 50)) for k, lang in enumerate(WORDS)], "doc_id long, text string")
+    assert [r["lang_pred"] for r in L.identify(asked, model).orderBy("doc_id").collect()] == list(WORDS)
+
+
+def test_predictions_equal_plain_compression(spark):
+    """The whole classifier once more: dictionaries from the rows, and zstandard called for each text and language."""
+    import re
+
+    import zstandard
+
+    rng = random.Random(11)
+    rows = [(i, prose(rng, lang, rng.randint(5, 60)), lang) for i, lang in enumerate(list(WORDS) * 20)]
+    hashed = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("text", "lang", "xxhash64('sample', text) h").distinct()
+    letters = lambda t: re.sub(r"[\W\d_]+", " ", t.lower()).encode()
+    books = {}
+    for r in hashed.orderBy("h").collect():
+        books[r["lang"]] = books.get(r["lang"], b"") + letters(r["text"]) + b"\n"
+    size = lambda t, lang: sum(len(zstandard.ZstdCompressor(level=L.LEVEL, write_content_size=False, write_dict_id=False,
+                                    dict_data=zstandard.ZstdCompressionDict(books[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+                                   .compress(letters(t)[i:i + L.BLOCK_BYTES])) for i in range(0, len(letters(t)), L.BLOCK_BYTES))
+    texts = [prose(rng, rng.choice(list(WORDS)), n) for n in (1, 2, 3, 8, 30, 5000)] + [prose(rng, "aa", 9) + " " + prose(rng, "cc", 9)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = L.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for t, r in zip(texts, got):
+        best, second = sorted((size(t, lang), lang) for lang in books)[:2]
+        assert r["lang_pred"] == best[1] and r["score"] == 1 - best[0] / second[0] and r["rejected"] == (r["score"] < L.MIN_MARGIN)
+
+
 # decontamination
 
 def slow_tiles(a, b, m):
@@ -160,10 +195,55 @@ def test_leaks_and_clean_documents(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for limit in (10, 1_000_000):
         got = C.leaks(docs, bench, max_seeds=limit).collect()
-        assert sorted((str(r["id"]), r["item"]) for r in got) == [("1", 0), ("2", 0), ("7", 1), ("7", 2), ("9", 4), ("None", 3)]
+        assert sorted((str(r["id"]), r["item"]) for r in got) == [("1", 0), ("2", 0), ("6", 7), ("7", 1), ("7", 2), ("9", 4), ("None", 3)]
         kept = C.decontaminate(docs, bench, max_seeds=limit).collect()
         assert sorted((str(r["doc_id"]), len(r["text"] or "")) for r in kept) == sorted(
-            (str(i), len(t or "")) for k, (i, t) in enumerate(rows) if k in (2, 3, 4, 5, 8, 9))
+            (str(i), len(t or "")) for k, (i, t) in enumerate(rows) if k in (2, 3, 4, 8, 9))
         assert kept[0].__fields__ == docs.columns
     assert C.leaks(docs.filter("false"), bench).collect() == [] and C.leaks(docs, bench.filter("false")).collect() == []
     assert split(["a"], tokens=True).counts.tolist() == [1]
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    chinese, thai = "中国的首都是哪个城市？", "เมืองหลวงของไทยคือ"
+    bench = spark.createDataFrame([(1, "What is love?"), (2, chinese), (3, "yes"), (4, thai), (5, "Yes. No.")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "what is love"), (2, "Intro here.\nWhat is LOVE?\nMore."), (3, "nobody knows what is love in this long line"),
+        (4, "前言" + chinese + "后记"), (5, "yes we can, yes"), (6, "Sure! Yes. Fine"), (7, thai), (8, "中国"), (9, "yes. no.")], "doc_id long, text string")
+    for limit in (0, 1000):
+        got = sorted((r["id"], r["item"]) for r in C.leaks(docs, bench, max_seeds=limit).collect())
+        assert got == [(1, 1), (2, 1), (4, 2), (6, 3), (7, 4), (9, 3), (9, 5)]
+    assert [r["tiles"] for r in C.leaks(docs.filter("doc_id = 2"), bench).collect()] == [[[0, 2, 3]]]
+
+
+def test_a_common_phrase_joins_no_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    phrase = "which one of the following answers is right"
+    items = [(k, f"{phrase} {' '.join(word() for _ in range(16))}") for k in range(40)]
+    rows = [(k, f"{word()} {phrase} {' '.join(word() for _ in range(30))}") for k in range(200)] + [(500, items[7][1]), (501, items[9][1][::1] + " end")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {}
+    monkeypatch.setattr(C, "_tile_udf", lambda m: held.setdefault("udf", C.F.udf(lambda d, i: {"coverage": 0.9, "tiles": [[0, 0, m]]}, C._TILED)))
+    pairs = sorted((r["id"], r["item"]) for r in C.leaks(docs, bench).collect())
+    assert pairs == [(500, 7), (501, 9)]
+
+
+def test_repeated_tokens_stay_cheap():
+    import time
+
+    item, doc = np.zeros(1000, np.uint64), np.zeros(100_000, np.uint64)
+    doc[50_000] = 7
+    begun = time.time()
+    tiles = C.greedy_tiles(item, doc)
+    assert tiles == [[0, 0, 1000]] and time.time() - begun < 20
+    rng = random.Random(2)
+    for _ in range(40):
+        a = [rng.randint(0, 1) for _ in range(6)]
+        b = [x for _ in range(4) for x in [rng.randint(0, 2)] * rng.choice([1, 2, 20])]
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        got = C.greedy_tiles(x, y, 2)
+        assert all(a[i:i + k] == b[d:d + k] for i, d, k in got)
+        used = [p for _, d, k in got for p in range(d, d + k)]
+        assert len(set(used)) == len(used) and sum(t[2] for t in got) == slow_tiles(a, b, 2)

@@ -66,3 +66,19 @@ def test_operator(spark):
         assert got == want
     assert M.top_k(t.filter("false")).collect() == []
     assert M.top_k(t.filter("vec_id = 40")).collect() == []
+
+
+def test_large_values_and_lengths(spark):
+    import pytest
+    rows = [(0, [1e9, 1.0]), (20, [1e300, -2.0]), (40, [-1e300, 3.0]), (3, [2e9, 0.5]), (4, [0.25, 0.5]), (5, [3e7, -3e7])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [max(-2 ** 62, min(2 ** 62, int(np.floor(64 * c)) if abs(c) < 1e17 else int(np.sign(c)) * 2 ** 63)) for c in v] for i, v in rows}
+    want = []
+    for q in (0, 20, 40):
+        found = sorted((-max(1 - 2 ** 63, min(2 ** 63 - 1, sum(a * b for a, b in zip(whole[q], v)))), i) for i, v in whole.items() if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found[:20])]
+    for trees in (4096, 2):
+        got = [tuple(r) for r in M.top_k(t, pivots=2, tree_rows=trees).orderBy("query_id", "rank").collect()]
+        assert got == want
+    with pytest.raises(ValueError, match="2 to 3 components"):
+        M.top_k(t.union(spark.createDataFrame([(9, [1.0, 2.0, 3.0])], t.schema)))

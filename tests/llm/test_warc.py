@@ -105,7 +105,23 @@ def test_repeated_and_null_ids_with_long_pages(spark, tmp_path):
     want = []
     for i, _, t in rows:
         to = first.get(sha(t))
-        again = i is not None and to is not None and to != i
+        again = to is not None and to != i
         want.append((i, len(t or ""), sha(t), "revisit" if again else "response", to if again else None))
     got = [tuple(r) for r in W.op8_warc(spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_rows_without_id_revisit_the_smallest(spark, tmp_path):
+    long, other = "x" * 200, "y" * 150
+    rows = [(1, "u", long), (None, "u", long), (2, "u", long), (None, "v", other), (None, "v", other), (None, "w", "short"), (3, "w", "short"),
+            (None, "z", "z" * 120), (7, "z", "z" * 120)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in W.op8_warc(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, 200, "response", None), (None, 200, "revisit", 1), (2, 200, "revisit", 1), (None, 150, "response", None),
+                          (None, 150, "response", None), (None, 5, "response", None), (3, 5, "response", None), (7, 120, "response", None),
+                          (None, 120, "revisit", 7)], key=str)
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(f"SELECT page_id, payload_bytes, record_type, refers_to FROM ({W.ORACLE['op8_warc']})").fetchall()
+    assert sorted(want, key=str) == got
