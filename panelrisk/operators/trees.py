@@ -346,6 +346,7 @@ class Ensemble:
         roots = np.concatenate([np.flatnonzero(t["depth"] == 0) + s for t, s in zip(tables, shift)])
         all_ = {c: np.concatenate([t[c] for t in tables]) for c in ("feature", "bin", "missing_left", "value", "gain", "count")}
         side = {c: np.concatenate([t[c] + s for t, s in zip(tables, shift)]) for c in ("left", "right")}
+        edges = edges or [np.zeros(0)]
         ends = np.full((len(edges), max([len(e) for e in edges], default=0) + 1), np.inf)
         for k, e in enumerate(edges):
             ends[k, :len(e)] = e
@@ -469,7 +470,7 @@ def fit_all(rows: DataFrame, tasks: Sequence[Task], in_task_rows: int | None = N
     tasks = list(tasks)
     known = _known(rows, tasks)
     if not known.n_rows or not known.n_features:
-        empty = np.zeros((0, known.n_features), np.uint8)
+        empty = np.zeros((0, max(1, known.n_features)), np.uint8)
         tables = [_fit_here(t.spec, empty, np.zeros(0), np.zeros(0, np.int64), w, 2) for t, w in zip(tasks, known.weights)]
     elif known.n_rows <= (IN_TASK_ROWS if in_task_rows is None else in_task_rows):
         tables = _fit_in_tasks(rows, tasks, known.weights, known.edges, known.width)
