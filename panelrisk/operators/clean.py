@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelrisk.functions.columns import scalars
-from panelrisk.operators.stats import (
-    VAL, VAR, medians_from_counts, medians_wide, modes_row, value_counts, widen_medians)
+from panelrisk.operators.stats import CNT, VAL, VAR, long_values, medians_wide, modes_row, radix_medians, widen_medians
 from panelrisk.session import materialize
 
 
@@ -50,45 +49,35 @@ def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def group_median_tables(df: DataFrame, cols: Sequence[str], group: str, null_group: str = "keep",
-                        n_buckets: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Fit M2 + M3 from ONE pass over the data.
+                        few: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Fit M2 + M3 by radix selection, without a shuffle or a copy of the values.
 
-    A (group, column, value) count table that also counts the nulls.  The group medians
-    come from its non-null rows; the column after the group fill is, as counts, its
-    non-null rows plus each group's null count at that group's median - so the fallback
-    median and the overwrite flags read the compact table instead of scanning the filled
-    frame again.
+    The missing values are counted per group and column.  The column after the group fill is, as a multiset, its
+    present values plus each group's missing count at that group's median, so the fallback median selects
+    from the source and that small table instead of the filled frame.
 
     Returns (per-group ``{c}__g`` table, one-row fallback ``{c}__a``, one-row overwrite
     flags ``{c}__hn`` or None).
     """
-    counts = value_counts(df, cols, [group], keep_nulls=True)
-    keyed = counts.where(F.col(group).isNotNull())
-    gmed = widen_medians(medians_from_counts(keyed.where(F.col(VAL).isNotNull()), [group], n_buckets),
-                         cols, [group], "__g")
-    hn_row = None
+    values = long_values(df, cols, [group])
+    gmed = widen_medians(radix_medians(values.where(F.col(group).isNotNull()), [group], few), cols, [group], "__g")
+    gone = lambda c: F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c)
+    nulls = materialize(df.groupBy(group).agg(*[gone(c) for c in cols]), "null-counts")
+    hn_row, kept = None, values
     if null_group == "overwrite":
-        hn_row = counts.agg(*[F.max(((F.col(VAR) == c) & F.col(VAL).isNull()).cast("int")).alias(f"{c}__hn")
-                              for c in cols])
-
-    # value counts of the filled columns
-    gm = (gmed.select(group, *[F.col(f"{c}__g").alias(c) for c in cols])
-          .unpivot([group], cols, VAR, "_m").where(F.col("_m").isNotNull()))
-    fill = (keyed.where(F.col(VAL).isNull()).join(gm, [group, VAR])
-            .select(VAR, F.col("_m").alias(VAL), "_cnt"))
-    kept = counts.where(F.col(VAL).isNotNull())
-    if null_group == "overwrite":
-        emptied = counts.where(F.col(VAL).isNull()).select(VAR).distinct()
-        kept = kept.where(F.col(group).isNotNull()).unionByName(
-            kept.where(F.col(group).isNull()).join(emptied, VAR, "left_anti"))
-    after = materialize(kept.select(VAR, VAL, "_cnt").unionByName(fill).groupBy(VAR, VAL)
-                        .agg(F.sum("_cnt").alias("_cnt")), "value-counts")
-    gall_row = widen_medians(medians_from_counts(after, [], n_buckets), cols, suffix="__a")
+        hn_row = nulls.agg(*[(F.sum(c) > 0).cast("int").alias(f"{c}__hn") for c in cols])
+        found = hn_row.first()
+        emptied = [c for c in cols if found[f"{c}__hn"]]
+        if emptied:
+            kept = values.where(F.col(group).isNotNull() | ~F.col(VAR).isin(emptied))
+    at = gmed.select(group, *[F.col(f"{c}__g").alias(c) for c in cols]).unpivot([group], cols, VAR, VAL).where(F.col(VAL).isNotNull())
+    fill = nulls.unpivot([group], cols, VAR, CNT).where(F.col(CNT) > 0).join(at, [group, VAR]).select(VAR, VAL, CNT)
+    gall_row = widen_medians(radix_medians(kept.select(VAR, VAL, CNT).unionByName(fill), [], few), cols, suffix="__a")
     return gmed, gall_row, hn_row
 
 
 def impute_group_median(df: DataFrame, cols: Sequence[str], group: str,
-                        null_group: str = "keep", n_buckets: int | None = None) -> DataFrame:
+                        null_group: str = "keep", few: int | None = None) -> DataFrame:
     """M2 + M3: null -> median of its group; what is still null -> global median of the
     column *after* the group fill (statistics from ``group_median_tables``, one pass).
 
@@ -100,7 +89,7 @@ def impute_group_median(df: DataFrame, cols: Sequence[str], group: str,
     if not cols:
         return df
     others = [c for c in df.columns]
-    gmed, gall_row, hn_row = group_median_tables(df, cols, group, null_group, n_buckets)
+    gmed, gall_row, hn_row = group_median_tables(df, cols, group, null_group, few)
     if hn_row is not None:
         hn = scalars(hn_row)
         filled = {c: F.when(F.col(group).isNull() & (hn[f"{c}__hn"] == 1), F.lit(None).cast("double"))
@@ -114,12 +103,12 @@ def impute_group_median(df: DataFrame, cols: Sequence[str], group: str,
                           for c in others])
 
 
-def impute_global_median(df: DataFrame, cols: Sequence[str], n_buckets: int | None = None) -> DataFrame:
+def impute_global_median(df: DataFrame, cols: Sequence[str], few: int | None = None) -> DataFrame:
     """M4: null -> global median (no group column)."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    gall = scalars(medians_wide(df, cols, suffix="__a", n_buckets=n_buckets))
+    gall = scalars(medians_wide(df, cols, suffix="__a", few=few))
     return df.select(*[F.coalesce(F.col(c).cast("double"), gall[f"{c}__a"]).alias(c) if c in cols
                        else F.col(c) for c in df.columns])
 
@@ -143,7 +132,7 @@ def handle_missing_values(df: DataFrame, indicators: Sequence[str], group: str |
                           cut_lineage: bool = False) -> DataFrame:
     """M7: sparse-row filter -> group (or global) median -> mode.
 
-    The statistics read compact, once-written count tables (see ``stats``); with
+    The statistics read the input some times (see ``stats``); with
     ``cut_lineage`` the filtered input and the median-filled frame are also written
     once, for inputs that are expensive to recompute.
     """

@@ -32,7 +32,7 @@ def add_gap(df: DataFrame, minuend: str, subtrahend: str, name: str) -> DataFram
 
 
 def add_all_below_median(df: DataFrame, cols: Sequence[str], name: str,
-                         n_buckets: int | None = None) -> DataFrame:
+                         few: int | None = None) -> DataFrame:
     """1 iff every present column is strictly below its column median; null -> 0.
 
     The medians are one row, used as scalar subqueries.
@@ -40,7 +40,7 @@ def add_all_below_median(df: DataFrame, cols: Sequence[str], name: str,
     present = [c for c in cols if c in df.columns]
     if not present:
         return df
-    med = scalars(medians_wide(df, present, suffix="__med", n_buckets=n_buckets))
+    med = scalars(medians_wide(df, present, suffix="__med", few=few))
     cond = F.lit(True)
     for c in present:
         cond = cond & F.coalesce(F.col(c) < med[f"{c}__med"], F.lit(False))

@@ -2,8 +2,9 @@
 
 Membership is decided by ``md5('<seed>:' || key)``: portable (DuckDB computes the
 same hash), deterministic under task retries, and uniform, so equal-width buckets of
-the hash are balanced.  Ranks come from ``ordered.hash_rank``: no class and no
-global order is ever processed by one task.
+the hash are balanced.  Splits and samples find the hash at which a class's count is reached and compare every
+row with it (``ordered.smallest_hashes``): no full row is shuffled.  The ranks of folds come from
+``ordered.hash_rank``: no class and no global order is ever processed by one task.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelrisk.operators.ordered import hash_rank
+from panelrisk.operators.ordered import hash_rank, smallest_hashes
 
 
 def seeded_hash(key: str | Column, seed: int) -> Column:
@@ -34,6 +35,10 @@ def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.2
     """Per class, the ceil(test_frac * n_class) rows with the smallest hash are 'test'."""
     if label not in df.columns:
         raise ValueError(f"label column {label!r} not found; encode the label first")
+    marked = smallest_hashes(df, [label], _member_hash(df, key, seed), lambda n: F.ceil(F.lit(test_frac) * n), "_test")
+    if marked is not None:
+        return marked.withColumn(name, F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
+    # a label of very many values: ranks within each
     ranked = hash_rank(df, [label], _member_hash(df, key, seed), [key], "_rk", n_buckets, totals=True)
     test = F.col("_rk") <= F.ceil(F.lit(test_frac) * F.col("_rk_total"))
     return ranked.withColumn(name, F.when(test, "test").otherwise("train")).drop("_rk", "_rk_total")
@@ -46,16 +51,14 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
     return ranked.withColumn(name, ((F.col("_rk") - 1) % k).cast("int")).drop("_rk")
 
 
-def exact_sample(df: DataFrame, key: str, frac: float = 0.3, seed: int = 99,
-                 n_buckets: int | None = None) -> DataFrame:
+def exact_sample(df: DataFrame, key: str, frac: float = 0.3, seed: int = 99) -> DataFrame:
     """Exactly round(frac * n) rows without replacement - the smallest hashes.
 
     Not ``orderBy().limit(n)``: n grows with the data and a limit that large funnels
-    into one task.  The rank is distributed and n is a one-row aggregate.
+    into one task.  The hash at the cut is found first, and n from the same counts.
     """
-    ranked = hash_rank(df, [], _member_hash(df, key, seed), [key], "_rk", n_buckets, totals=True)
-    return (ranked.where(F.col("_rk") <= F.round(F.lit(frac) * F.col("_rk_total")))
-            .drop("_rk", "_rk_total"))
+    marked = smallest_hashes(df, [], _member_hash(df, key, seed), lambda n: F.round(F.lit(frac) * n), "_drawn")
+    return marked.where("_drawn").drop("_drawn")
 
 
 def bernoulli_sample(df: DataFrame, frac: float, seed: int = 99) -> DataFrame:

@@ -3,9 +3,11 @@
 ``F.median`` / ``F.mode`` keep every distinct value of a group in one aggregation
 buffer; a group holding a third of the data would sit in one task's memory.  Here:
 
-* median - collapse to (group, column, value, count) with a map-side combine, take
-  running counts with the bucketed scan of ``ordered.py`` and keep the one or two values
-  covering the middle positions.  Exact (mean of the two middle values for even n).
+* median - radix selection.  A value's 64 bits become a whole number of the same order.  One aggregate counts rows
+  by their leading bits per (group, column); the bucket that holds the middle position is kept and counted
+  by its next bits, until the value is known: at most five passes over the source, two where the kept buckets
+  hold few rows.  Each pass shuffles one row per bucket that occurs (8,192 at most for a group
+  and column, after map-side combining), never the values.  Exact (mean of the two middle values for even n).
 * mode - (column value -> count) by ``groupBy`` then a one-row ``min_by`` on
   (-count, value): highest count, smallest value on ties.
 """
@@ -14,59 +16,96 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelrisk.operators.ordered import range_bucket, running_sums
 from panelrisk.session import materialize
 
-VAR, VAL = "_var", "_val"
+VAR, VAL, CNT = "_var", "_val", "_cnt"
+#: Bits left unread after each pass: sign and exponent first, then 13 bits of the fraction a pass.
+SHIFTS = (52, 39, 26, 13, 0)
+#: Rows in the kept buckets, of all groups and columns, from which the rest is read in one pass.
+FEW = 1_000_000
 
 
-def _long_values(df: DataFrame, cols: Sequence[str], group: Sequence[str],
-                 keep_nulls: bool = False) -> DataFrame:
+def long_values(df: DataFrame, cols: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """(group..., _var, _val, _cnt): the present values of ``cols``, each counting once.  Narrow: nothing is shuffled."""
     g = list(group)
-    present = ~F.isnan(VAL) if keep_nulls else F.col(VAL).isNotNull() & ~F.isnan(VAL)
-    return (df.select(*g, *[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot(g, list(cols), VAR, VAL)
-            .where(present))
+    return (df.select(*g, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(g, list(cols), VAR, VAL)
+            .where(F.col(VAL).isNotNull() & ~F.isnan(VAL)).withColumn(CNT, F.lit(1).cast("long")))
 
 
-def value_counts(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
-                 keep_nulls: bool = False) -> DataFrame:
-    """Distinct (group..., _var, _val) counts ``_cnt``, written once (NaN skipped).
+_FRACTION = 1 << 52
+_HALF_WAY = 2.0 ** 537  # its square times the smallest double is 1
 
-    A map-side partial count collapses repeated values before the shuffle, so a hot
-    group costs one row per distinct value.  With ``keep_nulls`` the missing values of
-    each (group, column) are counted under a null ``_val``.  The cut points and both scan
-    branches of the median read this compact table.
+
+def ordered_code(x: Column) -> Column:
+    """A double as the whole number that its bits spell, negative for negative ones: ordered like the doubles.
+
+    All steps are exact: powers of two, and quotients by them.  -0.0 counts as 0.0.
+    """
+    a = F.abs(x)
+    power = lambda e: F.pow(F.lit(2.0), e)
+    near = F.floor(F.log2(a))  # may be one off, for the logarithm is rounded
+    e = near - (power(near) > a).cast("int") + (power(near + 1) <= a).cast("int")
+    usual = (e + 1023) * _FRACTION + ((a / power(e) - 1) * float(_FRACTION)).cast("long")
+    code = (F.when(a == float("inf"), F.lit(2047 * _FRACTION)).when(a < 2.0 ** -1022, (a * _HALF_WAY * _HALF_WAY).cast("long"))
+            .otherwise(usual))
+    return F.when(x < 0, -code).otherwise(code)
+
+
+def _decoded(code: Column) -> Column:
+    c = F.abs(code)
+    e, part = F.shiftright(c, 52), c.bitwiseAND(F.lit(_FRACTION - 1)).cast("double")
+    a = (F.when(e == 2047, F.lit(float("inf"))).when(e == 0, part / _HALF_WAY / _HALF_WAY)
+         .otherwise((part / float(_FRACTION) + 1) * F.pow(F.lit(2.0), (e - 1023).cast("double"))))
+    return F.when(code < 0, -a).otherwise(a)
+
+
+def radix_medians(long: DataFrame, group: Sequence[str] = (), few: int | None = None) -> DataFrame:
+    """Exact medians ``_median`` per (group..., _var) of weighted values (group..., _var, _val, _cnt).
+
+    ``long`` is read once a pass, so it should come from files by narrow operations.  Null groups are one group.
     """
-    seg = [*group, VAR]
-    return materialize(_long_values(df, cols, group, keep_nulls).groupBy(*seg, VAL)
-                       .agg(F.count(F.lit(1)).alias("_cnt")), "value-counts")
-
-
-def medians_from_counts(counts: DataFrame, group: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
-    """Exact medians ``_median`` per (group..., _var) from a written (group..., _var, _val, _cnt)
-    table without null values: running counts by value buckets, whatever the table's size."""
-    seg = [*group, VAR]
-    j = running_sums(range_bucket(counts, [VAL], n_buckets), seg, [VAL],
-                     {"_cum": F.col("_cnt")}, totals=True).withColumnRenamed("_cum_total", "_n")
-    lo = F.floor((F.col("_n") + 1) / 2)
-    hi = F.floor(F.col("_n") / 2) + 1
-    prev = F.col("_cum") - F.col("_cnt")
-    covers_lo = (prev < lo) & (lo <= F.col("_cum"))
-    covers_hi = (prev < hi) & (hi <= F.col("_cum"))
-    picked = j.where(covers_lo | covers_hi)
-    agg = picked.groupBy(*seg).agg(F.max(F.when(covers_lo, F.col(VAL))).alias("_lo"),
-                                   F.max(F.when(covers_hi, F.col(VAL))).alias("_hi"))
-    return agg.select(*seg, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(0.5)).alias("_median"))
-
-
-def medians_long(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
-                 n_buckets: int | None = None) -> DataFrame:
+    few = FEW if few is None else few
+    seg = F.struct(*[F.col(c) for c in (*group, VAR)]).alias("_seg")  # one key, in which nulls are equal
+    coded = long.select(seg, ordered_code(F.col(VAL)).alias("_code"), CNT)
+    kept, read, todo = None, None, list(SHIFTS)
+    while todo:
+        left = todo.pop(0)
+        src = coded
+        if kept is not None:
+            buckets = kept.select("_seg", F.col("_bucket").alias("_in")).distinct()
+            src = coded.withColumn("_in", F.shiftright("_code", read)).join(buckets, ["_seg", "_in"])
+        counts = (src.select("_seg", F.shiftright("_code", left).alias("_bucket"), CNT).groupBy("_seg", "_bucket")
+                  .agg(F.sum(CNT).alias("_n")))
+        if kept is None:
+            whole = F.sum("_n").over(Window.partitionBy("_seg"))
+            ranks = F.explode(F.array(F.struct(F.lit(0).alias("_end"), F.floor((F.col("_all") + 1) / 2).alias("_rank")),
+                                      F.struct(F.lit(1).alias("_end"), (F.floor(F.col("_all") / 2) + 1).alias("_rank"))))
+            upto = F.sum("_n").over(Window.partitionBy("_seg").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+            placed = (counts.select("*", whole.alias("_all"), upto.alias("_upto")).select("*", ranks.alias("_r"))
+                      .select("_seg", "_bucket", "_n", "_upto", "_r.*"))
+        else:
+            inside = F.shiftright("_bucket", read - left).alias("_in")
+            w = Window.partitionBy("_seg", "_in").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+            ends = kept.select("_seg", F.col("_bucket").alias("_in"), "_end", "_rank")
+            placed = counts.select("*", inside).withColumn("_upto", F.sum("_n").over(w)).join(ends, ["_seg", "_in"])
+        hit = (F.col("_upto") - F.col("_n") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))
+        kept = materialize(placed.where(hit).select("_seg", "_bucket", "_n", "_end",
+                                                    (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")), "radix")
+        read = left
+        if len(todo) > 1 and (kept.agg(F.sum("_n")).first()[0] or 0) <= few:
+            todo = todo[-1:]
+    value = _decoded(F.col("_bucket"))
+    ends = kept.groupBy("_seg").agg(F.max(F.when(F.col("_end") == 0, value)).alias("_lo"), F.max(F.when(F.col("_end") == 1, value)).alias("_hi"))
+    middle = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(0.5))
+    return ends.select("_seg.*", middle.alias("_median"))
+
+
+def medians_long(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (), few: int | None = None) -> DataFrame:
     """One row per (group..., _var) with the exact median ``_median`` (nulls skipped)."""
-    return medians_from_counts(value_counts(df, cols, group), group, n_buckets)
+    return radix_medians(long_values(df, cols, group), group, few)
 
 
 def widen_medians(long: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
@@ -80,9 +119,9 @@ def widen_medians(long: DataFrame, cols: Sequence[str], group: Sequence[str] = (
 
 
 def medians_wide(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (),
-                 suffix: str = "", n_buckets: int | None = None) -> DataFrame:
+                 suffix: str = "", few: int | None = None) -> DataFrame:
     """One row per group (or exactly one row) with a median column per input column."""
-    return widen_medians(medians_long(df, cols, list(group), n_buckets), cols, group, suffix)
+    return widen_medians(medians_long(df, cols, list(group), few), cols, group, suffix)
 
 
 def mode_value(df: DataFrame, c: str, alias: str | None = None) -> DataFrame:

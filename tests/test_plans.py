@@ -64,12 +64,19 @@ def test_top_k_only_where_it_is_the_feature(plans):
 def test_ordered_windows_are_bucketed(plans):
     # every window that orders rows inside a segment partitions by the bucket id, so no
     # segment (a class, an entity, a column) is processed by a single task
-    for name in ("lag_diff", "stratified_split", "stratified_folds", "exact_sample", "roc_curve"):
+    for name in ("lag_diff", "stratified_folds", "roc_curve"):
         wins = re.findall(r"Window \[.*?\], \[(.*?)\], \[", plans[name])
         data_wins = [w for w in wins if "_bucket" in w or "_segkey" in w or w.strip()]
         assert any("_bucket" in w for w in data_wins), name
 
 
+def test_splits_and_samples_shuffle_no_full_rows(spark):
+    # every row is decided by its own hash: one scan, no exchange, no window
+    for name in ("stratified_split", "exact_sample"):
+        physical = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in physical and "Window" not in physical, name
+
+
 def test_one_row_statistics_run_once(spark):
     # the fields of one scalars() aggregate share one subquery: using three of them runs
     # no more jobs than using one
