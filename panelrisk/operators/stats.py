@@ -39,19 +39,23 @@ _FRACTION = 1 << 52
 _HALF_WAY = 2.0 ** 537  # its square times the smallest double is 1
 
 
-def ordered_code(x: Column) -> Column:
-    """A double as the whole number that its bits spell, negative for negative ones: ordered like the doubles.
+def with_code(df: DataFrame, value: str = VAL, name: str = "_code") -> DataFrame:
+    """``df`` with a column for the whole number that a double's bits spell, negative for negative ones: ordered like the doubles.
 
-    All steps are exact: powers of two, and quotients by them.  -0.0 counts as 0.0.
+    All steps are exact: a power of two, and the quotient by it.  -0.0 counts as 0.0.  The steps are columns of their
+    own, so that each is computed once a row.
     """
-    a = F.abs(x)
-    power = lambda e: F.pow(F.lit(2.0), e)
-    near = F.floor(F.log2(a))  # may be one off, for the logarithm is rounded
-    e = near - (power(near) > a).cast("int") + (power(near + 1) <= a).cast("int")
-    usual = (e + 1023) * _FRACTION + ((a / power(e) - 1) * float(_FRACTION)).cast("long")
-    code = (F.when(a == float("inf"), F.lit(2047 * _FRACTION)).when(a < 2.0 ** -1022, (a * _HALF_WAY * _HALF_WAY).cast("long"))
-            .otherwise(usual))
-    return F.when(x < 0, -code).otherwise(code)
+    plain = df.withColumn("_abs", F.abs(F.col(value)))
+    # may be one off, for the logarithm is rounded
+    near = plain.withColumn("_near", F.least(F.floor(F.log2(F.when(F.col("_abs") > 0, F.col("_abs")))), F.lit(1023)))
+    part = near.withColumn("_part", F.col("_abs") / F.pow(F.lit(2.0), F.col("_near").cast("double")))
+    off = F.when(F.col("_part") < 1, -1).when(F.col("_part") >= 2, 1).otherwise(0)
+    one = F.when(F.col("_part") < 1, F.col("_part") * 2).when(F.col("_part") >= 2, F.col("_part") / 2).otherwise(F.col("_part"))
+    size = (F.when(F.col("_abs") == float("inf"), F.lit(2047 * _FRACTION))
+            .when(F.col("_abs") < 2.0 ** -1022, (F.col("_abs") * _HALF_WAY * _HALF_WAY).cast("long"))
+            .otherwise((F.col("_near") + off + 1023) * _FRACTION + ((one - 1) * float(_FRACTION)).cast("long")))
+    sized = part.withColumn("_size", size)
+    return sized.withColumn(name, F.when(F.col(value) < 0, -F.col("_size")).otherwise(F.col("_size"))).drop("_abs", "_near", "_part", "_size")
 
 
 def _decoded(code: Column) -> Column:
@@ -69,7 +73,8 @@ def radix_medians(long: DataFrame, group: Sequence[str] = (), few: int | None =
     """
     few = FEW if few is None else few
     seg = F.struct(*[F.col(c) for c in (*group, VAR)]).alias("_seg")  # one key, in which nulls are equal
-    coded = long.select(seg, ordered_code(F.col(VAL)).alias("_code"), CNT)
+    # a generator ends the pushing of filters, which would otherwise compute the code many times over
+    coded = with_code(long).select(seg, F.explode(F.array("_code")).alias("_code"), CNT)
     kept, read, todo = None, None, list(SHIFTS)
     while todo:
         left = todo.pop(0)

@@ -80,7 +80,7 @@ def test_radix_selection_shuffles_no_values(spark):
     finally:
         stats.materialize = plain
     assert [name for name, _ in seen] == ["radix"] * 5 + ["medians"] and max(rows for _, rows in seen) <= 6
-    coded = stats.long_values(df, ["v"], ["k"]).select("k", F.shiftright(stats.ordered_code(F.col("_val")), 52).alias("b"))
+    coded = stats.with_code(stats.long_values(df, ["v"], ["k"])).select("k", F.shiftright("_code", 52).alias("b"))
     assert coded.distinct().count() < 200
 
 
