@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from panelrisk.llm.bpe import default_pattern, number
 from panelrisk.llm.common import col, give_back, table
 
-BATCH_BYTES = 8 << 20
-KEPT = 400_000
+BATCH_BYTES = 4 << 20
+KEPT = 300_000
 
 
 def default_file() -> str:
