@@ -26,6 +26,8 @@ VAR, VAL, CNT = "_var", "_val", "_cnt"
 SHIFTS = (52, 39, 26, 13, 0)
 #: Rows in the kept buckets, of all groups and columns, from which the rest is read in one pass.
 FEW = 1_000_000
+#: Kept buckets (two a group and column) that may pass through the driver; more are written.
+LOCAL = 4_000
 
 
 def long_values(df: DataFrame, cols: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
@@ -75,7 +77,7 @@ def radix_medians(long: DataFrame, group: Sequence[str] = (), few: int | None =
     seg = F.struct(*[F.col(c) for c in (*group, VAR)]).alias("_seg")  # one key, in which nulls are equal
     # a generator ends the pushing of filters, which would otherwise compute the code many times over
     coded = with_code(long).select(seg, F.explode(F.array("_code")).alias("_code"), CNT)
-    kept, read, todo = None, None, list(SHIFTS)
+    kept, read, todo, local = None, None, list(SHIFTS), True
     while todo:
         left = todo.pop(0)
         src = coded
@@ -97,10 +99,14 @@ def radix_medians(long: DataFrame, group: Sequence[str] = (), few: int | None =
             ends = kept.select("_seg", F.col("_bucket").alias("_in"), "_end", "_rank")
             placed = counts.select("*", inside).withColumn("_upto", F.sum("_n").over(w)).join(ends, ["_seg", "_in"])
         hit = (F.col("_upto") - F.col("_n") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))
-        kept = materialize(placed.where(hit).select("_seg", "_bucket", "_n", "_end",
-                                                    (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")), "radix")
-        read = left
-        if len(todo) > 1 and (kept.agg(F.sum("_n")).first()[0] or 0) <= few:
+        kept = placed.where(hit).select("_seg", "_bucket", "_n", "_end", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))
+        read, held = left, kept.limit(LOCAL + 1).collect() if local else ()
+        local = local and len(held) <= LOCAL
+        if local:
+            kept = long.sparkSession.createDataFrame(held, kept.schema)
+        else:
+            kept = materialize(kept, "radix")
+        if len(todo) > 1 and (sum(r["_n"] for r in held) if local else kept.agg(F.sum("_n")).first()[0] or 0) <= few:
             todo = todo[-1:]
     value = _decoded(F.col("_bucket"))
     ends = kept.groupBy("_seg").agg(F.max(F.when(F.col("_end") == 0, value)).alias("_lo"), F.max(F.when(F.col("_end") == 1, value)).alias("_hi"))

@@ -61,7 +61,7 @@ def test_medians_of_odd_values(spark, few):
     assert got == {k: median(vs) for k, vs in groups.items() if k != "gone"}
 
 
-def test_radix_selection_shuffles_no_values(spark):
+def test_radix_selection_shuffles_no_values(spark, monkeypatch):
     """What a pass exchanges is one row per group, column and bucket: far less than the values."""
     from panelrisk.operators import stats
     n = 200_000
@@ -74,11 +74,9 @@ def test_radix_selection_shuffles_no_values(spark):
         seen.append((name, done.count()))
         return done
 
-    stats.materialize, few = counted, 0
-    try:
-        stats.medians_wide(df, ["v"], ["k"], few=few)
-    finally:
-        stats.materialize = plain
+    monkeypatch.setattr(stats, "materialize", counted)
+    monkeypatch.setattr(stats, "LOCAL", 0)
+    stats.medians_wide(df, ["v"], ["k"], few=0)
     assert [name for name, _ in seen] == ["radix"] * 5 + ["medians"] and max(rows for _, rows in seen) <= 6
     coded = stats.with_code(stats.long_values(df, ["v"], ["k"])).select("k", F.shiftright("_code", 52).alias("b"))
     assert coded.distinct().count() < 200
