@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from panelrisk.llm.bpe import default_pattern, number
 from panelrisk.llm.common import col, give_back, table
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 6 << 20
 KEPT = 300_000
 
 
@@ -197,9 +197,11 @@ def _read(path: str | None) -> bytes:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-           batch_bytes: int = BATCH_BYTES) -> DataFrame:
+           batch_bytes: int = BATCH_BYTES, decoded_col: str | None = None) -> DataFrame:
     """(id_col, ids): the token ids of every row's text, without special tokens around it.
 
+    With ``decoded_col`` the ids are also decoded again in the same task, into a column of that name.
+
     A text that contains an added token (``<|endoftext|>``) gets that token's id there, as in the library.  A null
     or empty text has an empty list.  Repeated rows each get theirs; ids may be null or repeat; other columns
     are ignored.  An empty table gives an empty table.
@@ -216,12 +218,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             cuts = sorted({0, *(np.flatnonzero(np.diff(sizes // batch_bytes)) + 1).tolist(), b.num_rows})
             for a, z in zip(cuts, cuts[1:]):
                 ids, ends = encode_batch(own, texts.slice(a, z - a).to_pylist(), matches)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(a, z - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], ["id", "ids"])
-        give_back()
+                out = {"id": b.column(0).slice(a, z - a), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))}
+                if decoded_col:
+                    out["decoded"] = pa.array(own.decode([ids[x:y].tolist() for x, y in zip(ends, ends[1:])]), pa.string())
+                yield pa.RecordBatch.from_pydict(out)
+                out = ids = None
+                give_back()
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(encoded, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(encoded, f"id {kind}, ids array<int>" + (", decoded string" if decoded_col else ""))
+    return out.toDF(*[id_col, "ids", *([decoded_col] if decoded_col else [])])
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -242,7 +248,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", p
 
 
 def op13_merge_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    both = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded_col="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -25,8 +25,9 @@ def ids_of(text):
 def test_encode_and_decode_equal_the_library(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (3, "id again"), (3, "id again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "id.x")
-    for size in (B.BATCH_BYTES, 30):
-        out = B.decode(B.encode(docs, "id.x", "text", batch_bytes=size)).collect()
+    for size, column in ((B.BATCH_BYTES, None), (30, None), (30, "plain.text")):
+        out = B.encode(docs, "id.x", "text", batch_bytes=size, decoded_col=column)
+        out = (out if column else B.decode(out)).collect()
         assert sorted((str(r[0]), r[1], r[2]) for r in out) == sorted(
             (str(i), ids_of(t), LIB.decode(ids_of(t), skip_special_tokens=False)) for i, t in rows)
 
