@@ -4,11 +4,13 @@ Numeric columns: exact two-sample Kolmogorov-Smirnov statistic and asymptotic
 p-value, and the Wasserstein-1 distance normalised by the reference's population
 std - both from one table of (column, value) -> (n_ref, n_cur) counts and its
 bucketed running sums, so no column and no value range is processed by one task.
-Categorical columns: Jensen-Shannon distance and PSI from per-category shares.
+Categorical columns: Jensen-Shannon distance and PSI from per-category shares, and on demand the chi-square test of
+equal shares or the z test of two proportions.
 
 [choice] decision rules (the reference delegates them to a third-party preset):
 numeric - ``test="wasserstein"`` (normalised distance >= 0.1) or ``test="ks"`` (p < 0.05),
-named by the caller and the same at every size; categorical - Jensen-Shannon distance >= 0.1.
+named by the caller and the same at every size; categorical - Jensen-Shannon distance >= 0.1 (``test="js"``), or a
+p-value below 0.05 (``test="chi2"``, and ``test="z"`` for columns of two categories).
 NaN counts as missing.  A side without values gives null statistics and ``drifted`` false.
 """
 
@@ -18,7 +20,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from panelrisk.functions.tails import chi_square_tail, normal_tail
 from panelrisk.operators.ordered import range_bucket, running_sums
 from panelrisk.session import materialize
 from panelrisk.spec import DRIFT_SHARE_THRESHOLD
@@ -118,18 +122,36 @@ def _numeric_drift(side_counts: DataFrame, alpha: float, wasserstein_threshold:
 
 
 def categorical_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], threshold: float = 0.1,
-                      eps: float = 0.0001) -> DataFrame:
-    """K2: Jensen-Shannon distance (natural log) and PSI per categorical column."""
-    return _categorical_drift(_side_counts(ref, cur, cols, "string"), threshold, eps)
+                      eps: float = 0.0001, test: str = "js", alpha: float = 0.05) -> DataFrame:
+    """K2: Jensen-Shannon distance (natural log) and PSI per categorical column.
+
+    ``test="chi2"`` adds the chi-square ``statistic`` of equal shares, its ``dof`` and ``p_value``; ``test="z"`` the z
+    statistic of two proportions, null where a column hasn't two categories.  Both decide by ``alpha``.
+    """
+    return _categorical_drift(_side_counts(ref, cur, cols, "string"), threshold, eps, test, alpha)
 
 
 def categorical_drift_split(df: DataFrame, is_ref: Column, cols: Sequence[str], threshold: float = 0.1,
-                            eps: float = 0.0001) -> DataFrame:
+                            eps: float = 0.0001, test: str = "js", alpha: float = 0.05) -> DataFrame:
     """K2 when both sides are parts of one frame (``is_ref`` true / false): one scan."""
-    return _categorical_drift(_split_counts(df, is_ref, cols, "string"), threshold, eps)
+    return _categorical_drift(_split_counts(df, is_ref, cols, "string"), threshold, eps, test, alpha)
+
 
+def column_kinds(df: DataFrame, cols: Sequence[str], most: int = 5) -> tuple[list[str], list[str]]:
+    """K5: (numbers, categories) among ``cols``: a numeric column of at most ``most`` values holds categories, as does any
+    other column.  One aggregate with a sketch a column, which is exact at so few values."""
+    cols = list(cols)
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    if not cols:
+        return [], []
+    distinct = df.agg(*[F.approx_count_distinct(c, 0.01).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    numbers = [c for i, c in enumerate(cols) if c in numeric and distinct[i] > most]
+    return numbers, [c for c in cols if c not in numbers]
 
-def _categorical_drift(side_counts: DataFrame, threshold: float, eps: float) -> DataFrame:
+
+def _categorical_drift(side_counts: DataFrame, threshold: float, eps: float, test: str = "js", alpha: float = 0.05) -> DataFrame:
+    if test not in ("js", "chi2", "z"):
+        raise ValueError(f"unknown drift test: {test!r}")
     counts = materialize(side_counts)
     tot = counts.groupBy(VAR).agg(F.sum("nr").alias("_tr"), F.sum("nc").alias("_tc")).withColumnRenamed(VAR, "_c")
     # one row per checked column (a plan-time list): a bounded broadcast
@@ -142,12 +164,26 @@ def _categorical_drift(side_counts: DataFrame, threshold: float, eps: float) ->
         return F.when(a > 0, a * F.log(a / m)).when(a == 0, F.lit(0.0))  # null without a side
 
     pe, qe = F.when(p.isNotNull(), F.greatest(p, F.lit(eps))), F.when(q.isNotNull(), F.greatest(q, F.lit(eps)))
+    both = F.col("nr") + F.col("nc")
+    er, ec = (both * F.col(t) / F.nullif(F.col("_tr") + F.col("_tc"), F.lit(0)) for t in ("_tr", "_tc"))
+    square = lambda n, e: (n - e) * (n - e) / F.nullif(e, F.lit(0.0))
     per = j.groupBy(VAR).agg(
         F.count(F.lit(1)).alias("n_categories"),
         (0.5 * F.sum(kl_term(p)) + 0.5 * F.sum(kl_term(q))).alias("_js"),
-        F.sum((qe - pe) * F.log(qe / pe)).alias("psi"))
-    return per.select(VAR, "n_categories", F.sqrt(F.when(F.col("_js") > 0, F.col("_js")).when(F.col("_js").isNotNull(), F.lit(0.0))).alias("js_distance"),
-                      "psi").withColumn("drifted", F.coalesce(F.col("js_distance") >= threshold, F.lit(False)))
+        F.sum((qe - pe) * F.log(qe / pe)).alias("psi"),
+        F.when(F.least(F.first("_tr"), F.first("_tc")) > 0, F.sum(square(F.col("nr"), er) + square(F.col("nc"), ec))).alias("_chi2"))
+    distance = F.sqrt(F.when(F.col("_js") > 0, F.col("_js")).when(F.col("_js").isNotNull(), F.lit(0.0)))
+    out = [VAR, "n_categories", distance.alias("js_distance"), "psi"]
+    if test == "js":
+        return per.select(*out).withColumn("drifted", F.coalesce(F.col("js_distance") >= threshold, F.lit(False)))
+    dof = (F.col("n_categories") - 1).cast("int")
+    if test == "chi2":
+        tested = per.select(*out, F.col("_chi2").alias("statistic"), dof.alias("dof"), chi_square_tail(F.col("_chi2"), dof).alias("p_value"))
+        tested = tested.withColumn("p_value", F.when(F.col("statistic").isNotNull(), F.col("p_value")))
+    else:  # with two categories, the square of z is the chi-square statistic
+        z = F.when(dof == 1, F.sqrt("_chi2"))
+        tested = per.select(*out, z.alias("statistic"), normal_tail(z).alias("p_value"))
+    return tested.withColumn("drifted", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
 
 
 def drift_summary(per_column: DataFrame, threshold: float = DRIFT_SHARE_THRESHOLD) -> DataFrame:

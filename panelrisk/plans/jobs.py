@@ -50,14 +50,15 @@ def row_key(panel: DataFrame, spec: PanelSpec):
 # ---------------------------------------------------------------- K5: drift job
 def drift_job(reference_raw: DataFrame, current_raw: DataFrame | None = None, spec: PanelSpec = EDUCATION,
               layout: WideLayout = EDUCATION_LAYOUT, threshold: float | None = None, sample_frac: float = 0.3,
-              seed: int = 99, test: str = "wasserstein") -> tuple[DataFrame, DataFrame]:
+              seed: int = 99, test: str = "wasserstein", category_test: str = "js") -> tuple[DataFrame, DataFrame]:
     """K5: prepare + feature both sides, keep numeric columns (label excluded), drop rows
     with nulls; without a current frame use an exact seeded 30 % sample of the reference.
     ``test`` names the numeric drift test ("ks" suits small panels, where sampling noise alone moves the
-    distance).  Returns (per-column drift table, one-row summary)."""
+    distance).  Columns of at most five values in the reference are tested as categories (``category_test``).
+    Returns (per-column drift table, one-row summary)."""
     from pyspark.sql import functions as F
 
-    from panelrisk.operators.drift import drift_summary, numeric_drift
+    from panelrisk.operators.drift import categorical_drift, column_kinds, drift_summary, numeric_drift
     from panelrisk.operators.panel import drop_incomplete, numeric_columns
     from panelrisk.operators.sampling import exact_sample
     from panelrisk.spec import DRIFT_SHARE_THRESHOLD
@@ -70,7 +71,11 @@ def drift_job(reference_raw: DataFrame, current_raw: DataFrame | None = None, sp
         cur = drop_incomplete(panel_features(current_raw, spec, layout).select(*cols))
     else:
         cur = exact_sample(ref, "_row", sample_frac, seed).drop("_row")
-    per = numeric_drift(ref, cur, cols, test=test)
+    numbers, categories = column_kinds(ref, cols)
+    parts = [numeric_drift(ref, cur, numbers, test=test)] if numbers else []
+    if categories:
+        parts.append(categorical_drift(ref, cur, categories, test=category_test))
+    per = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     return per, drift_summary(per, DRIFT_SHARE_THRESHOLD if threshold is None else threshold)
 
 

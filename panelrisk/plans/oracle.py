@@ -436,6 +436,25 @@ ORACLE["drift_categorical"] = _NUM_DRIFT + _CAT_DRIFT + """
 SELECT "column", n_categories, ROUND(js_distance, 6) AS js_distance, ROUND(psi, 6) AS psi, drifted FROM catd
 """
 
+ORACLE["drift_tests"] = """
+WITH e AS (SELECT CASE WHEN dayofmonth(ts) <= 15 THEN 'r' ELSE 'c' END AS side, event_type,
+                  CAST(CAST(trunc(hour(ts) / 6) AS INTEGER) AS VARCHAR) AS hour_band FROM events),
+s AS (SELECT *, CAST(hour_band = '0' AS VARCHAR) AS night FROM e),
+l AS (UNPIVOT s ON event_type, hour_band, night INTO NAME "column" VALUE v),
+c AS (SELECT "column", v, CAST(count(*) FILTER (WHERE side = 'r') AS DOUBLE) AS nr,
+             CAST(count(*) FILTER (WHERE side = 'c') AS DOUBLE) AS nc FROM l GROUP BY 1, 2),
+t AS (SELECT "column", sum(nr) AS tr, sum(nc) AS tc FROM c GROUP BY 1),
+x AS (SELECT "column", count(*) AS n_categories,
+             sum(power(nr - (nr + nc) * tr / (tr + tc), 2) / ((nr + nc) * tr / (tr + tc))
+               + power(nc - (nr + nc) * tc / (tr + tc), 2) / ((nr + nc) * tc / (tr + tc))) AS statistic
+      FROM c JOIN t USING ("column") GROUP BY 1),
+p AS (SELECT *, (n_categories - 1) / 2.0::DOUBLE AS a, statistic / 2 AS h FROM x),
+q AS (SELECT *, greatest(0.0, 1 - list_sum(list_transform(range(0, 3000), lambda n: exp((a + n) * ln(h) - h - lgamma(a + n + 1))))) AS pv
+      FROM p)
+SELECT "column", n_categories, ROUND(statistic, 6) AS statistic, CAST(n_categories - 1 AS INTEGER) AS dof,
+       ROUND(pv, 6) AS p_value, pv < 0.05 AS drifted, CASE WHEN n_categories = 2 THEN ROUND(sqrt(statistic), 6) END AS z FROM q
+"""
+
 ORACLE["drift_summary"] = _NUM_DRIFT + _CAT_DRIFT + """
 , allc AS (SELECT "column", drifted FROM num UNION ALL SELECT "column", drifted FROM catd)
 SELECT COALESCE(ROUND(count(*) FILTER (WHERE drifted) / NULLIF(count(*), 0)::DOUBLE, 4), 0.0) AS drift_score,

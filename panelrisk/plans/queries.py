@@ -507,6 +507,17 @@ def q_drift_categorical(spark, sf):
     return _r6(_categorical_drift(spark, sf))
 
 
+@query("drift_tests")
+def q_drift_tests(spark, sf):
+    """K2: chi-square test of every categorical column, and the z test of those with two categories."""
+    df, is_ref = events_halves(spark, sf)
+    df = df.withColumn("night", (F.col("hour_band") == "0").cast("string"))
+    cols = ["event_type", "hour_band", "night"]
+    chi = categorical_drift_split(df, is_ref, cols, test="chi2").select("column", "n_categories", "statistic", "dof", "p_value", "drifted")
+    z = categorical_drift_split(df, is_ref, cols, test="z").select("column", F.col("statistic").alias("z"))
+    return _r6(chi.join(z, "column"))
+
+
 @query("drift_summary")
 def q_drift_summary(spark, sf):
     """K3 + K4: share of drifted columns over both checks and the alert flag."""
