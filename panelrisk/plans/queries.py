@@ -628,7 +628,7 @@ from pyspark.sql import types as T  # noqa: E402
 from panelrisk.session import materialize, scratch_path  # noqa: E402
 from panelrisk.sources.files import PREDICTION_LOG_SCHEMA, load_csv, read_jsonl, write_csv  # noqa: E402
 from panelrisk.sources.registry import append_runs, latest, read_registry, run_record  # noqa: E402
-from panelrisk.streaming.score_stream import counters_stream, score_stream  # noqa: E402
+from panelrisk.streaming.score_stream import counters_stream, read_counters, score_stream  # noqa: E402
 
 
 @query("csv_roundtrip")
@@ -702,7 +702,7 @@ def q_stream_counters(spark, sf):
     broken = spark.range(1).select(F.lit("{not json").alias("value"))  # skipped, as in batch
     log.select(F.to_json(F.struct(*log.columns)).alias("value")).union(broken).write.mode("overwrite").text(src)
     counters_stream(spark, src, PREDICTION_LOG_SCHEMA, table, ck)
-    return spark.read.parquet(table)
+    return read_counters(spark, table)
 
 
 

@@ -2,11 +2,17 @@
 
 Models use Spark ML persistence; metadata is one row per run appended to a Parquet
 registry table, so "latest model" is an aggregate, not a directory listing.
+
+A registry is a folder with ``rows/append=<id>``, the rows of each append, and ``commits/<version>``, a file per
+version that names the append whose row counts.  Only rows with such a file are visible.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime, timezone
+from urllib.parse import quote
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelrisk.session import path_exists
+from panelrisk.sources.commits import put_if_absent
 
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("version", T.StringType()),
@@ -40,9 +47,28 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+class VersionExists(ValueError):
+    """A version that the registry has already."""
+
+
 def append_runs(runs: DataFrame, registry_path: str) -> None:
-    """Append run metadata rows to the registry table."""
-    runs.write.mode("append").parquet(registry_path)
+    """Append run metadata rows, one for each version.
+
+    The rows are written first; then a file for each version, put only where there is none, makes its row
+    visible.  An append that is killed before shows nothing, and of two trainers that write one version the second gets
+    ``VersionExists``; its other versions are appended.  A null or repeated version is an error, and nothing is committed.
+    """
+    spark, append = runs.sparkSession, f"a{uuid.uuid4().hex}"
+    own = runs.select(*[F.col(f.name).cast(f.dataType) for f in REGISTRY_SCHEMA])
+    own.write.parquet(f"{registry_path}/rows/append={append}")
+    versions = [r.version for r in spark.read.schema(REGISTRY_SCHEMA).parquet(f"{registry_path}/rows/append={append}")
+                .select("version").collect()]  # a row for each training run
+    if None in versions or len(set(versions)) < len(versions):
+        raise ValueError("every run needs a version of its own")
+    taken = [v for v in versions if not put_if_absent(
+        spark, f"{registry_path}/commits/v-{quote(v, safe='')}", json.dumps({"version": v, "append": append}) + "\n")]
+    if taken:
+        raise VersionExists(f"in the registry already: {', '.join(sorted(taken))}")
 
 
 def run_record(spark: SparkSession, version: str, algorithm: str, features: list[str],
@@ -54,10 +80,12 @@ def run_record(spark: SparkSession, version: str, algorithm: str, features: list
 
 
 def read_registry(spark: SparkSession, registry_path: str) -> DataFrame:
-    """The registry's rows, in any store; none where nothing has been written yet."""
-    if not path_exists(spark, registry_path):
+    """The registry's committed rows, in any store; none where nothing has been committed yet."""
+    if not path_exists(spark, f"{registry_path}/commits"):
         return spark.createDataFrame([], REGISTRY_SCHEMA)
-    return spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path)
+    commits = spark.read.schema("version string, append string").json(f"{registry_path}/commits")
+    rows = spark.read.schema(T.StructType([*REGISTRY_SCHEMA, T.StructField("append", T.StringType())])).parquet(f"{registry_path}/rows")
+    return rows.join(commits, ["version", "append"], "left_semi").select(*REGISTRY_SCHEMA.names)
 
 
 def latest(registry: DataFrame, ts: str = "trained_at") -> DataFrame:

@@ -11,7 +11,7 @@ from panelrisk.operators.drift import categorical_drift, drift_summary, numeric_
 from panelrisk.operators.sampling import stratified_folds
 from panelrisk.session import scratch_path
 from panelrisk.sources.files import PREDICTION_LOG_SCHEMA
-from panelrisk.streaming.score_stream import counters_stream, counters_view
+from panelrisk.streaming.score_stream import counters_stream, counters_view, read_counters
 
 
 def _ks_w1(a, b):
@@ -110,12 +110,12 @@ def test_stream_counters_equal_batch(spark):
     src, table, ck = (scratch_path(spark, n) for n in ("t-log", "t-cnt", "t-ck"))
     log.write.json(src)
     counters_stream(spark, src, PREDICTION_LOG_SCHEMA, table, ck)
-    v = counters_view(spark.read.parquet(table)).first()
+    v = counters_view(read_counters(spark, table)).first()
     assert (v.total, v.alto, v.ultima) == (9, 3, "2024-01-01T00:00:08")
     # a second file arrives: the restarted query resumes from its checkpoint
     log.limit(3).write.mode("append").json(src)
     counters_stream(spark, src, PREDICTION_LOG_SCHEMA, table, ck)
-    assert counters_view(spark.read.parquet(table)).first().total == 12
+    assert counters_view(read_counters(spark, table)).first().total == 12
 
 
 def test_split_drift_equals_two_frames(spark):

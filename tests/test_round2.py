@@ -14,7 +14,7 @@ from panelrisk.operators.sampling import exact_sample, stratified_folds, stratif
 from panelrisk.operators.scoring import EDUCATION_CONTRACT, score_batch, serving_features, validate_requests
 from panelrisk.session import checkpoint_root, scratch_path
 from panelrisk.sources.files import PREDICTION_LOG_SCHEMA, read_jsonl
-from panelrisk.streaming.score_stream import counters_stream, counters_view, score_requests_stream
+from panelrisk.streaming.score_stream import counters_stream, counters_view, read_counters, score_requests_stream
 
 
 def test_rows_without_a_key_stay(spark):
@@ -116,7 +116,7 @@ def test_broken_lines_in_batch_and_stream(spark):
     assert read_jsonl(spark, src, PREDICTION_LOG_SCHEMA, keep_corrupt=True).where("_corrupt_record is not null").count() == 1
     assert read_jsonl(spark, src + "-none", PREDICTION_LOG_SCHEMA).count() == 0
     counters_stream(spark, src, PREDICTION_LOG_SCHEMA, table, ck)
-    v = counters_view(spark.read.parquet(table)).first()
+    v = counters_view(read_counters(spark, table)).first()
     assert (v.total, v.alto) == (2, 1)
 
 
