@@ -18,7 +18,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ from panelrisk.functions.columns import scalars
 from panelrisk.operators import trees
 from panelrisk.operators.label import with_weight_column
 from panelrisk.operators.metrics import cv_summary, per_group_metrics, roc_auc_by
+from panelrisk.operators.prep_stages import PopulationScaler, PopulationScalerModel
 from panelrisk.operators.tree_stages import KEY, TreeClassifier, row_hash
 from panelrisk.session import materialize, ship
 
@@ -91,13 +92,15 @@ def leaf_boosted_trees(label: str, weight: str | None = "balanced", max_iter: in
         rounds=max_iter, depth=max_depth, step=step, leaves=leaves, min_leaf=min_instances, weights=weight, seed=seed))
 
 
-def build_pipeline(numeric: Sequence[str], categorical: Sequence[str], classifier) -> Pipeline:
-    """A3: scale numerics, one-hot categoricals (unknown -> zeros), assemble, classify."""
-    stages = []
+def build_pipeline(numeric: Sequence[str], categorical: Sequence[str], classifier, impute=None) -> Pipeline:
+    """A3: scale numerics (population std), one-hot categoricals (unknown -> zeros), assemble, classify.
+
+    ``impute``, a stage such as ``prep_stages.ImputerStage``, comes first: its statistics are those of the rows that the
+    pipeline is fitted on, and they are saved with it."""
+    stages = [impute] if impute is not None else []
     parts = []
     if numeric:
-        stages += [VectorAssembler(inputCols=list(numeric), outputCol="__num", handleInvalid="keep"),
-                   StandardScaler(inputCol="__num", outputCol="__num_s", withMean=True, withStd=True)]
+        stages.append(PopulationScaler(inputCols=list(numeric), outputCol="__num_s"))
         parts.append("__num_s")
     for c in categorical:
         stages += [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
@@ -116,12 +119,12 @@ def with_probability(pred: DataFrame) -> DataFrame:
 
 
 def train(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str],
-          classifier=None) -> PipelineModel:
-    """Default forest with balanced class weights."""
+          classifier=None, impute=None) -> PipelineModel:
+    """Default forest with balanced class weights; ``impute`` as in ``build_pipeline``."""
     clf = classifier or random_forest(label)
     # trees weigh the classes themselves
     data = df.withColumn(KEY, row_hash(df)) if isinstance(clf, TreeClassifier) else with_weight_column(df, label)
-    return build_pipeline(numeric, categorical, clf).fit(data)
+    return build_pipeline(numeric, categorical, clf, impute).fit(data)
 
 
 # ---------------------------------------------------------------- evaluation of models
@@ -170,24 +173,25 @@ def _cv_board(df: DataFrame, label: str, numeric, categorical, fold_col: str, cl
 
 def cross_validate(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str],
                    fold_col: str = "fold", classifier_factory=None, with_train: bool = True,
-                   written: bool = False) -> DataFrame:
+                   written: bool = False, impute=None) -> DataFrame:
     """Per-fold fit/predict; metrics from one table of fold predictions.
 
-    Trees are fitted for all folds at once; another classifier fold by fold, and ``df``, which every pass of every
+    Trees are fitted for all folds at once; another classifier, and any pipeline with an ``impute`` stage, whose
+    statistics are those of each fold's training part (D7), fold by fold, and ``df``, which every pass of every
     fit reads, is written first then, unless the caller has (``written``).
 
     Returns one row: mean and population std of macro F1, AUC, macro precision and
     macro recall, plus the mean train macro F1.
     """
     first = classifier_factory() if classifier_factory else random_forest(label)
-    if isinstance(first, TreeClassifier):
+    if isinstance(first, TreeClassifier) and impute is None:
         return _cv_board(df, first.getLabelCol(), numeric, categorical, fold_col, [first], with_train).drop("candidate")
     data = df if written else materialize(df, "folds")
     k = data.select(F.max(fold_col)).first()[0] + 1
     preds, train_preds = [], []
     for f in range(k):
         tr, te = data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f)
-        model = train(tr, label, numeric, categorical, classifier_factory())
+        model = train(tr, label, numeric, categorical, classifier_factory() if classifier_factory else first, impute)
         preds.append(with_probability(model.transform(te)).select(fold_col, label, "prediction", PROB1))
         if with_train:
             train_preds.append(model.transform(tr).select(F.lit(f).alias(fold_col), label, "prediction"))
@@ -273,7 +277,7 @@ def slot_names(model: PipelineModel) -> list[str]:
     one ``<column>_<category>`` per one-hot slot (fitted labels, sorted)."""
     numeric, labels = [], {}
     for st in model.stages:
-        if isinstance(st, VectorAssembler) and st.getOutputCol() == "__num":
+        if isinstance(st, PopulationScalerModel):
             numeric = list(st.getInputCols())
         if hasattr(st, "labels") and hasattr(st, "getInputCol"):
             labels[st.getInputCol()] = list(st.labels)

@@ -632,3 +632,14 @@ WITH p AS (
   FROM part)
 SELECT p_partkey, price, size, brand FROM p WHERE brand IS NOT NULL AND price IS NOT NULL AND size IS NOT NULL
 """
+
+ORACLE["batch_score"] = """
+WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events),
+r AS (SELECT CAST(event_id AS VARCHAR) AS student_id,
+             [value / 50.0, k / 10.0, value / 40.0, k / 12.0, value / 60.0, k / 11.0, value / 45.0, k / 13.0] AS scores,
+             trunc(hour(ts) / 3) AS fase, year(ts) AS ano FROM e),
+n AS (SELECT student_id, CAST(len(list_filter(scores, lambda x: x IS NULL OR x < 0 OR x > 10))
+             + CAST(fase IS NULL OR fase < 0 OR fase > 8 AS INTEGER) + CAST(ano IS NULL OR ano < 2020 OR ano > 2030 AS INTEGER)
+             AS INTEGER) AS n_errors FROM r)
+SELECT student_id, CASE WHEN n_errors = 0 THEN '1.0.0' END AS modelo_versao, CASE WHEN n_errors = 0 THEN TRUE END AS same, n_errors FROM n
+"""

@@ -841,3 +841,34 @@ def q_feature_projection(spark, sf):
     chosen = select_features(p, ["price", "size", "brand"], ["weight"], ["p_partkey"])
     known = [c for c in numeric_columns(p, exclude=["p_partkey"]) if c in chosen and c in num]
     return project_known(drop_incomplete(p, both), ["p_partkey", *known, *cat, "unknown"])
+
+
+SERVED_NUMERIC = ["INDE", "IAN", "IDA", "IEG", "IAA", "IPS", "IPP", "IPV", "FASE"]
+
+
+@query("batch_score")
+def q_batch_score(spark, sf):
+    """A pipeline (imputer, scaler, encoder, boosted trees) is fitted on the valid requests, saved and
+    registered; the loaded one, with the registry's version and features, scores all requests.
+
+    ``same`` says whether a record's probability is that of the pipeline before it was saved."""
+    from panelrisk.operators.prep_stages import ImputerStage
+    from panelrisk.operators.scoring import score_batch, split_valid
+    from panelrisk.sources.registry import load_model, model_metadata, save_model
+
+    requests = materialize(event_full_requests(spark, sf), "requests")
+    valid, _ = split_valid(validate_requests(requests))
+    known = materialize(serving_features(valid).withColumn("label", (F.col("IDA") < F.col("IEG")).cast("int")), "serving")
+    model = ML.train(known, "label", SERVED_NUMERIC, ["PONTO_DE_VIRADA"], ML.boosted_trees("label", max_iter=20),
+                     ImputerStage(indicators=SERVED_NUMERIC[:-1], group="FASE", categoricals=["PONTO_DE_VIRADA"]))
+    path, registry = scratch_path(spark, "served-model"), scratch_path(spark, "served-registry")
+    save_model(model, path)
+    append_runs(run_record(spark, "1.0.0", "LevelWiseBoosting", [*SERVED_NUMERIC, "PONTO_DE_VIRADA"], {}, {}, True, path), registry)
+    about = model_metadata(read_registry(spark, registry), path).first()
+    records, rejected = score_batch(requests, load_model(path), version=about.version, features=about.features)
+    before, _ = score_batch(requests, model, version=about.version, features=about.features)
+    before = before.select("student_id", F.col("probabilidade").alias("_p"), F.col("nivel_risco").alias("_tier"))
+    same = (F.col("probabilidade") == F.col("_p")) & (F.col("nivel_risco") == F.col("_tier"))
+    return (records.join(before, "student_id").select("student_id", "modelo_versao", same.alias("same"), F.lit(0).alias("n_errors"))
+            .unionByName(rejected.select("student_id", F.lit(None).cast("string").alias("modelo_versao"),
+                                         F.lit(None).cast("boolean").alias("same"), F.size("errors").alias("n_errors"))))
