@@ -90,10 +90,10 @@ class MTree:
             radii.append(float((d + below[g]).max()))
         return np.array(centres), np.array(radii), groups, away
 
-    def search(self, query: np.ndarray, own, k: int, bound: float = np.inf) -> list[tuple[int, int]]:
+    def search(self, query: np.ndarray, own, k: int, bound: float = np.inf, least: int | None = None) -> list[tuple[int, int]]:
         """Up to ``k`` (score, id) of other ids, best first, ties to the smaller id.
 
-        Entries farther than ``bound`` may be left out.
+        Entries farther than ``bound`` may be left out, those with scores below ``least`` are.
         """
         q = query.astype(np.float64)
         qq = float(q @ q)
@@ -126,13 +126,17 @@ class MTree:
             if exact:
                 scores = self.raw[near] @ q
             else:  # whole numbers of any size, held at the ends of a long
-                scores = np.clip(self.whole[near].astype(object) @ query.astype(object), 1 - (1 << 63), (1 << 63) - 1)
-            if len(best) == k:
-                good = scores >= best[0][0]
+                scores = np.clip(self.whole[near].astype(object) @ query.astype(object), 1 - (1 << 63), (1 << 63) - 1).astype(np.int64)
+            # of a page, only what can still be among the k best goes to the heap
+            low = best[0][0] if len(best) == k else least
+            good = self.ids[near] != own
+            if low is not None:
+                good &= scores >= low
+            scores, near = scores[good], near[good]
+            if len(scores) > k:
+                good = scores >= np.partition(scores, -k)[-k]
                 scores, near = scores[good], near[good]
             for s, i in zip(scores.tolist(), self.ids[near].tolist()):
-                if i == own:
-                    continue
                 item = (int(s), -i)
                 if len(best) < k:
                     heapq.heappush(best, item)
@@ -215,10 +219,10 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     placed = dealt.withColumn("tree", (look(first) + F.pmod(F.xxhash64("id", "v"), look(parts))).cast("int"))
 
     def answers(tree: MTree, ids, matrix, bounds, lows):
-        """Per query the tree's k best, of which those below the k-th score at home are of no use."""
+        """Per query the tree's k best that reach the k-th score at home."""
         out = [[], [], [], []]
         for own, q, bound, low in zip(ids, matrix, bounds, lows):
-            found = [x for x in tree.search(q, own, k, bound) if low is None or x[0] >= low]
+            found = tree.search(q, own, k, bound, low)
             out[0] += [own] * len(found)
             out[1] += [q.tobytes()] * len(found)
             out[2] += [i for _, i in found]
