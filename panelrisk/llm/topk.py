@@ -31,7 +31,7 @@ K = 20
 SCALE = 64
 PIVOTS = 32
 TREE_ROWS = 4_096
-PAGE = 64
+PAGE = 256
 FANOUT = 16
 BLOCK = 4_096
 #: Where components end, so that they are longs.
