@@ -4,9 +4,9 @@ A plain ``Window.partitionBy(seg).orderBy(...)`` puts a whole segment in one tas
 a 2-class label, one score column or a hot entity that is a third of the data in one
 task.  Instead the ordered key space is cut into buckets:
 
-* ``range_bucket``  - literal cut points on the leading order column, taken from a
-  quantile sketch and applied with the JVM ``Bucketizer``; a hot segment
-  spans many buckets.  The bucket id is a pure function of the key, so every branch of
+* ``range_bucket``  - literal cut points on the order tuple, taken from quantile sketches
+  and applied with the JVM ``Bucketizer``; a hot segment, and a hot value of the leading
+  order column in it, spans many buckets.  The bucket id is a pure function of the key, so every branch of
   a plan agrees on it (partition ids after a range exchange would not: each branch
   samples its own bounds).  Buckets only need to be monotone along the order inside a
   segment, so the segment itself is not part of the cut.
@@ -20,6 +20,10 @@ buckets, combined with a window over that small table and joined back.
 
 from __future__ import annotations
 
+import math
+import sys
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -27,7 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelrisk.operators.stats import with_code
+
 BUCKET = "_bucket"
+_HUGE = sys.float_info.max
+_LARGE = 1e308   # infinities and everything beyond count as this, nulls and NaN as _HUGE
+_DIGIT = 31      # bits of an order column that one round of cut points looks at
+_CHUNK, _CHUNKS = 6, 4
+_EXACT = 1 << 51
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -38,27 +49,100 @@ def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
-def _as_double(c: Column, dt: T.DataType) -> Column | None:
-    """A double that never decreases along numeric, boolean, date, timestamp and text keys (else None)."""
+def _chunk(c: Column, k: int) -> Column:
+    """Bytes 6k to 6k + 5 of a text and how many there are, as a whole number: ordered like the bytes."""
+    part = F.substring(c.cast("binary"), _CHUNK * k + 1, _CHUNK)
+    return F.conv(F.rpad(F.hex(part), 2 * _CHUNK, "0"), 16, 10).cast("long") * 8 + F.octet_length(part)
+
+
+def _whole(c: Column, dt: T.DataType) -> Column | None:
+    """A long of the same order and without ties, for types that have one."""
     if isinstance(dt, T.BooleanType):
-        return c.cast("int").cast("double")
-    if isinstance(dt, T.StringType):
-        # the first six bytes as a number: text is ordered by its bytes
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    if isinstance(dt, T.NumericType):
-        return c.cast("double")
+        return c.cast("int").cast("long")
+    if isinstance(dt, T.IntegralType):
+        return c.cast("long")
     if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
+        return F.unix_date(c).cast("long")
     if isinstance(dt, T.TimestampType):
-        return F.unix_micros(c).cast("double")
+        return F.unix_micros(c)
     if isinstance(dt, T.TimestampNTZType):
         # wall-clock fields only: a cast through the session time zone is not monotone
         # across daylight-saving gaps
-        return (F.unix_date(c.cast("date")).cast("double") * 86400e6 + F.hour(c) * 3600e6
-                + F.minute(c) * 60e6 + F.date_part(F.lit("SECOND"), c).cast("double") * 1e6)
+        second = (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+        return F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + (F.hour(c) * 60 + F.minute(c)).cast("long") * 60_000_000 + second
+    if isinstance(dt, T.DecimalType) and dt.precision <= 18:
+        return (c * F.lit(10 ** dt.scale).cast(f"decimal({dt.scale + 1},0)")).cast("long")
     return None
 
 
+def _as_double(c: Column, dt: T.DataType) -> Column | None:
+    """A double that never decreases along numeric, boolean, date, timestamp and text keys (else None)."""
+    if isinstance(dt, T.StringType):
+        return _chunk(c, 0).cast("double")  # text is ordered by its bytes
+    if isinstance(dt, T.NumericType):
+        return c.cast("double") + F.lit(0.0)  # -0.0 is 0.0
+    whole = _whole(c, dt)
+    return None if whole is None else whole.cast("double")
+
+
+def _finite(x: Column) -> Column:
+    """``x`` without nulls (first), NaN (last) and infinities, in the order in which Spark sorts them."""
+    return (F.when(x.isNull(), -_HUGE).when(F.isnan(x), _HUGE)
+            .otherwise(F.greatest(F.least(x, F.lit(_LARGE)), F.lit(-_LARGE))))
+
+
+def _codes(df: DataFrame, order: Sequence[Column], names: str) -> tuple[DataFrame, list[tuple[str, Column | None]]]:
+    """Longs in the order of the tuple behind the leading column's double: their names, each with the text
+    length from which a text goes on behind them, or null.  A column whose type has no such long ends the list.
+    """
+    out: list[tuple[str, Column | None]] = []
+    for i, c in enumerate(order):
+        dt = df.select(c).schema.fields[0].dataType
+        if isinstance(dt, (T.DoubleType, T.FloatType)):
+            if i:
+                name = f"{names}{len(out)}"
+                value = F.when(~F.isnan(c), c.cast("double"))
+                df = with_code(df.withColumn(f"{name}v", value), f"{name}v", name)
+                df = df.withColumn(name, F.when(F.isnan(c), F.lit((2047 << 52) + 1)).otherwise(F.col(name))).drop(f"{name}v")
+                out.append((name, None))
+            continue
+        if isinstance(dt, T.StringType):
+            for k in range(0 if i else 1, _CHUNKS):
+                out.append((f"{names}{len(out)}", F.octet_length(c) if k + 1 == _CHUNKS else None))
+                df = df.withColumn(out[-1][0], _chunk(c, k))
+            continue
+        whole = _whole(c, dt)
+        if whole is None:
+            break
+        if not i:  # a double may have lost its last bits
+            whole = F.when((whole > _EXACT) | (whole < -_EXACT), whole)
+        out.append((f"{names}{len(out)}", None))
+        df = df.withColumn(out[-1][0], whole)
+    return df, out
+
+
+def _digits(code: Column, low: int, high: int) -> list[Column]:
+    """A long between ``low`` and ``high``, or null, as numbers below 2**31 from the front; nulls are smallest."""
+    s = 0
+    while (high >> s) - (low >> s) + 2 >= 1 << _DIGIT:
+        s += 1
+    out = [F.shiftright(code, s) - F.lit(low >> s) + 1]
+    while s:
+        t = max(0, s - _DIGIT)
+        out.append(F.shiftright(code, t).bitwiseAND(F.lit((1 << (s - t)) - 1)))
+        s = t
+    return [F.coalesce(d, F.lit(0)) for d in out]
+
+
+def _quantiles(x: Column, n: int) -> Column:
+    return F.percentile_approx(x, [b / n for b in range(1, n)], max(10_000, 20 * n))
+
+
+def _repeated(cuts: Sequence[float]) -> dict[float, int]:
+    """Values that fill more than a bucket, with the number of cuts that fell on each."""
+    return {v: k for v, k in Counter(cuts).items() if k > 1}
+
+
 def range_bucket(df: DataFrame, order: Sequence[str | Column], n_buckets: int | None = None,
                  name: str = BUCKET) -> DataFrame:
     """Attach a bucket id that never decreases along ``order`` (inside any segment).
@@ -67,26 +151,61 @@ def range_bucket(df: DataFrame, order: Sequence[str | Column], n_buckets: int |
     the leading order column from ``percentile_approx``: a mergeable sketch, combined before the
     shuffle, so a value that fills many rows counts with all of them and the driver sees the cut
     points only.  They become literals of the JVM ``Bucketizer``, so every branch of a plan - and
-    every retried task - agrees on a row's bucket.  A hot segment is spread over many buckets;
-    rows sharing one leading value stay together.
+    every retried task - agrees on a row's bucket.  A hot segment is spread over many buckets.
+
+    A value on which several cuts fall gets a bucket of its own, and the rows in such buckets are
+    cut again, at the quantiles of (bucket, next 31 bits of the order tuple), until no value repeats or the
+    tuple ends: so rows that share one leading value, a hot (entity, period) say, are spread by
+    their tie columns.  Each round is one more sketch over the rows of those buckets.  Only rows equal
+    in all of ``order`` stay together, and those that differ only behind 24 equal bytes of a text or in a column
+    of another type than number, boolean, date, timestamp and text (or a decimal of over 18 digits).
+    Nulls come first and NaN last; an empty table has one bucket.
     """
     n = n_buckets or default_buckets(df)
-    lead = _cols(order)[0]
-    x = _as_double(lead, df.select(lead).schema.fields[0].dataType)
+    cols = _cols(order)
+    x = _as_double(cols[0], df.select(cols[0]).schema.fields[0].dataType)
     if x is None:
         raise TypeError("the leading order column must be a number, boolean, date, timestamp or text")
-    cuts: list[float] = []
-    if n > 1:
-        finite = F.when(F.abs(x) < F.lit(float("inf")), x)  # null for null, NaN and infinities
-        found = df.agg(F.percentile_approx(finite, [b / n for b in range(1, n)], max(10_000, 20 * n))).first()[0]
-        cuts = sorted(set(found or []))
-    if not cuts:
+    tmp_in, tmp_out, tmp_code = f"{name}__x", f"{name}__b", f"{name}__c"
+
+    def cut(staged: DataFrame, at: Sequence[float]) -> DataFrame:
+        bz = Bucketizer(splits=[float("-inf"), *at, float("inf")], inputCol=tmp_in, outputCol=tmp_out)
+        return bz.transform(staged)
+
+    if n < 2:
+        return df.withColumn(name, F.lit(0))
+    staged, codes = _codes(df.withColumn(tmp_in, _finite(x)), cols, tmp_code)
+    ends = [e for i, (c, _) in enumerate(codes)
+            for e in (F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"), F.count(c).alias(f"count{i}"))]
+    longest = [F.max(size).alias(f"size{i}") for i, (_, size) in enumerate(codes) if size is not None]
+    found = staged.agg(_quantiles(F.col(tmp_in), n).alias("cuts"), F.count(F.lit(1)).alias("rows"), *ends, *longest).first()
+    if not found["cuts"]:
         return df.withColumn(name, F.lit(0))
-    tmp_in, tmp_out = f"{name}__x", f"{name}__b"
-    staged = df.withColumn(tmp_in, F.coalesce(x, F.lit(float("-inf"))))
-    bz = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=tmp_in, outputCol=tmp_out,
-                    handleInvalid="keep")
-    return bz.transform(staged).withColumn(name, F.col(tmp_out).cast("int")).drop(tmp_in, tmp_out)
+    digits: list[Column] = []
+    for i, (c, size) in enumerate(codes):
+        low, high = found[f"min{i}"], found[f"max{i}"]
+        if low is not None and (low != high or found[f"count{i}"] != found["rows"]):
+            digits += _digits(F.col(c), low, high)
+        if size is not None and (found[f"size{i}"] or 0) > _CHUNK * _CHUNKS:
+            break
+    hot = {v: k for v, k in _repeated(found["cuts"]).items() if abs(v) != _LARGE} if digits else {}
+    at = sorted({*found["cuts"], *(math.nextafter(v, math.inf) for v in hot if v < _HUGE)})
+    out = cut(staged, at).withColumn(name, F.col(tmp_out).cast("long")).drop(tmp_out)
+    hot = {bisect_right(at, v): k for v, k in hot.items()}
+    top = len(at)
+    for digit in digits:
+        if not hot or top >= 1 << 53 - _DIGIT:
+            break
+        out = out.withColumn(tmp_in, (F.col(name) * (1 << _DIGIT) + digit).cast("double"))
+        inside = F.expr(f"`{name}` IN ({','.join(map(str, hot))})")
+        cuts = out.where(inside).agg(_quantiles(F.col(tmp_in), sum(hot.values()) + 1)).first()[0]
+        again = _repeated(cuts)
+        at = sorted({*cuts, *(v + 1 for v in again)})
+        # buckets without a cut keep their rows together, whatever their digits
+        out = cut(out, at).withColumn(name, F.col(name) + F.col(tmp_out).cast("long")).drop(tmp_out)
+        hot = {(int(v) >> _DIGIT) + bisect_right(at, v): k for v, k in again.items()}
+        top += len(at)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.col(name).cast("int").alias(name))
 
 
 def hash_bucket(hash_hex: Column, n_buckets: int) -> Column:
@@ -189,60 +308,3 @@ def hash_rank(df: DataFrame, segment: Sequence[str], hash_hex: Column, key: Sequ
     with_h = df.withColumn(h, hash_hex).withColumn(BUCKET, hash_bucket(F.col(h), n_buckets or default_buckets(df)))
     ranked = running_sums(with_h, segment, [F.col(h), *_cols(key)], {name: F.lit(1)}, totals=totals)
     return ranked.drop(h, BUCKET)
-
-
-PREFIX_DIGITS = 4
-MAX_SEGMENTS = 200
-
-
-def smallest_hashes(df: DataFrame, segment: Sequence[str], hash_hex: Column, wanted, name: str) -> DataFrame | None:
-    """``df`` with a boolean column: whether a row is among the ``wanted(n)`` rows of its segment with the smallest hashes.
-
-    ``hash_hex`` is a uniform hex string without nulls, and ``wanted`` makes a count of rows (a column) out of the segment's.
-    Rows are counted by segment and hash prefix (65,536 at most a segment); the prefix in which a segment's
-    count is reached is looked at once more, hashes alone; then each row is decided where it is, by comparing its
-    hash with a literal.  Only rows that share the very hash at the cut (one key repeated) are numbered.  No
-    full row is shuffled otherwise.  None with more than ``MAX_SEGMENTS`` segments.
-    """
-    prefix = F.substring(hash_hex, 1, PREFIX_DIGITS)
-    keys = [F.col(c).alias(f"_s{i}") for i, c in enumerate(segment)]
-    seg = [f"_s{i}" for i in range(len(keys))]
-    by_prefix = df.select(*keys, prefix.alias("_p")).groupBy(*seg, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*seg)
-    upto = F.sum("_n").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
-    cut = (by_prefix.select("*", upto.alias("_upto"), F.sum("_n").over(whole).alias("_all"))
-           .withColumn("_k", wanted(F.col("_all"))).where((F.col("_upto") - F.col("_n") < F.col("_k")) & (F.col("_k") <= F.col("_upto")))
-           .select(*seg, "_p", (F.col("_k") - F.col("_upto") + F.col("_n")).cast("long").alias("_rest")).limit(MAX_SEGMENTS + 1).collect())
-    if len(cut) > MAX_SEGMENTS:
-        return None
-
-    def of(row):
-        out = F.lit(True)
-        for c, s in zip(segment, seg):
-            out &= F.col(c).eqNullSafe(F.lit(row[s]))
-        return out
-
-    member, tied, numbers = F.lit(False), F.lit(False), F.lit(0)
-    if cut:
-        edge, rest = F.lit(False), F.lit(None).cast("long")
-        for row in cut:
-            edge |= of(row) & (prefix == row["_p"])
-            rest = F.when(of(row), row["_rest"]).otherwise(rest)
-        near = (df.where(edge).select(*keys, hash_hex.alias("_h"), rest.alias("_rest")).groupBy(*seg, "_h", "_rest")
-                .agg(F.count(F.lit(1)).alias("_n")))
-        w = whole.orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
-        found = (near.withColumn("_upto", F.sum("_n").over(w))
-                 .where((F.col("_upto") - F.col("_n") < F.col("_rest")) & (F.col("_rest") <= F.col("_upto")))
-                 .select(*seg, "_h", "_n", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_need")).collect())
-        for row in found:
-            if row["_n"] == row["_need"]:
-                member |= of(row) & (hash_hex <= row["_h"])
-            else:
-                member |= of(row) & (hash_hex < row["_h"])
-                tied |= of(row) & (hash_hex == row["_h"])
-                numbers = F.when(of(row), row["_need"]).otherwise(numbers)
-        if any(r["_n"] != r["_need"] for r in found):
-            place = F.row_number().over(Window.partitionBy(*[F.col(c) for c in segment]).orderBy(hash_hex))
-            some = df.where(tied).withColumn(name, place <= numbers)
-            return df.where(~tied).withColumn(name, member).unionByName(some)
-    return df.withColumn(name, member)

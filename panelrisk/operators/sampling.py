@@ -3,7 +3,7 @@
 Membership is decided by ``md5('<seed>:' || key)``: portable (DuckDB computes the
 same hash), deterministic under task retries, and uniform, so equal-width buckets of
 the hash are balanced.  Splits and samples find the hash at which a class's count is reached and compare every
-row with it (``ordered.smallest_hashes``): no full row is shuffled.  The ranks of folds come from
+row with it (``thresholds.smallest_hashes``): no full row is shuffled.  The ranks of folds come from
 ``ordered.hash_rank``: no class and no global order is ever processed by one task.
 """
 
@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelrisk.operators.ordered import hash_rank, smallest_hashes
+from panelrisk.operators.ordered import hash_rank
+from panelrisk.operators.thresholds import smallest_hashes
 
 
 def seeded_hash(key: str | Column, seed: int) -> Column:

@@ -47,17 +47,18 @@ def with_code(df: DataFrame, value: str = VAL, name: str = "_code") -> DataFrame
     All steps are exact: a power of two, and the quotient by it.  -0.0 counts as 0.0.  The steps are columns of their
     own, so that each is computed once a row.
     """
-    plain = df.withColumn("_abs", F.abs(F.col(value)))
+    size_, near_, part_, abs_ = (f"{name}_{c}" for c in ("size", "near", "part", "abs"))
+    plain = df.withColumn(abs_, F.abs(F.col(value)))
     # may be one off, for the logarithm is rounded
-    near = plain.withColumn("_near", F.least(F.floor(F.log2(F.when(F.col("_abs") > 0, F.col("_abs")))), F.lit(1023)))
-    part = near.withColumn("_part", F.col("_abs") / F.pow(F.lit(2.0), F.col("_near").cast("double")))
-    off = F.when(F.col("_part") < 1, -1).when(F.col("_part") >= 2, 1).otherwise(0)
-    one = F.when(F.col("_part") < 1, F.col("_part") * 2).when(F.col("_part") >= 2, F.col("_part") / 2).otherwise(F.col("_part"))
-    size = (F.when(F.col("_abs") == float("inf"), F.lit(2047 * _FRACTION))
-            .when(F.col("_abs") < 2.0 ** -1022, (F.col("_abs") * _HALF_WAY * _HALF_WAY).cast("long"))
-            .otherwise((F.col("_near") + off + 1023) * _FRACTION + ((one - 1) * float(_FRACTION)).cast("long")))
-    sized = part.withColumn("_size", size)
-    return sized.withColumn(name, F.when(F.col(value) < 0, -F.col("_size")).otherwise(F.col("_size"))).drop("_abs", "_near", "_part", "_size")
+    near = plain.withColumn(near_, F.least(F.floor(F.log2(F.when(F.col(abs_) > 0, F.col(abs_)))), F.lit(1023)))
+    part = near.withColumn(part_, F.col(abs_) / F.pow(F.lit(2.0), F.col(near_).cast("double")))
+    off = F.when(F.col(part_) < 1, -1).when(F.col(part_) >= 2, 1).otherwise(0)
+    one = F.when(F.col(part_) < 1, F.col(part_) * 2).when(F.col(part_) >= 2, F.col(part_) / 2).otherwise(F.col(part_))
+    size = (F.when(F.col(abs_) == float("inf"), F.lit(2047 * _FRACTION))
+            .when(F.col(abs_) < 2.0 ** -1022, (F.col(abs_) * _HALF_WAY * _HALF_WAY).cast("long"))
+            .otherwise((F.col(near_) + off + 1023) * _FRACTION + ((one - 1) * float(_FRACTION)).cast("long")))
+    sized = part.withColumn(size_, size)
+    return sized.withColumn(name, F.when(F.col(value) < 0, -F.col(size_)).otherwise(F.col(size_))).drop(abs_, near_, part_, size_)
 
 
 def _decoded(code: Column) -> Column:

@@ -111,3 +111,72 @@ def test_recommended_conf_scales_with_input():
     assert int(big["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def _third_of_one(n):
+    """Every third row is of entity 0 and period 2020; ties in three spellings."""
+    return [(0 if i % 3 == 0 else 1 + i % 40, 2020 if i % 3 == 0 else 2015 + i % 11, (i * 7919) % n, float(i % 17)) for i in range(n)]
+
+
+def _spread_of_the_hot_rows(spark, tie, n=24_000, buckets=24):
+    df = spark.createDataFrame(_third_of_one(n), "e long, p int, k long, v double").withColumn("tie", tie).cache()
+    cut = range_bucket(df, ["p", "tie"], buckets)
+    sizes = [r["count"] for r in cut.where("e = 0 and p = 2020").groupBy("_bucket").count().collect()]
+    rows = [r["_bucket"] for r in cut.orderBy("p", "tie").select("_bucket").collect()]
+    assert rows == sorted(rows)
+    got = segmented_lag(df, ["e"], ["p", "tie"], {"prev": "v"}, n_buckets=buckets).select("k", "prev").toPandas()
+    pdf = df.toPandas()
+    # pandas puts null ties last, Spark first
+    pdf["none"] = pdf["tie"].notna()
+    pdf = pdf.sort_values(["e", "p", "none", "tie"], kind="stable")
+    pdf["prev"] = pdf.groupby("e")["v"].shift()
+    both = got.merge(pdf[["k", "prev"]], on="k", suffixes=("", "_want"))
+    assert len(both) == n and ((both["prev"] == both["prev_want"]) | (both["prev"].isna() & both["prev_want"].isna())).all()
+    df.unpersist()
+    return sizes
+
+
+def test_a_hot_entity_and_period_is_cut_by_its_ties(spark):
+    # 8,000 rows of one (entity, period) and 24 buckets of about 1,000 rows
+    k = F.col("k")
+    ties = {
+        "long": k,
+        "beyond 2**53": F.lit(1 << 60) + k,
+        "far apart": F.when(k == 5, F.lit(-(1 << 62))).when(k == 7, F.lit(1 << 62)).otherwise(k),
+        "double": k / 7.0 - 300.0,
+        "text": F.format_string("customer-%09d", k),
+        "decimal": (k.cast("decimal(12,0)") / 100).cast("decimal(14,2)"),
+        "date and time": F.timestamp_micros(F.lit(1_700_000_000_000_000) + k),
+        "some null": F.when(k != 3, k),
+    }
+    for name, tie in ties.items():
+        sizes = _spread_of_the_hot_rows(spark, tie)
+        assert len(sizes) >= 6 and max(sizes) < 2_500, (name, sizes)
+
+
+def test_second_tie_column_cuts_where_the_first_repeats(spark):
+    df = spark.createDataFrame([(2020, 1, i) for i in range(6000)] + [(2021, i % 5, i) for i in range(6000)],
+                               "p int, a int, b long")
+    cut = range_bucket(df, ["p", "a", "b"], 12)
+    hot = [r["count"] for r in cut.where("p = 2020").groupBy("_bucket").count().collect()]
+    assert len(hot) >= 5 and max(hot) < 2_000
+    rows = [r["_bucket"] for r in cut.orderBy("p", "a", "b").collect()]
+    assert rows == sorted(rows)
+
+
+def test_rows_without_period_and_odd_numbers_are_cut_too(spark):
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0, 1e300, 5e-324, -1.7e308, 1.7e308]
+    rows = [(odd[i % 20 // 2] if i % 2 else None, odd[i % 10], i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "p double, x double, i long")
+    cut = range_bucket(df, ["p", "x", "i"], 16)
+    none = [r["count"] for r in cut.where("p is null").groupBy("_bucket").count().collect()]
+    assert len(none) >= 5 and max(none) < 1_000
+    rows = [r["_bucket"] for r in cut.orderBy("p", "x", "i").collect()]
+    assert rows == sorted(rows)
+
+
+def test_cuts_of_empty_tables_and_of_equal_rows(spark):
+    empty = spark.createDataFrame([], "p int, k long")
+    assert range_bucket(empty, ["p", "k"], 8).count() == 0
+    same = spark.createDataFrame([(1, 1)] * 500, "p int, k long")
+    assert range_bucket(same, ["p", "k"], 8).select("_bucket").distinct().count() == 1
