@@ -122,8 +122,22 @@ class GrayIndex:
             known = mask if known is None else np.repeat(known, fanout)[:len(mask)] | mask
         self.rest = ~np.repeat(known, fanout)[:len(fps)]
 
-    def near(self, queries: np.ndarray, limit: int, after: np.ndarray):
-        """Pairs (query number, entry number) within ``limit`` bits whose entry number exceeds ``after``."""
+    def settled(self, root: np.ndarray) -> list[np.ndarray]:
+        """For every node of each level the component that all its members are in, else -1."""
+        out, low, high = [], root, root
+        for _ in self.levels:
+            cut = np.arange(0, len(low), self.fanout)
+            low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
+            out.append(np.where(low == high, low, -1))
+        return out[::-1]
+
+    def near(self, queries: np.ndarray, limit: int, after: np.ndarray, root: np.ndarray | None = None):
+        """Pairs (query number, entry number) within ``limit`` bits whose entry number exceeds ``after``.
+
+        With ``root``, the component of each entry, a query leaves out nodes whose members are all in the component
+        of entry ``after``, itself.
+        """
+        settled = None if root is None else self.settled(root)
         f, depth = self.fanout, len(self.levels)
         q = np.repeat(np.arange(len(queries)), len(self.levels[0][0]))
         node = np.tile(np.arange(len(self.levels[0][0])), len(queries))
@@ -131,6 +145,8 @@ class GrayIndex:
         for k, (mask, value) in enumerate(self.levels):
             gone = gone + np.bitwise_count((queries[q] ^ value[node]) & mask[node])
             keep = (gone <= limit) & ((node + 1) * f ** (depth - k) - 1 > after[q])
+            if settled is not None:
+                keep &= settled[k][node] != root[after[q]]
             q, node, gone = q[keep], node[keep], gone[keep]
             below = len(self.levels[k + 1][0]) if k + 1 < depth else len(self.fps)
             q, gone = np.repeat(q, f), np.repeat(gone, f)
@@ -146,7 +162,8 @@ def linked(fps: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     """The component of each of the distinct, Gray-ordered fingerprints: the first number in it.
 
     Queries run in blocks whose frontier fits a fixed room, and each block's pairs are merged into
-    the components before the next block starts.
+    the components before the next block starts, which searches no node that is in the query's component already:
+    a dense group becomes one component early, and little is left to search.
     """
     n = len(fps)
     root = np.arange(n)
@@ -155,7 +172,7 @@ def linked(fps: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     index, step = GrayIndex(fps), max(1, _FRONTIER // n)
     for a in range(0, n, step):
         rows = np.arange(a, min(a + step, n))
-        q, b = index.near(fps[rows], limit, rows)
+        q, b = index.near(fps[rows], limit, rows, root if a else None)
         p = rows[q]
         while True:
             x, y = root[p], root[b]
@@ -234,9 +251,10 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     an empty table.
     """
     rows, groups = _grouped(docs, id_col, text_col, shingle, max_bits, split_above)
-    named = rows.join(groups, "fp")
-    ids = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    return named.join(ids, "component").select(
+    # rows meet one row a fingerprint, once; hot components meet in fingerprints only
+    least = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    ids = groups.join(least, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(groups.join(ids, "component"), "fp").select(
         F.col("id").alias(id_col), "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id", "component")
 
@@ -249,9 +267,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays only where the component has no other.
     """
     rows, groups = _grouped(docs, id_col, text_col, shingle, max_bits, split_above)
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("s")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     none, known, th = fresh(docs, "_none", "_id", "_text_hash")
-    stay = (rows.join(groups, "fp").groupBy("component").agg(first)
+    least = rows.groupBy("fp").agg(F.min(first).alias("least"))
+    stay = (groups.join(least, "fp").groupBy("component").agg(F.min("least").alias("s"))
             .select(F.col("s.none").alias(none), F.coalesce("s.id", F.lit(0)).alias(known),
                     F.col("s.text_hash").alias(th)))
     keyed = (docs.withColumn(none, col(id_col).isNull()).withColumn(known, F.coalesce(col(id_col), F.lit(0)))

@@ -110,3 +110,38 @@ def test_operator_and_edge_cases(spark):
     assert [r["text"] for r in kept if r["doc_id"] is None] == ["single words only here now"]
     assert kept[0].__fields__ == docs.columns
     assert S.simhash(docs.filter("false")).collect() == [] and S.near_dedup(docs.filter("false")).collect() == []
+
+
+def test_a_dense_group_is_searched_only_until_it_is_joined():
+    rng = np.random.default_rng(5)
+    # 6,000 fingerprints in a ball, each near many others, and 600 far from it in pairs
+    ball = np.uint64(0x0123456789ABCDEF) ^ np.bitwise_or.reduce(
+        np.uint64(1) << rng.integers(0, 30, (6000, 5)).astype(np.uint64), axis=1)
+    far = rng.integers(0, 1 << 63, 300, np.uint64)
+    fps = np.unique(np.concatenate((ball, far, far ^ np.uint64(0b1011))))
+    rank = fps.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(k)
+    fps = fps[np.argsort(rank)]
+    visited = []
+    whole = S.GrayIndex.near
+
+    def counted(self, *args):
+        q, b = whole(self, *args)
+        visited.append(len(q))
+        return q, b
+
+    S.GrayIndex.near = counted
+    try:
+        got = S.linked(fps)
+    finally:
+        S.GrayIndex.near = whole
+    root = np.arange(len(fps))
+    pairs = 0
+    for i in range(len(fps)):
+        j = np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1:]) <= 4) + i + 1
+        pairs += len(j)
+        same = np.unique(np.append(root[j], root[i]))
+        root[np.isin(root, same)] = same[0]
+    assert (got == root).all()
+    assert sum(visited) < pairs / 4, (sum(visited), pairs)
