@@ -4,10 +4,12 @@ Rows are binned once per training set by its own quantiles (one aggregate); bin
 tree grows level by level from sums per (model, tree, node, feature, bin): of gradients, hessians and rows for
 boosting, of class weights and rows for a forest.  The same code finds the splits in two settings:
 
-- up to ``IN_TASK_ROWS`` rows (counted first), a model's training rows are one group and one task grows the
-  whole model: one job for all models;
-- beyond, each level is one job for all models: tasks add up their rows' histograms, a grouped sum combines
-  them, the best split of each node is found where its sums meet, and only those splits come to the driver.
+- while a model's rows, as bins, fit ``IN_TASK_BYTES`` (counted first), one task grows a boosted model or a share of a
+  forest's trees: one job for all models;
+- beyond, each level is one job for all models: tasks add up their rows' histograms, those of a portion of nodes meet
+  in one group, which finds their best splits, and only the splits come to the driver.
+
+Rows travel in blocks (``_blocks``): a row of bytes for up to ``BLOCK`` rows.
 
 Gradients and weights are whole multiples of 2 ** -24, so sums don't depend on the order of rows and both
 settings grow the same trees.  Draws (bootstrap counts, features of a node) are hashes of the row's key,
@@ -21,24 +23,35 @@ more jobs than the tree has levels.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.session import materialize
 
-#: Rows of the whole table up to which one task may hold a model's training rows.
-IN_TASK_ROWS = 100_000
+#: Bytes of binned rows (a feature a byte; key, fold, label) up to which one task may hold a model's training rows.
+IN_TASK_BYTES = 128 << 20
+#: Bytes of a binned row beside its features.
+ROW_BYTES = 16
+#: Rows of a block.
+BLOCK = 1 << 16
 #: Histogram cells that one job of the large setting sums, and entries (row, tree) that a task holds.
 CELLS = 1 << 22
 #: Rounds after which the large setting writes the margins with the rows.
-MARGIN_ROUNDS = 25
+MARGIN_ROUNDS = 5
 DEEPEST = 30
 ONE = 1 << 24
+#: A forest's histograms count positives in the low bits of a double and negatives above them.
+HALF = 1 << 26
+#: A forest's leaf values are summed as multiples of 1 / GRID, so that their order doesn't matter.
+GRID = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -135,28 +148,69 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _draw_steps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes at which a draw grows by one; by upper 16 bits, the draw, and whether it grows among them."""
+    chance = np.exp(-1.0) / np.cumprod([1, *range(1, 16)])
+    steps = np.ceil(np.cumsum(chance) * 2.0 ** 53).astype(np.uint64)
+    starts = np.arange(1 << 16, dtype=np.uint64) << np.uint64(37)
+    low, high = (np.searchsorted(steps, starts + np.uint64(d), "right") for d in (0, (1 << 37) - 1))
+    return steps, low.astype(np.uint8), low != high
+
+
+_STEPS, _LOW, _GROWS = _draw_steps()
+
+
 def _draws(keys: np.ndarray, trees: np.ndarray, seed: int) -> np.ndarray:
     """How often each tree's bootstrap sample holds each row: Poisson with mean 1."""
-    h = _mix(_mix(trees.astype(np.uint64)[:, None] + np.uint64(seed << 32)) ^ _mix(keys.view(np.uint64))[None, :])
-    chance = np.exp(-1.0) / np.cumprod([1, *range(1, 16)])
-    return np.searchsorted(np.cumsum(chance), (h >> np.uint64(11)) / 2.0 ** 53, "right")
+    h = _mix(_mix(trees.astype(np.uint64)[:, None] + np.uint64(seed << 32)) ^ _mix(keys.view(np.uint64))[None, :]).ravel()
+    top = (h >> np.uint64(48)).astype(np.intp)
+    out = _LOW.take(top)
+    near = np.flatnonzero(_GROWS.take(top))
+    out[near] = np.searchsorted(_STEPS, h[near] >> np.uint64(11), "right")
+    return out.reshape(len(trees), len(keys))
 
 
-def histograms(bins, row, node, channels, features, width: int) -> np.ndarray:
-    """(nodes, slots, width, 3) sums of the channels over entries: ``row`` in ``node``, features by (node, slot)."""
+def _sums(bins, row, node, channels, features, width: int) -> np.ndarray:
+    """(channels, nodes, slots, width) sums over entries: ``row`` in ``node``, features by (node, slot); None counts."""
     n, m = features.shape
-    at = (node[:, None] * m + np.arange(m)) * width + bins[row[:, None], features[node]]
-    out = [np.bincount(at.ravel(), None if c is None else np.repeat(c, m), n * m * width) for c in channels]
-    return np.stack(out, -1).reshape(n, m, width, 3)
+    out = np.zeros((len(channels), n, m, width))
+    flat, start, first = bins.reshape(-1), row * bins.shape[1], node * width
+    same = n > 0 and (features == features[0]).all()
+    for s in range(m):
+        at = flat.take(start + (features[0, s] if same else features[:, s].take(node))) + first
+        for held, c in zip(out, channels):
+            held[:, s] = np.bincount(at, c, n * width).reshape(n, width)
+    return out
+
+
+def _classes(sums: np.ndarray, unit) -> np.ndarray:
+    """A forest's three channels from its two: draws packed by class, and rows.  ``unit``: the classes' weights."""
+    negative = np.floor(sums[0] / HALF)
+    c0 = (sums[0] - negative * HALF) * unit[1]
+    return np.stack([c0, c0 + negative * unit[0], sums[1]])
+
+
+def _packed(drawn, y) -> np.ndarray:
+    return drawn * np.where(y > 0, 1.0, HALF)
+
+
+def histograms(bins, row, node, channels, features, width: int, unit=None) -> np.ndarray:
+    """(nodes, slots, width, 3) sums of the channels over entries: ``row`` in ``node``, features by (node, slot).
+    With ``unit``, the classes' weights, the channels are a forest's two."""
+    got = _sums(bins, row, node, channels, features, width)
+    return np.moveaxis(got if unit is None else _classes(got, unit), 0, -1)
 
 
 def best_splits(sums: np.ndarray, spec):
     """Per node: (gain, slot, whether missing values go left, last bin on the left, sums on the left, all sums)."""
-    n = len(sums)
+    n, m, width, _ = sums.shape
     total, missing = sums[:, 0].sum(1), sums[:, :, 0]
-    below = sums[:, :, 1:].cumsum(2)
-    sides = [below, below + missing[:, :, None]] if missing.any() else [below]
-    left = np.stack(sides, 2)  # (node, slot, missing left, bin, channel)
+    left = np.empty((3, n, m, 1 + bool(missing.any()), width - 1))  # (channel, node, slot, missing left, bin)
+    for c in range(3):
+        np.cumsum(sums[:, :, 1:, c], axis=2, out=left[c, :, :, 0])
+        if left.shape[3] > 1:
+            np.add(left[c, :, :, 0], missing[:, :, None, c], out=left[c, :, :, 1])
+    left = np.moveaxis(left, 0, -1)
     whole = total[:, None, None, None]
     right = whole - left
     gain = np.where(spec.allowed(left) & spec.allowed(right), spec.gain(left, right, whole), -np.inf)
@@ -173,6 +227,7 @@ class Growth:
 
     def __init__(self, spec, trees: np.ndarray, n_features: int):
         self.spec, self.n_features, self.roots = spec, n_features, len(trees)
+        self.asked_before = np.zeros(0, np.int64)
         self.nodes = {c: np.zeros(0, t) for c, t in self.COLUMNS.items()}
         self.ask = self._add(trees, 0, np.ones(len(trees), np.uint64), None)
 
@@ -215,7 +270,7 @@ class Growth:
             self.nodes[side][on] = ids
             limit = DEEPEST if spec.depth is None else spec.depth
             sides.append(ids[spec.may_split(sums) & (depth < limit)])
-        self.ask = np.sort(np.concatenate(sides))
+        self.asked_before, self.ask = ask, np.sort(np.concatenate(sides))
 
     def _queue(self) -> set[int]:
         """The nodes that best-first growth splits, as far as gains are known."""
@@ -239,22 +294,39 @@ class Growth:
         return out
 
 
-def _moved(nodes, bins, row, node):
-    """The child of each entry's node that its row belongs to."""
-    b = bins[row, np.maximum(nodes["feature"][node], 0)]
-    left = np.where(b == 0, nodes["missing_left"][node], b <= nodes["bin"][node])
-    return np.where(left, nodes["left"][node], nodes["right"][node])
+class _Steps:
+    """From nodes to children: a node table laid out for many rows."""
+
+    def __init__(self, nodes):
+        self.inner = nodes["feature"] >= 0
+        self.feature = np.maximum(nodes["feature"], 0)
+        # a missing value is bin 0: it goes left, or, one below that, it is the largest byte and goes right
+        self.shift = np.where(nodes["missing_left"], 0, 1).astype(np.uint8)
+        self.last = nodes["bin"].astype(np.uint8) - self.shift
+        self.child = np.stack([nodes["left"], nodes["right"]], 1).reshape(-1).astype(np.intp)
 
+    def __call__(self, flat, start, node):
+        """The children of inner nodes that rows belong to; ``start``: where a row's bins begin in ``flat``."""
+        b = flat.take(start + self.feature.take(node))
+        return self.child.take(2 * node + (b - self.shift.take(node) > self.last.take(node)))
 
-def _leaves(nodes, bins, start: int) -> np.ndarray:
+
+def _leaves(nodes, bins, start: int, steps: _Steps | None = None) -> np.ndarray:
     """The leaf of every row in the tree whose root is ``start``."""
-    at, rows = np.full(len(bins), start), np.arange(len(bins))
-    for _ in range(DEEPEST + 1):
-        inner = np.flatnonzero(nodes["feature"][at] >= 0)
-        if not len(inner):
-            break
-        at[inner] = _moved(nodes, bins, rows[inner], at[inner])
-    return at
+    steps, flat, n_features = steps or _Steps(nodes), bins.reshape(-1), bins.shape[1]
+    out = np.full(len(bins), start, np.intp)
+    if not steps.inner[start]:
+        return out
+    for a in range(0, len(bins), BLOCK):
+        row = np.arange(a, min(a + BLOCK, len(bins)))
+        at, node = row * n_features, out[row]
+        while len(row):
+            node = steps(flat, at, node)
+            inner = steps.inner.take(node)
+            if not inner.all():
+                out[row[~inner]] = node[~inner]
+                row, at, node = row[inner], at[inner], node[inner]
+    return out
 
 
 def _asked(growth: Growth, chunk: int):
@@ -263,26 +335,67 @@ def _asked(growth: Growth, chunk: int):
         yield slice(a, a + chunk)
 
 
-def _grow_here(spec, bins, width, row, node, channels, trees) -> dict[str, np.ndarray]:
+def _by_place(place: np.ndarray, n: int) -> np.ndarray:
+    """The stable order of places below ``n``, 16 bits at a time."""
+    order = np.argsort((place & 0xFFFF).astype(np.uint16), kind="stable")
+    return order if n <= 1 << 16 else order[np.argsort((place[order] >> 16).astype(np.uint16), kind="stable")]
+
+
+def _smaller(growth: Growth):
+    """Of the asked nodes: (which are summed from rows, the places of the others, of their siblings, and of their parents
+    in the level above).  Two asked siblings make up their parent: the larger is what the smaller leaves of it."""
+    nodes, ask = growth.nodes, growth.ask
+    parents = growth.asked_before
+    place = np.full(len(nodes["tree"]), -1)
+    place[ask] = np.arange(len(ask))
+    above = np.flatnonzero(nodes["left"][parents] >= 0)
+    a, b = place[nodes["left"][parents[above]]], place[nodes["right"][parents[above]]]
+    both = (a >= 0) & (b >= 0)
+    above, a, b = above[both], a[both], b[both]
+    swap = nodes["count"][ask[a]] > nodes["count"][ask[b]]
+    less, more = np.where(swap, b, a), np.where(swap, a, b)
+    summed = np.ones(len(ask), bool)
+    summed[more] = False
+    return summed, more, less, above
+
+
+def _grow_here(spec, bins, width, row, node, channels, trees, unit=None) -> dict[str, np.ndarray]:
     """Grows trees from the entries of one task: entry i is ``row[i]`` in the tree ``trees[node[i]]``."""
     growth = Growth(spec, trees, bins.shape[1])
+    flat, held, chunk = bins.reshape(-1), None, 0
     while len(growth.ask):
-        features = growth.features()
+        features, n = growth.features(), len(growth.ask)
         local = np.full(len(growth.nodes["tree"]), -1)
-        local[growth.ask] = np.arange(len(growth.ask))
-        keep = local[node] >= 0
-        row, node, channels = row[keep], node[keep], [c if c is None else c[keep] for c in channels]
-        place, parts = local[node], []
-        order = np.argsort(place, kind="stable")
-        ends = np.searchsorted(place[order], np.arange(len(growth.ask) + 1))
-        for s in _asked(growth, max(1, (CELLS // 4) // (features.shape[1] * width))):
-            own = order[ends[s.start]:ends[min(s.stop, len(growth.ask))]]
-            sums = histograms(bins, row[own], place[own] - s.start, [c if c is None else c[own] for c in channels], features[s], width)
-            parts.append(best_splits(sums, spec))
-        growth.answer(features, *[np.concatenate(p) for p in zip(*parts)])
-        split = growth.nodes["left"][node] >= 0
+        local[growth.ask] = np.arange(n)
+        place = local.take(node)
+        if (place < 0).any():
+            keep = place >= 0
+            row, node, place, channels = row[keep], node[keep], place[keep], [c if c is None else c[keep] for c in channels]
+        chunk = max(1, (CELLS // 4) // (features.shape[1] * width))
+        if n <= chunk:
+            if held is not None:
+                summed, more, less, above = _smaller(growth)
+                own = summed.take(place)
+                sums = histograms(bins, row[own], place[own], [c if c is None else c[own] for c in channels], features, width, unit)
+                sums[more] = held[above] - sums[less]
+            else:
+                sums = histograms(bins, row, place, channels, features, width, unit)
+            # all nodes use the same features: the next level needs but the smaller of two siblings
+            held = sums if features.shape[1] == bins.shape[1] else None
+            found = best_splits(sums, spec)
+        else:
+            held, parts = None, []
+            order = _by_place(place, n)
+            ends = np.searchsorted(place[order], np.arange(n + 1))
+            for s in _asked(growth, chunk):
+                own = order[ends[s.start]:ends[min(s.stop, n)]]
+                sums = histograms(bins, row[own], place[own] - s.start, [c if c is None else c[own] for c in channels], features[s], width, unit)
+                parts.append(best_splits(sums, spec))
+            found = [np.concatenate(p) for p in zip(*parts)]
+        growth.answer(features, *found)
+        split = growth.nodes["left"].take(node) >= 0
         row, node, channels = row[split], node[split], [c if c is None else c[split] for c in channels]
-        node = _moved(growth.nodes, bins, row, node)
+        node = _Steps(growth.nodes)(flat, row * bins.shape[1], node)
     return growth.finished()
 
 
@@ -303,8 +416,8 @@ def _gradients(margin, y, w):
     return np.rint(w * (p - y) * ONE), np.rint(w * p * (1 - p) * ONE)
 
 
-def _fit_here(spec, bins, y, key, weights, width) -> list[dict[str, np.ndarray]]:
-    """All trees of one model from its training rows."""
+def _fit_here(spec, bins, y, key, weights, width, part: tuple[int, int] | None = None) -> list[dict[str, np.ndarray]]:
+    """All trees of one model from its training rows; of a forest, those of ``part`` (first, end)."""
     n, w = len(y), np.where(y > 0, weights[1], weights[0])
     if isinstance(spec, Boosting):
         margin, out, row, start = np.zeros(n), [], np.arange(n), np.zeros(n, np.int64)
@@ -314,17 +427,21 @@ def _fit_here(spec, bins, y, key, weights, width) -> list[dict[str, np.ndarray]]
             margin = margin + nodes["value"][_leaves(nodes, bins, 0)]
             out.append(nodes)
         return out
-    out, fixed = [], np.rint(w * ONE)
-    step = max(1, CELLS // max(n, 1))
-    for a in range(0, spec.trees, step):
-        trees = np.arange(a, min(a + step, spec.trees))
+    out, unit = [], (np.rint(weights[0] * ONE), np.rint(weights[1] * ONE))
+    first, end = part or (0, spec.trees)
+    step = max(1, (CELLS // 4) // max(n, 1))
+    for a in range(first, end, step):
+        trees = np.arange(a, min(a + step, end))
         drawn = _draws(key, trees, spec.seed)
         node, row = np.nonzero(drawn)
-        weight = drawn[node, row] * fixed[row]
-        out.append(_grow_here(spec, bins, width, row, node, [weight * y[row], weight, None], trees))
+        out.append(_grow_here(spec, bins, width, row, node, [_packed(drawn[node, row], y[row]), None], trees, unit))
     return out
 
 
+def _on_grid(values: np.ndarray) -> np.ndarray:
+    return np.rint(values * GRID)
+
+
 @dataclass
 class Ensemble:
     """A fitted model: nodes of all trees, and the first nodes of the trees."""
@@ -370,7 +487,8 @@ class Ensemble:
                 left = np.where(np.isnan(v), self.missing_left[at], v <= self.threshold[at])
                 at = np.where(f < 0, at, np.where(left, self.left[at], self.right[at]))
             values = self.value[at]
-            out[a:a + step] = values.mean(1) if self.kind == "forest" else 1 / (1 + np.exp(-np.add.accumulate(values, 1)[:, -1]))
+            out[a:a + step] = (_on_grid(values).sum(1) / GRID / len(self.roots) if self.kind == "forest"
+                               else 1 / (1 + np.exp(-np.add.accumulate(values, 1)[:, -1])))
         return out
 
     def importances(self, n_features: int) -> np.ndarray:
@@ -425,8 +543,8 @@ def _binned(x: np.ndarray, edges) -> np.ndarray:
     return np.where(np.isnan(x), 0, out).astype(np.uint8)
 
 
-def _matrix(column: pa.Array, n_features: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), n_features)
+def _matrix(held: bytes, n_features: int) -> np.ndarray:
+    return np.frombuffer(held, np.uint8).reshape(-1, n_features)
 
 
 def prepare(df: DataFrame, features, label: str, key, fold_col: str | None) -> DataFrame:
@@ -449,6 +567,12 @@ class _Known:
     edges: dict
     width: dict
 
+    def in_task(self, in_task_rows: int | None) -> bool:
+        """Whether a task may hold all rows of a model."""
+        if in_task_rows is not None:
+            return self.n_rows <= in_task_rows
+        return self.n_rows * (self.n_features + ROW_BYTES) <= IN_TASK_BYTES
+
 
 def _known(rows: DataFrame, tasks: Sequence[Task]) -> _Known:
     counts = rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("m")).collect()  # folds x classes
@@ -467,15 +591,17 @@ def fit_all(rows: DataFrame, tasks: Sequence[Task], in_task_rows: int | None = N
 
     A table without rows, or without features, gives trees of one leaf.
     """
-    tasks = list(tasks)
-    known = _known(rows, tasks)
+    return _fit_all(rows, list(tasks), _known(rows, tasks), in_task_rows)
+
+
+def _fit_all(rows, tasks, known: _Known, in_task_rows) -> list[Ensemble]:
     if not known.n_rows or not known.n_features:
         empty = np.zeros((0, max(1, known.n_features)), np.uint8)
         tables = [_fit_here(t.spec, empty, np.zeros(0), np.zeros(0, np.int64), w, 2) for t, w in zip(tasks, known.weights)]
-    elif known.n_rows <= (IN_TASK_ROWS if in_task_rows is None else in_task_rows):
-        tables = _fit_in_tasks(rows, tasks, known.weights, known.edges, known.width)
+    elif known.in_task(in_task_rows):
+        tables = _fit_in_tasks(_blocks(rows, known), tasks, known)
     else:
-        tables = _fit_by_levels(rows, tasks, known.weights, known.edges, known.width, known.binnings, known.n_features)
+        tables = _fit_by_levels(_blocks(rows, known, sum(isinstance(t.spec, Boosting) for t in tasks)), tasks, known)
     return [Ensemble.of(t.spec, got, known.edges[t.binning]) for t, got in zip(tasks, tables)]
 
 
@@ -483,102 +609,199 @@ _NODE_TYPES = {"tree": "int", "depth": "int", "feature": "int", "bin": "int", "m
                "gain": "double", "count": "double", "value": "double"}
 
 
-def _copies(rows: DataFrame, tasks: Sequence[Task], unseen: bool) -> DataFrame:
-    """Each model's rows, with ``unseen`` also those that it doesn't see; a partition for each model, so that they grow side by side."""
-    own = [F.lit(True) if unseen or t.left_out is None else ~F.col("fold").eqNullSafe(F.lit(t.left_out)) for t in tasks]
-    task = F.explode(F.array_compact(F.array(*[F.when(o, F.lit(k)) for k, o in enumerate(own)])))
-    return rows.select("key", "fold", "y", "x", task.alias("task")).repartitionByRange(len(tasks), "task").groupBy("task")
-
-
 def _features(x: pa.Array | pa.ChunkedArray) -> np.ndarray:
     x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
     return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
 
 
-def _unseen(fold: np.ndarray, left_out: int | None) -> np.ndarray:
-    return np.zeros(len(fold), bool) if left_out is None else fold == left_out
+def _fold(b: pa.RecordBatch) -> np.ndarray:
+    return pc.fill_null(b.column(1), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+
+
+def _block_columns(known: _Known, margins: int) -> str:
+    return ("block long, n int, keys binary, folds binary, ys binary, " + "".join(f"b{k} binary, " for k in range(len(known.binnings)))
+            + "margins binary" * bool(margins)).rstrip(", ")
+
+
+def _blocks(rows: DataFrame, known: _Known, margins: int = 0) -> DataFrame:
+    """The rows by blocks, written once: bytes of keys, folds (-1: none), labels, of bins for each binning, and of zeros
+    for ``margins`` numbers a row."""
+    names = [c.split()[0] for c in _block_columns(known, margins).split(", ")]
+    binnings, edges = known.binnings, known.edges
+
+    def blocks(stream):
+        part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for b in itertools.chain(stream, [None]):
+            if b is not None:
+                x = _features(b.column(3))
+                held.append([b.column(0).to_numpy(zero_copy_only=False), _fold(b), b.column(2).to_numpy(zero_copy_only=False),
+                             *(_binned(x, edges[k]) for k in binnings)])
+                size += b.num_rows
+            if size and (b is None or size >= BLOCK):
+                whole = [np.concatenate(c) for c in zip(*held)]
+                for a in range(0, size, BLOCK):
+                    cut = [c[a:a + BLOCK] for c in whole]
+                    out = [np.zeros(len(cut[0]) * margins)] * bool(margins)
+                    yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + count]), pa.array([len(cut[0])], pa.int32()),
+                                                      *(pa.array([c.tobytes()], pa.binary()) for c in cut + out)], names)
+                    count += 1
+                held, size = [], 0
+
+    n = max(1, -(-known.n_rows // BLOCK))
+    return materialize(rows.select("key", "fold", "y", "x").repartition(n).mapInArrow(blocks, _block_columns(known, margins)), "tree-blocks")
+
 
+class _Part:
+    """The columns of a block."""
 
-def _fit_group(part: pa.Table, tasks, weights, edges, width):
-    """(the model's number, its trees, its rows' features, which of them it doesn't see)."""
-    k = part.column("task")[0].as_py()
-    t, x = tasks[k], _features(part.column("x"))
-    out = _unseen(part.column("fold").to_numpy(), t.left_out)
-    got = _fit_here(t.spec, _binned(x[~out], edges[t.binning]), part.column("y").to_numpy()[~out],
-                    part.column("key").to_numpy()[~out], weights[k], width[t.binning])
-    return k, got, x, out
+    def __init__(self, r: dict):
+        self.r, self.n = r, r["n"]
+        self.key, self.fold = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["folds"], np.int32)
+        self.y = np.frombuffer(r["ys"], np.float64)
 
+    def bins(self, k: int, n_features: int) -> np.ndarray:
+        return _matrix(self.r[f"b{k}"], n_features)
 
-def _fit_in_tasks(rows, tasks, weights, edges, width) -> list[list[dict[str, np.ndarray]]]:
-    """One group a model: its training rows (at most IN_TASK_ROWS), and the trees grown from them."""
+    def seen(self, left_out: int | None) -> np.ndarray:
+        return np.ones(self.n, bool) if left_out is None else self.fold != left_out
+
+
+def _parts(stream):
+    """(block, batch) of a stream of blocks."""
+    for b in stream:
+        for i in range(b.num_rows):
+            one = b.slice(i, 1)
+            yield _Part({c: one.column(c)[0].as_py() for c in b.schema.names}), one
+
+
+def _shares(spark, tasks: Sequence[Task]) -> list[tuple[int, int, int]]:
+    """(task, first tree, end): what one task of the job grows, the longest first.  A forest is shared out so that there are
+    some four shares for each core; the trees of a boosted model follow one another."""
+    depth = [DEEPEST if t.spec.depth is None else t.spec.depth for t in tasks]
+    work = sum(t.spec.trees * d for t, d in zip(tasks, depth) if isinstance(t.spec, Forest))
+    most = max(1, work // (4 * spark.sparkContext.defaultParallelism))
+    out = []
+    for k, (t, d) in enumerate(zip(tasks, depth)):
+        if isinstance(t.spec, Boosting):
+            out.append((k, 0, t.spec.rounds))
+        else:
+            n = min(t.spec.trees, -(-t.spec.trees * d // most))
+            ends = [t.spec.trees * i // n for i in range(n + 1)]
+            out += [(k, a, b) for a, b in zip(ends, ends[1:])]
+    return sorted(out, key=lambda s: (isinstance(tasks[s[0]].spec, Forest), -(s[2] - s[1]) * depth[s[0]], s))
+
+
+def _by_share(blocks: DataFrame, tasks: Sequence[Task], known: _Known, shares):
+    """The blocks, with the bins of its model, of each share; a partition for each share, so that they grow side by side."""
+    by_binning = {b: [i for i, s in enumerate(shares) if tasks[s[0]].binning == b] for b in known.binnings}
+    bins = F.coalesce(*[F.when(F.col("share").isin(own), F.col(f"b{k}")) for k, own in enumerate(by_binning.values())])
+    out = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(shares) - 1))).alias("share"))
+    return (out.select("share", "block", "n", "keys", "folds", "ys", bins.alias("b0"))
+            .repartitionByRange(len(shares), "share").groupBy("share"))
+
+
+def _fit_share(part: pa.Table, tasks, known: _Known, shares):
+    """(the share's number, its trees, its blocks)."""
+    i = part.column("share")[0].as_py()
+    k, a, b = shares[i]
+    t, blocks = tasks[k], [_Part(r) for r in part.to_pylist()]
+    seen = [p.seen(t.left_out) for p in blocks]
+    bins, y, key = (np.concatenate([c[s] for c, s in zip(columns, seen)]) for columns in (
+        [p.bins(0, known.n_features) for p in blocks], [p.y for p in blocks], [p.key for p in blocks]))
+    return i, _fit_here(t.spec, bins, y, key, known.weights[k], known.width[t.binning], (a, b)), blocks
+
+
+def _fit_in_tasks(blocks: DataFrame, tasks, known: _Known) -> list[list[dict[str, np.ndarray]]]:
+    """One group a share: its model's training rows (at most IN_TASK_BYTES), and the trees grown from them."""
     arrow = {"int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
+    shares = _shares(blocks.sparkSession, tasks)
 
     def grown(part: pa.Table) -> pa.Table:
-        k, got, _, _ = _fit_group(part, tasks, weights, edges, width)
+        i, got, _ = _fit_share(part, tasks, known, shares)
         sizes = [len(g["tree"]) for g in got]
-        out = {"task": pa.array([k] * sum(sizes), pa.int32()), "part": pa.array(np.repeat(np.arange(len(got)), sizes).astype(np.int32)),
+        out = {"share": pa.array([i] * sum(sizes), pa.int32()), "part": pa.array(np.repeat(np.arange(len(got)), sizes).astype(np.int32)),
                "id": pa.array(np.concatenate([np.arange(n) for n in sizes]).astype(np.int32))}
         return pa.table(out | {c: pa.array(np.concatenate([g[c] for g in got]), arrow[kind]) for c, kind in _NODE_TYPES.items()})
 
-    schema = "task int, part int, id int, " + ", ".join(f"{c} {kind}" for c, kind in _NODE_TYPES.items())
-    got = _copies(rows, tasks, False).applyInArrow(grown, schema).toArrow()
+    schema = "share int, part int, id int, " + ", ".join(f"{c} {kind}" for c, kind in _NODE_TYPES.items())
+    got = _by_share(blocks, tasks, known, shares).applyInArrow(grown, schema).toArrow()
     got = {c: got.column(c).to_numpy() for c in got.column_names}
-    out = []
-    for k in range(len(tasks)):
-        own = np.flatnonzero(got["task"] == k)
+    out: list[list[dict]] = [[] for _ in tasks]
+    for i in sorted(range(len(shares)), key=lambda i: shares[i]):
+        own = np.flatnonzero(got["share"] == i)
         own = own[np.lexsort((got["id"][own], got["part"][own]))]
         cuts = np.flatnonzero(np.diff(got["part"][own])) + 1
-        out.append([{c: got[c][p] for c in _NODE_TYPES} for p in np.split(own, cuts)])
+        out[shares[i][0]] += [{c: got[c][p] for c in _NODE_TYPES} for p in np.split(own, cuts)]
     return out
 
 
 def cross_scores(rows: DataFrame, tasks: Sequence[Task], in_task_rows: int | None = None) -> DataFrame:
     """(task, fold, y, unseen, probability): every row scored by each model, and whether the model didn't see the row.
 
-    Up to ``IN_TASK_ROWS`` rows, models are fitted and applied where they grow and never come to the driver.
+    While a model's rows fit ``IN_TASK_BYTES``, trees are grown and applied in the same tasks and never come to the driver.
     """
     tasks, schema = list(tasks), "task int, fold int, y double, unseen boolean, probability double"
     known = _known(rows, tasks)
-    if 0 < known.n_rows <= (IN_TASK_ROWS if in_task_rows is None else in_task_rows) and known.n_features:
-        weights, edges, width = known.weights, known.edges, known.width
-
-        def scored(part: pa.Table) -> pa.Table:
-            k, got, x, out = _fit_group(part, tasks, weights, edges, width)
-            p = Ensemble.of(tasks[k].spec, got, edges[tasks[k].binning]).probability(x)
-            return pa.table({"task": pa.array([k] * len(x), pa.int32()), "fold": part.column("fold"), "y": part.column("y"),
-                             "unseen": pa.array(out), "probability": pa.array(p)})
-
-        return _copies(rows, tasks, True).applyInArrow(scored, schema)
-    models = rows.sparkSession.sparkContext.broadcast(fit_all(rows, tasks, in_task_rows))  # models, whatever the rows
+    if known.n_rows and known.n_features and known.in_task(in_task_rows):
+        return _scored_in_tasks(_blocks(rows, known), tasks, known, schema)
+    models = rows.sparkSession.sparkContext.broadcast(_fit_all(rows, tasks, known, in_task_rows))  # models, whatever the rows
 
     def applied(stream):
         for b in stream:
-            x, fold = _features(b.column(2)), b.column(0).to_numpy(zero_copy_only=False)
-            for k, m in enumerate(models.value):
-                if b.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(x), pa.int32()), b.column(0), b.column(1),
-                                                      pa.array(_unseen(fold, tasks[k].left_out)), pa.array(m.probability(x))],
-                                                     ["task", "fold", "y", "unseen", "probability"])
+            if b.num_rows:
+                x, fold, y = _features(b.column(2)), _fold(b.select([2, 0])), b.column(1).to_numpy(zero_copy_only=False)
+                for k, m in enumerate(models.value):
+                    yield _scores(k, tasks[k], fold, y, m.probability(x))
 
     return rows.select("fold", "y", "x").mapInArrow(applied, schema)
 
 
-def _fit_by_levels(rows, tasks, weights, edges, width, binnings, n_features) -> list[list[dict[str, np.ndarray]]]:
+def _scores(k: int, task: Task, fold: np.ndarray, y: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    unseen = np.zeros(len(fold), bool) if task.left_out is None else fold == task.left_out
+    return pa.RecordBatch.from_pydict({"task": pa.array(np.full(len(p), k, np.int32)), "fold": pa.array(fold, mask=fold < 0),
+                                       "y": y, "unseen": unseen, "probability": p})
+
+
+def _scored_in_tasks(blocks: DataFrame, tasks, known: _Known, schema: str) -> DataFrame:
+    """``cross_scores`` of blocks: each share's trees give a sum for each row, and the sums of a block meet."""
+    shares = _shares(blocks.sparkSession, tasks)
+
+    def summed(part: pa.Table) -> pa.Table:
+        i, got, held = _fit_share(part, tasks, known, shares)
+        k, first, _ = shares[i]
+        sums = [np.zeros(p.n) for p in held]
+        for nodes in got:
+            steps = _Steps(nodes)
+            values = _on_grid(nodes["value"]) if isinstance(tasks[k].spec, Forest) else nodes["value"]
+            for root in np.flatnonzero(nodes["depth"] == 0):
+                for p, s in zip(held, sums):
+                    s += values.take(_leaves(nodes, p.bins(0, known.n_features), int(root), steps))
+        return pa.table({"task": pa.array([k] * len(held), pa.int32()), "block": [p.r["block"] for p in held],
+                         # folds and labels go with the first share alone
+                         "folds": pa.array([None if first else p.r["folds"] for p in held], pa.binary()),
+                         "ys": pa.array([None if first else p.r["ys"] for p in held], pa.binary()),
+                         "sums": pa.array([s.tobytes() for s in sums], pa.binary())})
+
+    def scored(part: pa.Table) -> pa.Table:
+        k = part.column("task")[0].as_py()
+        fold, y = (np.frombuffer(next(v for v in part.column(c).to_pylist() if v is not None), kind)
+                   for c, kind in (("folds", np.int32), ("ys", np.float64)))
+        total = sum(np.frombuffer(v, np.float64) for v in part.column("sums").to_pylist())
+        spec = tasks[k].spec
+        p = total / GRID / spec.trees if isinstance(spec, Forest) else 1 / (1 + np.exp(-total))
+        return pa.Table.from_batches([_scores(k, tasks[k], fold, y, p)])
+
+    sums = _by_share(blocks, tasks, known, shares).applyInArrow(summed, "task int, block long, folds binary, ys binary, sums binary")
+    return sums.groupBy("task", "block").applyInArrow(scored, schema)
+
+
+def _fit_by_levels(held: DataFrame, tasks, known: _Known) -> list[list[dict[str, np.ndarray]]]:
     """Every job sums one level of all models' growing trees."""
-    at = {b: k for k, b in enumerate(binnings)}
+    weights, width, n_features = known.weights, known.width, known.n_features
+    at = {b: k for k, b in enumerate(known.binnings)}
     boosted = [k for k, t in enumerate(tasks) if isinstance(t.spec, Boosting)]
     slot = {k: i for i, k in enumerate(boosted)}
-
-    def binned(stream):
-        for b in stream:
-            x = b.column(3)
-            x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-            held = [pa.array([r.tobytes() for r in _binned(x, edges[k])], pa.binary()) for k in binnings]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(3)), *held, pa.array([np.zeros(len(boosted)).tobytes()] * len(x), pa.binary())],
-                                             ["key", "fold", "y", *[f"b{k}" for k in range(len(binnings))], "margin"])
-
-    schema = "key long, fold int, y double, " + "".join(f"b{k} binary, " for k in range(len(binnings))) + "margin binary"
-    held = materialize(rows.select("key", "fold", "y", "x").mapInArrow(binned, schema), "tree-bins")
+    schema = _block_columns(known, len(boosted))
     done: list[list[dict]] = [[] for _ in tasks]
     fresh: dict[int, list[dict]] = {k: [] for k in boosted}  # trees that the written margins don't have yet
     growing: dict[int, list[Growth]] = {}
@@ -595,88 +818,101 @@ def _fit_by_levels(rows, tasks, weights, edges, width, binnings, n_features) ->
         if len(trees):
             growing[k] = [Growth(spec, trees, n_features)]
 
-    def margins(part, k: int, bins) -> np.ndarray:
-        m = np.frombuffer(b"".join(part["margin"]), np.float64).reshape(len(part["margin"]), len(boosted))[:, slot[k]]
-        for nodes in fresh[k]:
-            m = m + nodes["value"][_leaves(nodes, bins, 0)]
-        return m
+    def margins_of(part: _Part) -> np.ndarray:
+        return np.frombuffer(part.r["margins"], np.float64).reshape(len(boosted), part.n)
 
-    def parts_of(stream):
-        for b in stream:
-            if b.num_rows:
-                yield {c: b.column(c).to_numpy(zero_copy_only=False) if c in ("key", "fold", "y") else b.column(c).to_pylist()
-                       for c in b.schema.names}, b
+    def down(steps: _Steps, left, depth: int, flat, row, node):
+        """Rows, and their nodes at a depth, of those that come so far."""
+        for _ in range(depth):
+            inner = left.take(node) >= 0
+            if not inner.all():
+                row, node = row[inner], node[inner]
+            node = steps(flat, row * n_features, node)
+        return row, node
 
     def level(portion: dict[int, slice]):
-        """(task, position in ask) -> best splits, by one job."""
-        wanted = {k: (growing[k][0], growing[k][0].features(), s) for k, s in portion.items()}
+        """By task, the best splits of a slice of the asked nodes (an array for each answer), by one job."""
+        wanted = {k: (growing[k][0].nodes, growing[k][0].ask[s], growing[k][0].features()[s]) for k, s in portion.items()}
+        # nodes whose sums meet in one group
+        together = {k: max(1, (1 << 17) // (features.shape[1] * width[tasks[k].binning])) for k, (_, _, features) in wanted.items()}
 
         def sums(stream):
             out: dict[int, np.ndarray] = {}
-            for part, b in parts_of(stream):
-                matrices: dict[int, np.ndarray] = {}
-                for k, (growth, features, s) in wanted.items():
-                    t, c = tasks[k], at[tasks[k].binning]
-                    if c not in matrices:
-                        matrices[c] = _matrix(b.column(f"b{c}"), n_features)
-                    use = np.ones(b.num_rows, bool) if t.left_out is None else part["fold"] != t.left_out
-                    bins, y, key = matrices[c][use], part["y"][use], part["key"][use]
-                    w = np.where(y > 0, weights[k][1], weights[k][0])
-                    nodes, local = growth.nodes, np.full(len(growth.nodes["tree"]), -1)
-                    local[growth.ask[s]] = np.arange(len(growth.ask[s]))
+            steps = {k: _Steps(nodes) for k, (nodes, _, _) in wanted.items()}
+            local = {k: np.full(len(nodes["tree"]), -1) for k, (nodes, _, _) in wanted.items()}
+            for k, (_, ask, _) in wanted.items():
+                local[k][ask] = np.arange(len(ask))
+            for part, _ in _parts(stream):
+                for k, (nodes, ask, features) in wanted.items():
+                    t = tasks[k]
+                    bins, use, depth = part.bins(at[t.binning], n_features), np.flatnonzero(part.seen(t.left_out)), int(nodes["depth"][ask[0]])
+                    if k not in out:
+                        out[k] = np.zeros((3 if isinstance(t.spec, Boosting) else 2, *features.shape, width[t.binning]))
                     if isinstance(t.spec, Boosting):
-                        row, node = np.arange(len(y)), np.zeros(len(y), np.int64)
-                        g, h = _gradients(margins(part, k, matrices[c])[use], y, w)
-                        channels = [g, h, None]
-                    else:
-                        trees = np.unique(nodes["tree"][growth.ask[s]])
-                        first = nodes["tree"][0]
-                        drawn = _draws(key, trees, t.spec.seed)
-                        of, row = np.nonzero(drawn)
-                        node = (trees - first)[of]
-                        weight = drawn[of, row] * np.rint(w * ONE)[row]
-                        channels = [weight * y[row], weight, None]
-                    for _ in range(DEEPEST + 1):
-                        inner = nodes["left"][node] >= 0
-                        if not inner.any():
-                            break
-                        node = np.where(inner, _moved(nodes, bins, row, node), node)
-                    keep = local[node] >= 0
-                    got = histograms(bins, row[keep], local[node[keep]], [x if x is None else x[keep] for x in channels],
-                                     features[s], width[t.binning])
-                    out[k] = out[k] + got if k in out else got
+                        margin = margins_of(part)[slot[k]]
+                        for tree in fresh[k]:
+                            margin = margin + tree["value"][_leaves(tree, bins, 0)]
+                        g, h = _gradients(margin, part.y, np.where(part.y > 0, weights[k][1], weights[k][0]))
+                        row, node = down(steps[k], nodes["left"], depth, bins.reshape(-1), use, np.zeros(len(use), np.intp))
+                        place = local[k].take(node)
+                        row, place = row[place >= 0], place[place >= 0]
+                        out[k] += _sums(bins, row, place, [g[row], h[row], None], features, width[t.binning])
+                        continue
+                    trees, first = nodes["tree"][ask], nodes["tree"][0]
+                    for tree in np.unique(trees):
+                        drawn = _draws(part.key, np.array([tree]), t.spec.seed)[0]
+                        row = use[drawn.take(use) > 0]
+                        row, node = down(steps[k], nodes["left"], depth, bins.reshape(-1), row, np.full(len(row), tree - first, np.intp))
+                        own = np.flatnonzero(trees == tree)
+                        here = np.full(len(ask) + 1, -1)  # the last for nodes that aren't asked
+                        here[own] = np.arange(len(own))
+                        place = here.take(local[k].take(node))
+                        row, place = row[place >= 0], place[place >= 0]
+                        out[k][:, own] += _sums(bins, row, place, [_packed(drawn.take(row), part.y.take(row)), None], features[own], width[t.binning])
             for k, got in out.items():
-                node, f, b = np.nonzero(got[..., 2])
-                cells = got[node, f, b].astype(np.int64)
-                for a in range(0, len(node), 1 << 16):
-                    z = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_pydict({"task": np.full(len(node[z]), k, np.int32), "node": node[z].astype(np.int32),
-                                                      "slot": f[z].astype(np.int32), "bin": b[z].astype(np.int32), "c0": cells[z, 0],
-                                                      "c1": cells[z, 1], "c2": cells[z, 2]})
+                if isinstance(tasks[k].spec, Forest):
+                    got = _classes(got, (np.rint(weights[k][0] * ONE), np.rint(weights[k][1] * ONE)))
+                for a in range(0, got.shape[1], together[k]):
+                    some = got[:, a:a + together[k]].reshape(3, -1)
+                    cells = np.flatnonzero(some[2])
+                    if len(cells):
+                        yield pa.RecordBatch.from_pydict({"task": pa.array([k], pa.int32()), "first": pa.array([a], pa.int32()),
+                                                          "cells": pa.array([cells.astype(np.int32).tobytes()], pa.binary()),
+                                                          "sums": pa.array([some[:, cells].tobytes()], pa.binary())})
 
         def chosen(part: pa.Table) -> pa.Table:
-            c = {n: part.column(n).to_numpy() for n in part.column_names}
-            k = int(c["task"][0])
-            t = tasks[k]
-            cells = np.zeros((1, t.spec.width(n_features), width[t.binning], 3))
-            cells[0, c["slot"], c["bin"]] = np.stack([c["c0"], c["c1"], c["c2"]], 1)
-            gain, slot_, missing, last, left, total = best_splits(cells, t.spec)
-            return pa.table({"task": pa.array([k], pa.int32()), "node": pa.array([int(c["node"][0])], pa.int32()), "gain": gain,
+            k, first = part.column("task")[0].as_py(), part.column("first")[0].as_py()
+            spec, wide = tasks[k].spec, width[tasks[k].binning]
+            whole = np.zeros((3, together[k] * spec.width(n_features) * wide))
+            for cells, held in zip(part.column("cells"), part.column("sums")):
+                cells = np.frombuffer(cells.as_buffer(), np.int32)
+                whole[:, cells] += np.frombuffer(held.as_buffer(), np.float64).reshape(3, -1)
+            whole = np.moveaxis(whole.reshape(3, together[k], spec.width(n_features), wide), 0, -1)
+            some = np.flatnonzero(whole[:, 0, :, 2].any(1))
+            gain, slot_, missing, last, left, total = best_splits(whole[some], spec)
+            return pa.table({"task": pa.array(np.full(len(some), k, np.int32)), "node": pa.array((some + first).astype(np.int32)), "gain": gain,
                              "slot": slot_.astype(np.int32), "missing": missing, "last": last.astype(np.int32),
-                             "left": [left[0].tolist()], "total": [total[0].tolist()]})
-
-        total = [F.sum(c).alias(c) for c in ("c0", "c1", "c2")]
-        got = (held.mapInArrow(sums, "task int, node int, slot int, bin int, c0 long, c1 long, c2 long")
-               .groupBy("task", "node", "slot", "bin").agg(*total).groupBy("task", "node")
-               .applyInArrow(chosen, "task int, node int, gain double, slot int, missing boolean, last int, left array<double>, total array<double>")
-               .collect())  # a row for each node of the level
-        return {(r["task"], r["node"]): r for r in got}, wanted
+                             **{f"left{c}": left[:, c] for c in range(3)}, **{f"total{c}": total[:, c] for c in range(3)}})
+
+        got = (held.mapInArrow(sums, "task int, first int, cells binary, sums binary").groupBy("task", "first")
+               .applyInArrow(chosen, "task int, node int, gain double, slot int, missing boolean, last int, "
+                             + ", ".join(f"{c}{i} double" for c in ("left", "total") for i in range(3)))
+               .toArrow())  # a row for each node of the level
+        got, out = {c: got.column(c).to_numpy() for c in got.column_names}, {}
+        for k, (_, ask, _) in wanted.items():
+            n, own = len(ask), got["task"] == k
+            found = [np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, bool), np.ones(n, np.int64), np.zeros((n, 3)), np.zeros((n, 3))]
+            triple = lambda c: np.stack([got[f"{c}{i}"] for i in range(3)], 1)  # noqa: E731, B023
+            for held_, values in zip(found, (*(got[c] for c in ("gain", "slot", "missing", "last")), triple("left"), triple("total"))):
+                held_[got["node"][own]] = values[own]
+            out[k] = found
+        return out
 
     for k in range(len(tasks)):
         start(k)
     while growing:
         # portions of the level, so that no job sums more than CELLS cells a task
-        answers: dict[int, dict[int, dict]] = {k: {} for k in growing}
+        answers: dict[int, list] = {k: [] for k in growing}
         left_to_ask = {k: 0 for k in growing}
         while any(left_to_ask[k] < len(growing[k][0].ask) for k in growing):
             portion, room = {}, CELLS
@@ -686,18 +922,12 @@ def _fit_by_levels(rows, tasks, weights, edges, width, binnings, n_features) ->
                 if n > 0:
                     portion[k] = slice(left_to_ask[k], left_to_ask[k] + n)
                     room -= n * cells
-            got, _ = level(portion)
-            for k, s in portion.items():
-                for i in range(s.start, s.stop):
-                    answers[k][i] = got.get((k, i - s.start))
-                left_to_ask[k] = s.stop
+            for k, found in level(portion).items():
+                answers[k].append(found)
+                left_to_ask[k] = portion[k].stop
         for k in list(growing):
-            growth, n = growing[k][0], len(growing[k][0].ask)
-            rows_ = [answers[k][i] for i in range(n)]
-            none = np.zeros(3)
-            growth.answer(growth.features(), np.array([r["gain"] if r else -np.inf for r in rows_]), np.array([r["slot"] if r else 0 for r in rows_]),
-                          np.array([bool(r and r["missing"]) for r in rows_]), np.array([r["last"] if r else 1 for r in rows_]),
-                          np.array([r["left"] if r else none for r in rows_]), np.array([r["total"] if r else none for r in rows_]))
+            growth = growing[k][0]
+            growth.answer(growth.features(), *[np.concatenate(p) for p in zip(*answers[k])])
             if not len(growth.ask):
                 nodes = growth.finished()
                 done[k].append(nodes)
@@ -709,16 +939,16 @@ def _fit_by_levels(rows, tasks, weights, edges, width, binnings, n_features) ->
             taken = {k: list(v) for k, v in fresh.items()}
 
             def moved(stream):
-                for part, b in parts_of(stream):
-                    m = np.frombuffer(b"".join(part["margin"]), np.float64).reshape(b.num_rows, len(boosted)).copy()
+                for part, b in _parts(stream):
+                    m = margins_of(part).copy()
                     for k in boosted:
-                        bins = _matrix(b.column(f"b{at[tasks[k].binning]}"), n_features)
+                        bins = part.bins(at[tasks[k].binning], n_features)
                         for nodes in taken[k]:
-                            m[:, slot[k]] += nodes["value"][_leaves(nodes, bins, 0)]
+                            m[slot[k]] += nodes["value"][_leaves(nodes, bins, 0)]
                     yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(b.num_columns - 1)),
-                                                      pa.array([r.tobytes() for r in m], pa.binary())], b.schema.names)
+                                                      pa.array([m.tobytes()], pa.binary())], b.schema.names)
 
-            held = materialize(held.mapInArrow(moved, schema), "tree-bins")
+            held = materialize(held.mapInArrow(moved, schema), "tree-blocks")
             for v in fresh.values():
                 v.clear()
     return done

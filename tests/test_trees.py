@@ -154,6 +154,48 @@ def test_a_level_is_one_job_for_all_models(spark):
     assert jobs[1] <= jobs[0] + 6
 
 
+def test_a_larger_panel_grows_in_shares(spark):
+    """Beyond 100,000 rows a level of each tree was a job, and a node a group."""
+    sc = spark.sparkContext
+    x = [((F.col("id") * p) % 1009).cast("double") for p in (7, 13, 31, 57)]
+    rows = spark.range(120_000).select(F.col("id").alias("key"), (F.col("id") % 3).cast("int").alias("fold"),
+                                       (x[0] + x[1] > 1000).cast("double").alias("y"), F.array(*x).alias("x"))
+    sc.setJobGroup("shares", "shares")
+    scored = T.cross_scores(rows, TASKS).groupBy("task").agg(F.count("*"), F.avg((F.col("probability") > 0.5).cast("double") - F.col("y"))).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("shares"))
+    sc.setJobGroup("", "")
+    assert jobs <= 12 and [r[1] for r in scored] == [120_000] * len(TASKS) and all(abs(r[2]) < 0.2 for r in scored)
+
+
+def test_shares_hold_every_tree_once(spark):
+    tasks = [T.Task(T.Forest(trees=n, depth=d), f) for n, d in ((500, None), (7, 3)) for f in (0, 1)] + [T.Task(T.Boosting(rounds=9))]
+    shares = T._shares(spark, tasks)
+    assert shares[0] == (4, 0, 9)  # what can't be shared out comes first
+    for k, t in enumerate(tasks):
+        assert [i for s, a, b in sorted(shares) if s == k for i in range(a, b)] == list(range(t.spec.trees if k < 4 else 9))
+
+
+def test_task_size_is_bounded_by_bytes():
+    known = lambda n, m: T._Known(n, m, [], [], {}, {})
+    assert known(240_000, 12).in_task(None) and not known(14_400_000, 12).in_task(None) and not known(240_000, 1000).in_task(None)
+
+
+def test_draws_and_packed_sums_by_definition():
+    rng = np.random.default_rng(1)
+    keys, trees = rng.integers(-2 ** 63, 2 ** 63, 300_000), np.array([0, 3])
+    h = T._mix(T._mix(trees.astype(np.uint64)[:, None] + np.uint64(42 << 32)) ^ T._mix(keys.view(np.uint64))[None, :])
+    chance = np.exp(-1.0) / np.cumprod([1, *range(1, 16)])
+    drawn = T._draws(keys, trees, 42)
+    assert np.array_equal(drawn, np.searchsorted(np.cumsum(chance), (h >> np.uint64(11)) / 2.0 ** 53, "right"))
+    x, y = sample(2000, 2)
+    bins = T._binned(x, edges_of(x))
+    row, node, d = np.arange(2000), rng.integers(0, 5, 2000), drawn[0, :2000]
+    features, width, unit = rng.integers(0, 4, (5, 2)), int(bins.max()) + 1, (3.0, 11.0)
+    w = d * np.where(y > 0, unit[1], unit[0])
+    three = T.histograms(bins, row, node, [w * y, w, None], features, width)
+    assert np.array_equal(three, T.histograms(bins, row, node, [T._packed(d, y), None], features, width, unit))
+
+
 def test_empty_one_class_and_all_missing(spark):
     rows = table(spark)
     for m in T.fit_all(rows.filter("false"), TASKS):
