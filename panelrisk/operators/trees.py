@@ -25,7 +25,7 @@ from __future__ import annotations
 import heapq
 import itertools
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,10 @@ IN_TASK_BYTES = 128 << 20
 ROW_BYTES = 16
 #: Rows of a block.
 BLOCK = 1 << 16
+#: Rows or entries that are worked on at once: as many as a core's cache holds.
+PART = 1 << 14
+#: Cells (node, bin) up to which a tree is walked by a table of children.
+TABLE = 1 << 20
 #: Histogram cells that one job of the large setting sums, and entries (row, tree) that a task holds.
 CELLS = 1 << 22
 #: Rounds after which the large setting writes the margins with the rows.
@@ -172,15 +176,20 @@ def _draws(keys: np.ndarray, trees: np.ndarray, seed: int) -> np.ndarray:
 
 def _sums(bins, row, node, channels, features, width: int) -> np.ndarray:
     """(channels, nodes, slots, width) sums over entries: ``row`` in ``node``, features by (node, slot); None counts."""
-    n, m = features.shape
-    out = np.zeros((len(channels), n, m, width))
-    flat, start, first = bins.reshape(-1), row * bins.shape[1], node * width
+    out = np.zeros((len(channels), *features.shape, width))
+    _add(out, bins.reshape(-1), row * bins.shape[1], node, channels, features)
+    return out
+
+
+def _add(out, flat, start, node, channels, features) -> None:
+    """Adds entries to sums; ``start``: where an entry's row begins in ``flat``."""
+    _, n, m, width = out.shape
+    first = node * width
     same = n > 0 and (features == features[0]).all()
     for s in range(m):
         at = flat.take(start + (features[0, s] if same else features[:, s].take(node))) + first
         for held, c in zip(out, channels):
-            held[:, s] = np.bincount(at, c, n * width).reshape(n, width)
-    return out
+            held[:, s] += np.bincount(at, c, n * width).reshape(n, width)
 
 
 def _classes(sums: np.ndarray, unit) -> np.ndarray:
@@ -298,7 +307,7 @@ class _Steps:
     """From nodes to children: a node table laid out for many rows."""
 
     def __init__(self, nodes):
-        self.inner = nodes["feature"] >= 0
+        self.inner, self.nodes = nodes["feature"] >= 0, nodes
         self.feature = np.maximum(nodes["feature"], 0)
         # a missing value is bin 0: it goes left, or, one below that, it is the largest byte and goes right
         self.shift = np.where(nodes["missing_left"], 0, 1).astype(np.uint8)
@@ -311,16 +320,40 @@ class _Steps:
         return self.child.take(2 * node + (b - self.shift.take(node) > self.last.take(node)))
 
 
-def _leaves(nodes, bins, start: int, steps: _Steps | None = None) -> np.ndarray:
-    """The leaf of every row in the tree whose root is ``start``."""
+    def table(self) -> np.ndarray | None:
+        """By node and bin, the child; a leaf is its own.  None where that is too large to be of use."""
+        if len(self.inner) > TABLE >> 8:
+            return None
+        if not hasattr(self, "_table"):
+            right = np.arange(256, dtype=np.uint8)[None, :] - self.shift[:, None] > self.last[:, None]
+            left, other = (np.where(self.inner, self.nodes[c], np.arange(len(self.inner)))[:, None] for c in ("left", "right"))
+            self._table = np.where(right, other, left).astype(np.intp).reshape(-1)
+        return self._table
+
+
+def _leaves(nodes, bins, start: int, steps: _Steps | None = None, rows: np.ndarray | None = None) -> np.ndarray:
+    """The leaf of every row, or of ``rows``, in the tree whose root is ``start``."""
     steps, flat, n_features = steps or _Steps(nodes), bins.reshape(-1), bins.shape[1]
-    out = np.full(len(bins), start, np.intp)
+    n, table = len(bins) if rows is None else len(rows), steps.table()
+    out = np.full(n, start, np.intp)
     if not steps.inner[start]:
         return out
-    for a in range(0, len(bins), BLOCK):
-        row = np.arange(a, min(a + BLOCK, len(bins)))
-        at, node = row * n_features, out[row]
-        while len(row):
+    for a in range(0, n, PART):
+        row = np.arange(a, min(a + PART, n))
+        at, node = (row if rows is None else rows[a:a + PART]) * n_features, out[row]
+        while table is not None and len(row):
+            for _ in range(4):
+                b = flat.take(at + steps.feature.take(node))
+                node = table.take((node << 8) + b)
+            inner = steps.inner.take(node)
+            left = np.count_nonzero(inner)
+            if not left:
+                out[row] = node
+                break
+            if 2 * left < len(row):
+                out[row[~inner]] = node[~inner]
+                row, at, node = row[inner], at[inner], node[inner]
+        while table is None and len(row):
             node = steps(flat, at, node)
             inner = steps.inner.take(node)
             if not inner.all():
@@ -359,46 +392,94 @@ def _smaller(growth: Growth):
     return summed, more, less, above
 
 
-def _grow_here(spec, bins, width, row, node, channels, trees, unit=None) -> dict[str, np.ndarray]:
-    """Grows trees from the entries of one task: entry i is ``row[i]`` in the tree ``trees[node[i]]``."""
+def _pieces(entries: list, size: int) -> list:
+    """The same entries in pieces of ``size``; kept as they are while they are of some use."""
+    n = sum(len(e[0]) for e in entries)
+    if len(entries) == 1 and n <= 2 * size or len(entries) > 1 and n >= size // 2 * len(entries):
+        return entries
+    whole = [None if c[0] is None else np.concatenate(c) for c in zip(*entries)]
+    return [tuple(None if c is None else c[a:a + size] for c in whole) for a in range(0, max(n, 1), size)]
+
+
+def _next(growth: Growth, width: int) -> np.ndarray:
+    """By place among the nodes asked before, and bin: the place of the child among those asked now, or, where rows go no
+    further, -1 less the node that they have come to."""
+    nodes, before = growth.nodes, growth.asked_before
+    code = -1 - np.arange(len(nodes["tree"]))
+    code[growth.ask] = np.arange(len(growth.ask))
+    split = nodes["left"][before] >= 0
+    left, right = (code[np.where(split, nodes[c][before], before)][:, None] for c in ("left", "right"))
+    b = np.arange(width)[None, :]
+    to_left = np.where(b == 0, nodes["missing_left"][before][:, None], b <= nodes["bin"][before][:, None])
+    return np.where(to_left, left, right).reshape(-1)
+
+
+def _grow_here(spec, bins, width, row, node, channels, trees, unit=None, ends=None) -> dict[str, np.ndarray]:
+    """Grows trees from the entries of one task: entry i is ``row[i]`` in the tree ``trees[node[i]]``.
+
+    ``ends`` (tree, row) takes the node that each entry comes to.  A level works on pieces of the entries, so that what is
+    computed between reading them and adding them up stays in a core's cache.
+    """
     growth = Growth(spec, trees, bins.shape[1])
-    flat, held, chunk = bins.reshape(-1), None, 0
+    flat, n_features, held = bins.reshape(-1), bins.shape[1], None
+    entries = [(row * n_features, node, *channels)]  # where the row begins, place of the node among the asked
     while len(growth.ask):
         features, n = growth.features(), len(growth.ask)
-        local = np.full(len(growth.nodes["tree"]), -1)
-        local[growth.ask] = np.arange(n)
-        place = local.take(node)
-        if (place < 0).any():
-            keep = place >= 0
-            row, node, place, channels = row[keep], node[keep], place[keep], [c if c is None else c[keep] for c in channels]
+        entries = _pieces(entries, max(PART, n * width))
         chunk = max(1, (CELLS // 4) // (features.shape[1] * width))
         if n <= chunk:
-            if held is not None:
-                summed, more, less, above = _smaller(growth)
-                own = summed.take(place)
-                sums = histograms(bins, row[own], place[own], [c if c is None else c[own] for c in channels], features, width, unit)
+            summed, more, less, above = _smaller(growth) if held is not None else (None,) * 4
+            sums = np.zeros((len(channels), *features.shape, width))
+            for e in entries:
+                if summed is not None:
+                    own = summed.take(e[1])
+                    e = tuple(c if c is None else c[own] for c in e)
+                _add(sums, flat, e[0], e[1], e[2:], features)
+            sums = np.moveaxis(sums if unit is None else _classes(sums, unit), 0, -1)
+            if summed is not None:
                 sums[more] = held[above] - sums[less]
-            else:
-                sums = histograms(bins, row, place, channels, features, width, unit)
             # all nodes use the same features: the next level needs but the smaller of two siblings
-            held = sums if features.shape[1] == bins.shape[1] else None
+            held = sums if features.shape[1] == n_features else None
             found = best_splits(sums, spec)
         else:
             held, parts = None, []
+            start, place, *own_channels = (None if c[0] is None else np.concatenate(c) for c in zip(*entries))
             order = _by_place(place, n)
-            ends = np.searchsorted(place[order], np.arange(n + 1))
+            cuts = np.searchsorted(place[order], np.arange(n + 1))
             for s in _asked(growth, chunk):
-                own = order[ends[s.start]:ends[min(s.stop, n)]]
-                sums = histograms(bins, row[own], place[own] - s.start, [c if c is None else c[own] for c in channels], features[s], width, unit)
-                parts.append(best_splits(sums, spec))
+                own = order[cuts[s.start]:cuts[min(s.stop, n)]]
+                sums = np.zeros((len(channels), *features[s].shape, width))
+                _add(sums, flat, start[own], place[own] - s.start, [c if c is None else c[own] for c in own_channels], features[s])
+                parts.append(best_splits(np.moveaxis(sums if unit is None else _classes(sums, unit), 0, -1), spec))
             found = [np.concatenate(p) for p in zip(*parts)]
+        asked = growth.ask
         growth.answer(features, *found)
-        split = growth.nodes["left"].take(node) >= 0
-        row, node, channels = row[split], node[split], [c if c is None else c[split] for c in channels]
-        node = _Steps(growth.nodes)(flat, row * bins.shape[1], node)
+        feature, tree = np.maximum(growth.nodes["feature"][asked], 0), growth.nodes["tree"][asked] - trees[0]
+        to = _next(growth, width)
+        for i, (start, place, *own_channels) in enumerate(entries):
+            at = to.take(place * width + flat.take(start + feature.take(place)))
+            on = at >= 0
+            if not on.all():
+                if ends is not None:
+                    off = ~on
+                    ends[tree.take(place[off]), start[off] // n_features] = -1 - at[off]
+                start, at, own_channels = start[on], at[on], [c if c is None else c[on] for c in own_channels]
+            entries[i] = (start, at, *own_channels)
     return growth.finished()
 
 
+def _pruned(nodes, split: np.ndarray) -> np.ndarray:
+    """For each node, where its rows end if only the nodes of ``split`` are split: itself or a node above it."""
+    out, parent = np.arange(len(split)), np.full(len(split), -1)
+    on = np.flatnonzero(nodes["left"] >= 0)
+    parent[nodes["left"][on]], parent[nodes["right"][on]] = on, on
+    for depth in range(1, int(nodes["depth"].max(initial=0)) + 1):
+        own = np.flatnonzero(nodes["depth"] == depth)
+        up = parent[own]
+        out[own] = np.where(split[up] & (out[up] == up), own, out[up])
+    return out
+
+
 def _class_weights(spec, n_neg: float, n_pos: float) -> tuple[float, float]:
     """The weights of negatives and positives."""
     n = n_neg + n_pos
@@ -416,25 +497,30 @@ def _gradients(margin, y, w):
     return np.rint(w * (p - y) * ONE), np.rint(w * p * (1 - p) * ONE)
 
 
+def _grown(spec: Forest, bins, y, key, weights, width, part: tuple[int, int]):
+    """(nodes, ends) of a forest's trees by portions, those of ``part`` (first, end).  ``ends``: by tree of the portion and
+    training row, the row's leaf, or -1 where the tree's sample lacks the row."""
+    n, unit = len(y), (np.rint(weights[0] * ONE), np.rint(weights[1] * ONE))
+    step = max(1, (CELLS // 4) // max(n, 1))
+    for a in range(part[0], part[1], step):
+        trees = np.arange(a, min(a + step, part[1]))
+        drawn = np.concatenate([_draws(key[i:i + PART], trees, spec.seed) for i in range(0, max(n, 1), PART)], 1)
+        node, row = np.nonzero(drawn)
+        ends = np.full((len(trees), n), -1, np.int32)
+        yield _grow_here(spec, bins, width, row, node, [_packed(drawn[node, row], y[row]), None], trees, unit, ends), ends
+
+
 def _fit_here(spec, bins, y, key, weights, width, part: tuple[int, int] | None = None) -> list[dict[str, np.ndarray]]:
     """All trees of one model from its training rows; of a forest, those of ``part`` (first, end)."""
+    if isinstance(spec, Forest):
+        return [nodes for nodes, _ in _grown(spec, bins, y, key, weights, width, part or (0, spec.trees))]
     n, w = len(y), np.where(y > 0, weights[1], weights[0])
-    if isinstance(spec, Boosting):
-        margin, out, row, start = np.zeros(n), [], np.arange(n), np.zeros(n, np.int64)
-        for t in range(spec.rounds):
-            g, h = _gradients(margin, y, w)
-            nodes = _grow_here(spec, bins, width, row, start, [g, h, None], np.array([t]))
-            margin = margin + nodes["value"][_leaves(nodes, bins, 0)]
-            out.append(nodes)
-        return out
-    out, unit = [], (np.rint(weights[0] * ONE), np.rint(weights[1] * ONE))
-    first, end = part or (0, spec.trees)
-    step = max(1, (CELLS // 4) // max(n, 1))
-    for a in range(first, end, step):
-        trees = np.arange(a, min(a + step, end))
-        drawn = _draws(key, trees, spec.seed)
-        node, row = np.nonzero(drawn)
-        out.append(_grow_here(spec, bins, width, row, node, [_packed(drawn[node, row], y[row]), None], trees, unit))
+    margin, out, row, start, ends = np.zeros(n), [], np.arange(n), np.zeros(n, np.int64), np.zeros((1, n), np.int32)
+    for t in range(spec.rounds):
+        g, h = _gradients(margin, y, w)
+        nodes = _grow_here(spec, bins, width, row, start, [g, h, None], np.array([t]), None, ends)
+        margin = margin + nodes["value"][_pruned(nodes, nodes["feature"] >= 0)].take(ends[0])
+        out.append(nodes)
     return out
 
 
@@ -474,6 +560,25 @@ class Ensemble:
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         """Probability of the positive class for each row of ``x`` (NaN: missing)."""
+        edges = [np.unique(self.threshold[self.feature == f]) for f in range(x.shape[1])]
+        if max(map(len, edges), default=0) > 254:  # more bins than a byte tells
+            return self._by_thresholds(x)
+        if not hasattr(self, "_nodes"):
+            f = np.maximum(self.feature, 0)
+            last = [np.searchsorted(edges[k], self.threshold[f == k], "left") + 1 for k in range(x.shape[1])]
+            nodes = {"feature": self.feature, "missing_left": self.missing_left, "left": self.left, "right": self.right, "bin": np.ones(len(f), int)}
+            for k, ends in enumerate(last):
+                nodes["bin"][f == k] = np.minimum(ends, len(edges[k]) + 1)
+            self._nodes, self._steps = nodes, _Steps(nodes)
+        out, bins, values = np.zeros(len(x)), _binned(x, edges), _on_grid(self.value) if self.kind == "forest" else self.value
+        for root in self.roots:
+            out += values.take(_leaves(self._nodes, bins, int(root), self._steps))
+        return out / GRID / len(self.roots) if self.kind == "forest" else 1 / (1 + np.exp(-out))
+
+    def __getstate__(self):
+        return {c: v for c, v in self.__dict__.items() if c not in ("_nodes", "_steps")}
+
+    def _by_thresholds(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
         step = max(1, (CELLS // 8) // max(len(self.roots), 1))
         for a in range(0, len(x), step):
@@ -691,6 +796,44 @@ def _shares(spark, tasks: Sequence[Task]) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (isinstance(tasks[s[0]].spec, Forest), -(s[2] - s[1]) * depth[s[0]], s))
 
 
+@dataclass(frozen=True)
+class _Family:
+    """Trees that several tasks have in common, ``spec`` from tree ``first`` on: the draws don't depend on the number of
+    trees, and a lower depth limit or a higher minimum split only ends the same tree earlier."""
+
+    spec: Forest | Boosting
+    left_out: int | None
+    first: int
+    members: tuple[int, ...]
+
+    def split(self, nodes, spec: Forest) -> np.ndarray:
+        """The nodes that the tree of a member with ``spec`` splits."""
+        limit = DEEPEST if spec.depth is None else spec.depth
+        return (nodes["feature"] >= 0) & ((nodes["depth"] < limit) | (nodes["depth"] == 0)) & (nodes["count"] >= max(2, spec.min_split))
+
+
+def _families(tasks: Sequence[Task], n_features: int) -> list[_Family]:
+    """Every tree of every task once, those that are the same but for their ends together."""
+    alike: dict[tuple, list[int]] = {}
+    for k, t in enumerate(tasks):
+        s = t.spec
+        alike.setdefault((t.left_out, s.min_leaf, s.width(n_features), s.balanced, s.bins, s.seed) if isinstance(s, Forest) else (k,), []).append(k)
+    out = []
+    for own in alike.values():
+        spec = tasks[own[0]].spec
+        if isinstance(spec, Boosting):
+            out.append(_Family(spec, tasks[own[0]].left_out, 0, tuple(own)))
+            continue
+        cuts = sorted({0, *(tasks[k].spec.trees for k in own)})
+        for a, b in zip(cuts, cuts[1:]):
+            members = tuple(k for k in own if tasks[k].spec.trees >= b)
+            specs = [tasks[k].spec for k in members]
+            depth = None if any(s.depth is None for s in specs) else max(s.depth for s in specs)
+            out.append(_Family(replace(specs[0], trees=b - a, depth=depth, min_split=min(s.min_split for s in specs)),
+                               tasks[own[0]].left_out, a, members))
+    return out
+
+
 def _by_share(blocks: DataFrame, tasks: Sequence[Task], known: _Known, shares):
     """The blocks, with the bins of its model, of each share; a partition for each share, so that they grow side by side."""
     by_binning = {b: [i for i, s in enumerate(shares) if tasks[s[0]].binning == b] for b in known.binnings}
@@ -700,15 +843,13 @@ def _by_share(blocks: DataFrame, tasks: Sequence[Task], known: _Known, shares):
             .repartitionByRange(len(shares), "share").groupBy("share"))
 
 
-def _fit_share(part: pa.Table, tasks, known: _Known, shares):
-    """(the share's number, its trees, its blocks)."""
-    i = part.column("share")[0].as_py()
-    k, a, b = shares[i]
-    t, blocks = tasks[k], [_Part(r) for r in part.to_pylist()]
-    seen = [p.seen(t.left_out) for p in blocks]
-    bins, y, key = (np.concatenate([c[s] for c, s in zip(columns, seen)]) for columns in (
-        [p.bins(0, known.n_features) for p in blocks], [p.y for p in blocks], [p.key for p in blocks]))
-    return i, _fit_here(t.spec, bins, y, key, known.weights[k], known.width[t.binning], (a, b)), blocks
+def _held(part: pa.Table, left_out: int | None, n_features: int):
+    """(the blocks, the bins of all their rows, the numbers of the rows to learn from, and of those bins, labels and keys)."""
+    blocks = [_Part(r) for r in part.to_pylist()]
+    bins = np.concatenate([p.bins(0, n_features) for p in blocks])
+    seen = np.flatnonzero(np.concatenate([p.seen(left_out) for p in blocks]))
+    y, key = (np.concatenate(c).take(seen) for c in ([p.y for p in blocks], [p.key for p in blocks]))
+    return blocks, bins, seen, bins if len(seen) == len(bins) else bins.take(seen, 0), y, key
 
 
 def _fit_in_tasks(blocks: DataFrame, tasks, known: _Known) -> list[list[dict[str, np.ndarray]]]:
@@ -717,7 +858,10 @@ def _fit_in_tasks(blocks: DataFrame, tasks, known: _Known) -> list[list[dict[str
     shares = _shares(blocks.sparkSession, tasks)
 
     def grown(part: pa.Table) -> pa.Table:
-        i, got, _ = _fit_share(part, tasks, known, shares)
+        i = part.column("share")[0].as_py()
+        k, a, b = shares[i]
+        *_, bins, y, key = _held(part, tasks[k].left_out, known.n_features)
+        got = _fit_here(tasks[k].spec, bins, y, key, known.weights[k], known.width[tasks[k].binning], (a, b))
         sizes = [len(g["tree"]) for g in got]
         out = {"share": pa.array([i] * sum(sizes), pa.int32()), "part": pa.array(np.repeat(np.arange(len(got)), sizes).astype(np.int32)),
                "id": pa.array(np.concatenate([np.arange(n) for n in sizes]).astype(np.int32))}
@@ -763,24 +907,41 @@ def _scores(k: int, task: Task, fold: np.ndarray, y: np.ndarray, p: np.ndarray)
 
 
 def _scored_in_tasks(blocks: DataFrame, tasks, known: _Known, schema: str) -> DataFrame:
-    """``cross_scores`` of blocks: each share's trees give a sum for each row, and the sums of a block meet."""
-    shares = _shares(blocks.sparkSession, tasks)
+    """``cross_scores`` of blocks: each share's trees give a sum for each row and model, and the sums of a block meet.
+
+    The leaves of a tree's own rows are known from its growth; only the others walk it."""
+    families = _families(tasks, known.n_features)
+    grown = [Task(f.spec, f.left_out) for f in families]
+    shares = _shares(blocks.sparkSession, grown)
 
     def summed(part: pa.Table) -> pa.Table:
-        i, got, held = _fit_share(part, tasks, known, shares)
-        k, first, _ = shares[i]
-        sums = [np.zeros(p.n) for p in held]
-        for nodes in got:
-            steps = _Steps(nodes)
-            values = _on_grid(nodes["value"]) if isinstance(tasks[k].spec, Forest) else nodes["value"]
-            for root in np.flatnonzero(nodes["depth"] == 0):
-                for p, s in zip(held, sums):
-                    s += values.take(_leaves(nodes, p.bins(0, known.n_features), int(root), steps))
-        return pa.table({"task": pa.array([k] * len(held), pa.int32()), "block": [p.r["block"] for p in held],
+        k, a, b = shares[part.column("share")[0].as_py()]
+        family, t, n_features = families[k], grown[k], known.n_features
+        held, bins, seen, own, y, key = _held(part, t.left_out, n_features)
+        weights, width = known.weights[family.members[0]], known.width[t.binning]
+        sums = np.zeros((len(family.members), len(bins)))
+        if isinstance(t.spec, Boosting):
+            for nodes in _fit_here(t.spec, own, y, key, weights, width):
+                sums[0] += nodes["value"].take(_leaves(nodes, bins, 0))
+        else:
+            at = np.empty(len(bins), np.intp)
+            for nodes, ends in _grown(t.spec, own, y, key, weights, width, (family.first + a, family.first + b)):
+                steps, values = _Steps(nodes), _on_grid(nodes["value"])
+                values = [values[_pruned(nodes, family.split(nodes, tasks[m].spec))] for m in family.members]
+                for root, end in zip(np.flatnonzero(nodes["depth"] == 0), ends):
+                    at.fill(-1)
+                    at[seen] = end
+                    rest = np.flatnonzero(at < 0)
+                    at[rest] = _leaves(nodes, bins, int(root), steps, rest)
+                    for v, total in zip(values, sums):
+                        total += v.take(at)
+        cuts, first = np.cumsum([0, *(p.n for p in held)]), family.first + a > 0
+        return pa.table({"task": pa.array(np.repeat(np.array(family.members, np.int32), len(held))),
+                         "block": [p.r["block"] for _ in family.members for p in held],
                          # folds and labels go with the first share alone
-                         "folds": pa.array([None if first else p.r["folds"] for p in held], pa.binary()),
-                         "ys": pa.array([None if first else p.r["ys"] for p in held], pa.binary()),
-                         "sums": pa.array([s.tobytes() for s in sums], pa.binary())})
+                         "folds": pa.array([None if first else p.r["folds"] for _ in family.members for p in held], pa.binary()),
+                         "ys": pa.array([None if first else p.r["ys"] for _ in family.members for p in held], pa.binary()),
+                         "sums": pa.array([s[c:d].tobytes() for s in sums for c, d in zip(cuts, cuts[1:])], pa.binary())})
 
     def scored(part: pa.Table) -> pa.Table:
         k = part.column("task")[0].as_py()
@@ -791,7 +952,7 @@ def _scored_in_tasks(blocks: DataFrame, tasks, known: _Known, schema: str) -> Da
         p = total / GRID / spec.trees if isinstance(spec, Forest) else 1 / (1 + np.exp(-total))
         return pa.Table.from_batches([_scores(k, tasks[k], fold, y, p)])
 
-    sums = _by_share(blocks, tasks, known, shares).applyInArrow(summed, "task int, block long, folds binary, ys binary, sums binary")
+    sums = _by_share(blocks, grown, known, shares).applyInArrow(summed, "task int, block long, folds binary, ys binary, sums binary")
     return sums.groupBy("task", "block").applyInArrow(scored, schema)
 
 
@@ -821,15 +982,6 @@ def _fit_by_levels(held: DataFrame, tasks, known: _Known) -> list[list[dict[str,
     def margins_of(part: _Part) -> np.ndarray:
         return np.frombuffer(part.r["margins"], np.float64).reshape(len(boosted), part.n)
 
-    def down(steps: _Steps, left, depth: int, flat, row, node):
-        """Rows, and their nodes at a depth, of those that come so far."""
-        for _ in range(depth):
-            inner = left.take(node) >= 0
-            if not inner.all():
-                row, node = row[inner], node[inner]
-            node = steps(flat, row * n_features, node)
-        return row, node
-
     def level(portion: dict[int, slice]):
         """By task, the best splits of a slice of the asked nodes (an array for each answer), by one job."""
         wanted = {k: (growing[k][0].nodes, growing[k][0].ask[s], growing[k][0].features()[s]) for k, s in portion.items()}
@@ -838,35 +990,43 @@ def _fit_by_levels(held: DataFrame, tasks, known: _Known) -> list[list[dict[str,
 
         def sums(stream):
             out: dict[int, np.ndarray] = {}
-            steps = {k: _Steps(nodes) for k, (nodes, _, _) in wanted.items()}
+            # an asked node is a leaf so far
+            so_far = {k: nodes | {"feature": np.where(nodes["left"] >= 0, nodes["feature"], -1)} for k, (nodes, _, _) in wanted.items()}
+            steps = {k: _Steps(nodes) for k, nodes in so_far.items()}
+            fresh_steps = {k: [(tree, _Steps(tree)) for tree in fresh[k]] for k in wanted if k in fresh}
             local = {k: np.full(len(nodes["tree"]), -1) for k, (nodes, _, _) in wanted.items()}
             for k, (_, ask, _) in wanted.items():
                 local[k][ask] = np.arange(len(ask))
             for part, _ in _parts(stream):
+                drawn_of: dict[tuple, np.ndarray] = {}  # folds and candidates have the same draws
                 for k, (nodes, ask, features) in wanted.items():
                     t = tasks[k]
-                    bins, use, depth = part.bins(at[t.binning], n_features), np.flatnonzero(part.seen(t.left_out)), int(nodes["depth"][ask[0]])
+                    bins, use = part.bins(at[t.binning], n_features), np.flatnonzero(part.seen(t.left_out))
                     if k not in out:
                         out[k] = np.zeros((3 if isinstance(t.spec, Boosting) else 2, *features.shape, width[t.binning]))
                     if isinstance(t.spec, Boosting):
                         margin = margins_of(part)[slot[k]]
-                        for tree in fresh[k]:
-                            margin = margin + tree["value"][_leaves(tree, bins, 0)]
-                        g, h = _gradients(margin, part.y, np.where(part.y > 0, weights[k][1], weights[k][0]))
-                        row, node = down(steps[k], nodes["left"], depth, bins.reshape(-1), use, np.zeros(len(use), np.intp))
-                        place = local[k].take(node)
-                        row, place = row[place >= 0], place[place >= 0]
-                        out[k] += _sums(bins, row, place, [g[row], h[row], None], features, width[t.binning])
+                        for tree, walk in fresh_steps[k]:
+                            margin = margin + tree["value"].take(_leaves(tree, bins, 0, walk))
+                        size = max(PART, len(ask) * width[t.binning])
+                        for row in (use[a:a + size] for a in range(0, len(use), size)):
+                            place = local[k].take(_leaves(so_far[k], bins, 0, steps[k], row))
+                            on = place >= 0
+                            row, place = (row, place) if on.all() else (row[on], place[on])
+                            y = part.y.take(row)
+                            g, h = _gradients(margin.take(row), y, np.where(y > 0, weights[k][1], weights[k][0]))
+                            _add(out[k], bins.reshape(-1), row * n_features, place, [g, h, None], features)
                         continue
                     trees, first = nodes["tree"][ask], nodes["tree"][0]
                     for tree in np.unique(trees):
-                        drawn = _draws(part.key, np.array([tree]), t.spec.seed)[0]
+                        if (t.spec.seed, tree) not in drawn_of:
+                            drawn_of[t.spec.seed, tree] = _draws(part.key, np.array([tree]), t.spec.seed)[0]
+                        drawn = drawn_of[t.spec.seed, tree]
                         row = use[drawn.take(use) > 0]
-                        row, node = down(steps[k], nodes["left"], depth, bins.reshape(-1), row, np.full(len(row), tree - first, np.intp))
                         own = np.flatnonzero(trees == tree)
                         here = np.full(len(ask) + 1, -1)  # the last for nodes that aren't asked
                         here[own] = np.arange(len(own))
-                        place = here.take(local[k].take(node))
+                        place = here.take(local[k].take(_leaves(so_far[k], bins, tree - first, steps[k], row)))
                         row, place = row[place >= 0], place[place >= 0]
                         out[k][:, own] += _sums(bins, row, place, [_packed(drawn.take(row), part.y.take(row)), None], features[own], width[t.binning])
             for k, got in out.items():
@@ -944,7 +1104,7 @@ def _fit_by_levels(held: DataFrame, tasks, known: _Known) -> list[list[dict[str,
                     for k in boosted:
                         bins = part.bins(at[tasks[k].binning], n_features)
                         for nodes in taken[k]:
-                            m[slot[k]] += nodes["value"][_leaves(nodes, bins, 0)]
+                            m[slot[k]] += nodes["value"].take(_leaves(nodes, bins, 0))
                     yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(b.num_columns - 1)),
                                                       pa.array([m.tobytes()], pa.binary())], b.schema.names)
 

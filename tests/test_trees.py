@@ -236,3 +236,51 @@ def test_compare_and_tune_train_to_the_end(spark):
     assert [r["selected"] for r in board].count(True) == 1
     searched = Q.QUERIES["tune"](spark, SF).collect()
     assert len(searched) == 10 and min(r["f1_macro_mean"] for r in searched) > 0.5
+
+
+def test_candidates_share_the_trees_that_differ_only_in_their_ends(spark):
+    """A search of forests grew each candidate's trees anew; the scores are those of separate fits."""
+    specs = [T.Forest(trees=9, depth=6, min_split=2), T.Forest(trees=4, depth=2, min_split=30), T.Forest(trees=6, depth=None, min_split=12),
+             T.Forest(trees=9, depth=6, min_leaf=4), T.Boosting(rounds=2, depth=2)]
+    tasks, rows = [T.Task(s, f) for s in specs for f in (0, 1, None)], table(spark)
+    families = T._families(tasks, 4)
+    wanted = sorted((k, i) for k, t in enumerate(tasks) for i in range(getattr(t.spec, "trees", 1)))
+    assert sorted((k, i) for f in families for k in f.members for i in range(f.first, f.first + getattr(f.spec, "trees", 1))) == wanted
+    assert sum(f.spec.trees for f in families if isinstance(f.spec, T.Forest)) == 3 * (9 + 9)
+    scores = lambda got: sorted((r["task"], r["fold"], r["y"], r["unseen"], r["probability"]) for r in got.collect())
+    together = scores(T.cross_scores(rows, tasks))
+    for k in (0, 4, 8, 9):  # each candidate of forests by itself
+        alone = scores(T.cross_scores(rows, [tasks[k]]))
+        assert alone == [(0, *r[1:]) for r in together if r[0] == k]
+    models = T.fit_all(rows, tasks)  # no tree in common
+    x, _ = sample(300, 5)
+    for k, m in enumerate(models):
+        assert sorted(m.probability(x).tolist()) == sorted(r[4] for r in together if r[0] == k)
+
+
+def test_leaves_of_own_rows_are_known_from_growth(monkeypatch):
+    x, y = sample(700, 8)
+    edges = edges_of(x)
+    bins, width = T._binned(x, edges), max(map(len, edges)) + 2
+    for part, cells in ((T.PART, T.CELLS), (64, 4000)):
+        monkeypatch.setattr(T, "PART", part)
+        monkeypatch.setattr(T, "CELLS", cells)
+        for nodes, ends in T._grown(T.Forest(trees=5, depth=None, min_split=2), bins, y, np.arange(700), (1.0, 1.0), width, (0, 5)):
+            for root, end in zip(np.flatnonzero(nodes["depth"] == 0), ends):
+                own = np.flatnonzero(end >= 0)
+                assert 300 < len(own) < 600 and np.array_equal(T._leaves(nodes, bins, int(root), rows=own), end[own])
+    # by the table of children and without it
+    nodes = T._fit_here(T.Boosting(rounds=1), bins, y, np.arange(700), (1.0, 1.0), width)[0]
+    by_table = T._leaves(nodes, bins, 0)
+    monkeypatch.setattr(T, "TABLE", 0)
+    assert T._Steps(nodes).table() is None and np.array_equal(by_table, T._leaves(nodes, bins, 0))
+
+
+@pytest.mark.parametrize("spec", [T.Forest(trees=7, depth=None), T.Boosting(rounds=7), T.leaf_wise(rounds=7, min_leaf=3)])
+def test_probabilities_by_bins_are_those_by_thresholds(spec):
+    x, y = sample(500, 9)
+    edges = edges_of(x)
+    tables = T._fit_here(spec, T._binned(x, edges), y, np.arange(500), (1.0, 1.0), max(map(len, edges)) + 2)
+    model, probes = T.Ensemble.of(spec, tables, edges), np.vstack([x, sample(300, 10)[0] * 3, [[np.inf] * 4, [-np.inf] * 4]])
+    assert np.array_equal(model.probability(probes), model._by_thresholds(probes))
+    assert set(model.__getstate__()) == {f for f in T.Ensemble.__dataclass_fields__}
