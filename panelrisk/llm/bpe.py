@@ -8,7 +8,8 @@ So the shuffles carry one or three bytes for a pre-token's position, and each sp
 Decoding looks the ids up in the token-byte table, which the rank file fixes (50,256 rows).
 
 A batch ends at ``BATCH_BYTES`` of text, which bounds what a task holds; only a single document can exceed
-it.  (Numbers take four bytes each in a batch of over half a million distinct words.)
+it.  (Numbers take four bytes each in a batch of over half a million distinct words.)  Its texts are
+numbered ``SLICE_CHARS`` at a time, since the arrays over their pieces take many times a text's size.
 
 Both passes over the texts must see the same rows in the same order, so ``docs`` has to come from
 files by narrow operations only; write it first where it doesn't.
@@ -32,6 +33,8 @@ from panelrisk.llm.words import mix, span_hashes, split_bytes
 
 #: Characters of text in a batch.
 BATCH_BYTES = 8 << 20
+#: Characters of a batch whose pieces are in arrays at a time.
+SLICE_CHARS = 1 << 20
 #: A position takes one byte for the FEW most frequent words, else three.
 FEW = 248
 _LIMIT = FEW + (256 - FEW) * 65_536
@@ -80,23 +83,37 @@ def _simple(data: list[bytes]) -> np.ndarray:
     return out
 
 
-def number(texts: list[str | None], matches) -> tuple[list[str], list[np.ndarray]]:
-    """(the distinct pre-tokens, most frequent first; by text, the numbers of its pre-tokens).
+class _Codes(dict):
+    """The number of each word, as four bytes; ``words`` in the order of their numbers."""
 
-    In simple texts every distinct piece between blanks and line feeds is matched once.  Pieces are told
-    apart by a 64-bit hash, and a second one must agree, or else all texts are matched whole.
-    """
-    words: list[str] = []
+    def __init__(self):
+        super().__init__()
+        self.words: list[str] = []
 
-    class Codes(dict):
-        """The number of each word, as four bytes."""
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = len(self.words).to_bytes(4, "little")
+        self.words.append(word)
+        return out
 
-        def __missing__(self, word: str) -> bytes:
-            out = self[word] = len(words).to_bytes(4, "little")
-            words.append(word)
-            return out
 
-    code = Codes().__getitem__
+def _slices(texts: list[str | None], size: int):
+    """The texts in their order, in runs that end where they reach ``size`` characters."""
+    first = held = 0
+    for k, t in enumerate(texts):
+        held += len(t or "")
+        if held >= size:
+            yield texts[first:k + 1]
+            first, held = k + 1, 0
+    if first < len(texts):
+        yield texts[first:]
+
+
+def _coded(texts: list[str | None], matches, code) -> list[np.ndarray]:
+    """By text, the numbers that ``code`` gives its pre-tokens.
+
+    In simple texts every distinct piece between blanks and line feeds is matched once.  Pieces are told
+    apart by a 64-bit hash, and a second one must agree, or else all texts are matched whole.
+    """
     coded = lambda found: np.frombuffer(b"".join(map(code, found)), "<u4")
     docs = [np.zeros(0, np.uint32)] * len(texts)
     full = [k for k, t in enumerate(texts) if t]
@@ -135,12 +152,28 @@ def number(texts: list[str | None], matches) -> tuple[list[str], list[np.ndarray
             docs[k] = out[a:b]
     for k in set(full) - set(easy):
         docs[k] = coded(matches(texts[k]))
-    counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *docs]), minlength=len(words))
+    return docs
+
+
+def number(texts: list[str | None], matches, slice_chars: int = SLICE_CHARS) -> tuple[list[str], list[np.ndarray]]:
+    """(the distinct pre-tokens, most frequent first; by text, the numbers of its pre-tokens).
+
+    About ``slice_chars`` characters are taken at a time, as the arrays over pieces take many times a text's size.
+    """
+    codes = _Codes()
+    docs = [d for part in _slices(texts, slice_chars) for d in _coded(part, matches, codes.__getitem__)]
+    words = codes.words
+    del codes
+    counts = np.zeros(len(words), np.int64)
+    for part in range(0, len(docs), _STREAM_ROWS):
+        counts += np.bincount(np.concatenate(docs[part:part + _STREAM_ROWS]), minlength=len(words))
     order = np.argsort(-counts, kind="stable")
     order = order[counts[order] > 0]
     new = np.zeros(len(words), np.uint32)
     new[order] = np.arange(len(order), dtype=np.uint32)
-    return [words[i] for i in order.tolist()], [new[d] for d in docs]
+    for k, d in enumerate(docs):
+        docs[k] = new[d]
+    return [words[i] for i in order.tolist()], docs
 
 
 def pack(codes: np.ndarray, n_words: int) -> bytes:
@@ -238,27 +271,29 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 [pa.array([b for b, _ in out], pa.int64()), pa.array([serial] * k, pa.int64()), pa.nulls(k, ids.type),
                  pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
                  pa.array([_pressed(at, [raw[i] for i in at.tolist()]) for _, at in out], pa.binary())], names)
-        give_back()
+            ids = words = docs = part = raw = bucket = order = out = None  # before the next batch is numbered
+            give_back()
 
     def encoded(stream):
         """Each distinct word of the partition is encoded once."""
         import tiktoken
 
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_file.value), special_tokens={})
+        known: dict[bytes, bytes] = {}
 
-        class Ids(dict):
-            def __missing__(self, word: bytes) -> bytes:
-                out = self[word] = np.array(own.encode_ordinary(word.decode()), "<u4").tobytes()
-                return out
+        def ids(word: bytes) -> bytes:
+            out = known.get(word)
+            if out is None:
+                out = known[word] = np.array(own.encode_ordinary(word.decode()), "<u4").tobytes()
+            return out
 
-        ids = Ids().__getitem__
         for rows in stream:
             words = np.flatnonzero(rows.column(0).to_numpy() < 0)
             both = [_unpressed(rows.column(5)[k].as_py()) for k in words.tolist()]
             yield pa.RecordBatch.from_arrays(
                 [rows.column(1).take(pa.array(words)), pa.array([_pressed(at, list(map(ids, w))) for at, w in both], pa.binary())],
                 ["batch", "ids"])
-        ids = None
+        own = known = rows = words = both = None
         give_back()
 
     def reassembled(left: pa.Table, right: pa.Table) -> pa.Table:

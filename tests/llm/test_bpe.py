@@ -62,3 +62,30 @@ def test_colliding_hashes_do_not_matter(monkeypatch):
 def test_packing_round_trip(codes, n_words):
     x = np.array([c % n_words for c in codes], np.uint32)
     assert bpe.unpack(bpe.pack(x, n_words), len(x), n_words).tolist() == x.tolist()
+
+
+def test_slices_share_their_words():
+    import regex
+    matches = regex.compile(bpe.default_pattern()).findall
+    texts = ["a b\nc", None, "", "b  b a", "一 b", " lead", "c c c c c", ""]
+    for size in (1, 6, bpe.SLICE_CHARS):
+        words, docs = bpe.number(texts, matches, size)
+        assert len(set(words)) == len(words) and words[0] == " c"
+        assert [[words[k] for k in d.tolist()] for d in docs] == [matches(t or "") for t in texts]
+
+
+def test_numbering_holds_a_bounded_multiple_of_a_batch():
+    import random
+    import tracemalloc
+
+    import regex
+    matches = regex.compile(bpe.default_pattern()).findall
+    draw = random.Random(5)
+    texts = [" ".join(draw.choices(["and", "some", "words", "of", "a", "text", "x1"], k=1_000)) for _ in range(1_600)]
+    tracemalloc.start()
+    words, docs = bpe.number(texts, matches)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, docs)) >= 1_600_000
+    # four bytes a position and its few copies, and the arrays of one slice
+    assert peak < 10 * sum(map(len, texts)), peak / sum(map(len, texts))
