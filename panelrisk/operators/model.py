@@ -159,7 +159,7 @@ def _cv_board(df: DataFrame, label: str, numeric, categorical, fold_col: str, cl
     ship(df.sparkSession)
     rows = trees.prepare(df, tree_inputs(df, numeric, categorical), label, row_hash(df, fold_col), fold_col)
     k = (rows.agg(F.max("fold")).first()[0] or 0) + 1
-    scored = trees.cross_scores(rows, [trees.Task(c.spec, f) for c in classifiers for f in range(k)])
+    scored = trees.cross_scores(rows, [trees.Task(c.spec, f) for c in classifiers for f in range(k)], None, with_train)
     scored = materialize(scored.select("task", "unseen", F.col("y").cast("int").alias("label"), "probability",
                                        (F.col("probability") > 0.5).cast("double").alias("prediction")), "cv-scores")
     own, candidate = scored.where("unseen"), F.floor(F.col("task") / k).cast("int").alias("candidate")

@@ -5,7 +5,8 @@ tree grows level by level from sums per (model, tree, node, feature, bin): of gr
 boosting, of class weights and rows for a forest.  The same code finds the splits in two settings:
 
 - while a model's rows, as bins, fit ``IN_TASK_BYTES`` (counted first), one task grows a boosted model or a share of a
-  forest's trees: one job for all models;
+  forest's trees: one job for all models.  Where only scores are asked, the JVM grows the shares and scores the rows, up to
+  ``SHARE_BYTES`` (``TreeShares.java``, the same splits from the same sums);
 - beyond, each level is one job for all models: tasks add up their rows' histograms, those of a portion of nodes meet
   in one group, which finds their best splits, and only the splits come to the driver.
 
@@ -34,10 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelrisk.operators.tree_shares import grow_shares
 from panelrisk.session import materialize
 
 #: Bytes of binned rows (a feature a byte; key, fold, label) up to which one task may hold a model's training rows.
 IN_TASK_BYTES = 128 << 20
+#: The same for shares that score their rows (``TreeShares.java``), which hold some two to three times these bytes.
+SHARE_BYTES = 512 << 20
 #: Bytes of a binned row beside its features.
 ROW_BYTES = 16
 #: Rows of a block.
@@ -636,11 +640,18 @@ class Task:
 def _edges(rows: DataFrame, n_features: int, binnings) -> dict:
     """{binning: by feature, the upper ends of its bins}: quantiles of the rows the binning may see, in one scan."""
     seen = lambda left_out: F.lit(True) if left_out is None else ~F.col("fold").eqNullSafe(F.lit(left_out))
-    aggs = [F.percentile_approx(F.when(seen(out) & ~F.isnan(F.col("x")[f]), F.col("x")[f]), [k / bins for k in range(1, bins + 1)], 20_000)
-            for out, bins in binnings for f in range(n_features)]
+    outs = list(dict.fromkeys(out for out, _ in binnings))
+    ends = {out: [k / bins for o, bins in binnings if o == out for k in range(1, bins)] for out in outs}  # of one sketch for all
+    aggs = [F.percentile_approx(F.when(seen(out) & ~F.isnan(F.col("x")[f]), F.col("x")[f]), ends[out], 20_000)
+            for out in outs for f in range(n_features)]
     got = list(rows.agg(F.array(*[F.coalesce(a, F.array().cast("array<double>")) for a in aggs])).first()[0])
-    # the largest value needs no end of its own: what lies above the others is the last bin
-    return {b: [np.unique(np.array(got[k * n_features + f], float))[:-1] for f in range(n_features)] for k, b in enumerate(binnings)}
+    edges, first = {}, dict.fromkeys(outs, 0)
+    for out, bins in binnings:
+        own, k = slice(first[out], first[out] + bins - 1), outs.index(out)
+        # the largest value needs no end of its own: what lies above the others is the last bin
+        edges[out, bins] = [np.unique(np.array(got[k * n_features + f][own], float))[:-1] for f in range(n_features)]
+        first[out] = own.stop
+    return edges
 
 
 def _binned(x: np.ndarray, edges) -> np.ndarray:
@@ -672,11 +683,11 @@ class _Known:
     edges: dict
     width: dict
 
-    def in_task(self, in_task_rows: int | None) -> bool:
-        """Whether a task may hold all rows of a model."""
+    def in_task(self, in_task_rows: int | None, most: int | None = None) -> bool:
+        """Whether a task may hold all rows of a model; ``most`` bytes of them (None: IN_TASK_BYTES)."""
         if in_task_rows is not None:
             return self.n_rows <= in_task_rows
-        return self.n_rows * (self.n_features + ROW_BYTES) <= IN_TASK_BYTES
+        return self.n_rows * (self.n_features + ROW_BYTES) <= (IN_TASK_BYTES if most is None else most)
 
 
 def _known(rows: DataFrame, tasks: Sequence[Task]) -> _Known:
@@ -779,12 +790,12 @@ def _parts(stream):
             yield _Part({c: one.column(c)[0].as_py() for c in b.schema.names}), one
 
 
-def _shares(spark, tasks: Sequence[Task]) -> list[tuple[int, int, int]]:
+def _shares(spark, tasks: Sequence[Task], per_core: int = 4) -> list[tuple[int, int, int]]:
     """(task, first tree, end): what one task of the job grows, the longest first.  A forest is shared out so that there are
-    some four shares for each core; the trees of a boosted model follow one another."""
+    some ``per_core`` shares for each core; the trees of a boosted model follow one another."""
     depth = [DEEPEST if t.spec.depth is None else t.spec.depth for t in tasks]
     work = sum(t.spec.trees * d for t, d in zip(tasks, depth) if isinstance(t.spec, Forest))
-    most = max(1, work // (4 * spark.sparkContext.defaultParallelism))
+    most = max(1, work // (per_core * spark.sparkContext.defaultParallelism))
     out = []
     for k, (t, d) in enumerate(zip(tasks, depth)):
         if isinstance(t.spec, Boosting):
@@ -843,6 +854,16 @@ def _by_share(blocks: DataFrame, tasks: Sequence[Task], known: _Known, shares):
             .repartitionByRange(len(shares), "share").groupBy("share"))
 
 
+def _to_shares(blocks: DataFrame, tasks: Sequence[Task], known: _Known, shares) -> DataFrame:
+    """A partition for each share: the blocks, with the bins of its model, and with keys where trees have draws."""
+    by_binning = {b: [i for i, s in enumerate(shares) if tasks[s[0]].binning == b] for b in known.binnings}
+    bins = F.coalesce(*[F.when(F.col("share").isin(own), F.col(f"b{k}")) for k, own in enumerate(by_binning.values())])
+    forests = [i for i, s in enumerate(shares) if isinstance(tasks[s[0]].spec, Forest)]
+    return (blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(shares) - 1))).alias("share"))
+            .select("share", "block", F.when(F.col("share").isin(forests), F.col("keys")).alias("keys"), "folds", "ys", bins.alias("bins"))
+            .repartitionById(len(shares), "share"))
+
+
 def _held(part: pa.Table, left_out: int | None, n_features: int):
     """(the blocks, the bins of all their rows, the numbers of the rows to learn from, and of those bins, labels and keys)."""
     blocks = [_Part(r) for r in part.to_pylist()]
@@ -879,15 +900,16 @@ def _fit_in_tasks(blocks: DataFrame, tasks, known: _Known) -> list[list[dict[str
     return out
 
 
-def cross_scores(rows: DataFrame, tasks: Sequence[Task], in_task_rows: int | None = None) -> DataFrame:
-    """(task, fold, y, unseen, probability): every row scored by each model, and whether the model didn't see the row.
+def cross_scores(rows: DataFrame, tasks: Sequence[Task], in_task_rows: int | None = None, with_seen: bool = True) -> DataFrame:
+    """(task, fold, y, unseen, probability): every row scored by each model, and whether the model didn't see the row;
+    without ``with_seen`` only the rows that the model didn't see.
 
-    While a model's rows fit ``IN_TASK_BYTES``, trees are grown and applied in the same tasks and never come to the driver.
+    While a model's rows fit ``SHARE_BYTES``, trees are grown and applied in the same tasks and never come to the driver.
     """
     tasks, schema = list(tasks), "task int, fold int, y double, unseen boolean, probability double"
     known = _known(rows, tasks)
-    if known.n_rows and known.n_features and known.in_task(in_task_rows):
-        return _scored_in_tasks(_blocks(rows, known), tasks, known, schema)
+    if known.n_rows and known.n_features and known.in_task(in_task_rows, SHARE_BYTES):
+        return _scored_in_tasks(_blocks(rows, known), tasks, known, schema, with_seen)
     models = rows.sparkSession.sparkContext.broadcast(_fit_all(rows, tasks, known, in_task_rows))  # models, whatever the rows
 
     def applied(stream):
@@ -895,7 +917,8 @@ def cross_scores(rows: DataFrame, tasks: Sequence[Task], in_task_rows: int | Non
             if b.num_rows:
                 x, fold, y = _features(b.column(2)), _fold(b.select([2, 0])), b.column(1).to_numpy(zero_copy_only=False)
                 for k, m in enumerate(models.value):
-                    yield _scores(k, tasks[k], fold, y, m.probability(x))
+                    own = slice(None) if with_seen else np.zeros(len(fold), bool) if tasks[k].left_out is None else fold == tasks[k].left_out
+                    yield _scores(k, tasks[k], fold[own], y[own], m.probability(x[own]))
 
     return rows.select("fold", "y", "x").mapInArrow(applied, schema)
 
@@ -906,42 +929,29 @@ def _scores(k: int, task: Task, fold: np.ndarray, y: np.ndarray, p: np.ndarray)
                                        "y": y, "unseen": unseen, "probability": p})
 
 
-def _scored_in_tasks(blocks: DataFrame, tasks, known: _Known, schema: str) -> DataFrame:
+def _share_text(known: _Known, family: _Family, members: Sequence[Forest | Boosting], first: int, end: int, with_seen: bool) -> str:
+    """What ``TreeShares.java`` is told of a share: the order of its numbers is that of ``TreeShare``."""
+    spec, weights = family.spec, known.weights[family.members[0]]
+    forest, limit = isinstance(spec, Forest), lambda s: DEEPEST if s.depth is None else s.depth
+    edges = known.edges[family.left_out, spec.bins]
+    numbers = [int(forest), int(with_seen), -1 if family.left_out is None else family.left_out, first, end, limit(spec), spec.min_leaf, spec.seed,
+               *((float(np.rint(w * ONE)) if forest else float(w)) for w in weights), spec.width(known.n_features), known.n_features,
+               *(len(e) + 2 for e in edges), known.n_rows, len(members)]
+    for k, s in zip(family.members, members):
+        numbers += [k, limit(s), s.min_split if forest else 0]
+    numbers += [-1, 0.0, 0.0, 0.0, 0.0] if forest else [-1 if spec.leaves is None else spec.leaves, float(spec.step), float(spec.l2),
+                                                        float(spec.min_gain), float(spec.min_hessian)]
+    return " ".join(map(repr, numbers))
+
+
+def _scored_in_tasks(blocks: DataFrame, tasks, known: _Known, schema: str, with_seen: bool) -> DataFrame:
     """``cross_scores`` of blocks: each share's trees give a sum for each row and model, and the sums of a block meet.
 
-    The leaves of a tree's own rows are known from its growth; only the others walk it."""
+    Rows to score go down a tree together with those it grows from."""
     families = _families(tasks, known.n_features)
     grown = [Task(f.spec, f.left_out) for f in families]
-    shares = _shares(blocks.sparkSession, grown)
-
-    def summed(part: pa.Table) -> pa.Table:
-        k, a, b = shares[part.column("share")[0].as_py()]
-        family, t, n_features = families[k], grown[k], known.n_features
-        held, bins, seen, own, y, key = _held(part, t.left_out, n_features)
-        weights, width = known.weights[family.members[0]], known.width[t.binning]
-        sums = np.zeros((len(family.members), len(bins)))
-        if isinstance(t.spec, Boosting):
-            for nodes in _fit_here(t.spec, own, y, key, weights, width):
-                sums[0] += nodes["value"].take(_leaves(nodes, bins, 0))
-        else:
-            at = np.empty(len(bins), np.intp)
-            for nodes, ends in _grown(t.spec, own, y, key, weights, width, (family.first + a, family.first + b)):
-                steps, values = _Steps(nodes), _on_grid(nodes["value"])
-                values = [values[_pruned(nodes, family.split(nodes, tasks[m].spec))] for m in family.members]
-                for root, end in zip(np.flatnonzero(nodes["depth"] == 0), ends):
-                    at.fill(-1)
-                    at[seen] = end
-                    rest = np.flatnonzero(at < 0)
-                    at[rest] = _leaves(nodes, bins, int(root), steps, rest)
-                    for v, total in zip(values, sums):
-                        total += v.take(at)
-        cuts, first = np.cumsum([0, *(p.n for p in held)]), family.first + a > 0
-        return pa.table({"task": pa.array(np.repeat(np.array(family.members, np.int32), len(held))),
-                         "block": [p.r["block"] for _ in family.members for p in held],
-                         # folds and labels go with the first share alone
-                         "folds": pa.array([None if first else p.r["folds"] for _ in family.members for p in held], pa.binary()),
-                         "ys": pa.array([None if first else p.r["ys"] for _ in family.members for p in held], pa.binary()),
-                         "sums": pa.array([s[c:d].tobytes() for s in sums for c, d in zip(cuts, cuts[1:])], pa.binary())})
+    shares = _shares(blocks.sparkSession, grown, 4 if known.in_task(None) else 2)
+    texts = [_share_text(known, f := families[k], [tasks[m].spec for m in f.members], f.first + a, f.first + b, with_seen) for k, a, b in shares]
 
     def scored(part: pa.Table) -> pa.Table:
         k = part.column("task")[0].as_py()
@@ -952,7 +962,7 @@ def _scored_in_tasks(blocks: DataFrame, tasks, known: _Known, schema: str) -> Da
         p = total / GRID / spec.trees if isinstance(spec, Forest) else 1 / (1 + np.exp(-total))
         return pa.Table.from_batches([_scores(k, tasks[k], fold, y, p)])
 
-    sums = _by_share(blocks, grown, known, shares).applyInArrow(summed, "task int, block long, folds binary, ys binary, sums binary")
+    sums = grow_shares(_to_shares(blocks, grown, known, shares), texts, _STEPS)
     return sums.groupBy("task", "block").applyInArrow(scored, schema)
 
 

@@ -142,6 +142,41 @@ def test_scores_of_both_settings(spark):
     assert sum(r[3] for r in a) == 300 and not any(r[3] for r in a if r[0] == 0)
 
 
+def test_shares_on_the_jvm_grow_the_same_trees(spark):
+    """Scores of the JVM's shares are those of trees grown in numpy: many nodes, odd labels, wide rows, missing values."""
+    x, y = sample(400, 11, missing=0.35)
+    x = np.hstack([x, np.random.default_rng(1).integers(0, 2, (400, 7)).astype(float)])  # codes of several features
+    x[::9, 5] = np.nan
+    rows = spark.createDataFrame([(k * 7919, k % 3, float(v), [float(c) for c in r]) for k, (r, v) in enumerate(zip(x, y))],
+                                 "key long, fold int, y double, x array<double>")
+    specs = [T.Forest(trees=5, depth=None, min_split=2), T.Forest(trees=3, depth=9, min_leaf=4, features="all", balanced=False),
+             T.Forest(trees=4, depth=None, bins=200), T.Boosting(rounds=12, depth=6), T.Boosting(rounds=3, depth=None, weights=None),
+             T.leaf_wise(rounds=8, min_leaf=3), T.leaf_wise(rounds=3, leaves=60, depth=None, min_leaf=1)]
+    tasks = [T.Task(s, f) for s in specs for f in (1, None)]
+    keys = lambda got: sorted((r["task"], r["fold"], r["y"], r["unseen"], r["probability"]) for r in got.collect())
+    got, models = keys(T.cross_scores(rows, tasks)), T.fit_all(rows, tasks)
+    for k, m in enumerate(models):
+        assert sorted(m.probability(x).tolist()) == sorted(r[4] for r in got if r[0] == k), tasks[k]
+    unseen = [r for r in got if r[3]]
+    assert len(unseen) == 133 * len(specs)
+    assert keys(T.cross_scores(rows, tasks, None, False)) == keys(T.cross_scores(rows, tasks[:2], 0, False)) + [r for r in unseen if r[0] > 1] == unseen
+    doubled = rows.withColumn("y", 2 * F.col("y"))
+    for k, m in enumerate(T.fit_all(doubled, tasks[6:8])):
+        assert sorted(m.probability(x).tolist()) == sorted(r[4] for r in keys(T.cross_scores(doubled, tasks[6:8])) if r[0] == k)
+
+
+def test_scores_of_14_million_rows_do_not_go_by_levels():
+    known = T._Known(14_430_000, 11, [], [], {}, {})
+    assert known.in_task(None, T.SHARE_BYTES) and not known.in_task(None)
+
+
+def test_binnings_of_a_fold_are_read_off_one_sketch(spark):
+    rows = table(spark)
+    both = T._edges(rows, 4, [(None, 63), (None, 255), (1, 63), (1, 255)])
+    for b in both:
+        assert all(np.array_equal(p, q) for p, q in zip(both[b], T._edges(rows, 4, [b])[b]))
+
+
 def test_a_level_is_one_job_for_all_models(spark):
     rows, sc = table(spark, 120), spark.sparkContext
     jobs = []
