@@ -641,13 +641,13 @@ def _edges(rows: DataFrame, n_features: int, binnings) -> dict:
     """{binning: by feature, the upper ends of its bins}: quantiles of the rows the binning may see, in one scan."""
     seen = lambda left_out: F.lit(True) if left_out is None else ~F.col("fold").eqNullSafe(F.lit(left_out))
     outs = list(dict.fromkeys(out for out, _ in binnings))
-    ends = {out: [k / bins for o, bins in binnings if o == out for k in range(1, bins)] for out in outs}  # of one sketch for all
+    ends = {out: [k / bins for o, bins in binnings if o == out for k in range(1, bins + 1)] for out in outs}  # of one sketch for all
     aggs = [F.percentile_approx(F.when(seen(out) & ~F.isnan(F.col("x")[f]), F.col("x")[f]), ends[out], 20_000)
             for out in outs for f in range(n_features)]
     got = list(rows.agg(F.array(*[F.coalesce(a, F.array().cast("array<double>")) for a in aggs])).first()[0])
     edges, first = {}, dict.fromkeys(outs, 0)
     for out, bins in binnings:
-        own, k = slice(first[out], first[out] + bins - 1), outs.index(out)
+        own, k = slice(first[out], first[out] + bins), outs.index(out)
         # the largest value needs no end of its own: what lies above the others is the last bin
         edges[out, bins] = [np.unique(np.array(got[k * n_features + f][own], float))[:-1] for f in range(n_features)]
         first[out] = own.stop

@@ -173,6 +173,10 @@ def test_scores_of_14_million_rows_do_not_go_by_levels():
 def test_binnings_of_a_fold_are_read_off_one_sketch(spark):
     rows = table(spark)
     both = T._edges(rows, 4, [(None, 63), (None, 255), (1, 63), (1, 255)])
+    for (out, bins), got in both.items():
+        by_itself = rows.where("true" if out is None else "fold <> 1 and not isnan(x[0])").where("not isnan(x[0])").agg(
+            F.percentile_approx(F.col("x")[0], [k / bins for k in range(1, bins + 1)], 20_000)).first()[0]
+        assert np.array_equal(got[0], np.unique(by_itself)[:-1]) and len(got[0]) > 50
     for b in both:
         assert all(np.array_equal(p, q) for p, q in zip(both[b], T._edges(rows, 4, [b])[b]))
 
